@@ -230,14 +230,19 @@ def score_isolated(
     return score(long, make_scorer, ["tok"], latent, out=out, batch_size=batch_size).drop("code_tok", "code")
 
 
+def vocab_matrix(latent_total: int, positions: Sequence[int], scale: float = 0.25) -> np.ndarray:
+    """Rows cos(5 v + 3 j) * scale of the toy model for vocabulary positions ``positions``."""
+    v = np.asarray(list(positions))[:, None]
+    j = np.arange(latent_total)[None, :]
+    return np.cos(5 * v + 3 * j) * scale
+
+
 def linear_vocab_model(latent_total: int, vocab: int = 1202, scale: float = 0.25):
     """Frozen toy sequence model (test double): vocabulary logit v at the last
     position = sum_j cos(5 v + 3 j) * scale * x_j over the flattened sequence."""
 
     def make():
-        v = np.arange(vocab)[:, None]
-        j = np.arange(latent_total)[None, :]
-        H = np.cos(5 * v + 3 * j) * scale  # (V, J)
+        H = vocab_matrix(latent_total, range(vocab), scale)  # (V, J)
 
         def model(seq):
             b, t, d = seq.shape

@@ -394,3 +394,21 @@ def q_modal_report(spark, sf_dir):
     rep = M.report(M.predict(lg))
     return rounded(rep.select("class_id", "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "auc"))
 
+
+
+@register("projector_fit", "M7: data-parallel fit, per-step loss (iterative; no SQL oracle)")
+def q_fit(spark, sf_dir):
+    from mmcohort.operators import fit as FT
+
+    tr = TR_train(spark, sf_dir)
+    head = SC.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
+    init = FT.params_from_weights(fixture_weights(spark))
+    _, hist = FT.fit_projectors(tr, init, head, steps=3)
+    rows = [(h["step"], float(h["loss"]), float(h["asl"])) for h in hist]
+    return spark.createDataFrame(rows, "step int, loss double, asl double")
+
+
+def TR_train(spark, sf_dir):
+    """Training rows of the modal fixture (arrays as double)."""
+    ms = modal_split(spark, sf_dir).where(F.col("split") == "train")
+    return ms.select("y", *[F.col(m).cast("array<double>").alias(m) for m in SPEC.stored_order])

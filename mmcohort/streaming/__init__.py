@@ -1,0 +1,4 @@
+"""No streaming operators: the source pipeline has no stream, watermark, window or state.
+
+Kept as an explicit, empty package so the absence is a decision, not an omission.
+"""
