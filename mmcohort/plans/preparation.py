@@ -9,6 +9,7 @@ from mmcohort.operators import cohort as K
 from mmcohort.operators import scaling as S
 from mmcohort.operators import split as SP
 from mmcohort.plans.registry import r, register, rounded
+from mmcohort.session import materialize
 from mmcohort.sources import fixtures as fx
 
 FEATURE_OF = {  # scalar fixture column -> (modality, index)
@@ -181,7 +182,8 @@ def _stats_long_sql() -> str:
 
 
 def _train_stats(spark, sf_dir):
-    d = SP.group_split(prepared(spark, sf_dir), "haim_id")
+    # the split cohort feeds both the statistics and their application: write it once
+    d = materialize(SP.group_split(prepared(spark, sf_dir), "haim_id"), "cohort-split")
     return d, S.fit_stats(d.where(F.col("split") == "train"), ARRAYS, widths=fx.COHORT_SPEC.widths)
 
 
