@@ -6,14 +6,17 @@ One optimisation step = one Spark job:
 2. ``mapInPandas`` computes, per partition, the gradient SUM of
    L + beta * sum_m mse_m (asymmetric loss through the frozen head, masked per
    class, and reconstruction error) and the loss sums — one row per partition;
-3. ``Summarizer.sum`` adds the partition rows in the JVM (tree aggregation);
+3. the gradient is cut in chunks (a row per chunk per partition) and
+   ``Summarizer.sum`` adds them per chunk in the JVM, so the reduction of a
+   model-sized vector is spread over many tasks instead of one;
 4. the driver clips each projector's gradient norm and takes an Adam step
    (L2 weight decay added to the gradient), then re-broadcasts.
 
 Means are global: the per-class valid-row counts N_c and the row count are
 computed once before the first step, so partition sums add up exactly to the
-full-batch gradient. The batch is the whole training split (or a
-deterministic hash sample of it), not 32 rows.
+full-batch gradient. The batch is the whole training split, not 32 rows;
+pass a materialized (written) training table so every step re-reads columnar
+data instead of recomputing its lineage.
 """
 
 from __future__ import annotations
@@ -143,6 +146,7 @@ def fit_projectors(
     beta: float = C.BETA,
     accumulate_shared: bool = False,
     y: str = "y",
+    chunk_size: int = 1 << 16,
 ):
     """Fit the projectors on ``train`` (rows with modality arrays and label array ``y``).
 
@@ -168,14 +172,18 @@ def fit_projectors(
     hd = np.asarray(head, dtype=np.float64)
     cols = train.select(y, *mods)
     n_par = len(_flatten(state.params, mods))
-    out_schema = T.StructType([T.StructField("g", T.ArrayType(T.DoubleType()))])
+    n_tot = n_par + 1 + len(mods)
+    chunks = max(1, -(-n_tot // chunk_size))
+    out_schema = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
     history = []
     for step in range(1, steps + 1):
         bc = spark.sparkContext.broadcast(state.params)
 
         def part(batches, bc=bc):
+            import pandas as pd
+
             params = bc.value
-            acc = np.zeros(n_par + 1 + len(mods))
+            acc = np.zeros(n_tot)
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -185,14 +193,18 @@ def fit_projectors(
                 acc[:n_par] += _flatten(g, mods)
                 acc[n_par] += L
                 acc[n_par + 1:] += [mse[m] for m in mods]
-            import pandas as pd
-
-            yield pd.DataFrame({"g": [acc]})
-
-        sums = cols.mapInPandas(part, out_schema).select(array_to_vector("g").alias("g"))
-        total = sums.select(vector_to_array(Summarizer.sum(F.col("g"))).alias("s")).first()["s"]
+            # one row per chunk: the reduction below is spread over `chunks` tasks
+            yield pd.DataFrame({"chunk": list(range(chunks)), "g": [acc[c * chunk_size:(c + 1) * chunk_size] for c in range(chunks)]})
+
+        sums = (
+            cols.mapInPandas(part, out_schema)
+            .select("chunk", array_to_vector("g").alias("g"))
+            .groupBy("chunk")
+            .agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("s"))
+            .collect()  # the summed gradient: size of the model, not of the data
+        )
         bc.unpersist()
-        total = np.asarray(total)
+        total = np.concatenate([np.asarray(r["s"]) for r in sorted(sums, key=lambda r: r["chunk"])])
         grads = _unflatten(total[:n_par], state.params, mods)
         L = float(total[n_par])
         mse = dict(zip(mods, total[n_par + 1:].tolist()))
