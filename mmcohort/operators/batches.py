@@ -9,28 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mmcohort import config as C
-from mmcohort.operators.prefix import hex_bucket, ordered_prefix
+from mmcohort.operators.prefix import bucketize, hex_bucket, ordered_prefix, quantile_splits
 
 
 def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 1024, out: str = "_qbucket") -> tuple[DataFrame, int]:
     """Add a bucket column monotone in ``col`` with roughly equal row counts.
-
-    Boundaries come from ``approxQuantile`` (≤ n_buckets numbers to the
-    driver); the bucket is computed by ``Bucketizer`` (JVM binary search).
-    Returns the frame and the number of buckets.
-    """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if probs else []
-    splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
-    tmp = f"{out}_in"
-    d = df.withColumn(tmp, F.col(col).cast("double"))
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(d).drop(tmp), len(splits)
+    Returns the frame and the number of buckets (see :func:`quantile_splits`)."""
+    splits = quantile_splits(df, col, n_buckets)
+    return bucketize(df, col, splits, out), len(splits)
 
 
 def batch_numbers(

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mmcohort.functions.columns import hard_pred, sigmoid, valid_label
-from mmcohort.operators.prefix import ordered_prefix, unit_bucket
+from mmcohort.operators.prefix import bucketize, ordered_prefix, quantile_splits
 
-_LEVELS, _OCTAVES = 8, 64
-_N_BUCKETS = 2 * _LEVELS * _OCTAVES
+# Score buckets of the ordered ROC/AUC pass: boundaries are approximate
+# quantiles of the masked scores, so each (class, bucket) window holds about
+# 1/_N_BUCKETS of all rows whatever the score distribution (a fixed grid on
+# [0, 1] puts a well-calibrated model's scores into a handful of buckets).
+_N_BUCKETS = 2048
 
 
 def predict(long: DataFrame, *, z: str = "z", as_float: bool = False) -> DataFrame:
@@ -76,12 +79,23 @@ def score_counts(long: DataFrame, *, y: str = "y", p: str = "p") -> DataFrame:
     )
 
 
-def _auc_parts(counts: DataFrame, max_classes: int) -> DataFrame:
+def bucketed_counts(long: DataFrame, *, y: str = "y", p: str = "p", n_buckets: int = _N_BUCKETS) -> tuple[DataFrame, int]:
+    """:func:`score_counts` plus ``_qb``, a score bucket monotone in ``p``.
+
+    The boundaries come from one sketch pass over the masked scores (no
+    shuffle); ties collapse to one count row, so a score held by a third of
+    all rows is one row, not a hot bucket."""
+    splits = quantile_splits(mask(long, y=y).select(F.col(p).cast("double").alias("_p")), "_p", n_buckets)
+    return bucketize(score_counts(long, y=y, p=p), "p", splits, "_qb"), len(splits)
+
+
+def _auc_parts(long: DataFrame, y: str, p: str, max_classes: int) -> DataFrame:
+    counts, nb = bucketed_counts(long, y=y, p=p)
     ranked = ordered_prefix(
         counts,
         "p",
-        unit_bucket("p", _LEVELS, _OCTAVES),
-        n_buckets=_N_BUCKETS,
+        F.col("_qb"),
+        n_buckets=nb,
         partition=("class_id",),
         max_partition_values=max_classes,
         ascending=True,
@@ -95,7 +109,7 @@ def _auc_parts(counts: DataFrame, max_classes: int) -> DataFrame:
 
 def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -> DataFrame:
     """Exact ROC-AUC per class with ties counted one half; NULL when a class lacks positives or negatives."""
-    parts = _auc_parts(score_counts(long, y=y, p=p), max_classes)
+    parts = _auc_parts(long, y, p, max_classes)
     agg = parts.groupBy("class_id").agg(
         F.sum("_pairs").alias("_pairs"),
         F.sum("n_pos").alias("_np"),
@@ -110,12 +124,12 @@ def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -
 
 
 def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int) -> DataFrame:
-    counts = score_counts(long, y=y, p=p)
+    counts, nb = bucketed_counts(long, y=y, p=p)
     return ordered_prefix(
         counts,
         "p",
-        unit_bucket("p", _LEVELS, _OCTAVES),
-        n_buckets=_N_BUCKETS,
+        F.col("_qb"),
+        n_buckets=nb,
         partition=("class_id",),
         max_partition_values=max_classes,
         ascending=False,

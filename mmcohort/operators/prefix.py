@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,28 @@ def unit_bucket(p, levels_per_octave: int = 8, octaves: int = 64) -> Column:
     return F.when(p < F.lit(0.5), F.lit(half - 1) - level).otherwise(F.lit(half) + level).cast("int")
 
 
+def quantile_splits(df: DataFrame, col: str, n_buckets: int = 1024) -> list[float]:
+    """Bucket boundaries with roughly equal row counts: ``approxQuantile``
+    (a map-side sketch per partition, merged; ≤ ``n_buckets`` numbers reach
+    the driver), relative rank error 1 / (4 n_buckets). Repeated values give
+    one boundary, so a value held by a third of all rows is one bucket edge,
+    not a hot bucket of distinct values."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if probs else []
+    inner = sorted(set(float(q) for q in qs if q is not None and q == q and abs(q) != float("inf")))
+    return [float("-inf"), *inner, float("inf")]
+
+
+def bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
+    """Add ``out`` = index of the bucket of ``col`` (JVM binary search; NaN -> last bucket + 1)."""
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0))
+    tmp = f"{out}_in"
+    d = df.withColumn(tmp, F.col(col).cast("double"))
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return b.transform(d).drop(tmp).withColumn(out, F.col(out).cast("int"))
+
+
 def ordered_prefix(
     df: DataFrame,
     key: str,

@@ -1,41 +1,93 @@
 """Exact, deterministic split by group (patient) id.
 
-Distinct group ids are ordered by ``md5("<seed>:<id>")`` (tie-break: the id);
-the first ``ceil(n * val_fraction)`` go to validation. The rank is computed
-with :func:`ordered_prefix` (4,096 hash buckets, uniform by construction), so
-no single task sees all ids. Rows get their split by an equi-join on the id.
+Distinct group ids are ordered by ``(md5("<seed>:<id>"), id)``; the first
+``ceil(n * val_fraction)`` go to validation. Because membership is a threshold
+on that order, the split needs only ONE cutoff value:
+
+1. distinct ids are counted per md5 hex bucket (4,096 buckets, uniform by
+   construction whatever the data) — a map-side combined aggregate;
+2. running counts over the ≤ 4,096-row bucket table find the bucket holding
+   the ``n_val``-th id;
+3. only the ids of that one bucket (≈ n / 4,096) are ranked to find the cutoff
+   ``(hash, id)`` — one row.
+
+Each study row then gets its split by comparing its own hash with the cutoff
+(one broadcast row): the study table is never shuffled or joined on the group
+id, so a patient holding a third of all rows costs nothing extra.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mmcohort import config as C
-from mmcohort.operators.prefix import hex_bucket, ordered_prefix
+from mmcohort.operators.prefix import hex_bucket
+
+_HEX_DIGITS = 3  # 4,096 buckets
 
 
 def split_key(key_col, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), key_col.cast("string")))
 
 
+def val_cutoff(
+    df: DataFrame, key: str = "haim_id", *, val_fraction: float = C.VAL_FRACTION, seed: int = C.SPLIT_SEED
+) -> DataFrame:
+    """One-row table ``(_cut_h, _cut_id, _n, _n_val)``: the last validation id in
+    ``(md5, id)`` order. No row when ``n_val`` is 0 (then every group is train)."""
+    ids = (
+        df.select(F.col(key).alias("_id"))
+        .where(F.col("_id").isNotNull())
+        .distinct()
+        .withColumn("_h", split_key(F.col("_id"), seed))
+        .withColumn("_b", hex_bucket(F.col("_h"), _HEX_DIGITS))
+    )
+    buckets = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))  # ≤ 4,096 rows
+    w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w_run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = buckets.select(
+        "_b",
+        "_cnt",
+        (F.sum("_cnt").over(w_run) - F.col("_cnt")).alias("_off"),
+        F.sum("_cnt").over(w_all).alias("_n"),
+    ).withColumn("_n_val", F.ceil(F.col("_n") * F.lit(val_fraction)).cast("long"))
+    target = b.where((F.col("_off") < F.col("_n_val")) & (F.col("_n_val") <= F.col("_off") + F.col("_cnt")))
+    # at most one bucket qualifies: the join below keeps only its ids
+    in_bucket = ids.join(F.broadcast(target.select("_b", "_off", "_n", "_n_val")), "_b")
+    w_b = Window.partitionBy("_b").orderBy("_h", "_id")
+    ranked = in_bucket.withColumn("_rn", F.row_number().over(w_b) + F.col("_off"))
+    return ranked.where(F.col("_rn") == F.col("_n_val")).select(
+        F.col("_h").alias("_cut_h"), F.col("_id").alias("_cut_id"), "_n", "_n_val"
+    )
+
+
+def _is_val(key_col, seed: int):
+    h = split_key(key_col, seed)
+    return (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (key_col <= F.col("_cut_id")))
+
+
+def _with_split(df: DataFrame, key: str, cut: DataFrame, seed: int) -> DataFrame:
+    # left join to the one-row cutoff (broadcast, one row by construction): no cutoff -> all train
+    j = df.join(F.broadcast(cut.select("_cut_h", "_cut_id")), F.lit(True), "left")
+    flag = F.coalesce(_is_val(F.col(key), seed), F.lit(False))
+    return j.withColumn("split", F.when(flag, F.lit("val")).otherwise(F.lit("train"))).drop("_cut_h", "_cut_id")
+
+
 def group_assignments(
     df: DataFrame, key: str = "haim_id", *, val_fraction: float = C.VAL_FRACTION, seed: int = C.SPLIT_SEED
 ) -> DataFrame:
     """(key, split) for every distinct group id; split is 'train' or 'val'."""
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ids = ids.withColumn("_h", split_key(F.col(key), seed)).withColumn("_ord", F.struct("_h", key))
-    ranked = ordered_prefix(ids, "_ord", hex_bucket(F.col("_h"), 3), n_buckets=4096, rank="_rank")
-    # n_val = ceil(n * fraction), from a one-row aggregate (broadcast: one row by construction)
-    total = ids.agg(F.count(F.lit(1)).alias("_n")).select(F.ceil(F.col("_n") * F.lit(val_fraction)).alias("_n_val"))
-    out = ranked.crossJoin(F.broadcast(total))
-    return out.select(key, F.when(F.col("_rank") <= F.col("_n_val"), F.lit("val")).otherwise(F.lit("train")).alias("split"))
+    return _with_split(ids, key, val_cutoff(df, key, val_fraction=val_fraction, seed=seed), seed).select(key, "split")
 
 
 def group_split(
     df: DataFrame, key: str = "haim_id", *, val_fraction: float = C.VAL_FRACTION, seed: int = C.SPLIT_SEED
 ) -> DataFrame:
-    """Add a ``split`` column to every row: one join on the group id instead of
-    one filtered copy per split. The assignment table has one row per group;
-    AQE broadcasts it when it is small and shuffles both sides otherwise."""
-    return df.join(group_assignments(df, key, val_fraction=val_fraction, seed=seed), key, "inner")
+    """Add a ``split`` column to every row with a non-NULL group id.
+
+    One comparison per row against the broadcast cutoff — no join of the
+    study rows on the group id and no filtered copy per split."""
+    rows = df.where(F.col(key).isNotNull())
+    return _with_split(rows, key, val_cutoff(df, key, val_fraction=val_fraction, seed=seed), seed)

@@ -107,3 +107,23 @@ def test_prefix_matches_global_window_and_ignores_partitioning(spark):
         out = ordered_prefix(df.repartition(n), "p", unit_bucket("p"), n_buckets=1024, rank="rk", sums={"c": F.lit(1)})
         got = {r["p"]: (r["rk"], r["c"]) for r in out.collect()}
         assert all(got[k] == (v, v) for k, v in ref.items())
+
+
+def np_auc(y, p):
+    """Mann-Whitney AUC with ties counted one half."""
+    pos, neg = p[y == 1], p[y == 0]
+    gt = (pos[:, None] > neg[None, :]).sum()
+    eq = (pos[:, None] == neg[None, :]).sum()
+    return (gt + 0.5 * eq) / (len(pos) * len(neg))
+
+
+def test_concentrated_scores_spread_over_buckets(spark):
+    # 6,000 distinct scores inside [0.5, 0.5006) plus one score held by a third of all rows
+    n = 6000
+    p = np.r_[0.5 + np.arange(n) * 1e-7, np.full(n // 2, 0.3)]
+    y = np.r_[np.arange(n) % 3 == 0, np.arange(n // 2) % 2 == 0].astype(float)
+    long = _long(spark, y, p)
+    counts, nb = M.bucketed_counts(long, n_buckets=64)
+    sizes = [r["c"] for r in counts.groupBy("class_id", "_qb").agg(F.count(F.lit(1)).alias("c")).collect()]
+    assert max(sizes) <= 4 * (n + 1) / 64  # a fixed grid on [0, 1] would put all 6,000 in one bucket
+    assert M.auc(long).first()["auc"] == pytest.approx(np_auc(y, p), abs=1e-12)

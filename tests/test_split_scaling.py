@@ -39,3 +39,28 @@ def test_single_train_row_gives_null(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
     st = S.fit_stats(df, ["v"], widths={"v": 2})
     assert S.apply_stats(df, st, ["v"]).first()["v"] == [None, None]
+
+
+def test_hot_group_does_not_change_the_split(spark):
+    # group 0 holds a third of all rows: assignments depend on distinct ids only
+    base = spark.range(3000).select((F.col("id") % 200).alias("g"))
+    hot = spark.range(1500).select(F.lit(0).cast("long").alias("g"))
+    a = sorted(tuple(r) for r in SP.group_assignments(base, "g").collect())
+    b = sorted(tuple(r) for r in SP.group_assignments(base.unionByName(hot), "g").collect())
+    assert a == b and sum(s == "val" for _, s in a) == 50
+    rows = SP.group_split(base.unionByName(hot), "g")
+    assert rows.count() == 4500
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # the study rows are never joined on the group id
+
+
+def test_split_matches_rank_definition(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 613).alias("g"))
+    ids = df.distinct().withColumn("h", SP.split_key(F.col("g"), 23))
+    rk = ids.withColumn("rn", F.row_number().over(Window.orderBy("h", "g")))
+    n = ids.count()
+    ref = {r["g"]: ("val" if r["rn"] <= -(-n // 4) else "train") for r in rk.collect()}
+    got = {r["g"]: r["split"] for r in SP.group_assignments(df, "g").collect()}
+    assert got == ref
