@@ -18,6 +18,9 @@ id, so a patient holding a third of all rows costs nothing extra.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +45,9 @@ def val_cutoff(
         .distinct()
         .withColumn("_h", split_key(F.col("_id"), seed))
         .withColumn("_b", hex_bucket(F.col("_h"), _HEX_DIGITS))
+        # never NULL; stated here so the join below infers no extra filter and both
+        # uses of `ids` stay one plan (the distinct-id exchange is then reused)
+        .where(F.col("_b").isNotNull())
     )
     buckets = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))  # ≤ 4,096 rows
     w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -91,3 +97,36 @@ def group_split(
     study rows on the group id and no filtered copy per split."""
     rows = df.where(F.col(key).isNotNull())
     return _with_split(rows, key, val_cutoff(df, key, val_fraction=val_fraction, seed=seed), seed)
+
+
+@dataclass(frozen=True)
+class SplitCutoff:
+    """The fitted split: last validation id in (md5, id) order (None: no validation group)."""
+
+    seed: int
+    cut_h: str | None
+    cut_id: Any
+    n_groups: int
+    n_val: int
+
+
+def fit_split(
+    df: DataFrame, key: str = "haim_id", *, val_fraction: float = C.VAL_FRACTION, seed: int = C.SPLIT_SEED
+) -> SplitCutoff:
+    """Run the cutoff job once and keep its single row on the driver, so every
+    later use of the split (statistics on train, scoring on val, ...) is a
+    literal comparison instead of a re-run of the distinct-id aggregation."""
+    row = val_cutoff(df, key, val_fraction=val_fraction, seed=seed).first()  # one row by construction
+    if row is None:
+        return SplitCutoff(seed, None, None, 0, 0)
+    return SplitCutoff(seed, row["_cut_h"], row["_cut_id"], int(row["_n"]), int(row["_n_val"]))
+
+
+def apply_split(df: DataFrame, key: str, cutoff: SplitCutoff) -> DataFrame:
+    """Add ``split`` to every row with a non-NULL group id (a projection: no shuffle)."""
+    rows = df.where(F.col(key).isNotNull())
+    if cutoff.cut_h is None:
+        return rows.withColumn("split", F.lit("train"))
+    h = split_key(F.col(key), cutoff.seed)
+    flag = (h < F.lit(cutoff.cut_h)) | ((h == F.lit(cutoff.cut_h)) & (F.col(key) <= F.lit(cutoff.cut_id)))
+    return rows.withColumn("split", F.when(flag, F.lit("val")).otherwise(F.lit("train")))

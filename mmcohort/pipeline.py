@@ -1,9 +1,11 @@
 """End-to-end jobs: preparation (E1) and evaluation (E3) with lineage cuts.
 
-The study table is large and every later stage reads it more than once
-(distinct group ids and the rows for the split; train rows for the statistics
-and all rows for their application), so the two intermediate tables are
-written to the shared checkpoint folder once (:func:`mmcohort.session.materialize`).
+The prepared study table is read by every later stage (distinct group ids for
+the split cutoff, train rows for the statistics, validation rows for scoring),
+so it is written to the shared checkpoint folder once
+(:func:`mmcohort.session.materialize`). The split and the standardisation are
+per-row projections of that table with a few driver-side literals (one cutoff
+row, one statistics row), so they are recomputed where used, not written.
 """
 
 from __future__ import annotations
@@ -41,17 +43,18 @@ def prepare_study(
     """E1: labels -> prune -> pack -> outlier -> incomplete -> group split ->
     train statistics -> standardise -> uncertain labels recoded.
 
-    Returns (scaled table written to the shared folder, one-row statistics).
+    Returns (scaled table: a projection over the written prepared table, one-row statistics).
     """
     d = K.prepare(
         wide, spec, key=key, label_cols=label_cols, drop_names=drop_names, drop_prefixes=drop_prefixes,
         los=los, death=death, los_mode=los_mode,
     )
-    d = materialize(SP.group_split(d, key, val_fraction=val_fraction, seed=seed), "study-split")
+    d = materialize(d, "study-prepared")
+    d = SP.apply_split(d, key, SP.fit_split(d, key, val_fraction=val_fraction, seed=seed))
     arrays = [m for m in spec.stored_order if spec.widths[m] > 0]
     stats = S.fit_stats(d.where(F.col("split") == "train"), arrays, widths=spec.widths)
     scaled = K.recode_uncertain(S.apply_stats(d, stats, arrays), col="y")
-    return materialize(scaled, "study-scaled"), stats
+    return scaled, stats
 
 
 def score_split(

@@ -182,8 +182,9 @@ def _stats_long_sql() -> str:
 
 
 def _train_stats(spark, sf_dir):
-    # the split cohort feeds both the statistics and their application: write it once
-    d = materialize(SP.group_split(prepared(spark, sf_dir), "haim_id"), "cohort-split")
+    # the prepared cohort feeds the cutoff, the statistics and their application: write it once
+    d = materialize(prepared(spark, sf_dir), "cohort-prepared")
+    d = SP.apply_split(d, "haim_id", SP.fit_split(d, "haim_id"))
     return d, S.fit_stats(d.where(F.col("split") == "train"), ARRAYS, widths=fx.COHORT_SPEC.widths)
 
 

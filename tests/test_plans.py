@@ -36,3 +36,12 @@ def test_plan_properties(spark, name):
         if "Exchange SinglePartition" in line:
             child = lines[i + 1] if i + 1 < len(lines) else ""
             assert AGG.search(child), f"single-partition exchange over non-aggregated rows in {name}:\n{plan}"
+
+
+def test_split_scans_the_study_rows_twice_at_most(spark):
+    # once for the distinct ids (the exchange is reused by both uses of the cutoff), once for the rows
+    df = E.queries()["group_split"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet [l_orderkey") == 2, plan
+    assert "ReusedExchange" in plan and "SortMergeJoin" not in plan

@@ -64,3 +64,14 @@ def test_split_matches_rank_definition(spark):
     ref = {r["g"]: ("val" if r["rn"] <= -(-n // 4) else "train") for r in rk.collect()}
     got = {r["g"]: r["split"] for r in SP.group_assignments(df, "g").collect()}
     assert got == ref
+
+
+def test_fitted_cutoff_equals_lazy_split(spark):
+    df = spark.range(5000).select(((F.col("id") * 31) % 977).alias("g"), F.col("id").alias("r"))
+    lazy = sorted(tuple(r) for r in SP.group_split(df, "g").select("r", "split").collect())
+    cut = SP.fit_split(df, "g")
+    assert (cut.n_groups, cut.n_val) == (977, 245)
+    fitted = sorted(tuple(r) for r in SP.apply_split(df, "g", cut).select("r", "split").collect())
+    assert lazy == fitted
+    empty = SP.fit_split(df.limit(0), "g")
+    assert empty.cut_h is None and SP.apply_split(df.limit(0), "g", empty).count() == 0
