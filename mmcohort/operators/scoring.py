@@ -26,6 +26,11 @@ from mmcohort.config import ModalitySpec
 
 WEIGHTS_SCHEMA = "modality string, layer string, out_idx int, w array<float>, b float"
 
+# Largest projector set shipped to the workers: 2^28 float32 values (1 GiB). The
+# size is a property of the model (six projectors at full width ≈ 13.4 M values,
+# 54 MB), not of the data; it is checked before anything reaches the driver.
+MAX_BROADCAST_WEIGHT_VALUES = 1 << 28
+
 
 # -- weights -------------------------------------------------------------------
 
@@ -66,8 +71,14 @@ class ProjectorWeights:
         self.bc = spark.sparkContext.broadcast(mats)
 
     @classmethod
-    def from_table(cls, weights: DataFrame) -> "ProjectorWeights":
-        rows = weights.select("modality", "layer", "out_idx", "w", "b").collect()  # bounded by model size
+    def from_table(cls, weights: DataFrame, *, max_values: int = MAX_BROADCAST_WEIGHT_VALUES) -> "ProjectorWeights":
+        n_values = weights.agg(F.sum(F.size("w") + F.lit(1)).alias("n")).first()["n"] or 0
+        if n_values > max_values:
+            raise ValueError(
+                f"projector weights hold {n_values} values, above the broadcast limit of {max_values}; "
+                "shard the model or raise max_values if the executors can hold it"
+            )
+        rows = weights.select("modality", "layer", "out_idx", "w", "b").collect()  # size checked above
         acc: dict = {}
         for r in rows:
             acc.setdefault((r["modality"], r["layer"]), []).append((r["out_idx"], r["w"], r["b"]))

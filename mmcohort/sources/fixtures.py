@@ -93,22 +93,16 @@ def modal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two classes per document from ONE scan of documents ⟕ labels (a generator, not a union)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     lab = table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id", "left")
-    a = j.select(
-        F.col("doc_id").alias("study_id"),
-        F.lit(0).alias("class_id"),
-        F.col("quality").cast("double").alias("y"),
-        (F.ln(F.col("n_chars").cast("double")) - 7).alias("z"),
-    )
-    b = j.select(
-        F.col("doc_id").alias("study_id"),
-        F.lit(1).alias("class_id"),
-        F.col("toxic").cast("double").alias("y"),
-        (F.lit(6.0) - F.ln(F.col("n_chars").cast("double"))).alias("z"),
+    ln = F.ln(F.col("n_chars").cast("double"))
+    pair = F.array(
+        F.struct(F.lit(0).alias("class_id"), F.col("quality").cast("double").alias("y"), (ln - 7).alias("z")),
+        F.struct(F.lit(1).alias("class_id"), F.col("toxic").cast("double").alias("y"), (F.lit(6.0) - ln).alias("z")),
     )
-    return a.unionByName(b)
+    return j.select(F.col("doc_id").alias("study_id"), F.inline(pair))
 
 
 def tie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,15 @@ def test_joint_scorer_reads_vocab_positions(spark):
         v = np.asarray(C.VOCAB_POSITIONS)[:, None]
         H = np.cos(5 * v + 3 * np.arange(24)[None, :]) * 0.25
         assert np.allclose(r["logits"], H @ flat, atol=1e-12)
+
+
+def test_weights_broadcast_is_size_checked(spark):
+    import pytest
+
+    from mmcohort import config as C
+    from mmcohort.operators import scoring as SC
+
+    w = SC.rule_weights(spark, C.FIXTURE_SPEC, 4)
+    assert SC.ProjectorWeights.from_table(w).latent["vd"] == 4
+    with pytest.raises(ValueError, match="broadcast limit"):
+        SC.ProjectorWeights.from_table(w, max_values=100)
