@@ -9,7 +9,7 @@ metrics are one partial+final aggregate, ROC/AUC pre-aggregate ties per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mmcohort.functions.columns import hard_pred, sigmoid, valid_label
@@ -89,31 +89,32 @@ def bucketed_counts(long: DataFrame, *, y: str = "y", p: str = "p", n_buckets: i
     return bucketize(score_counts(long, y=y, p=p), "p", splits, "_qb"), len(splits)
 
 
-def _auc_parts(long: DataFrame, y: str, p: str, max_classes: int) -> DataFrame:
-    counts, nb = bucketed_counts(long, y=y, p=p)
-    ranked = ordered_prefix(
-        counts,
-        "p",
-        F.col("_qb"),
-        n_buckets=nb,
-        partition=("class_id",),
-        max_partition_values=max_classes,
-        ascending=True,
-        sums={"neg_le": F.col("n_neg")},
-    )
-    # Each positive at score s beats the negatives below s and ties count one half.
-    return ranked.withColumn(
-        "_pairs", F.col("n_pos").cast("double") * ((F.col("neg_le") - F.col("n_neg")).cast("double") + 0.5 * F.col("n_neg"))
-    )
-
-
 def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -> DataFrame:
-    """Exact ROC-AUC per class with ties counted one half; NULL when a class lacks positives or negatives."""
-    parts = _auc_parts(long, y, p, max_classes)
-    agg = parts.groupBy("class_id").agg(
-        F.sum("_pairs").alias("_pairs"),
-        F.sum("n_pos").alias("_np"),
-        F.sum("n_neg").alias("_nn"),
+    """Exact ROC-AUC per class with ties counted one half; NULL when a class lacks positives or negatives.
+
+    Pairs (positive above negative, ties one half) are summed per (class,
+    score bucket) from a window INSIDE each bucket; the pairs across buckets
+    are bucket positives times the negatives of all lower buckets, a running
+    sum over the small (class, bucket) table. No join back to the score rows.
+    """
+    counts, _ = bucketed_counts(long, y=y, p=p)
+    counts = counts.where(F.col("class_id").isNotNull() & F.col("_qb").isNotNull())
+    w_in = Window.partitionBy("class_id", "_qb").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("_neg_before", F.coalesce(F.sum("n_neg").over(w_in), F.lit(0)))
+    per_bucket = within.groupBy("class_id", "_qb").agg(
+        F.sum(F.col("n_pos").cast("double") * (F.col("_neg_before") + F.lit(0.5) * F.col("n_neg"))).alias("_pairs_in"),
+        F.sum("n_pos").alias("_pos"),
+        F.sum("n_neg").alias("_neg"),
+    )  # ≤ classes x buckets rows
+    w_b = Window.partitionBy("class_id").orderBy("_qb").rowsBetween(Window.unboundedPreceding, -1)
+    agg = (
+        per_bucket.withColumn("_neg_off", F.coalesce(F.sum("_neg").over(w_b), F.lit(0)))
+        .groupBy("class_id")
+        .agg(
+            F.sum(F.col("_pairs_in") + F.col("_pos").cast("double") * F.col("_neg_off")).alias("_pairs"),
+            F.sum("_pos").alias("_np"),
+            F.sum("_neg").alias("_nn"),
+        )
     )
     return agg.select(
         "class_id",
@@ -124,6 +125,8 @@ def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -
 
 
 def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int) -> DataFrame:
+    """Distinct scores per class, descending, with running tp/fp counts, the next
+    score's counts and the class totals (``_total_rows``, ``tps_total``, ``fps_total``)."""
     counts, nb = bucketed_counts(long, y=y, p=p)
     return ordered_prefix(
         counts,
@@ -136,14 +139,7 @@ def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int) -> DataFrame:
         rank="seq",
         sums={"tps": F.col("n_pos"), "fps": F.col("n_neg")},
         leads={"next_pos": F.col("n_pos"), "next_neg": F.col("n_neg")},
-    )
-
-
-def _class_totals(ranked: DataFrame) -> DataFrame:
-    return F.broadcast(
-        ranked.groupBy("class_id").agg(
-            F.sum("n_pos").alias("_tot_pos"), F.sum("n_neg").alias("_tot_neg"), F.count(F.lit(1)).alias("_m")
-        )
+        totals=True,
     )
 
 
@@ -155,32 +151,31 @@ def roc_points(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int
     only when there are more than two points); the origin (seq 0, threshold
     +inf) is prepended. ``seq`` is the rank of the score, so dropped points
     leave gaps. Rates are NULL when the class has no negatives / positives.
+    The origin is emitted by the first point's row: one pass, no union.
     """
-    ranked = _roc_ranked(long, y, p, max_classes)
-    tot = _class_totals(ranked)
-    r = ranked.join(tot, "class_id")
+    r = _roc_ranked(long, y, p, max_classes)
+    m, tot_pos, tot_neg = F.col("_total_rows"), F.col("tps_total"), F.col("fps_total")
     keep = (
-        (F.col("_m") <= 2)
+        (m <= 2)
         | (F.col("seq") == 1)
-        | (F.col("seq") == F.col("_m"))
+        | (F.col("seq") == m)
         | (F.col("next_pos") != F.col("n_pos"))
         | (F.col("next_neg") != F.col("n_neg"))
     )
-    pts = r.where(keep).select(
-        "class_id",
+    point = F.struct(
         F.col("seq").cast("long").alias("seq"),
-        F.try_divide(F.col("fps"), F.col("_tot_neg")).cast("double").alias("fpr"),
-        F.try_divide(F.col("tps"), F.col("_tot_pos")).cast("double").alias("tpr"),
+        F.try_divide(F.col("fps"), tot_neg).cast("double").alias("fpr"),
+        F.try_divide(F.col("tps"), tot_pos).cast("double").alias("tpr"),
         F.col("p").cast("double").alias("threshold"),
     )
-    origin = tot.select(
-        "class_id",
+    origin = F.struct(
         F.lit(0).cast("long").alias("seq"),
-        F.when(F.col("_tot_neg") > 0, F.lit(0.0)).alias("fpr"),
-        F.when(F.col("_tot_pos") > 0, F.lit(0.0)).alias("tpr"),
+        F.when(tot_neg > 0, F.lit(0.0)).alias("fpr"),
+        F.when(tot_pos > 0, F.lit(0.0)).alias("tpr"),
         F.lit(float("inf")).alias("threshold"),
     )
-    return origin.unionByName(pts)
+    pts = F.filter(F.array(F.when(F.col("seq") == 1, origin), F.when(keep, point)), lambda e: e.isNotNull())
+    return r.select("class_id", F.inline(pts))
 
 
 def roc_trapezoid(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -> DataFrame:
@@ -189,12 +184,10 @@ def roc_trapezoid(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: i
     Collinear points do not change the area, so every distinct score is used;
     the previous point of each is derived from the running counts (no lag).
     """
-    ranked = _roc_ranked(long, y, p, max_classes)
-    tot = _class_totals(ranked)
-    r = ranked.join(tot, "class_id")
+    r = _roc_ranked(long, y, p, max_classes)
     # width (fps - prev fps) / N times mean height (tps + prev tps) / (2 P)
     area = F.col("n_neg").cast("double") * (2 * F.col("tps") - F.col("n_pos")).cast("double")
-    agg = r.groupBy("class_id").agg(F.sum(area).alias("_a"), F.first("_tot_pos").alias("_P"), F.first("_tot_neg").alias("_N"))
+    agg = r.groupBy("class_id").agg(F.sum(area).alias("_a"), F.max("tps_total").alias("_P"), F.max("fps_total").alias("_N"))
     return agg.select(
         "class_id",
         F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_a") / (2.0 * F.col("_P") * F.col("_N")))

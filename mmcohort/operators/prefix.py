@@ -84,13 +84,17 @@ def ordered_prefix(
     rank: str | None = None,
     sums: dict | None = None,
     leads: dict | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Add a global rank, inclusive running sums and next-row values per ``partition``.
 
     ``key`` must be unique inside each partition (ties would make the rank
     arbitrary); ``bucket`` must be monotone non-decreasing in ``key`` and take
     at most ``n_buckets`` values. ``sums``/``leads`` map an output name to a
-    numeric column / any column of ``df``.
+    numeric column / any column of ``df``. With ``totals`` every row also gets
+    its partition's row count ``_total_rows`` and ``<sum name>_total``, taken
+    from the small bucket table (no extra pass over the rows).
+    Rows whose bucket or partition value is NULL are dropped.
     """
     sums = dict(sums or {})
     leads = dict(leads or {})
@@ -98,6 +102,10 @@ def ordered_prefix(
     b = "_pfx_bucket"
     rn = "_pfx_rn"
     d = df.withColumn(b, bucket)
+    # Stated once here, so the join below infers no extra filter: the windowed rows
+    # and the bucket table then share one plan and one exchange.
+    for c in [*part, b]:
+        d = d.where(F.col(c).isNotNull())
     for name, c in sums.items():
         d = d.withColumn(f"_pfx_v_{name}", c)
     for name, c in leads.items():
@@ -121,6 +129,7 @@ def ordered_prefix(
 
     w_b = Window.partitionBy(*part).orderBy(F.col(b).asc() if ascending else F.col(b).desc())
     w_prev = w_b.rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offs = buckets.select(
         *part,
         b,
@@ -128,7 +137,14 @@ def ordered_prefix(
         F.coalesce(F.sum("_pfx_cnt").over(w_prev), F.lit(0)).alias("_pfx_off_cnt"),
         *[F.coalesce(F.sum(f"_pfx_t_{n}").over(w_prev), F.lit(0)).alias(f"_pfx_off_{n}") for n in sums],
         *([F.lead("_pfx_first").over(w_b).alias("_pfx_next_first")] if leads else []),
+        *(
+            [F.sum("_pfx_cnt").over(w_all).alias("_pfx_tot_cnt")]
+            + [F.sum(f"_pfx_t_{n}").over(w_all).alias(f"_pfx_tot_{n}") for n in sums]
+            if totals
+            else []
+        ),
     )
+
     if n_buckets * max(1, max_partition_values) <= MAX_BROADCAST_BUCKET_ROWS:
         offs = F.broadcast(offs)
 
@@ -145,4 +161,7 @@ def ordered_prefix(
             .otherwise(F.col(f"_pfx_n_{name}"))
             .alias(name)
         )
+    if totals:
+        extra.append(F.col("_pfx_tot_cnt").cast("long").alias("_total_rows"))
+        extra += [F.col(f"_pfx_tot_{n}").alias(f"{n}_total") for n in sums]
     return out.select(*cols, *extra)

@@ -45,3 +45,12 @@ def test_split_scans_the_study_rows_twice_at_most(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("FileScan parquet [l_orderkey") == 2, plan
     assert "ReusedExchange" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["roc_auc", "roc_points", "roc_trapezoid"])
+def test_roc_queries_scan_the_scores_once(spark, name):
+    df = E.queries()[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet [doc_id#") + plan.count("FileScan parquet [doc_id,") <= 2, plan  # documents + labels
+    assert "documents.parquet" in plan and plan.count("documents.parquet") == 1, plan
