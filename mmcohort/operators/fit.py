@@ -147,12 +147,18 @@ def fit_projectors(
     accumulate_shared: bool = False,
     y: str = "y",
     chunk_size: int = 1 << 16,
+    max_tasks: int | None = None,
 ):
     """Fit the projectors on ``train`` (rows with modality arrays and label array ``y``).
 
     ``init``: modality -> {W, b, V, c} NumPy arrays. Returns (params, history list of
     dicts with step, loss, asl, mse). ``accumulate_shared`` reproduces the
     source's accumulation of the shared loss gradient ((j+1)-fold for the j-th projector).
+
+    Every task emits one model-sized gradient, so the input is coalesced (no
+    shuffle) to at most ``max_tasks`` partitions (default: the cluster's
+    parallelism): the gradient traffic per step is bounded by cores x model
+    size, not by the number of input splits.
     """
     spark = train.sparkSession
     mods = list(token_order)
@@ -170,7 +176,7 @@ def fit_projectors(
     mult = {m: float(j + 1) for j, m in enumerate(mods)} if accumulate_shared else None
     gam = np.asarray(gammas, dtype=np.float64)
     hd = np.asarray(head, dtype=np.float64)
-    cols = train.select(y, *mods)
+    cols = train.select(y, *mods).coalesce(max_tasks or spark.sparkContext.defaultParallelism)
     n_par = len(_flatten(state.params, mods))
     n_tot = n_par + 1 + len(mods)
     chunks = max(1, -(-n_tot // chunk_size))

@@ -400,7 +400,7 @@ def q_modal_report(spark, sf_dir):
 def q_fit(spark, sf_dir):
     from mmcohort.operators import fit as FT
 
-    tr = TR_train(spark, sf_dir)
+    tr = materialize(TR_train(spark, sf_dir), "fit-train")  # every step re-reads it
     head = SC.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
     init = FT.params_from_weights(fixture_weights(spark))
     _, hist = FT.fit_projectors(tr, init, head, steps=3)
