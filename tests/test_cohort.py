@@ -74,3 +74,17 @@ def test_single_label(spark):
     df = spark.createDataFrame([(1, 1.0), (2, -1.0), (3, None), (4, 0.0)], "k long, lab double")
     assert sorted(r["k"] for r in K.single_label(df, "lab").collect()) == [1, 4]
     assert not math.isnan(K.single_label(df, "lab").first()["y"])
+
+
+def test_four_cells_partition_the_labelled_rows(spark):
+    # U1: the union of the four filtered cells equals the rows with a label, each once
+    rows = [(None if h is None else float(h), d) for h in (1, 47, 48, 60, None) for d in (0, 1, None)]
+    df = spark.createDataFrame(rows, "los double, death int")
+    lab = K.outcome_labels(df, los="los", death="death", cell_out="cell")
+    cells = [lab.where(F.col("cell") == c) for c in ("dead_lt", "alive_ge", "dead_ge", "alive_lt")]
+    union = cells[0]
+    for c in cells[1:]:
+        union = union.unionByName(c)
+    labelled = lab.where(F.col("48-hour Mortality").isNotNull())
+    assert union.count() == labelled.count() == 8
+    assert union.exceptAll(labelled).count() == 0 and labelled.exceptAll(union).count() == 0

@@ -127,3 +127,24 @@ def test_concentrated_scores_spread_over_buckets(spark):
     sizes = [r["c"] for r in counts.groupBy("class_id", "_qb").agg(F.count(F.lit(1)).alias("c")).collect()]
     assert max(sizes) <= 4 * (n + 1) / 64  # a fixed grid on [0, 1] would put all 6,000 in one bucket
     assert M.auc(long).first()["auc"] == pytest.approx(np_auc(y, p), abs=1e-12)
+
+
+def test_report_and_roc_ignore_partitioning(spark):
+    rng = np.random.default_rng(11)
+    n = 2000
+    y = rng.integers(0, 2, n).astype(float)
+    p = (1 / (1 + np.exp(-rng.normal(0, 2, n)))).round(3)  # many ties
+    rows = [(int(i % 3), float(a), float(b)) for i, (a, b) in enumerate(zip(y, p))]
+    base = spark.createDataFrame(rows, "class_id int, y double, p double").withColumn("pred", (F.col("p") > 0.5).cast("int"))
+
+    def snap(df):
+        rep = sorted(tuple(r) for r in M.report(df).collect())
+        roc = sorted(tuple(r) for r in M.roc_points(df).collect())
+        return rep, roc
+
+    ref = snap(base)
+    for k in (1, 7, 64):
+        got = snap(base.repartition(k))
+        assert got[1] == ref[1]
+        for a, b in zip(got[0], ref[0]):
+            assert a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], rel=1e-12)
