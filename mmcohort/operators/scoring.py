@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -31,6 +32,8 @@ WEIGHTS_SCHEMA = "modality string, layer string, out_idx int, w array<float>, b
 # 54 MB), not of the data; it is checked before anything reaches the driver.
 MAX_BROADCAST_WEIGHT_VALUES = 1 << 28
 
+_SCORERS: dict = {}  # per Python worker: scorer token -> loaded predict function
+
 
 # -- weights -------------------------------------------------------------------
 
@@ -241,6 +244,67 @@ def score_isolated(
     return score(long, make_scorer, ["tok"], latent, out=out, batch_size=batch_size).drop("code_tok", "code")
 
 
+def encode_and_score(
+    df: DataFrame,
+    weights: ProjectorWeights,
+    make_scorer: Callable,
+    modalities: Sequence[str],
+    token_order: Sequence[str],
+    *,
+    keep: Sequence[str],
+    out: str = "logits",
+    batch_size: int = 1024,
+    half: bool = False,
+) -> DataFrame:
+    """Projection and joint scoring in ONE Python pass: (keep..., logits).
+
+    The codes (six latent vectors per row, several times wider than the
+    input features) never go back to the JVM: each Arrow batch is encoded,
+    cut into scorer batches of ``batch_size`` rows and scored, and only the
+    class logits leave the worker. Same numbers as :func:`encode` followed
+    by :func:`score`.
+    """
+    bc = weights.bc
+    mods = list(modalities)
+    toks = list(token_order)
+    keep = list(keep)
+    token = uuid.uuid4().hex  # one scorer per Python worker process, like predict_batch_udf
+    fields = [df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))]
+    schema = T.StructType(fields)
+
+    def run(batches):
+        import pandas as pd
+
+        from mmcohort.operators import scoring as this  # the imported module: its cache outlives the task
+
+        mats = bc.value
+        predict = this._SCORERS.get(token)
+        if predict is None:
+            predict = this._SCORERS.setdefault(token, make_scorer())
+        for pdf in batches:
+            n = len(pdf)
+            res = pdf[keep].copy()
+            if not n:
+                res[out] = pd.Series([], dtype=object)
+                yield res
+                continue
+            codes = {}
+            for m in mods:
+                mm = mats[m]
+                X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[m].to_numpy()])
+                codes[m] = np.maximum(X @ mm["W"].astype(np.float64).T + mm["b"].astype(np.float64), 0.0)
+            seq = np.stack([codes[m] for m in toks], axis=1)  # (B, T, latent)
+            if half:
+                seq = seq.astype(np.float16).astype(np.float64)
+            logits = np.concatenate(
+                [np.asarray(predict(seq[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)]
+            )
+            res[out] = list(logits)
+            yield res
+
+    return df.select(*keep, *mods).mapInPandas(run, schema)
+
+
 def vocab_matrix(latent_total: int, positions: Sequence[int], scale: float = 0.25) -> np.ndarray:
     """Rows cos(5 v + 3 j) * scale of the toy model for vocabulary positions ``positions``."""
     v = np.asarray(list(positions))[:, None]

@@ -67,12 +67,12 @@ def score_split(
     split: str = "val",
     keep: Sequence[str] = ("haim_id",),
 ) -> DataFrame:
-    """Projection + joint scoring of one split; the long score table is written once."""
+    """Projection + joint scoring of one split in one Python pass (the codes
+    never reach the JVM); the long score table is written once."""
     mods = [m for m in spec.stored_order if spec.widths[m] > 0]
     toks = [m for m in spec.token_order if spec.widths[m] > 0]
     rows = scaled.where(F.col("split") == split)
-    e = SC.encode(rows, weights, mods)
-    s = SC.score(e, make_scorer, toks, latent)
+    s = SC.encode_and_score(rows, weights, make_scorer, mods, toks, keep=[*keep, "y"])
     long = M.predict(L.to_long(s, keep=keep, y="y", z="logits"))
     return materialize(long, f"scores-{split}")
 

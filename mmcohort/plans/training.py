@@ -389,8 +389,9 @@ SELECT class_id, n, tp, fp, fn, tn,
    {r('au.auc')} AS auc
 FROM conf LEFT JOIN au USING (class_id)""")
 def q_modal_report(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    lg = L.to_long(s.where(F.col("split") == "val"), keep=("study_id",), y="y", z="logits")
+    val = modal_split(spark, sf_dir).where(F.col("split") == "val")
+    s = SC.encode_and_score(val, fixture_weights(spark), fixture_scorer(), SPEC.stored_order, C.TOKEN_ORDER, keep=["study_id", "y"])
+    lg = L.to_long(s, keep=("study_id",), y="y", z="logits")
     rep = M.report(M.predict(lg))
     return rounded(rep.select("class_id", "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "auc"))
 

@@ -49,3 +49,22 @@ def test_weights_broadcast_is_size_checked(spark):
     assert SC.ProjectorWeights.from_table(w).latent["vd"] == 4
     with pytest.raises(ValueError, match="broadcast limit"):
         SC.ProjectorWeights.from_table(w, max_values=100)
+
+
+def test_fused_encode_and_score_equals_two_passes(spark):
+    from pyspark.sql import functions as F
+
+    from mmcohort import config as C
+    from mmcohort.operators import scoring as SC
+    from mmcohort.sources import fixtures as fx
+
+    m = fx.modal(spark, "/root/testdata/sf0.001")
+    w = SC.ProjectorWeights.from_table(SC.rule_weights(spark, C.FIXTURE_SPEC, 4))
+    scorer = SC.class_logits_from_vocab(SC.linear_vocab_model(len(C.TOKEN_ORDER) * 4))
+    two = SC.score(SC.encode(m, w, C.FIXTURE_SPEC.stored_order), scorer, C.TOKEN_ORDER, 4)
+    one = SC.encode_and_score(m, w, scorer, C.FIXTURE_SPEC.stored_order, C.TOKEN_ORDER, keep=["study_id"], batch_size=7)
+    a = {r["study_id"]: r["logits"] for r in two.select("study_id", "logits").collect()}
+    b = {r["study_id"]: r["logits"] for r in one.collect()}
+    assert a.keys() == b.keys() and len(a) == 500
+    assert all(max(abs(x - y) for x, y in zip(a[k], b[k])) < 1e-12 for k in a)
+    assert one.where(F.size("logits") != 12).count() == 0
