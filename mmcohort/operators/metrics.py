@@ -79,17 +79,26 @@ def score_counts(long: DataFrame, *, y: str = "y", p: str = "p") -> DataFrame:
     )
 
 
-def bucketed_counts(long: DataFrame, *, y: str = "y", p: str = "p", n_buckets: int = _N_BUCKETS) -> tuple[DataFrame, int]:
+def score_splits(long: DataFrame, *, y: str = "y", p: str = "p", n_buckets: int = _N_BUCKETS) -> list[float]:
+    """Score bucket boundaries (approximate quantiles of the masked scores); compute
+    once and pass to :func:`report` and :func:`roc_points` to share the sketch pass."""
+    return quantile_splits(mask(long, y=y).select(F.col(p).cast("double").alias("_p")), "_p", n_buckets)
+
+
+def bucketed_counts(
+    long: DataFrame, *, y: str = "y", p: str = "p", n_buckets: int = _N_BUCKETS, splits: list[float] | None = None
+) -> tuple[DataFrame, int]:
     """:func:`score_counts` plus ``_qb``, a score bucket monotone in ``p``.
 
     The boundaries come from one sketch pass over the masked scores (no
     shuffle); ties collapse to one count row, so a score held by a third of
     all rows is one row, not a hot bucket."""
-    splits = quantile_splits(mask(long, y=y).select(F.col(p).cast("double").alias("_p")), "_p", n_buckets)
+    if splits is None:
+        splits = score_splits(long, y=y, p=p, n_buckets=n_buckets)
     return bucketize(score_counts(long, y=y, p=p), "p", splits, "_qb"), len(splits)
 
 
-def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -> DataFrame:
+def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64, splits: list[float] | None = None) -> DataFrame:
     """Exact ROC-AUC per class with ties counted one half; NULL when a class lacks positives or negatives.
 
     Pairs (positive above negative, ties one half) are summed per (class,
@@ -97,7 +106,7 @@ def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -
     are bucket positives times the negatives of all lower buckets, a running
     sum over the small (class, bucket) table. No join back to the score rows.
     """
-    counts, _ = bucketed_counts(long, y=y, p=p)
+    counts, _ = bucketed_counts(long, y=y, p=p, splits=splits)
     counts = counts.where(F.col("class_id").isNotNull() & F.col("_qb").isNotNull())
     w_in = Window.partitionBy("class_id", "_qb").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     within = counts.withColumn("_neg_before", F.coalesce(F.sum("n_neg").over(w_in), F.lit(0)))
@@ -124,10 +133,10 @@ def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -
     )
 
 
-def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int) -> DataFrame:
+def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int, splits: list[float] | None = None) -> DataFrame:
     """Distinct scores per class, descending, with running tp/fp counts, the next
     score's counts and the class totals (``_total_rows``, ``tps_total``, ``fps_total``)."""
-    counts, nb = bucketed_counts(long, y=y, p=p)
+    counts, nb = bucketed_counts(long, y=y, p=p, splits=splits)
     return ordered_prefix(
         counts,
         "p",
@@ -143,7 +152,9 @@ def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int) -> DataFrame:
     )
 
 
-def roc_points(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -> DataFrame:
+def roc_points(
+    long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64, splits: list[float] | None = None
+) -> DataFrame:
     """ROC curve per class: (class_id, seq, fpr, tpr, threshold).
 
     One point per distinct score, descending; a point is dropped when both
@@ -153,7 +164,7 @@ def roc_points(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int
     leave gaps. Rates are NULL when the class has no negatives / positives.
     The origin is emitted by the first point's row: one pass, no union.
     """
-    r = _roc_ranked(long, y, p, max_classes)
+    r = _roc_ranked(long, y, p, max_classes, splits)
     m, tot_pos, tot_neg = F.col("_total_rows"), F.col("tps_total"), F.col("fps_total")
     keep = (
         (m <= 2)
@@ -196,8 +207,10 @@ def roc_trapezoid(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: i
     )
 
 
-def report(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred", max_classes: int = 64) -> DataFrame:
+def report(
+    long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred", max_classes: int = 64, splits: list[float] | None = None
+) -> DataFrame:
     """One metrics row per class: confusion, accuracy, precision, recall, macro F1, AUC."""
     metrics = threshold_metrics(confusion(long, y=y, pred=pred))
-    a = auc(long, y=y, p=p, max_classes=max_classes)
+    a = auc(long, y=y, p=p, max_classes=max_classes, splits=splits)
     return metrics.join(F.broadcast(a), "class_id", "left")

@@ -79,7 +79,8 @@ def score_split(
 
 def evaluate(long: DataFrame, out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """E3: per-class metrics and ROC points; written as tables when ``out_path`` is given."""
-    rep, roc = M.report(long), M.roc_points(long)
+    splits = M.score_splits(long)  # one sketch pass shared by the AUC and the ROC
+    rep, roc = M.report(long, splits=splits), M.roc_points(long, splits=splits)
     if out_path:
         from mmcohort.sources import io
 

@@ -66,7 +66,8 @@ def q_history(spark, sf_dir):
 def q_results(spark, sf_dir):
     long = M.predict(fx.scores(spark, sf_dir))
     path = scratch_path(spark, "results")
-    io.write_results(M.report(long), M.roc_points(long), path)
+    splits = M.score_splits(long)
+    io.write_results(M.report(long, splits=splits), M.roc_points(long, splits=splits), path)
     metrics, _roc = io.read_results(spark, path)
     return rounded(metrics)
 
