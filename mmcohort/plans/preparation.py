@@ -207,13 +207,17 @@ def q_zstats(spark, sf_dir):
     return out
 
 
-def long_features(df, arrays, keep=("split",)):
-    """(keep..., modality, idx, x): one row per array element (for per-feature aggregates)."""
-    def tag(m):
-        return lambda x, i: F.struct(F.lit(m).alias("modality"), i.alias("idx"), x.cast("double").alias("x"))
+def long_features(df, arrays, widths, keep=("split",)):
+    """(keep..., modality, idx, x): one row per array element (for per-feature aggregates).
 
-    elems = [F.transform(F.col(m), tag(m)) for m in arrays]
-    return df.select(*keep, F.explode(F.concat(*elems)).alias("e")).select(*keep, "e.modality", "e.idx", "e.x")
+    Widths are known, so each element is a plain ``element_at`` inside one
+    generated projection (no lambda per element)."""
+    elems = [
+        F.struct(F.lit(m).alias("modality"), F.lit(i).alias("idx"), F.col(m)[i].cast("double").alias("x"))
+        for m in arrays
+        for i in range(widths[m])
+    ]
+    return df.select(*keep, F.inline(F.array(*elems)))
 
 
 def _z_aggregate(long):
@@ -239,4 +243,4 @@ SELECT split, modality, idx, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS
 def q_zapply(spark, sf_dir):
     d, st = _train_stats(spark, sf_dir)
     z = S.apply_stats(d, st, ARRAYS)
-    return rounded(_z_aggregate(long_features(z, ARRAYS)), 6)
+    return rounded(_z_aggregate(long_features(z, ARRAYS, fx.COHORT_SPEC.widths)), 6)

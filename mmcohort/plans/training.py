@@ -248,7 +248,7 @@ def q_zmodal(spark, sf_dir):
     arrays = list(SPEC.stored_order)
     st = S.fit_stats(ms.where(F.col("split") == "train"), arrays, widths=SPEC.widths)
     z = S.apply_stats(ms, st, arrays)
-    lf = long_features(z, arrays)
+    lf = long_features(z, arrays, SPEC.widths)
     agg = lf.groupBy("split", "modality", "idx").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"),
         F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"),

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from mmcohort.operators import scaling as S
@@ -75,3 +76,18 @@ def test_fitted_cutoff_equals_lazy_split(spark):
     assert lazy == fitted
     empty = SP.fit_split(df.limit(0), "g")
     assert empty.cut_h is None and SP.apply_split(df.limit(0), "g", empty).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 100])
+def test_zscore_narrow_and_wide_paths_match_numpy(spark, width):
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    X = rng.normal(3, 2, (40, width))
+    X[:, 1] = 7.0  # constant column stays raw
+    df = spark.createDataFrame([(r.tolist(),) for r in X], "v array<double>")
+    st = S.fit_stats(df, ["v"], widths={"v": width})
+    got = np.asarray([r["v"] for r in S.apply_stats(df, st, ["v"]).collect()])
+    mu, sd = X.mean(axis=0), X.std(axis=0, ddof=1)
+    want = np.where(sd != 0, (X - mu) / np.where(sd != 0, sd, 1), X)
+    assert np.allclose(np.sort(got, axis=0), np.sort(want, axis=0), rtol=1e-9, atol=1e-9)
