@@ -32,18 +32,42 @@ def present(x) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
 
-def any_above(arr, limit: float) -> Column:
+# Arrays of a known width up to this size are tested element by element (plain
+# generated code); wider ones, or of unknown width, with one higher-order function.
+ELEMENTWISE_MAX_WIDTH = 64
+
+
+def _elementwise(width: int | None) -> bool:
+    return width is not None and width <= ELEMENTWISE_MAX_WIDTH
+
+
+def any_above(arr, limit: float, width: int | None = None) -> Column:
     """True iff some element is strictly above ``limit``.
 
     NULL and NaN elements do not count (pandas semantics: NaN > x is false),
-    and the result is never NULL.
+    and the result is never NULL. ``width``: the known array length, if any.
     """
-    return F.exists(col(arr), lambda x: F.coalesce((x > F.lit(limit)) & ~F.isnan(x), F.lit(False)))
+    def above(x):
+        return F.coalesce((x > F.lit(limit)) & ~F.isnan(x), F.lit(False))
+
+    a = col(arr)
+    if _elementwise(width):
+        out = F.lit(False)
+        for i in range(width):
+            out = out | above(a[i])
+        return F.coalesce(out, F.lit(False))
+    return F.coalesce(F.exists(a, above), F.lit(False))
 
 
-def all_present(arr) -> Column:
-    """True iff the array itself and every element are present (no NULL / NaN)."""
+def all_present(arr, width: int | None = None) -> Column:
+    """True iff the array itself and every element are present (no NULL / NaN).
+    ``width``: the known array length, if any."""
     a = col(arr)
+    if _elementwise(width):
+        out = a.isNotNull()
+        for i in range(width):
+            out = out & present(a[i])
+        return F.coalesce(out, F.lit(False))
     return a.isNotNull() & F.coalesce(F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
 
 

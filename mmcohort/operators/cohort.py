@@ -120,27 +120,30 @@ def pack_modalities(df: DataFrame, spec: ModalitySpec, *, keep: Sequence[str] =
 
 # -- row filters --------------------------------------------------------------
 
-def filter_outliers(df: DataFrame, *, col: str = "n_rad", limit: float = C.OUTLIER_LIMIT) -> DataFrame:
+def filter_outliers(df: DataFrame, *, col: str = "n_rad", limit: float = C.OUTLIER_LIMIT, width: int | None = None) -> DataFrame:
     """Drop rows where any element of ``col`` is strictly above ``limit``.
 
     NaN / NULL elements never count as above (they are left to
     :func:`drop_incomplete`), so every stage keeps the same rows as the
     pandas formulation.
     """
-    return df.where(~any_above(col, limit))
+    return df.where(~any_above(col, limit, width))
 
 
-def drop_incomplete(df: DataFrame, *, scalars: Sequence[str] = (), arrays: Sequence[str] = ()) -> DataFrame:
+def drop_incomplete(
+    df: DataFrame, *, scalars: Sequence[str] = (), arrays: Sequence[str] = (), widths: dict | None = None
+) -> DataFrame:
     """Drop rows with a missing (NULL or NaN) scalar or array element.
 
     The label array is not listed: missing labels inside it are masked later.
+    ``widths`` (array -> known length) lets narrow arrays be tested per element.
     """
     cond = F.lit(True)
     types = dict(df.dtypes)
     for c in scalars:
         cond = cond & (present(q(c)) if types[c] in ("double", "float") else q(c).isNotNull())
     for a in arrays:
-        cond = cond & all_present(q(a))
+        cond = cond & all_present(q(a), (widths or {}).get(a))
     return df.where(cond)
 
 
@@ -171,5 +174,5 @@ def prepare(
     d = pack_labels(d, label_cols)
     d = prune(d, names=[n for n in drop_names if n in d.columns], prefixes=drop_prefixes, strict=False)
     d = pack_modalities(d, spec, keep=[key, *extra_keep, "y"])
-    d = filter_outliers(d, col=outlier_col)
-    return drop_incomplete(d, scalars=[key], arrays=list(spec.stored_order))
+    d = filter_outliers(d, col=outlier_col, width=spec.widths.get(outlier_col))
+    return drop_incomplete(d, scalars=[key], arrays=list(spec.stored_order), widths=spec.widths)

@@ -36,15 +36,17 @@ def test_recode_uncertain(spark):
     assert K.recode_uncertain(df).first()["y"] == [2.0, 1.0, 0.0, None]
 
 
+@pytest.mark.parametrize("width", [None, 2])  # higher-order function / per-element path
 @pytest.mark.parametrize(
     "n_rad,kept_outlier,kept_incomplete",
-    [([10.0, -50.0], True, True), ([10.0001, 0.0], False, False), ([NAN, 0.0], True, False), ([None, 0.0], True, False)],
+    [([10.0, -50.0], True, True), ([10.0001, 0.0], False, False), ([NAN, 0.0], True, False), ([None, 0.0], True, False),
+     ([0.0, 11.0], False, False), (None, True, False)],
 )
-def test_outlier_and_incomplete(spark, n_rad, kept_outlier, kept_incomplete):
+def test_outlier_and_incomplete(spark, n_rad, kept_outlier, kept_incomplete, width):
     df = spark.createDataFrame([(1, n_rad)], "haim_id long, n_rad array<double>")
-    a = K.filter_outliers(df, col="n_rad")
+    a = K.filter_outliers(df, col="n_rad", width=width)
     assert (a.count() == 1) is kept_outlier
-    b = K.drop_incomplete(a, scalars=["haim_id"], arrays=["n_rad"])
+    b = K.drop_incomplete(a, scalars=["haim_id"], arrays=["n_rad"], widths={"n_rad": width})
     assert (b.count() == 1) is kept_incomplete
 
 
