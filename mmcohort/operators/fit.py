@@ -56,7 +56,7 @@ def _unflatten(vec: np.ndarray, like: dict, mods: Sequence[str]) -> dict:
 def loss_and_grad(
     X: dict, Y: np.ndarray, params: dict, head: np.ndarray, token_order: Sequence[str], gammas: np.ndarray,
     n_valid: np.ndarray, n_rows: float, *, beta: float = C.BETA, clip: float = C.ASL_CLIP, eps: float = C.ASL_EPS,
-    shared_mult: dict | None = None,
+    shared_mult: dict | None = None, dp_sums: bool = False,
 ):
     """Loss sums and gradient sums for one block of rows.
 
@@ -104,9 +104,22 @@ def loss_and_grad(
         dH = mult.get(m, 1.0) * dF[:, t * lat:(t + 1) * lat] + dR @ p["V"]
         dA = dH * (A[m] > 0)
         grads[m] = {"W": dA.T @ X[m], "b": dA.sum(axis=0), "V": dV, "c": dc}
+    if dp_sums:
+        # per class: sum p over y=1, count y=1, sum 1-p over y=0, count y=0 (for delta-p)
+        pos, neg = valid & (y == 1), valid & (y == 0)
+        sums = np.concatenate([(P * pos).sum(axis=0), pos.sum(axis=0), ((1 - P) * neg).sum(axis=0), neg.sum(axis=0)])
+        return L, mse, grads, sums
     return L, mse, grads
 
 
+def delta_p_from_sums(sums: np.ndarray, k: int, default: float = C.DELTA_P_DEFAULT) -> np.ndarray:
+    """Delta-p per class from the sums of :func:`loss_and_grad` (a side without rows counts ``default``)."""
+    sp, npos, sn, nneg = sums[:k], sums[k:2 * k], sums[2 * k:3 * k], sums[3 * k:]
+    mp = np.where(npos > 0, sp / np.maximum(npos, 1), default)
+    mn = np.where(nneg > 0, sn / np.maximum(nneg, 1), default)
+    return np.where(npos + nneg > 0, mp - mn, default)
+
+
 @dataclass
 class FitState:
     params: dict
@@ -148,12 +161,16 @@ def fit_projectors(
     y: str = "y",
     chunk_size: int = 1 << 16,
     max_tasks: int | None = None,
+    state: "FitState | None" = None,
 ):
     """Fit the projectors on ``train`` (rows with modality arrays and label array ``y``).
 
     ``init``: modality -> {W, b, V, c} NumPy arrays. Returns (params, history list of
     dicts with step, loss, asl, mse). ``accumulate_shared`` reproduces the
     source's accumulation of the shared loss gradient ((j+1)-fold for the j-th projector).
+    Pass a ``state`` (a :class:`FitState`) to continue a fit across calls
+    (Adam moments kept); ``init`` is then ignored. History entries carry the
+    training delta-p per class from the same forward pass.
 
     Every task emits one model-sized gradient, so the input is coalesced (no
     shuffle) to at most ``max_tasks`` partitions (default: the cluster's
@@ -172,13 +189,14 @@ def fit_projectors(
         if r["class_id"] < k:
             n_valid[r["class_id"]] = r["nv"]
     n_rows = float(train.count())
-    state = FitState(params={m: {kk: np.asarray(init[m][kk], dtype=np.float64).copy() for kk in PARAM_NAMES} for m in mods})
+    if state is None:
+        state = FitState(params={m: {kk: np.asarray(init[m][kk], dtype=np.float64).copy() for kk in PARAM_NAMES} for m in mods})
     mult = {m: float(j + 1) for j, m in enumerate(mods)} if accumulate_shared else None
     gam = np.asarray(gammas, dtype=np.float64)
     hd = np.asarray(head, dtype=np.float64)
     cols = train.select(y, *mods).coalesce(max_tasks or spark.sparkContext.defaultParallelism)
     n_par = len(_flatten(state.params, mods))
-    n_tot = n_par + 1 + len(mods)
+    n_tot = n_par + 1 + len(mods) + 4 * k
     chunks = max(1, -(-n_tot // chunk_size))
     out_schema = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
     history = []
@@ -195,10 +213,13 @@ def fit_projectors(
                     continue
                 X = {m: np.stack([np.asarray(v, dtype=np.float64) for v in pdf[m].to_numpy()]) for m in mods}
                 Y = np.stack([np.asarray([np.nan if t is None else t for t in v], dtype=np.float64) for v in pdf[y].to_numpy()])
-                L, mse, g = loss_and_grad(X, Y, params, hd, mods, gam, n_valid, n_rows, beta=beta, shared_mult=mult)
+                L, mse, g, dps = loss_and_grad(
+                    X, Y, params, hd, mods, gam, n_valid, n_rows, beta=beta, shared_mult=mult, dp_sums=True
+                )
                 acc[:n_par] += _flatten(g, mods)
                 acc[n_par] += L
-                acc[n_par + 1:] += [mse[m] for m in mods]
+                acc[n_par + 1:n_par + 1 + len(mods)] += [mse[m] for m in mods]
+                acc[n_par + 1 + len(mods):] += dps
             # one row per chunk: the reduction below is spread over `chunks` tasks
             yield pd.DataFrame({"chunk": list(range(chunks)), "g": [acc[c * chunk_size:(c + 1) * chunk_size] for c in range(chunks)]})
 
@@ -213,8 +234,9 @@ def fit_projectors(
         total = np.concatenate([np.asarray(r["s"]) for r in sorted(sums, key=lambda r: r["chunk"])])
         grads = _unflatten(total[:n_par], state.params, mods)
         L = float(total[n_par])
-        mse = dict(zip(mods, total[n_par + 1:].tolist()))
-        history.append({"step": step, "loss": L + beta * sum(mse.values()), "asl": L, "mse": mse})
+        mse = dict(zip(mods, total[n_par + 1:n_par + 1 + len(mods)].tolist()))
+        dp = delta_p_from_sums(total[n_par + 1 + len(mods):], k)
+        history.append({"step": step, "loss": L + beta * sum(mse.values()), "asl": L, "mse": mse, "delta_p": dp.tolist()})
         adam_step(state, grads, mods, lr=lr, wd=weight_decay, max_norm=max_norm)
     return state.params, history
 

@@ -305,6 +305,20 @@ def encode_and_score(
     return df.select(*keep, *mods).mapInPandas(run, schema)
 
 
+def linear_head(head: np.ndarray) -> Callable:
+    """Scorer of a frozen linear head (K, T * latent) on the flattened code sequence
+    (the head the projector fit trains through)."""
+    h = np.asarray(head, dtype=np.float64)
+
+    def make():
+        def predict(seq):
+            return seq.reshape(seq.shape[0], -1) @ h.T
+
+        return predict
+
+    return make
+
+
 def vocab_matrix(latent_total: int, positions: Sequence[int], scale: float = 0.25) -> np.ndarray:
     """Rows cos(5 v + 3 j) * scale of the toy model for vocabulary positions ``positions``."""
     v = np.asarray(list(positions))[:, None]

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from mmcohort.operators import losses as L
 from mmcohort.operators import metrics as M
 from mmcohort.operators import scaling as S
 from mmcohort.operators import scoring as SC
+from mmcohort.functions.columns import sq_err_sum
+from mmcohort.operators import fit as FT
 from mmcohort.operators import split as SP
 from mmcohort.session import materialize
 
@@ -86,3 +90,104 @@ def evaluate(long: DataFrame, out_path: str | None = None) -> tuple[DataFrame, D
 
         io.write_results(rep, roc, out_path)
     return rep, roc
+
+
+def validate(
+    val: DataFrame,
+    params: dict,
+    head: np.ndarray,
+    token_order: Sequence[str],
+    *,
+    gammas: Sequence[float] = C.GAMMAS_JOINT,
+    beta: float = C.BETA,
+    name: str = "val",
+) -> dict:
+    """M8: loss and delta-p of one split without gradients, as Spark aggregations.
+
+    One Python pass (encode + decode + frozen head) writes a small per-row
+    table (labels, logits, squared reconstruction error per modality); the
+    asymmetric loss (summed over classes), the reconstruction MSE per
+    modality and delta-p per class are aggregates over it. Returns
+    {"loss": L + beta * sum(mse), "asl": L, "mse": {...}, "delta_p": [...]}.
+    """
+    spark = val.sparkSession
+    mods = list(token_order)
+    latent = params[mods[0]]["W"].shape[0]
+    w = SC.ProjectorWeights(spark, {m: {k: np.asarray(params[m][k], dtype=np.float64) for k in FT.PARAM_NAMES} for m in mods})
+    e = SC.encode(val.select("y", *mods), w, mods, decode=True)
+    s = SC.score(e, SC.linear_head(head), mods, latent)
+    per = materialize(
+        s.select(
+            "y", "logits",
+            *[sq_err_sum(m, f"recon_{m}").alias(f"_se_{m}") for m in mods],
+            *[F.size(m).cast("long").alias(f"_n_{m}") for m in mods],
+        ),
+        f"{name}-scored",
+    )
+    lg = L.to_long(per, keep=(), y="y", z="logits")
+    asl = L.total(L.asymmetric(lg, L.class_params(spark, gammas))).first()["loss"]  # one row
+    mse_row = per.agg(*[(F.sum(f"_se_{m}") / F.sum(f"_n_{m}")).alias(m) for m in mods]).first()  # one row
+    mse = {m: float(mse_row[m] or 0.0) for m in mods}
+    dp = sorted((r["class_id"], r["delta_p"]) for r in L.delta_p(lg).collect())  # one row per class
+    return {"loss": float(asl) + beta * sum(mse.values()), "asl": float(asl), "mse": mse, "delta_p": [float(v) for _, v in dp]}
+
+
+def train(
+    scaled: DataFrame,
+    init: SC.ProjectorWeights,
+    head: np.ndarray,
+    spec: ModalitySpec,
+    *,
+    run: str,
+    epochs: int,
+    steps_per_epoch: int = 1,
+    history_path: str | None = None,
+    weights_path: str | None = None,
+    gammas: Sequence[float] = C.GAMMAS_JOINT,
+    beta: float = C.BETA,
+    lr: float = C.LEARNING_RATE,
+    weight_decay: float = C.WEIGHT_DECAY,
+    max_norm: float = C.GRAD_CLIP,
+) -> tuple[dict, list[dict]]:
+    """E2: the training loop (asymmetric joint variant) over a prepared, scaled table.
+
+    Per epoch: ``steps_per_epoch`` data-parallel fit steps on the train split
+    (the epoch's train loss is the mean of its step losses, delta-p from the
+    last step's forward pass over the whole split), validation of the updated
+    projectors on the val split (:func:`validate`), one history row per split
+    appended to ``history_path`` (run, epoch, split, loss, delta_p) and the
+    weights table overwritten at ``weights_path`` (the last epoch wins). Both
+    splits are written once up front, so no epoch recomputes the preparation.
+    """
+    mods = [m for m in spec.token_order if spec.widths[m] > 0]
+    cols = ["y", *[F.col(m).cast("array<double>").alias(m) for m in mods]]
+    tr = materialize(scaled.where(F.col("split") == "train").select(*cols), f"{run}-train")
+    va = materialize(scaled.where(F.col("split") == "val").select(*cols), f"{run}-val")
+    state = FT.FitState(params={m: {k: np.asarray(v, dtype=np.float64).copy() for k, v in d.items()}
+                                for m, d in FT.params_from_weights(init).items() if m in mods})
+    spark = scaled.sparkSession
+    history: list[dict] = []
+    for epoch in range(1, epochs + 1):
+        _, steps = FT.fit_projectors(
+            tr, None, head, token_order=mods, gammas=gammas, steps=steps_per_epoch, lr=lr,
+            weight_decay=weight_decay, max_norm=max_norm, beta=beta, state=state,
+        )
+        v = validate(va, state.params, head, mods, gammas=gammas, beta=beta, name=f"{run}-val-{epoch}")
+        rows = [
+            {"run": run, "epoch": epoch, "split": "train", "loss": float(np.mean([h["loss"] for h in steps])),
+             "delta_p": steps[-1]["delta_p"]},
+            {"run": run, "epoch": epoch, "split": "val", "loss": v["loss"], "delta_p": v["delta_p"]},
+        ]
+        history += rows
+        if history_path:
+            from mmcohort.sources import io
+
+            io.append_history(
+                spark.createDataFrame(rows, "run string, epoch int, split string, loss double, delta_p array<double>"),
+                history_path,
+            )
+        if weights_path:
+            from mmcohort.sources import io
+
+            io.write_weights(FT.params_to_table(spark, state.params), weights_path)
+    return state.params, history

@@ -413,3 +413,18 @@ def TR_train(spark, sf_dir):
     """Training rows of the modal fixture (arrays as double)."""
     ms = modal_split(spark, sf_dir).where(F.col("split") == "train")
     return ms.select("y", *[F.col(m).cast("array<double>").alias(m) for m in SPEC.stored_order])
+
+
+@register("training_loop", "E2 M7 M8 S4 S5 S6: epochs of fit + validation, history appended, weights overwritten (iterative; no SQL oracle)")
+def q_training_loop(spark, sf_dir):
+    from mmcohort import pipeline as PL
+    from mmcohort.session import scratch_path
+    from mmcohort.sources import io
+
+    head = SC.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
+    hist_path, w_path = scratch_path(spark, "history"), scratch_path(spark, "weights")
+    PL.train(
+        modal_split(spark, sf_dir), fixture_weights(spark), head, SPEC, run="fixture", epochs=2,
+        history_path=hist_path, weights_path=w_path,
+    )
+    return io.read_history(spark, hist_path).select("run", F.col("epoch").cast("int").alias("epoch"), "split", "loss", "delta_p")

@@ -65,3 +65,38 @@ def test_fit_on_spark_lowers_loss(spark):
     hist = E.queries()["projector_fit"](spark, "/root/testdata/sf0.001").orderBy("step").collect()
     assert len(hist) == 3
     assert hist[-1]["loss"] < hist[0]["loss"]
+
+
+def test_validate_equals_numpy_and_train_writes_sinks(spark):
+    from pyspark.sql import functions as F
+
+    from mmcohort import config as C
+    from mmcohort import pipeline as PL
+    from mmcohort.operators import scoring as SC
+    from mmcohort.plans import training as TR
+    from mmcohort.session import scratch_path
+    from mmcohort.sources import io
+
+    sf = "/root/testdata/sf0.001"
+    mods = list(C.TOKEN_ORDER)
+    head = SC.vocab_matrix(len(mods) * 4, C.VOCAB_POSITIONS)
+    ms = TR.modal_split(spark, sf)
+    hist, wp = scratch_path(spark, "h"), scratch_path(spark, "w")
+    params, history = PL.train(ms, TR.fixture_weights(spark), head, C.FIXTURE_SPEC, run="t", epochs=2, history_path=hist, weights_path=wp)
+    assert [(h["epoch"], h["split"]) for h in history] == [(1, "train"), (1, "val"), (2, "train"), (2, "val")]
+    back = io.read_history(spark, hist).collect()
+    assert len(back) == 4 and all(len(r["delta_p"]) == 12 for r in back)
+    w = SC.ProjectorWeights.from_table(io.read_weights(spark, wp))
+    assert np.allclose(w.mats["vd"]["W"], params["vd"]["W"], atol=1e-6)  # last epoch, float32 table
+
+    # validation of the final parameters: Spark aggregations == NumPy formulas
+    val = ms.where(F.col("split") == "val").collect()
+    X = {m: np.asarray([r[m] for r in val], dtype=np.float64) for m in mods}
+    Y = np.asarray([[np.nan if v is None else v for v in r["y"]] for r in val], dtype=np.float64)
+    valid = ~np.isnan(Y) & (Y != 2)
+    gam = np.asarray(C.GAMMAS_JOINT, dtype=np.float64)
+    L, mse, _, sums = FT.loss_and_grad(X, Y, params, head, mods, gam, valid.sum(axis=0).astype(float), float(len(val)), dp_sums=True)
+    v = PL.validate(ms.where(F.col("split") == "val"), params, head, mods)
+    assert v["asl"] == pytest.approx(L, rel=1e-9)
+    assert v["loss"] == pytest.approx(L + 0.1 * sum(mse.values()), rel=1e-9)
+    assert np.allclose(v["delta_p"], FT.delta_p_from_sums(sums, 12), atol=1e-12)
