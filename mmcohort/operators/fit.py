@@ -56,13 +56,17 @@ def _unflatten(vec: np.ndarray, like: dict, mods: Sequence[str]) -> dict:
 def loss_and_grad(
     X: dict, Y: np.ndarray, params: dict, head: np.ndarray, token_order: Sequence[str], gammas: np.ndarray,
     n_valid: np.ndarray, n_rows: float, *, beta: float = C.BETA, clip: float = C.ASL_CLIP, eps: float = C.ASL_EPS,
-    shared_mult: dict | None = None, dp_sums: bool = False,
+    shared_mult: dict | None = None, dp_sums: bool = False, loss: str = "asl", class_w: np.ndarray | None = None,
 ):
     """Loss sums and gradient sums for one block of rows.
 
     X: modality -> (B, d) inputs; Y: (B, K) labels (NaN / 2 masked); head: (K, T*latent).
+    ``loss``: "asl" (asymmetric, summed over classes; ``gammas``) or "bce"
+    (weighted BCE with ``class_w`` (K, 2) = (w0, w1), averaged over the K classes).
     Returns (L_sum, {m: se_sum/(n_rows d)}, grads dict like params).
     """
+    if loss not in ("asl", "bce"):
+        raise ValueError("loss must be 'asl' or 'bce'")
     mult = shared_mult or {}
     H, A, R = {}, {}, {}
     for m in token_order:
@@ -75,13 +79,20 @@ def loss_and_grad(
     P = 1.0 / (1.0 + np.exp(-Z))
     valid = ~np.isnan(Y) & (Y != 2)
     y = np.where(valid, Y, 0.0)
+    inv_n = np.where(n_valid > 0, 1.0 / np.maximum(n_valid, 1), 0.0)[None, :]
+    if loss == "bce":
+        k = Z.shape[1]
+        w = np.where(y == 1, class_w[None, :, 1], class_w[None, :, 0])
+        term = np.maximum(Z, 0.0) - Z * y + np.log1p(np.exp(-np.abs(Z)))
+        L = float((np.where(valid, w * term, 0.0) * inv_n).sum() / k)
+        dZ = np.where(valid, w * (P - y), 0.0) * inv_n / k
+        return _backprop(X, params, head, token_order, H, A, R, Z, P, valid, y, L, dZ, n_rows, beta, mult, dp_sums)
     pm = np.maximum(P - clip, 0.0)
     g = gammas[None, :]
     lp = np.log(np.maximum(P, eps))
     ln_ = np.log(np.maximum(1.0 - pm, eps))
     pmg = np.power(pm, g)
     ell = y * (1 - P) * lp + (1 - y) * pmg * ln_
-    inv_n = np.where(n_valid > 0, 1.0 / np.maximum(n_valid, 1), 0.0)[None, :]
     L = float(-(np.where(valid, ell, 0.0) * inv_n).sum())
     # d ell / d p
     d_pos = y * (-lp + (1 - P) * np.where(P > eps, 1.0 / np.maximum(P, eps), 0.0))
@@ -90,6 +101,11 @@ def loss_and_grad(
     d_pm = pmg1 * ln_ + pmg * np.where(1 - pm > eps, -1.0 / np.maximum(1 - pm, eps), 0.0)
     d_neg = (1 - y) * d_pm * (P - clip > 0)
     dZ = -(d_pos + d_neg) * P * (1 - P) * inv_n * valid
+    return _backprop(X, params, head, token_order, H, A, R, Z, P, valid, y, L, dZ, n_rows, beta, mult, dp_sums)
+
+
+def _backprop(X, params, head, token_order, H, A, R, Z, P, valid, y, L, dZ, n_rows, beta, mult, dp_sums):
+    """Gradients of L (given dL/dZ) + beta * sum_m mse_m through the head and the projectors."""
     dF = dZ @ head  # (B, T*latent)
     grads, mse = {}, {}
     lat = params[token_order[0]]["W"].shape[0]
@@ -162,6 +178,8 @@ def fit_projectors(
     chunk_size: int = 1 << 16,
     max_tasks: int | None = None,
     state: "FitState | None" = None,
+    loss: str = "asl",
+    class_w: np.ndarray | None = None,
 ):
     """Fit the projectors on ``train`` (rows with modality arrays and label array ``y``).
 
@@ -193,6 +211,9 @@ def fit_projectors(
         state = FitState(params={m: {kk: np.asarray(init[m][kk], dtype=np.float64).copy() for kk in PARAM_NAMES} for m in mods})
     mult = {m: float(j + 1) for j, m in enumerate(mods)} if accumulate_shared else None
     gam = np.asarray(gammas, dtype=np.float64)
+    cw = None if class_w is None else np.asarray(class_w, dtype=np.float64)
+    if loss == "bce" and (cw is None or cw.shape != (k, 2)):
+        raise ValueError("loss='bce' needs class_w of shape (n_classes, 2)")
     hd = np.asarray(head, dtype=np.float64)
     cols = train.select(y, *mods).coalesce(max_tasks or spark.sparkContext.defaultParallelism)
     n_par = len(_flatten(state.params, mods))
@@ -214,7 +235,8 @@ def fit_projectors(
                 X = {m: np.stack([np.asarray(v, dtype=np.float64) for v in pdf[m].to_numpy()]) for m in mods}
                 Y = np.stack([np.asarray([np.nan if t is None else t for t in v], dtype=np.float64) for v in pdf[y].to_numpy()])
                 L, mse, g, dps = loss_and_grad(
-                    X, Y, params, hd, mods, gam, n_valid, n_rows, beta=beta, shared_mult=mult, dp_sums=True
+                    X, Y, params, hd, mods, gam, n_valid, n_rows, beta=beta, shared_mult=mult, dp_sums=True,
+                    loss=loss, class_w=cw,
                 )
                 acc[:n_par] += _flatten(g, mods)
                 acc[n_par] += L

@@ -101,13 +101,17 @@ def validate(
     gammas: Sequence[float] = C.GAMMAS_JOINT,
     beta: float = C.BETA,
     name: str = "val",
+    loss: str = "asl",
+    class_w: DataFrame | None = None,
 ) -> dict:
     """M8: loss and delta-p of one split without gradients, as Spark aggregations.
 
     One Python pass (encode + decode + frozen head) writes a small per-row
     table (labels, logits, squared reconstruction error per modality); the
     asymmetric loss (summed over classes), the reconstruction MSE per
-    modality and delta-p per class are aggregates over it. Returns
+    modality and delta-p per class are aggregates over it. ``loss="bce"``
+    uses the weighted BCE averaged over the classes with ``class_w`` (the
+    training split's class weights). Returns
     {"loss": L + beta * sum(mse), "asl": L, "mse": {...}, "delta_p": [...]}.
     """
     spark = val.sparkSession
@@ -125,7 +129,11 @@ def validate(
         f"{name}-scored",
     )
     lg = L.to_long(per, keep=(), y="y", z="logits")
-    asl = L.total(L.asymmetric(lg, L.class_params(spark, gammas))).first()["loss"]  # one row
+    if loss == "bce":
+        per_class = L.bce(lg, class_w)
+        asl = L.total(per_class, divide_by=len(gammas)).first()["loss"]  # one row
+    else:
+        asl = L.total(L.asymmetric(lg, L.class_params(spark, gammas))).first()["loss"]  # one row
     mse_row = per.agg(*[(F.sum(f"_se_{m}") / F.sum(f"_n_{m}")).alias(m) for m in mods]).first()  # one row
     mse = {m: float(mse_row[m] or 0.0) for m in mods}
     dp = sorted((r["class_id"], r["delta_p"]) for r in L.delta_p(lg).collect())  # one row per class
@@ -148,8 +156,13 @@ def train(
     lr: float = C.LEARNING_RATE,
     weight_decay: float = C.WEIGHT_DECAY,
     max_norm: float = C.GRAD_CLIP,
+    loss: str = "asl",
 ) -> tuple[dict, list[dict]]:
-    """E2: the training loop (asymmetric joint variant) over a prepared, scaled table.
+    """E2: the training loop (joint variant) over a prepared, scaled table.
+
+    ``loss``: "asl" (asymmetric loss, the default) or "bce" (class-weighted
+    BCE; weights n / (2 K n_v + eps) from the training split, also used for
+    validation).
 
     Per epoch: ``steps_per_epoch`` data-parallel fit steps on the train split
     (the epoch's train loss is the mean of its step losses, delta-p from the
@@ -166,13 +179,23 @@ def train(
     state = FT.FitState(params={m: {k: np.asarray(v, dtype=np.float64).copy() for k, v in d.items()}
                                 for m, d in FT.params_from_weights(init).items() if m in mods})
     spark = scaled.sparkSession
+    cw_df, cw = None, None
+    if loss == "bce":
+        k = len(gammas)
+        rows = L.class_weights(L.to_long(tr, keep=(), y="y", z="y")).collect()  # one row per class
+        cw = np.zeros((k, 2))
+        for r in rows:
+            cw[r["class_id"]] = (r["w0"], r["w1"])
+        cw_df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(cw)], "class_id int, w0 double, w1 double")
     history: list[dict] = []
     for epoch in range(1, epochs + 1):
         _, steps = FT.fit_projectors(
             tr, None, head, token_order=mods, gammas=gammas, steps=steps_per_epoch, lr=lr,
-            weight_decay=weight_decay, max_norm=max_norm, beta=beta, state=state,
+            weight_decay=weight_decay, max_norm=max_norm, beta=beta, state=state, loss=loss, class_w=cw,
+        )
+        v = validate(
+            va, state.params, head, mods, gammas=gammas, beta=beta, name=f"{run}-val-{epoch}", loss=loss, class_w=cw_df
         )
-        v = validate(va, state.params, head, mods, gammas=gammas, beta=beta, name=f"{run}-val-{epoch}")
         rows = [
             {"run": run, "epoch": epoch, "split": "train", "loss": float(np.mean([h["loss"] for h in steps])),
              "delta_p": steps[-1]["delta_p"]},

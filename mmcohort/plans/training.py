@@ -415,8 +415,7 @@ def TR_train(spark, sf_dir):
     return ms.select("y", *[F.col(m).cast("array<double>").alias(m) for m in SPEC.stored_order])
 
 
-@register("training_loop", "E2 M7 M8 S4 S5 S6: epochs of fit + validation, history appended, weights overwritten (iterative; no SQL oracle)")
-def q_training_loop(spark, sf_dir):
+def _training_loop(spark, sf_dir, loss):
     from mmcohort import pipeline as PL
     from mmcohort.session import scratch_path
     from mmcohort.sources import io
@@ -424,7 +423,17 @@ def q_training_loop(spark, sf_dir):
     head = SC.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
     hist_path, w_path = scratch_path(spark, "history"), scratch_path(spark, "weights")
     PL.train(
-        modal_split(spark, sf_dir), fixture_weights(spark), head, SPEC, run="fixture", epochs=2,
-        history_path=hist_path, weights_path=w_path,
+        modal_split(spark, sf_dir), fixture_weights(spark), head, SPEC, run=f"fixture-{loss}", epochs=2,
+        history_path=hist_path, weights_path=w_path, loss=loss,
     )
     return io.read_history(spark, hist_path).select("run", F.col("epoch").cast("int").alias("epoch"), "split", "loss", "delta_p")
+
+
+@register("training_loop", "E2 M7 M8 S4 S5 S6: epochs of fit (asymmetric loss) + validation, history appended, weights overwritten (iterative; no SQL oracle)")
+def q_training_loop(spark, sf_dir):
+    return _training_loop(spark, sf_dir, "asl")
+
+
+@register("training_loop_bce", "E2 G5 G6 G7 M7 M8: the BCE variant with training-split class weights (iterative; no SQL oracle)")
+def q_training_loop_bce(spark, sf_dir):
+    return _training_loop(spark, sf_dir, "bce")

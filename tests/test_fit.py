@@ -100,3 +100,55 @@ def test_validate_equals_numpy_and_train_writes_sinks(spark):
     assert v["asl"] == pytest.approx(L, rel=1e-9)
     assert v["loss"] == pytest.approx(L + 0.1 * sum(mse.values()), rel=1e-9)
     assert np.allclose(v["delta_p"], FT.delta_p_from_sums(sums, 12), atol=1e-12)
+
+
+def test_bce_gradient_matches_finite_differences():
+    X, Y, params, head, mods, gam, nv, n = _problem(3)
+    cw = np.array([[0.7, 1.9], [1.1, 0.4], [0.5, 2.5], [1.0, 1.0]])
+
+    def tot():
+        L, mse, _ = FT.loss_and_grad(X, Y, params, head, mods, gam, nv, n, loss="bce", class_w=cw)
+        return L + 0.1 * sum(mse.values())
+
+    _, _, g = FT.loss_and_grad(X, Y, params, head, mods, gam, nv, n, loss="bce", class_w=cw)
+    h = 1e-6
+    for m in mods:
+        for k in FT.PARAM_NAMES:
+            flat = params[m][k].ravel()
+            for idx in range(min(flat.size, 4)):
+                old = flat[idx]
+                flat[idx] = old + h
+                up = tot()
+                flat[idx] = old - h
+                dn = tot()
+                flat[idx] = old
+                assert g[m][k].ravel()[idx] == pytest.approx((up - dn) / (2 * h), rel=1e-4, abs=1e-7)
+
+
+def test_bce_training_loop_validation_equals_numpy(spark):
+    from pyspark.sql import functions as F
+
+    from mmcohort import config as C
+    from mmcohort import pipeline as PL
+    from mmcohort.operators import losses as L
+    from mmcohort.operators import scoring as SC
+    from mmcohort.plans import training as TR
+
+    sf = "/root/testdata/sf0.001"
+    mods = list(C.TOKEN_ORDER)
+    head = SC.vocab_matrix(len(mods) * 4, C.VOCAB_POSITIONS)
+    ms = TR.modal_split(spark, sf)
+    params, history = PL.train(ms, TR.fixture_weights(spark), head, C.FIXTURE_SPEC, run="b", epochs=1, loss="bce")
+    assert [h["split"] for h in history] == ["train", "val"]
+    tr = ms.where(F.col("split") == "train")
+    cw_rows = L.class_weights(L.to_long(tr, keep=(), y="y", z="y")).collect()
+    cw = np.zeros((12, 2))
+    for r in cw_rows:
+        cw[r["class_id"]] = (r["w0"], r["w1"])
+    val = ms.where(F.col("split") == "val").collect()
+    X = {m: np.asarray([r[m] for r in val], dtype=np.float64) for m in mods}
+    Y = np.asarray([[np.nan if v is None else v for v in r["y"]] for r in val], dtype=np.float64)
+    valid = ~np.isnan(Y) & (Y != 2)
+    Lv, mse, _ = FT.loss_and_grad(X, Y, params, head, mods, np.zeros(12), valid.sum(axis=0).astype(float), float(len(val)),
+                                  loss="bce", class_w=cw)
+    assert history[1]["loss"] == pytest.approx(Lv + 0.1 * sum(mse.values()), rel=1e-9)
