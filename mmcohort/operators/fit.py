@@ -53,20 +53,44 @@ def _unflatten(vec: np.ndarray, like: dict, mods: Sequence[str]) -> dict:
     return out
 
 
+def _asl(Z: np.ndarray, y: np.ndarray, valid: np.ndarray, inv_n: np.ndarray, g: np.ndarray, clip: float, eps: float):
+    """Asymmetric loss summed over classes (each class: -mean over its valid rows) and dL/dZ."""
+    P = 1.0 / (1.0 + np.exp(-Z))
+    pm = np.maximum(P - clip, 0.0)
+    lp = np.log(np.maximum(P, eps))
+    ln_ = np.log(np.maximum(1.0 - pm, eps))
+    pmg = np.power(pm, g)
+    ell = y * (1 - P) * lp + (1 - y) * pmg * ln_
+    L = float(-(np.where(valid, ell, 0.0) * inv_n).sum())
+    # d ell / d p
+    d_pos = y * (-lp + (1 - P) * np.where(P > eps, 1.0 / np.maximum(P, eps), 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pmg1 = np.where(g > 0, g * np.power(np.where(pm > 0, pm, 1.0), g - 1) * (pm > 0), 0.0)
+    d_pm = pmg1 * ln_ + pmg * np.where(1 - pm > eps, -1.0 / np.maximum(1 - pm, eps), 0.0)
+    d_neg = (1 - y) * d_pm * (P - clip > 0)
+    return L, -(d_pos + d_neg) * P * (1 - P) * inv_n * valid
+
+
 def loss_and_grad(
     X: dict, Y: np.ndarray, params: dict, head: np.ndarray, token_order: Sequence[str], gammas: np.ndarray,
     n_valid: np.ndarray, n_rows: float, *, beta: float = C.BETA, clip: float = C.ASL_CLIP, eps: float = C.ASL_EPS,
     shared_mult: dict | None = None, dp_sums: bool = False, loss: str = "asl", class_w: np.ndarray | None = None,
+    isolated: bool = False,
 ):
     """Loss sums and gradient sums for one block of rows.
 
     X: modality -> (B, d) inputs; Y: (B, K) labels (NaN / 2 masked); head: (K, T*latent).
     ``loss``: "asl" (asymmetric, summed over classes; ``gammas``) or "bce"
     (weighted BCE with ``class_w`` (K, 2) = (w0, w1), averaged over the K classes).
+    ``isolated`` (asl only): every modality's code is scored alone as a
+    one-token sequence (head columns of the first position) and the loss is
+    the sum of the modalities' losses; delta-p sums then come from the joint logits.
     Returns (L_sum, {m: se_sum/(n_rows d)}, grads dict like params).
     """
     if loss not in ("asl", "bce"):
         raise ValueError("loss must be 'asl' or 'bce'")
+    if isolated and loss != "asl":
+        raise ValueError("the isolated variant uses the asymmetric loss")
     mult = shared_mult or {}
     H, A, R = {}, {}, {}
     for m in token_order:
@@ -74,6 +98,7 @@ def loss_and_grad(
         A[m] = X[m] @ p["W"].T + p["b"]
         H[m] = np.maximum(A[m], 0.0)
         R[m] = H[m] @ p["V"].T + p["c"]
+    lat = params[token_order[0]]["W"].shape[0]
     Fl = np.concatenate([H[m] for m in token_order], axis=1)
     Z = Fl @ head.T
     P = 1.0 / (1.0 + np.exp(-Z))
@@ -85,28 +110,23 @@ def loss_and_grad(
         w = np.where(y == 1, class_w[None, :, 1], class_w[None, :, 0])
         term = np.maximum(Z, 0.0) - Z * y + np.log1p(np.exp(-np.abs(Z)))
         L = float((np.where(valid, w * term, 0.0) * inv_n).sum() / k)
-        dZ = np.where(valid, w * (P - y), 0.0) * inv_n / k
-        return _backprop(X, params, head, token_order, H, A, R, Z, P, valid, y, L, dZ, n_rows, beta, mult, dp_sums)
-    pm = np.maximum(P - clip, 0.0)
-    g = gammas[None, :]
-    lp = np.log(np.maximum(P, eps))
-    ln_ = np.log(np.maximum(1.0 - pm, eps))
-    pmg = np.power(pm, g)
-    ell = y * (1 - P) * lp + (1 - y) * pmg * ln_
-    L = float(-(np.where(valid, ell, 0.0) * inv_n).sum())
-    # d ell / d p
-    d_pos = y * (-lp + (1 - P) * np.where(P > eps, 1.0 / np.maximum(P, eps), 0.0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmg1 = np.where(g > 0, g * np.power(np.where(pm > 0, pm, 1.0), g - 1) * (pm > 0), 0.0)
-    d_pm = pmg1 * ln_ + pmg * np.where(1 - pm > eps, -1.0 / np.maximum(1 - pm, eps), 0.0)
-    d_neg = (1 - y) * d_pm * (P - clip > 0)
-    dZ = -(d_pos + d_neg) * P * (1 - P) * inv_n * valid
-    return _backprop(X, params, head, token_order, H, A, R, Z, P, valid, y, L, dZ, n_rows, beta, mult, dp_sums)
-
-
-def _backprop(X, params, head, token_order, H, A, R, Z, P, valid, y, L, dZ, n_rows, beta, mult, dp_sums):
-    """Gradients of L (given dL/dZ) + beta * sum_m mse_m through the head and the projectors."""
-    dF = dZ @ head  # (B, T*latent)
+        dF = (np.where(valid, w * (P - y), 0.0) * inv_n / k) @ head
+    elif isolated:
+        h1 = head[:, :lat]
+        L, parts = 0.0, []
+        for m in token_order:
+            Lm, dZm = _asl(H[m] @ h1.T, y, valid, inv_n, gammas[None, :], clip, eps)
+            L += Lm
+            parts.append(dZm @ h1)
+        dF = np.concatenate(parts, axis=1)
+    else:
+        L, dZ = _asl(Z, y, valid, inv_n, gammas[None, :], clip, eps)
+        dF = dZ @ head
+    return _backprop(X, params, token_order, H, A, R, P, valid, y, L, dF, n_rows, beta, mult, dp_sums)
+
+
+def _backprop(X, params, token_order, H, A, R, P, valid, y, L, dF, n_rows, beta, mult, dp_sums):
+    """Gradients of L (given dL/d codes, (B, T*latent)) + beta * sum_m mse_m through the projectors."""
     grads, mse = {}, {}
     lat = params[token_order[0]]["W"].shape[0]
     for t, m in enumerate(token_order):
@@ -180,6 +200,7 @@ def fit_projectors(
     state: "FitState | None" = None,
     loss: str = "asl",
     class_w: np.ndarray | None = None,
+    isolated: bool = False,
 ):
     """Fit the projectors on ``train`` (rows with modality arrays and label array ``y``).
 
@@ -236,7 +257,7 @@ def fit_projectors(
                 Y = np.stack([np.asarray([np.nan if t is None else t for t in v], dtype=np.float64) for v in pdf[y].to_numpy()])
                 L, mse, g, dps = loss_and_grad(
                     X, Y, params, hd, mods, gam, n_valid, n_rows, beta=beta, shared_mult=mult, dp_sums=True,
-                    loss=loss, class_w=cw,
+                    loss=loss, class_w=cw, isolated=isolated,
                 )
                 acc[:n_par] += _flatten(g, mods)
                 acc[n_par] += L

@@ -157,12 +157,15 @@ def train(
     weight_decay: float = C.WEIGHT_DECAY,
     max_norm: float = C.GRAD_CLIP,
     loss: str = "asl",
+    isolated: bool = False,
 ) -> tuple[dict, list[dict]]:
     """E2: the training loop (joint variant) over a prepared, scaled table.
 
     ``loss``: "asl" (asymmetric loss, the default) or "bce" (class-weighted
     BCE; weights n / (2 K n_v + eps) from the training split, also used for
-    validation).
+    validation). ``isolated``: every modality is scored alone in training
+    (loss = sum over modalities; pass ``gammas=C.GAMMAS_ISOLATED``), while
+    validation scores them jointly, as the source does.
 
     Per epoch: ``steps_per_epoch`` data-parallel fit steps on the train split
     (the epoch's train loss is the mean of its step losses, delta-p from the
@@ -192,6 +195,7 @@ def train(
         _, steps = FT.fit_projectors(
             tr, None, head, token_order=mods, gammas=gammas, steps=steps_per_epoch, lr=lr,
             weight_decay=weight_decay, max_norm=max_norm, beta=beta, state=state, loss=loss, class_w=cw,
+            isolated=isolated,
         )
         v = validate(
             va, state.params, head, mods, gammas=gammas, beta=beta, name=f"{run}-val-{epoch}", loss=loss, class_w=cw_df

@@ -415,7 +415,7 @@ def TR_train(spark, sf_dir):
     return ms.select("y", *[F.col(m).cast("array<double>").alias(m) for m in SPEC.stored_order])
 
 
-def _training_loop(spark, sf_dir, loss):
+def _training_loop(spark, sf_dir, loss, isolated=False):
     from mmcohort import pipeline as PL
     from mmcohort.session import scratch_path
     from mmcohort.sources import io
@@ -423,8 +423,9 @@ def _training_loop(spark, sf_dir, loss):
     head = SC.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
     hist_path, w_path = scratch_path(spark, "history"), scratch_path(spark, "weights")
     PL.train(
-        modal_split(spark, sf_dir), fixture_weights(spark), head, SPEC, run=f"fixture-{loss}", epochs=2,
-        history_path=hist_path, weights_path=w_path, loss=loss,
+        modal_split(spark, sf_dir), fixture_weights(spark), head, SPEC, run=f"fixture-{loss}{'-iso' if isolated else ''}", epochs=2,
+        history_path=hist_path, weights_path=w_path, loss=loss, isolated=isolated,
+        gammas=C.GAMMAS_ISOLATED if isolated else C.GAMMAS_JOINT,
     )
     return io.read_history(spark, hist_path).select("run", F.col("epoch").cast("int").alias("epoch"), "split", "loss", "delta_p")
 
@@ -437,3 +438,8 @@ def q_training_loop(spark, sf_dir):
 @register("training_loop_bce", "E2 G5 G6 G7 M7 M8: the BCE variant with training-split class weights (iterative; no SQL oracle)")
 def q_training_loop_bce(spark, sf_dir):
     return _training_loop(spark, sf_dir, "bce")
+
+
+@register("training_loop_isolated", "E2 G15 M5 M7 M8 D5: modalities scored alone in training, jointly in validation (iterative; no SQL oracle)")
+def q_training_loop_iso(spark, sf_dir):
+    return _training_loop(spark, sf_dir, "asl", isolated=True)

@@ -29,4 +29,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_but_iterative_has_oracle():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= {"epoch_shuffle_xxhash", "projector_fit", "training_loop", "training_loop_bce"}, missing
+    assert missing <= {"epoch_shuffle_xxhash", "projector_fit", "training_loop", "training_loop_bce", "training_loop_isolated"}, missing
