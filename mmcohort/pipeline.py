@@ -218,3 +218,58 @@ def train(
 
             io.write_weights(FT.params_to_table(spark, state.params), weights_path)
     return state.params, history
+
+
+def run_evaluation(
+    spark,
+    csv_path: str,
+    weights_path: str,
+    make_scorer: Callable,
+    out_path: str,
+    *,
+    spec: ModalitySpec = C.STUDY_SPEC,
+    los_mode: str = "literal",
+) -> tuple[DataFrame, DataFrame]:
+    """The evaluation script end to end: study CSV (schema from its header) ->
+    preparation, split and standardisation -> projector weights table ->
+    projection and joint scoring of the validation split -> per-class metrics
+    and ROC tables written under ``out_path``."""
+    from mmcohort.sources import io
+
+    wide = io.read_study_csv(spark, csv_path)
+    scaled, _ = prepare_study(wide, spec, los_mode=los_mode)
+    weights = SC.ProjectorWeights.from_table(io.read_weights(spark, weights_path))
+    latent = next(iter(weights.latent.values()))
+    long = score_split(scaled, weights, make_scorer, spec, latent)
+    evaluate(long, out_path)
+    return io.read_results(spark, out_path)
+
+
+def run_training(
+    spark,
+    csv_path: str,
+    init_weights_path: str,
+    head: np.ndarray,
+    *,
+    run: str,
+    epochs: int,
+    history_path: str,
+    weights_path: str,
+    spec: ModalitySpec = C.STUDY_SPEC,
+    variant: str = "asym",
+    los_mode: str = "literal",
+    **fit_kw,
+) -> tuple[dict, list[dict]]:
+    """A training script end to end: study CSV -> preparation -> :func:`train`
+    with the variant's loss ("bce", "asym" or "iso"), history and weights sinks."""
+    from mmcohort.sources import io
+
+    if variant not in ("bce", "asym", "iso"):
+        raise ValueError("variant must be 'bce', 'asym' or 'iso'")
+    scaled, _ = prepare_study(io.read_study_csv(spark, csv_path), spec, los_mode=los_mode)
+    init = SC.ProjectorWeights.from_table(io.read_weights(spark, init_weights_path))
+    return train(
+        scaled, init, head, spec, run=run, epochs=epochs, history_path=history_path, weights_path=weights_path,
+        loss="bce" if variant == "bce" else "asl", isolated=variant == "iso",
+        gammas=C.GAMMAS_ISOLATED if variant == "iso" else C.GAMMAS_JOINT, **fit_kw,
+    )
