@@ -12,7 +12,7 @@ on that order, the split needs only ONE cutoff value:
    ``(hash, id)`` — one row.
 
 Each study row then gets its split by comparing its own hash with the cutoff
-(one broadcast row): the study table is never shuffled or joined on the group
+(a scalar subquery, run once): the study table is never shuffled or joined on the group
 id, so a patient holding a third of all rows costs nothing extra.
 """
 
@@ -68,16 +68,13 @@ def val_cutoff(
     )
 
 
-def _is_val(key_col, seed: int):
-    h = split_key(key_col, seed)
-    return (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (key_col <= F.col("_cut_id")))
-
-
 def _with_split(df: DataFrame, key: str, cut: DataFrame, seed: int) -> DataFrame:
-    # left join to the one-row cutoff (broadcast, one row by construction): no cutoff -> all train
-    j = df.join(F.broadcast(cut.select("_cut_h", "_cut_id")), F.lit(True), "left")
-    flag = F.coalesce(_is_val(F.col(key), seed), F.lit(False))
-    return j.withColumn("split", F.when(flag, F.lit("val")).otherwise(F.lit("train"))).drop("_cut_h", "_cut_id")
+    # The cutoff is a scalar subquery (one row by construction): Spark runs it once and
+    # hands every task the value; no join. No cutoff row -> NULL -> every group is train.
+    c = cut.select(F.struct("_cut_h", "_cut_id").alias("_cut")).scalar()
+    # (hash, id) <= (cut hash, cut id): struct comparison is lexicographic; one subquery reference
+    is_val = F.struct(split_key(F.col(key), seed).alias("_cut_h"), F.col(key).alias("_cut_id")) <= c
+    return df.withColumn("split", F.when(F.coalesce(is_val, F.lit(False)), F.lit("val")).otherwise(F.lit("train")))
 
 
 def group_assignments(
@@ -93,8 +90,8 @@ def group_split(
 ) -> DataFrame:
     """Add a ``split`` column to every row with a non-NULL group id.
 
-    One comparison per row against the broadcast cutoff — no join of the
-    study rows on the group id and no filtered copy per split."""
+    One comparison per row against the cutoff (a scalar subquery) — no join
+    of the study rows and no filtered copy per split."""
     rows = df.where(F.col(key).isNotNull())
     return _with_split(rows, key, val_cutoff(df, key, val_fraction=val_fraction, seed=seed), seed)
 

@@ -163,12 +163,14 @@ SELECT (SELECT count(*) FROM tr) AS n_train_groups, (SELECT count(*) FROM va) AS
        (SELECT count(*) FROM (SELECT haim_id FROM tr INTERSECT SELECT haim_id FROM va)) AS n_both""")
 def q_disjoint(spark, sf_dir):
     d = SP.group_split(prepared(spark, sf_dir), "haim_id")
-    tr = d.where(F.col("split") == "train").select("haim_id").distinct()
-    va = d.where(F.col("split") == "val").select("haim_id").distinct()
-    a = tr.agg(F.count(F.lit(1)).alias("n_train_groups"))
-    b = va.agg(F.count(F.lit(1)).alias("n_val_groups"))
-    c = tr.intersect(va).agg(F.count(F.lit(1)).alias("n_both"))
-    return a.crossJoin(b).crossJoin(c)
+    per_id = d.groupBy("haim_id").agg(
+        F.count_if(F.col("split") == "train").alias("_t"), F.count_if(F.col("split") == "val").alias("_v")
+    )
+    return per_id.agg(
+        F.count_if(F.col("_t") > 0).alias("n_train_groups"),
+        F.count_if(F.col("_v") > 0).alias("n_val_groups"),
+        F.count_if((F.col("_t") > 0) & (F.col("_v") > 0)).alias("n_both"),
+    )
 
 
 def _stats_long_sql() -> str:
