@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mmcohort import config as C
@@ -42,29 +42,36 @@ def batch_numbers(
 
 
 def shuffle_key(key: str, epoch, *, method: str = "md5"):
-    """Deterministic per-epoch order key (a retried task sees the same order, unlike rand())."""
+    """Deterministic per-epoch order key (a retried task sees the same order, unlike rand()).
+    ``epoch``: an int or a Column."""
+    e = epoch if isinstance(epoch, Column) else F.lit(epoch)
     if method == "md5":
-        return F.md5(F.concat(F.lit("e"), F.lit(epoch).cast("string"), F.lit(":"), F.col(key).cast("string")))
+        return F.md5(F.concat(F.lit("e"), e.cast("string"), F.lit(":"), F.col(key).cast("string")))
     if method == "xxhash":
-        return F.xxhash64(F.col(key), F.lit(epoch))
+        return F.xxhash64(F.col(key), e)
     raise ValueError(method)
 
 
 def epoch_batches(
     df: DataFrame,
     key: str,
-    epoch: int,
+    epochs: int | Sequence[int],
     *,
     batch_size: int = C.BATCH_SIZE,
     partition: Sequence[str] = ("split",),
     max_partition_values: int = 16,
 ) -> DataFrame:
-    """Shuffled batch numbers for one epoch: rank by md5(epoch, key) (4,096 uniform hash buckets)."""
-    d = df.withColumn("_sh", shuffle_key(key, epoch)).withColumn("_ord", F.struct("_sh", F.col(key)))
+    """Shuffled batch numbers per epoch: rank by md5(epoch, key) (4,096 uniform hash buckets).
+
+    Several epochs come from ONE pass over ``df``: each row is repeated once
+    per epoch (the output has that many rows anyway) and the epoch joins the
+    ranking partition.
+    """
+    eps = [epochs] if isinstance(epochs, int) else list(epochs)
+    d = df.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in eps])))
+    d = d.withColumn("_sh", shuffle_key(key, F.col("epoch"))).withColumn("_ord", F.struct("_sh", F.col(key)))
     ranked = ordered_prefix(
-        d, "_ord", hex_bucket(F.col("_sh"), 3), n_buckets=4096, partition=partition,
-        max_partition_values=max_partition_values, rank="row_idx",
+        d, "_ord", hex_bucket(F.col("_sh"), 3), n_buckets=4096, partition=("epoch", *partition),
+        max_partition_values=max_partition_values * len(eps), rank="row_idx",
     ).drop("_sh", "_ord")
-    return ranked.withColumn("epoch", F.lit(epoch)).withColumn(
-        "batch_id", (F.floor((F.col("row_idx") - 1) / F.lit(batch_size)) + 1).cast("long")
-    )
+    return ranked.withColumn("batch_id", (F.floor((F.col("row_idx") - 1) / F.lit(batch_size)) + 1).cast("long"))

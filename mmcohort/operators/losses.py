@@ -120,19 +120,17 @@ def mse(df: DataFrame, pairs: dict, *, by: Sequence[str] = ()) -> DataFrame:
     """Per (by..., modality): sum of squared errors / number of elements.
 
     ``pairs`` maps modality -> (input array column, reconstruction array column).
+    One aggregate computes the sums of every modality (one pass over ``df``);
+    ``stack`` then turns them into one row per modality.
     """
-    parts = []
-    for m, (x, xh) in pairs.items():
-        parts.append(
-            df.groupBy(*by).agg(
-                F.lit(m).alias("modality"),
-                (F.sum(sq_err_sum(x, xh)) / F.sum(F.size(x)).cast("double")).alias("mse"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    mods = list(pairs)
+    aggs = []
+    for i, m in enumerate(mods):
+        x, xh = pairs[m]
+        aggs += [F.sum(sq_err_sum(x, xh)).alias(f"_se{i}"), F.sum(F.size(x)).cast("double").alias(f"_n{i}")]
+    wide = df.groupBy(*by).agg(*aggs)
+    stacked = ", ".join(f"'{m}', `_se{i}` / `_n{i}`" for i, m in enumerate(mods))
+    return wide.selectExpr(*[f"`{c}`" for c in by], f"stack({len(mods)}, {stacked}) AS (modality, mse)")
 
 
 def combined(asl_total: DataFrame, mse_df: DataFrame, *, by: Sequence[str], beta: float = C.BETA) -> DataFrame:

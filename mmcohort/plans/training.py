@@ -45,12 +45,13 @@ def fixture_scorer():
     return SC.class_logits_from_vocab(SC.linear_vocab_model(N_TOK * LATENT))
 
 
-def scored(spark, sf_dir, *, decode=True):
-    """Encode (+decode) every modality, score jointly; written once to the shared folder."""
+def scored(spark, sf_dir, *, decode=True, write=True):
+    """Encode (+decode) every modality, score jointly; written once to the shared
+    folder when several passes read it (``write``)."""
     ms = modal_split(spark, sf_dir)
     e = SC.encode(ms, fixture_weights(spark), SPEC.stored_order, decode=decode)
     s = SC.score(e, fixture_scorer(), C.TOKEN_ORDER, LATENT)
-    return materialize(s, "scored")
+    return materialize(s, "scored") if write else s
 
 
 # ------------------------------------------------------------------ DuckDB text
@@ -217,8 +218,7 @@ SELECT epoch, study_id, CAST((rn - 1) // {C.BATCH_SIZE} + 1 AS BIGINT) AS batch_
   FROM ms CROSS JOIN ep WHERE split = 'train')""")
 def q_shuffle(spark, sf_dir):
     tr = modal_split(spark, sf_dir).where(F.col("split") == "train")
-    parts = [B.epoch_batches(tr, "study_id", e, partition=()) for e in (1, 2)]
-    out = parts[0].unionByName(parts[1])
+    out = B.epoch_batches(tr, "study_id", (1, 2), partition=())
     return out.select(F.col("epoch").cast("int").alias("epoch"), "study_id", "batch_id")
 
 
@@ -309,7 +309,7 @@ def q_decode_mse(spark, sf_dir):
 @register("joint_scores", "M4 X4 F10 F11", f"""{_MODAL_SPLIT}, {_CODES}
 SELECT study_id, class_id, {r('z')} AS logit FROM joint""")
 def q_joint(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = scored(spark, sf_dir, decode=False, write=False)  # one pass reads it
     return rounded(s.select("study_id", F.posexplode("logits").alias("class_id", "logit")))
 
 
