@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: dict = {}  # id(SparkContext) -> zip path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``mmcohort`` importable in the Python workers (``mapInPandas``,
+    Pandas UDFs and the fit pickle references to it).
+
+    The package is zipped on the driver and handed to ``SparkContext.addPyFile``,
+    which distributes it to every executor (cluster or local) — the driver's
+    ``sys.path`` does not reach the workers. Once per SparkContext.
+    """
+    sc = spark.sparkContext
+    if _SHIPPED.get(id(sc)):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    # driver-side build artefact only: Spark copies it to the executors itself
+    out = os.path.join(tempfile.mkdtemp(prefix="mmcohort-pyfiles-"), f"mmcohort-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED[id(sc)] = out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
