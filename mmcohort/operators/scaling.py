@@ -21,21 +21,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_stats(df: DataFrame, arrays: Sequence[str], widths: dict | None = None) -> DataFrame:
+# Statistics are merged in two levels: partial summaries of the input partitions
+# are combined per group (partition id modulo this number), spread over the
+# reducers, and the <= STAT_GROUPS group summaries are combined at the end. A
+# single global aggregate would ship every partition's buffer (several vectors
+# of the full feature width) into ONE task — tens of GB at 10^5 input splits.
+STAT_GROUPS = 1024
+
+
+def fit_stats(df: DataFrame, arrays: Sequence[str], widths: dict | None = None, *, groups: int = STAT_GROUPS) -> DataFrame:
     """One-row table: for each array column ``a``: ``a__mean``, ``a__std`` (arrays) and ``n``.
 
     Caller filters the training rows first. ``widths`` (modality -> width,
     e.g. from the ``ModalitySpec``) avoids a look at the first row.
+
+    Level 1: ``Summarizer`` (count, mean, sample variance) per group of input
+    partitions. Level 2, one aggregate over <= ``groups`` rows: the mean of the
+    group means weighted by n_g, and M2 = sum (n_g - 1) var_g + sum n_g (mean_g -
+    mean)^2, the second sum being Summarizer's weighted variance of the group
+    means times (W - sum n_g^2 / W) — the stable combination (no sum of
+    squares). std = sqrt(M2 / (n - 1)); NULL when n < 2.
     """
     arrays = list(arrays)
     vec = F.concat(*[F.col(a).cast("array<double>") for a in arrays]) if len(arrays) > 1 else F.col(arrays[0]).cast("array<double>")
-    summary = df.select(array_to_vector(vec).alias("_v")).select(
-        Summarizer.metrics("mean", "std", "count").summary(F.col("_v")).alias("s")
+    per = (
+        df.select(array_to_vector(vec).alias("_v"), (F.spark_partition_id() % F.lit(groups)).alias("_g"))
+        .groupBy("_g")
+        .agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s"))
+        .select(
+            F.col("s.count").cast("double").alias("_n"),
+            F.col("s.mean").alias("_m"),
+            array_to_vector(
+                F.transform(vector_to_array(F.col("s.variance")), lambda v: (F.col("s.count") - F.lit(1)) * v)
+            ).alias("_within"),
+        )
+    )
+    tot = per.agg(
+        Summarizer.metrics("mean", "variance").summary(F.col("_m"), F.col("_n")).alias("b"),
+        Summarizer.sum(F.col("_within")).alias("_w"),
+        F.sum("_n").alias("_N"),
+        F.sum(F.col("_n") * F.col("_n")).alias("_N2"),
     )
-    s = summary.select(
-        vector_to_array(F.col("s.mean")).alias("_mean"),
-        vector_to_array(F.col("s.std")).alias("_std"),
-        F.col("s.count").alias("n"),
+    n_tot = F.coalesce(F.col("_N"), F.lit(0.0))
+    factor = F.when(n_tot > 0, n_tot - F.col("_N2") / n_tot).otherwise(F.lit(0.0))
+    m2 = F.zip_with(vector_to_array(F.col("_w")), vector_to_array(F.col("b.variance")), lambda w, v: w + v * factor)
+    s = tot.select(
+        vector_to_array(F.col("b.mean")).alias("_mean"),
+        F.when(n_tot >= F.lit(2.0), F.transform(m2, lambda x: F.sqrt(F.greatest(x, F.lit(0.0)) / (n_tot - F.lit(1.0))))).alias("_std"),
+        n_tot.cast("long").alias("n"),
     )
     widths = dict(widths) if widths else _widths(df, arrays)
     cols, start = [], 1

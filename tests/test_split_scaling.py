@@ -91,3 +91,19 @@ def test_zscore_narrow_and_wide_paths_match_numpy(spark, width):
     mu, sd = X.mean(axis=0), X.std(axis=0, ddof=1)
     want = np.where(sd != 0, (X - mu) / np.where(sd != 0, sd, 1), X)
     assert np.allclose(np.sort(got, axis=0), np.sort(want, axis=0), rtol=1e-9, atol=1e-9)
+
+
+def test_statistics_merge_in_two_levels(spark):
+    # partial summaries are merged per group of input partitions (a hash exchange on the group),
+    # so no single task receives one buffer per input split
+    df = spark.range(5000).select(F.array((F.col("id") % 17).cast("double"), F.sqrt(F.col("id").cast("double"))).alias("v"))
+    st = S.fit_stats(df.repartition(64), ["v"], widths={"v": 2}, groups=8)
+    row = st.first()
+    plan = st._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_g" in plan, plan
+    import numpy as np
+
+    x = np.asarray([[i % 17, np.sqrt(i)] for i in range(5000)], dtype=float)
+    assert np.allclose(row["v__mean"], x.mean(axis=0), rtol=1e-12)
+    assert np.allclose(row["v__std"], x.std(axis=0, ddof=1), rtol=1e-10)
+    assert row["n"] == 5000
