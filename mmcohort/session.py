@@ -33,7 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-_SHIPPED: dict = {}  # id(SparkContext) -> zip path
+_SHIPPED: dict = {}  # application id of the SparkContext -> zip path
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -45,7 +45,8 @@ def ship_package(spark: SparkSession) -> None:
     ``sys.path`` does not reach the workers. Once per SparkContext.
     """
     sc = spark.sparkContext
-    if _SHIPPED.get(id(sc)):
+    app = sc.applicationId  # unique per context, unlike id(sc) after a stop / restart
+    if _SHIPPED.get(app):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
@@ -58,7 +59,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED[id(sc)] = out
+    _SHIPPED[app] = out
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
