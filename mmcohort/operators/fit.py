@@ -3,7 +3,7 @@
 One optimisation step = one Spark job:
 
 1. the current parameters are broadcast;
-2. ``mapInPandas`` computes, per partition, the gradient SUM of
+2. ``mapInArrow`` computes, per partition, the gradient SUM of
    L + beta * sum_m mse_m (asymmetric loss through the frozen head, masked per
    class, and reconstruction error) and the loss sums — one row per partition;
 3. the gradient is cut in chunks (a row per chunk per partition) and
@@ -246,15 +246,17 @@ def fit_projectors(
         bc = spark.sparkContext.broadcast(state.params)
 
         def part(batches, bc=bc):
-            import pandas as pd
+            import pyarrow as pa
+
+            from mmcohort.operators.scoring import arrow_matrix
 
             params = bc.value
             acc = np.zeros(n_tot)
-            for pdf in batches:
-                if not len(pdf):
+            for b in batches:
+                if not b.num_rows:
                     continue
-                X = {m: np.stack([np.asarray(v, dtype=np.float64) for v in pdf[m].to_numpy()]) for m in mods}
-                Y = np.stack([np.asarray([np.nan if t is None else t for t in v], dtype=np.float64) for v in pdf[y].to_numpy()])
+                X = {m: arrow_matrix(b.column(b.schema.get_field_index(m))) for m in mods}
+                Y = arrow_matrix(b.column(b.schema.get_field_index(y)))  # NULL labels -> NaN (masked)
                 L, mse, g, dps = loss_and_grad(
                     X, Y, params, hd, mods, gam, n_valid, n_rows, beta=beta, shared_mult=mult, dp_sums=True,
                     loss=loss, class_w=cw, isolated=isolated,
@@ -264,10 +266,14 @@ def fit_projectors(
                 acc[n_par + 1:n_par + 1 + len(mods)] += [mse[m] for m in mods]
                 acc[n_par + 1 + len(mods):] += dps
             # one row per chunk: the reduction below is spread over `chunks` tasks
-            yield pd.DataFrame({"chunk": list(range(chunks)), "g": [acc[c * chunk_size:(c + 1) * chunk_size] for c in range(chunks)]})
+            offs = np.minimum(np.arange(chunks + 1, dtype=np.int64) * chunk_size, n_tot).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(chunks, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(acc))],
+                names=["chunk", "g"],
+            )
 
         sums = (
-            cols.mapInPandas(part, out_schema)
+            cols.mapInArrow(part, out_schema)
             .select("chunk", array_to_vector("g").alias("g"))
             .groupBy("chunk")
             .agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("s"))

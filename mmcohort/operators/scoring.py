@@ -4,7 +4,7 @@
   read once on the driver (size fixed by the model, ~54 MB at full width),
   shipped with ``SparkContext.broadcast`` and turned into NumPy matrices once
   per Python worker.
-* ``encode`` runs ``mapInPandas``: one Arrow batch = one matrix product per
+* ``encode`` runs ``mapInArrow``: one Arrow batch = one matrix product per
   modality (relu(X Wᵀ + b)), optional reconstruction (H Vᵀ + c).
 * ``score`` feeds the codes, in token order, to a pluggable frozen scorer with
   ``pyspark.ml.functions.predict_batch_udf`` (Arrow batches of ``batch_size``).
@@ -120,26 +120,30 @@ def encode(
             fields.append(T.StructField(f"recon_{m}", T.ArrayType(T.DoubleType())))
     schema = T.StructType(fields)
 
+    names = [f.name for f in fields]
+
     def run(batches):
+        import pyarrow as pa
+
         mats = bc.value
-        for pdf in batches:
-            n = len(pdf)
+        for batch in batches:
+            n = batch.num_rows
+            extra = []
+            hs = {}
             for m in mods:
                 mm = mats[m]
                 W, b = mm["W"].astype(dt), mm["b"].astype(dt)
-                if n:
-                    X = np.stack([np.asarray(v, dtype=dt) for v in pdf[m].to_numpy()])
-                    H = np.maximum(X @ W.T + b, 0.0)
-                else:
-                    H = np.zeros((0, W.shape[0]), dtype=dt)
-                pdf[f"code_{m}"] = list(H.astype(np.float64))
-                if decode:
+                X = arrow_matrix(batch.column(batch.schema.get_field_index(m))).astype(dt) if n else np.zeros((0, W.shape[1]), dtype=dt)
+                hs[m] = np.maximum(X @ W.T + b, 0.0)
+                extra.append(_list_column(hs[m]))
+            if decode:
+                for m in mods:
+                    mm = mats[m]
                     V, c = mm["V"].astype(dt), mm["c"].astype(dt)
-                    R = H @ V.T + c
-                    pdf[f"recon_{m}"] = list(R.astype(np.float64))
-            yield pdf
+                    extra.append(_list_column(hs[m] @ V.T + c))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def encode_sql(df: DataFrame, weights: ProjectorWeights, modalities: Sequence[str], *, decode: bool = False) -> DataFrame:
@@ -244,6 +248,30 @@ def score_isolated(
     return score(long, make_scorer, ["tok"], latent, out=out, batch_size=batch_size).drop("code_tok", "code")
 
 
+def _list_column(mat: np.ndarray):
+    """Arrow list<double> column from a (rows, width) matrix (one buffer, no row loop)."""
+    import pyarrow as pa
+
+    n, k = (mat.shape[0], mat.shape[1]) if mat.ndim == 2 else (0, 0)
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * k)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(mat, dtype=np.float64).ravel(), type=pa.float64()))
+
+
+def arrow_matrix(col) -> np.ndarray:
+    """(rows, width) float64 matrix of an Arrow list column of equal-length
+    lists, converted in one vectorised step (no Python loop over rows);
+    NULL elements become NaN. Falls back to a row loop for ragged input."""
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0))
+    offs = np.asarray(col.offsets)
+    widths = np.diff(offs)
+    if col.null_count == 0 and (widths == widths[0]).all():
+        vals = col.flatten().to_numpy(zero_copy_only=False)
+        return np.asarray(vals, dtype=np.float64).reshape(n, int(widths[0]))
+    return np.stack([np.asarray([np.nan if x is None else x for x in v], dtype=np.float64) for v in col.to_pylist()])
+
+
 def encode_and_score(
     df: DataFrame,
     weights: ProjectorWeights,
@@ -273,7 +301,7 @@ def encode_and_score(
     schema = T.StructType(fields)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         from mmcohort.operators import scoring as this  # the imported module: its cache outlives the task
 
@@ -281,28 +309,29 @@ def encode_and_score(
         predict = this._SCORERS.get(token)
         if predict is None:
             predict = this._SCORERS.setdefault(token, make_scorer())
-        for pdf in batches:
-            n = len(pdf)
-            res = pdf[keep].copy()
+        for batch in batches:
+            n = batch.num_rows
             if not n:
-                res[out] = pd.Series([], dtype=object)
-                yield res
-                continue
-            codes = {}
-            for m in mods:
-                mm = mats[m]
-                X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[m].to_numpy()])
-                codes[m] = np.maximum(X @ mm["W"].astype(np.float64).T + mm["b"].astype(np.float64), 0.0)
-            seq = np.stack([codes[m] for m in toks], axis=1)  # (B, T, latent)
-            if half:
-                seq = seq.astype(np.float16).astype(np.float64)
-            logits = np.concatenate(
-                [np.asarray(predict(seq[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)]
-            )
-            res[out] = list(logits)
-            yield res
-
-    return df.select(*keep, *mods).mapInPandas(run, schema)
+                logits = np.zeros((0, 0))
+            else:
+                codes = {}
+                for m in mods:
+                    mm = mats[m]
+                    X = arrow_matrix(batch.column(batch.schema.get_field_index(m)))
+                    codes[m] = np.maximum(X @ mm["W"].astype(np.float64).T + mm["b"].astype(np.float64), 0.0)
+                seq = np.stack([codes[m] for m in toks], axis=1)  # (B, T, latent)
+                if half:
+                    seq = seq.astype(np.float16).astype(np.float64)
+                logits = np.concatenate(
+                    [np.asarray(predict(seq[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)]
+                )
+            k = logits.shape[1] if n else 0
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * k)
+            out_col = pa.ListArray.from_arrays(offsets, pa.array(logits.ravel(), type=pa.float64()))
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, out_col], names=[*keep, out])
+
+    return df.select(*keep, *mods).mapInArrow(run, schema)
 
 
 def linear_head(head: np.ndarray) -> Callable:

@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-PYTHON_OPS = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+PYTHON_OPS = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "PythonUDF")
 NO_PYTHON = [
     "eval_report", "roc_points", "roc_points_ties", "roc_auc_ties", "threshold_metrics_ties", "cohort_cells",
     "label_pack_recode", "incomplete_filter", "group_split", "zscore_apply", "bce_masked", "asl_joint",
