@@ -37,7 +37,7 @@ _SHIPPED: dict = {}  # application id of the SparkContext -> zip path
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``mmcohort`` importable in the Python workers (``mapInPandas``,
+    """Make ``mmcohort`` importable in the Python workers (``mapInArrow``,
     Pandas UDFs and the fit pickle references to it).
 
     The package is zipped on the driver and handed to ``SparkContext.addPyFile``,
