@@ -2,7 +2,7 @@
 
 A fresh driver process, started outside the repository with only its own
 ``sys.path`` pointing at it, runs a query whose work happens in Python
-workers (fused projection + scoring in ``mapInPandas``)."""
+workers (fused projection + scoring in ``mapInArrow``)."""
 
 import os
 import subprocess
