@@ -334,6 +334,64 @@ def encode_and_score(
     return df.select(*keep, *mods).mapInArrow(run, schema)
 
 
+def encode_decode_score(
+    df: DataFrame,
+    weights: ProjectorWeights,
+    make_scorer: Callable,
+    token_order: Sequence[str],
+    *,
+    keep: Sequence[str] = ("y",),
+    batch_size: int = 1024,
+) -> DataFrame:
+    """Validation pass in ONE Python step: (keep..., logits, _se_<m>, _n_<m>).
+
+    Codes and reconstructions (as wide as the input) stay in the worker; only
+    the class logits and, per modality, the sum of squared reconstruction
+    errors and the element count leave it.
+    """
+    bc = weights.bc
+    toks = list(token_order)
+    keep = list(keep)
+    fields = [df.schema[c] for c in keep] + [T.StructField("logits", T.ArrayType(T.DoubleType()))]
+    for m in toks:
+        fields += [T.StructField(f"_se_{m}", T.DoubleType()), T.StructField(f"_n_{m}", T.LongType())]
+    names = [f.name for f in fields]
+    token = uuid.uuid4().hex
+
+    def run(batches):
+        import pyarrow as pa
+
+        from mmcohort.operators import scoring as this
+
+        mats = bc.value
+        predict = this._SCORERS.get(token)
+        if predict is None:
+            predict = this._SCORERS.setdefault(token, make_scorer())
+        for batch in batches:
+            n = batch.num_rows
+            codes, stats = {}, []
+            for m in toks:
+                mm = mats[m]
+                W, b = mm["W"].astype(np.float64), mm["b"].astype(np.float64)
+                X = arrow_matrix(batch.column(batch.schema.get_field_index(m))) if n else np.zeros((0, W.shape[1]))
+                H = np.maximum(X @ W.T + b, 0.0)
+                R = H @ mm["V"].astype(np.float64).T + mm["c"].astype(np.float64)
+                codes[m] = H
+                stats += [pa.array(((R - X) ** 2).sum(axis=1), type=pa.float64()),
+                          pa.array(np.full(n, X.shape[1], dtype=np.int64))]
+            if n:
+                seq = np.stack([codes[m] for m in toks], axis=1)
+                logits = np.concatenate(
+                    [np.asarray(predict(seq[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)]
+                )
+            else:
+                logits = np.zeros((0, 0))
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, _list_column(logits), *stats], names=names)
+
+    return df.select(*keep, *toks).mapInArrow(run, T.StructType(fields))
+
+
 def linear_head(head: np.ndarray) -> Callable:
     """Scorer of a frozen linear head (K, T * latent) on the flattened code sequence
     (the head the projector fit trains through)."""

@@ -24,7 +24,6 @@ from mmcohort.operators import losses as L
 from mmcohort.operators import metrics as M
 from mmcohort.operators import scaling as S
 from mmcohort.operators import scoring as SC
-from mmcohort.functions.columns import sq_err_sum
 from mmcohort.operators import fit as FT
 from mmcohort.operators import split as SP
 from mmcohort.session import materialize
@@ -106,8 +105,9 @@ def validate(
 ) -> dict:
     """M8: loss and delta-p of one split without gradients, as Spark aggregations.
 
-    One Python pass (encode + decode + frozen head) writes a small per-row
-    table (labels, logits, squared reconstruction error per modality); the
+    One fused Python pass (encode + decode + frozen head, codes and
+    reconstructions never leave the worker) writes a small per-row table
+    (labels, logits, squared reconstruction error per modality); the
     asymmetric loss (summed over classes), the reconstruction MSE per
     modality and delta-p per class are aggregates over it. ``loss="bce"``
     uses the weighted BCE averaged over the classes with ``class_w`` (the
@@ -116,18 +116,8 @@ def validate(
     """
     spark = val.sparkSession
     mods = list(token_order)
-    latent = params[mods[0]]["W"].shape[0]
     w = SC.ProjectorWeights(spark, {m: {k: np.asarray(params[m][k], dtype=np.float64) for k in FT.PARAM_NAMES} for m in mods})
-    e = SC.encode(val.select("y", *mods), w, mods, decode=True)
-    s = SC.score(e, SC.linear_head(head), mods, latent)
-    per = materialize(
-        s.select(
-            "y", "logits",
-            *[sq_err_sum(m, f"recon_{m}").alias(f"_se_{m}") for m in mods],
-            *[F.size(m).cast("long").alias(f"_n_{m}") for m in mods],
-        ),
-        f"{name}-scored",
-    )
+    per = materialize(SC.encode_decode_score(val, w, SC.linear_head(head), mods, keep=["y"]), f"{name}-scored")
     lg = L.to_long(per, keep=(), y="y", z="logits")
     if loss == "bce":
         per_class = L.bce(lg, class_w)
