@@ -325,11 +325,8 @@ def encode_and_score(
                 logits = np.concatenate(
                     [np.asarray(predict(seq[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)]
                 )
-            k = logits.shape[1] if n else 0
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * k)
-            out_col = pa.ListArray.from_arrays(offsets, pa.array(logits.ravel(), type=pa.float64()))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, out_col], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*cols, _list_column(logits)], names=[*keep, out])
 
     return df.select(*keep, *mods).mapInArrow(run, schema)
 
