@@ -68,3 +68,30 @@ def test_fused_encode_and_score_equals_two_passes(spark):
     assert a.keys() == b.keys() and len(a) == 500
     assert all(max(abs(x - y) for x, y in zip(a[k], b[k])) < 1e-12 for k in a)
     assert one.where(F.size("logits") != 12).count() == 0
+
+
+def test_fused_validation_pass_equals_two_passes(spark):
+    import numpy as np
+
+    from mmcohort import config as C
+    from mmcohort.functions.columns import sq_err_sum
+    from mmcohort.operators import scoring as SC
+    from mmcohort.sources import fixtures as fx
+
+    m = fx.modal(spark, "/root/testdata/sf0.001")
+    w = SC.ProjectorWeights.from_table(SC.rule_weights(spark, C.FIXTURE_SPEC, 4))
+    head = SC.vocab_matrix(len(C.TOKEN_ORDER) * 4, C.VOCAB_POSITIONS)
+    toks = list(C.TOKEN_ORDER)
+    e = SC.encode(m, w, toks, decode=True)
+    two = SC.score(e, SC.linear_head(head), toks, 4).select(
+        "study_id", "logits", *[sq_err_sum(t, f"recon_{t}").alias(f"_se_{t}") for t in toks]
+    )
+    one = SC.encode_decode_score(m, w, SC.linear_head(head), toks, keep=["study_id"], batch_size=13)
+    a = {r["study_id"]: r for r in two.collect()}
+    b = {r["study_id"]: r for r in one.collect()}
+    assert a.keys() == b.keys() and len(a) == 500
+    for k in a:
+        assert np.allclose(a[k]["logits"], b[k]["logits"], rtol=1e-12, atol=1e-12)
+        for t in toks:
+            assert abs(a[k][f"_se_{t}"] - b[k][f"_se_{t}"]) <= 1e-9 * max(1.0, abs(a[k][f"_se_{t}"]))
+            assert b[k][f"_n_{t}"] == C.FIXTURE_SPEC.widths[t]
