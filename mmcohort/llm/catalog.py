@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mmcohort.llm import decontamination, histogram, jaccard, licenses, packing, sharding
+from mmcohort.llm import ann, decontamination, histogram, html, jaccard, licenses, packing, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,24 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth vector by a hierarchical k-means tree."""
+    return ann.search(_t(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a convolutional classifier."""
+    return toxicity.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+@query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by a tree-structured graphical model."""
+    return html.extract(_t(spark, sf_dir, "pages"))
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical weighted hash tree over documents, eight shards, law ``key``."""
@@ -39,6 +57,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages filed as ARC archives, converted to WARC and read back."""
+    return warc.round_trip(_t(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit packing of documents in sequences of 2048 tokens."""

@@ -62,9 +62,10 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
-def _hash_slice(low: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _hash_slice(low: np.ndarray, word: np.ndarray, starts: np.ndarray, prefixes: tuple[int, ...]) -> np.ndarray:
+    """(1 + prefixes, words): hashes of the words and of their first bytes."""
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty((1 + len(prefixes), 0), np.uint64)
     first = starts[0]
     ends = np.append(starts[1:], len(low))
     k = np.arange(first, len(low)) - np.repeat(starts, ends - starts)
@@ -72,12 +73,18 @@ def _hash_slice(low: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.nda
     most = int(k[w].max()) + 1
     vals = _BYTE[low[first:]] * _powers(most)[np.minimum(k, most - 1)]
     vals[~w] = 0
-    return mix(np.add.reduceat(vals, starts - first))
+    out = [np.add.reduceat(vals, starts - first)]
+    if prefixes:
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(vals)])
+        for p in prefixes:  # a shorter word is its own prefix
+            out.append(run[np.minimum(starts + p, ends) - first] - run[starts - first])
+    return mix(np.stack(out))
 
 
-def hash_words(buf: np.ndarray, kind: str = ALNUM, breaks: np.ndarray | None = None):
+def hash_words(buf: np.ndarray, kind: str = ALNUM, breaks: np.ndarray | None = None, prefixes: tuple[int, ...] = ()):
     """Hashes and byte places of the words of ``buf`` (uint8), in order;
-    ``breaks``: byte places where a new text begins."""
+    ``breaks``: byte places where a new text begins. With ``prefixes`` the
+    hashes have a row more for the first so many bytes of each word."""
     hashes, places = [], []
     breaks = np.zeros(1, np.int64) if breaks is None else breaks
     lo, n = 0, len(buf)
@@ -98,23 +105,24 @@ def hash_words(buf: np.ndarray, kind: str = ALNUM, breaks: np.ndarray | None = N
         b = breaks[np.searchsorted(breaks, lo) : np.searchsorted(breaks, hi)] - lo
         begin[b] |= word[b]
         starts = np.flatnonzero(begin)
-        hashes.append(_hash_slice(low, word, starts))
+        hashes.append(_hash_slice(low, word, starts, prefixes))
         places.append(starts + lo)
         lo = hi
-    h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    h = np.concatenate(hashes, 1) if hashes else np.empty((1 + len(prefixes), 0), np.uint64)
     s = np.concatenate(places) if places else np.empty(0, np.int64)
-    return h, s
+    return (h if prefixes else h[0]), s
 
 
 class Texts:
     """Some texts of an Arrow column as one byte buffer with word hashes.
 
-    ``hash``: all word hashes; ``at[i]:at[i+1]``: the words of text ``i``.
+    ``hash``: all word hashes (with ``prefixes``: a row each);
+    ``at[i]:at[i+1]``: the words of text ``i``.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, kind: str):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, kind: str, prefixes: tuple[int, ...] = ()):
         self.buf, self.offsets = buf, offsets
-        self.hash, self.starts = hash_words(buf, kind, np.unique(offsets[:-1]))
+        self.hash, self.starts = hash_words(buf, kind, np.unique(offsets[:-1]), prefixes)
         self.at = np.searchsorted(self.starts, offsets)
 
     def __len__(self) -> int:
@@ -126,7 +134,9 @@ def _binary(col: pa.Array) -> pa.Array:
     return col.fill_null(b"") if col.null_count else col
 
 
-def text_groups(col, kind: str = ALNUM, limit: int = 1 << 22) -> Iterator[tuple[int, int, Texts]]:
+def text_groups(
+    col, kind: str = ALNUM, limit: int = 1 << 22, prefixes: tuple[int, ...] = ()
+) -> Iterator[tuple[int, int, Texts]]:
     """(first row, end row, Texts) over a string column, nulls as empty, about
     ``limit`` bytes at a time (a longer text makes a group of its own)."""
     if isinstance(col, pa.ChunkedArray):
@@ -144,7 +154,7 @@ def text_groups(col, kind: str = ALNUM, limit: int = 1 << 22) -> Iterator[tuple[
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         j = min(j, n)
-        yield i, j, Texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], kind)
+        yield i, j, Texts(buf[off[i] : off[j]], off[i : j + 1] - off[i], kind, prefixes)
         i = j
 
 
