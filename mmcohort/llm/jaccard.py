@@ -228,18 +228,17 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of a block; classes with equal labels
-    are known to be joined already."""
+    """The components of a block, as links of labels to the smallest label of
+    their component; classes with equal labels are known to be joined."""
     _, first = np.unique(np.array(ids, np.int64), return_index=True)
-    ids = [ids[i] for i in first]
     sets = [sets[i] for i in first]
-    comp = np.unique(np.array([labels[i] for i in first], np.int64), return_inverse=True)[1]
-    if len(ids) < 2 or comp.max() == 0:
+    names, comp = np.unique(np.array([labels[i] for i in first], np.int64), return_inverse=True)
+    if len(names) < 2:
         return []
+    start = comp.copy()
     sizes = np.array([len(x) for x in sets])
     counts = np.stack([np.bincount((x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for x in sets])
     tree = RTree(counts.astype(np.int32), sizes)
-    out = []
     for _, _, _, kids, queries in tree.nodes:
         if kids is not None:
             continue
@@ -248,10 +247,11 @@ def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], perce
             while len(found):
                 j, found = int(found[0]), found[1:]
                 if linked(sets[q], sets[j], percent):
-                    out.append((ids[q], ids[j]))
-                    comp[comp == comp[j]] = comp[q]
+                    a, b = sorted((comp[q], comp[j]))
+                    comp[comp == b] = a
                     found = found[comp[found] != comp[q]]
-    return out
+    moved = np.unique(np.stack([start, comp], 1)[start != comp], axis=0)
+    return [(int(names[a]), int(names[b])) for a, b in moved]
 
 
 def memberships(docs: DataFrame, n: int) -> DataFrame:
@@ -381,31 +381,31 @@ def _cells(df: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for every node of (src, dst): alternating star contraction.
-    Only (node, root) pairs move; each round is written, so a lost executor
-    costs a part of one round."""
+    """node, root for every node of (src, dst) that is not its component's
+    smallest: alternating star contraction. Only such pairs move; each round
+    is written, so a lost executor costs a part of one round."""
     e = links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     e = materialize(e, "links")
-    state = None
     while True:
-        # large star: a node's greater neighbours join its smallest neighbour
+        # done when no node hangs from two, and none that others hang from hangs itself
+        roles = e.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+        roles = roles.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("root"))
+        if roles.where("ups > 1 or (ups = 1 and root = 0)").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        # large star: a node's greater neighbours, and itself, join its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.unionByName(e.join(low, "u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        big = both.join(low, "u").select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours join the smallest of them
+        big = big.where("u <> v").distinct().repartition("u")
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(e, "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(now)
 
 
 def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """src, dst: links that span the components of the classes."""
+    """node, root: the components of the classes."""
     spark = docs.sparkSession
     keys = routes(docs, n, percent)
     shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("__x")).where("pivot <> __x")
@@ -434,21 +434,20 @@ def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     )
     links = materialize(_cells(first.join(sets, "cls"), percent), "links")
 
-    wide = materialize(pairs.join(cut.where("cells > 1"), "pivot"), "wide")
-    if wide.isEmpty():
-        return links
     roots = components(links)
+    # blocks that were cut and are not one component yet
+    wide = pairs.join(cut.where("cells > 1"), "pivot")
     known = wide.join(roots, wide["cls"] == roots["node"], "left").select(
         "pivot", "cls", "cells", F.coalesce("root", "cls").alias("label")
     )
     known = materialize(known, "known")
+    if known.isEmpty():
+        return roots
     by = known.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("pivot").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("label").alias("parts"))
     main = main.where("parts > 1")
     open_ = known.join(main, "pivot")
     outside = open_.where("label <> main")
-    if outside.isEmpty():
-        return links
     rows = outside.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL_DOCS).alias("rows"))
     grid = open_.join(rows, "pivot")
     chunk, row = F.pmod(F.xxhash64("cls"), F.col("cells")), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rows"))
@@ -461,7 +460,9 @@ def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     cells = every.unionByName(lone).distinct()
     cells = cells.select(F.xxhash64("pivot", "c", "r", F.lit("grid")).alias("cell"), "cls", "label")
     more = materialize(_cells(cells.join(sets, "cls"), percent), "links")
-    return links.unionByName(more)
+    if more.isEmpty():
+        return roots
+    return components(more.unionByName(roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
 
 
 def join(
@@ -470,7 +471,7 @@ def join(
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     members = materialize(memberships(src, n), "members")
-    roots = components(join_classes(src, members, n, percent))
+    roots = join_classes(src, members, n, percent)
     near = members.where("n_shingles > 0 and doc_id is not null").join(roots, members["cls"] == roots["node"], "left")
     group = near.select("doc_id", F.coalesce("root", "cls").alias("g")).groupBy("g").agg(
         F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("k")
