@@ -58,6 +58,10 @@ DROPPED_COLUMNS = (
     "PerformedProcedureStepDescription", "ViewPosition",
     "48-hour Mortality", "Length-of-Stay",
 )
+# Columns removed in the single-label mode.
+SINGLE_LABEL_DROPPED = (
+    "img_id", "img_charttime", "img_deltacharttime", "discharge_location", "img_length_of_stay", "death_status",
+)
 DROPPED_PREFIXES = ("de_", "vp_", "vmp_")
 
 # Scorer vocabulary positions read as class logits (one per class).

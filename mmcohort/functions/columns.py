@@ -32,62 +32,38 @@ def present(x) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
 
-# Arrays of a known width up to this size are tested element by element (plain
-# generated code); wider ones, or of unknown width, with one higher-order function.
-ELEMENTWISE_MAX_WIDTH = 64
-
-
-def _elementwise(width: int | None) -> bool:
-    return width is not None and width <= ELEMENTWISE_MAX_WIDTH
-
-
-def any_above(arr, limit: float, width: int | None = None) -> Column:
-    """True iff some element is strictly above ``limit``.
+def any_above(arr, limit: float) -> Column:
+    """True iff some element is strictly above ``limit``, whatever the length.
 
     NULL and NaN elements do not count (pandas semantics: NaN > x is false),
-    and the result is never NULL. ``width``: the known array length, if any.
+    and the result is never NULL.
     """
-    def above(x):
-        return F.coalesce((x > F.lit(limit)) & ~F.isnan(x), F.lit(False))
+    above = lambda x: F.coalesce((x > F.lit(limit)) & ~F.isnan(x), F.lit(False))
+    return F.coalesce(F.exists(col(arr), above), F.lit(False))
 
-    a = col(arr)
-    if _elementwise(width):
-        out = F.lit(False)
-        for i in range(width):
-            out = out | above(a[i])
-        return F.coalesce(out, F.lit(False))
-    return F.coalesce(F.exists(a, above), F.lit(False))
 
-
-def all_present(arr, width: int | None = None) -> Column:
-    """True iff the array itself and every element are present (no NULL / NaN).
-    ``width``: the known array length, if any."""
+def all_present(arr) -> Column:
+    """True iff the array itself and every element are present (no NULL / NaN), whatever the length."""
     a = col(arr)
-    if _elementwise(width):
-        out = a.isNotNull()
-        for i in range(width):
-            out = out & present(a[i])
-        return F.coalesce(out, F.lit(False))
-    return a.isNotNull() & F.coalesce(F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+    return a.isNotNull() & F.coalesce(F.forall(a, present), F.lit(False))
 
 
-def recode(arr, src: float, dst: float) -> Column:
-    """Replace ``src`` by ``dst`` inside an array; NULL stays NULL."""
-    return F.transform(col(arr), lambda x: F.when(x == F.lit(src), F.lit(dst)).otherwise(x))
+def sized(arr, width: int) -> Column:
+    """The array itself; fails the job on a row whose array has another length (NULL passes)."""
+    a = col(arr)
+    wrong = F.raise_error(F.concat(F.lit(f"an array of {width} elements is expected, found "), F.size(a).cast("string")))
+    return F.when(a.isNull() | (F.size(a) == F.lit(width)), a).otherwise(wrong)
 
 
-def nan_to_null(x) -> Column:
+def required(x, what: str) -> Column:
+    """The value itself; fails the job on a row where it is NULL or NaN."""
     x = col(x)
-    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+    return F.when(x.isNotNull() & ~F.isnan(x), x).otherwise(F.raise_error(F.lit(what)))
 
 
-def dot(a, b) -> Column:
-    """Inner product of two equal-length numeric arrays (double)."""
-    return F.aggregate(
-        F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
+def recode(arr, src: float, dst: float) -> Column:
+    """Replace ``src`` by ``dst`` inside an array; NULL stays NULL."""
+    return F.transform(col(arr), lambda x: F.when(x == F.lit(src), F.lit(dst)).otherwise(x))
 
 
 def sq_err_sum(a, b) -> Column:

@@ -101,6 +101,13 @@ def prune(df: DataFrame, names: Sequence[str] = (), prefixes: Sequence[str] = ()
     return df.select(*[q(c) for c in df.columns if c not in gone])
 
 
+def only_known(df: DataFrame, spec: ModalitySpec, keep: Sequence[str]) -> None:
+    """Raise on a column that is neither kept nor belongs to a modality."""
+    odd = [c for c in df.columns if c not in keep and not any(c.startswith(spec.prefixes[m]) for m in spec.stored_order)]
+    if odd:
+        raise ValueError(f"columns that belong to no modality: {odd}")
+
+
 def pack_modalities(df: DataFrame, spec: ModalitySpec, *, keep: Sequence[str] = (), dtype: str = "double") -> DataFrame:
     """Replace the scalar feature columns of each modality by one array column.
 
@@ -120,30 +127,27 @@ def pack_modalities(df: DataFrame, spec: ModalitySpec, *, keep: Sequence[str] =
 
 # -- row filters --------------------------------------------------------------
 
-def filter_outliers(df: DataFrame, *, col: str = "n_rad", limit: float = C.OUTLIER_LIMIT, width: int | None = None) -> DataFrame:
+def filter_outliers(df: DataFrame, *, col: str = "n_rad", limit: float = C.OUTLIER_LIMIT) -> DataFrame:
     """Drop rows where any element of ``col`` is strictly above ``limit``.
 
     NaN / NULL elements never count as above (they are left to
     :func:`drop_incomplete`), so every stage keeps the same rows as the
     pandas formulation.
     """
-    return df.where(~any_above(col, limit, width))
+    return df.where(~any_above(col, limit))
 
 
-def drop_incomplete(
-    df: DataFrame, *, scalars: Sequence[str] = (), arrays: Sequence[str] = (), widths: dict | None = None
-) -> DataFrame:
+def drop_incomplete(df: DataFrame, *, scalars: Sequence[str] = (), arrays: Sequence[str] = ()) -> DataFrame:
     """Drop rows with a missing (NULL or NaN) scalar or array element.
 
     The label array is not listed: missing labels inside it are masked later.
-    ``widths`` (array -> known length) lets narrow arrays be tested per element.
     """
     cond = F.lit(True)
     types = dict(df.dtypes)
     for c in scalars:
         cond = cond & (present(q(c)) if types[c] in ("double", "float") else q(c).isNotNull())
     for a in arrays:
-        cond = cond & all_present(q(a), (widths or {}).get(a))
+        cond = cond & all_present(q(a))
     return df.where(cond)
 
 
@@ -152,6 +156,24 @@ def single_label(df: DataFrame, label: str, *, out: str = "y") -> DataFrame:
     return df.where(q(label).isin(0, 1)).withColumn(out, q(label).cast("double"))
 
 
+def prepare_single(
+    df: DataFrame,
+    spec: ModalitySpec,
+    label: str,
+    *,
+    key: str = "haim_id",
+    drop_names: Sequence[str] = (),
+    drop_prefixes: Sequence[str] = C.DROPPED_PREFIXES,
+    dtype: str = "double",
+) -> DataFrame:
+    """Single-label route: rows with label 0 / 1 -> prune -> pack. Rows with
+    missing features stay (the statistics skip missing elements); a NULL or
+    NaN element stays missing through the scaling. Returns (key, y, <modality arrays>)."""
+    d = prune(single_label(df, label), names=drop_names, prefixes=drop_prefixes)
+    only_known(d, spec, [key, "y"])
+    return pack_modalities(d, spec, keep=[key, "y"], dtype=dtype).where(q(key).isNotNull())
+
+
 def prepare(
     df: DataFrame,
     spec: ModalitySpec,
@@ -165,14 +187,19 @@ def prepare(
     los_mode: str = "literal",
     outlier_col: str = "n_rad",
     extra_keep: Sequence[str] = (),
+    dtype: str = "double",
 ) -> DataFrame:
     """Labels -> label array -> prune -> pack modalities -> outlier -> incomplete.
 
+    A drop name that is absent, or a column that is neither kept, dropped nor
+    part of a modality, raises. ``dtype``: element type of the packed arrays.
+
     Returns (key, *extra_keep, y, <modality arrays>).
     """
     d = outcome_labels(df, los=los, death=death, los_mode=los_mode)
     d = pack_labels(d, label_cols)
-    d = prune(d, names=[n for n in drop_names if n in d.columns], prefixes=drop_prefixes, strict=False)
-    d = pack_modalities(d, spec, keep=[key, *extra_keep, "y"])
-    d = filter_outliers(d, col=outlier_col, width=spec.widths.get(outlier_col))
-    return drop_incomplete(d, scalars=[key], arrays=list(spec.stored_order), widths=spec.widths)
+    d = prune(d, names=drop_names, prefixes=drop_prefixes)
+    only_known(d, spec, [key, *extra_keep, "y"])
+    d = pack_modalities(d, spec, keep=[key, *extra_keep, "y"], dtype=dtype)
+    d = filter_outliers(d, col=outlier_col)
+    return drop_incomplete(d, scalars=[key], arrays=list(spec.stored_order))

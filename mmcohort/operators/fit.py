@@ -297,10 +297,19 @@ def params_from_weights(w) -> dict:
 
 def params_to_table(spark, params: dict) -> DataFrame:
     """Parameters -> weights table (modality, layer, out_idx, w, b)."""
-    rows = []
+    import pyarrow as pa
+
+    from mmcohort.operators.scoring import WEIGHTS_SCHEMA
+
+    parts = []
     for m, p in params.items():
-        for i in range(p["W"].shape[0]):
-            rows.append((m, "enc", i, [float(x) for x in p["W"][i]], float(p["b"][i])))
-        for j in range(p["V"].shape[0]):
-            rows.append((m, "dec", j, [float(x) for x in p["V"][j]], float(p["c"][j])))
-    return spark.createDataFrame(rows, "modality string, layer string, out_idx int, w array<float>, b float")
+        for layer, w, b in (("enc", p["W"], p["b"]), ("dec", p["V"], p["c"])):
+            n, d = w.shape
+            rows = pa.ListArray.from_arrays(
+                pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(w, np.float32).ravel())
+            )
+            parts.append(pa.table({
+                "modality": pa.array([m] * n), "layer": pa.array([layer] * n), "out_idx": pa.array(np.arange(n, dtype=np.int32)),
+                "w": rows, "b": pa.array(np.asarray(b, np.float32)),
+            }))
+    return spark.createDataFrame(pa.concat_tables(parts), WEIGHTS_SCHEMA)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mmcohort import config as C
-from mmcohort.functions.columns import sigmoid, sq_err_sum, valid_label
+from mmcohort.functions.columns import required, sigmoid, sq_err_sum, valid_label
 
 
 def to_long(df: DataFrame, *, keep: Sequence[str] = ("study_id",), y: str = "y", z: str = "logits") -> DataFrame:
@@ -71,24 +71,41 @@ def asl_term(z: Column, y: Column, gamma: Column, *, clip: float = C.ASL_CLIP, e
 
 # -- grouped losses ----------------------------------------------------------------
 
-def bce(long: DataFrame, weights: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted masked BCE per (by..., class): mean over valid rows of w_y * term; empty -> 0.0."""
-    v = valid_label("y")
-    j = long.join(F.broadcast(weights), "class_id")
-    w = F.when(F.col("y") == 1, F.col("w1")).otherwise(F.col("w0"))
-    term = F.when(v, w * bce_term(F.col("z"), F.col("y")))
-    return j.groupBy(*by, "class_id").agg(F.coalesce(F.avg(term), F.lit(0.0)).alias("loss"))
+def _class_losses(terms: DataFrame, by: Sequence[str], sign: float, classes: Sequence[int] | None) -> DataFrame:
+    """Mean of ``_term`` per (by..., class), 0.0 where there is none. With
+    ``classes`` every group gets each of them, seen or not."""
+    per = terms.groupBy(*by, "class_id").agg(F.coalesce(F.lit(sign) * F.avg("_term"), F.lit(0.0)).alias("loss"))
+    if classes is None:
+        return per
+    held = per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("class_id", "loss"))).alias("_l"))
+    every = held.select(*by, "_l", F.explode(F.array(*[F.lit(int(c)) for c in classes])).alias("class_id"))
+    return every.select(*by, "class_id", F.coalesce(F.get(F.map_values(F.map_filter("_l", lambda k, _: k == F.col("class_id"))), F.lit(0)), F.lit(0.0)).alias("loss"))
+
+
+def bce(long: DataFrame, weights: DataFrame, *, by: Sequence[str] = (), classes: Sequence[int] | None = None) -> DataFrame:
+    """Weighted masked BCE per (by..., class): mean over valid rows of w_y * term; empty -> 0.0.
 
+    A class with valid rows but no weight fails the job; ``classes`` adds
+    those without any row."""
+    j = long.join(weights.select("class_id", "w0", "w1"), "class_id", "left")
+    w = required(F.when(F.col("y") == 1, F.col("w1")).otherwise(F.col("w0")), "a class has no weights")
+    term = F.when(valid_label("y"), w * bce_term(F.col("z"), F.col("y")))
+    return _class_losses(j.withColumn("_term", term), by, 1.0, classes)
 
-def asymmetric(long: DataFrame, params: DataFrame, *, by: Sequence[str] = (), clip: float = C.ASL_CLIP, eps: float = C.ASL_EPS) -> DataFrame:
+
+def asymmetric(
+    long: DataFrame, params: DataFrame, *, by: Sequence[str] = (), clip: float = C.ASL_CLIP, eps: float = C.ASL_EPS,
+    classes: Sequence[int] | None = None,
+) -> DataFrame:
     """Asymmetric loss per (by..., class): -mean over valid rows; empty -> 0.0.
 
-    ``params`` carries ``gamma`` per class_id.
+    ``params`` carries ``gamma`` per class_id; a class with valid rows but no
+    gamma fails the job; ``classes`` adds those without any row.
     """
-    v = valid_label("y")
-    j = long.join(F.broadcast(params.select("class_id", "gamma")), "class_id")
-    term = F.when(v, asl_term(F.col("z"), F.col("y"), F.col("gamma"), clip=clip, eps=eps))
-    return j.groupBy(*by, "class_id").agg(F.coalesce(-F.avg(term), F.lit(0.0)).alias("loss"))
+    j = long.join(params.select("class_id", "gamma"), "class_id", "left")
+    gamma = required("gamma", "a class has no gamma")
+    term = F.when(valid_label("y"), asl_term(F.col("z"), F.col("y"), gamma, clip=clip, eps=eps))
+    return _class_losses(j.withColumn("_term", term), by, -1.0, classes)
 
 
 def delta_p(long: DataFrame, *, by: Sequence[str] = (), default: float = C.DELTA_P_DEFAULT) -> DataFrame:
@@ -133,6 +150,15 @@ def mse(df: DataFrame, pairs: dict, *, by: Sequence[str] = ()) -> DataFrame:
     return wide.selectExpr(*[f"`{c}`" for c in by], f"stack({len(mods)}, {stacked}) AS (modality, mse)")
 
 
+def mse_of_sums(per_row: DataFrame, modalities: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`mse` from per-row sums ``_se_<m>`` and counts ``_n_<m>`` (the narrow
+    output of the fused scoring passes): no code or reconstruction is needed."""
+    aggs = [F.sum(f"_{k}_{m}").alias(f"_{k}_{m}") for m in modalities for k in ("se", "n")]
+    stacked = ", ".join(f"'{m}', `_se_{m}` / `_n_{m}`" for m in modalities)
+    wide = per_row.groupBy(*by).agg(*aggs)
+    return wide.selectExpr(*[f"`{c}`" for c in by], f"stack({len(modalities)}, {stacked}) AS (modality, mse)")
+
+
 def combined(asl_total: DataFrame, mse_df: DataFrame, *, by: Sequence[str], beta: float = C.BETA) -> DataFrame:
     """Reported loss L + beta * sum_i mse_i per group (the value the training loop logs)."""
     m = mse_df.groupBy(*by).agg(F.sum("mse").alias("_mse_sum"))
@@ -142,3 +168,35 @@ def combined(asl_total: DataFrame, mse_df: DataFrame, *, by: Sequence[str], beta
 def epoch_loss(batch_losses: DataFrame, *, by: Sequence[str] = ("split",)) -> DataFrame:
     """Unweighted mean of batch losses (a short last batch weighs as a full one)."""
     return batch_losses.groupBy(*by).agg(F.avg("loss").alias("epoch_loss"), F.count(F.lit(1)).alias("n_batches"))
+
+
+def batch_losses(
+    scored: DataFrame, modalities: Sequence[str], params: DataFrame, *, by: Sequence[str], beta: float = C.BETA,
+    loss: str = "asl", n_classes: int = C.NUM_CLASSES,
+) -> DataFrame:
+    """Reported loss per group from narrow scores (y, logits, _se_<m>, _n_<m>).
+
+    ``loss`` "asl": asymmetric loss summed over classes, ``params`` with
+    ``gamma``; "bce": weighted BCE averaged over ``n_classes``, ``params`` with
+    ``w0``, ``w1``. Plus ``beta`` times the summed reconstruction errors.
+    """
+    lg = to_long(scored, keep=by, y="y", z="logits")
+    if loss == "bce":
+        main = total(bce(lg, params, by=by), by=by, divide_by=n_classes)
+    else:
+        main = total(asymmetric(lg, params, by=by), by=by)
+    return combined(main, mse_of_sums(scored, modalities, by=by), by=by, beta=beta)
+
+
+def isolated_batch_losses(
+    scored: DataFrame, token_order: Sequence[str], params: DataFrame, *, by: Sequence[str], beta: float = C.BETA
+) -> DataFrame:
+    """Isolated loss per group: sum over modalities of (asymmetric loss of the
+    modality's own logits + ``beta`` x its reconstruction error), from narrow
+    scores with one array of logits per token in ``_iso``."""
+    names = F.array(*[F.lit(m) for m in token_order])
+    tok = scored.select(*by, "y", F.posexplode("_iso").alias("_t", "logits")).withColumn("modality", F.get(names, F.col("_t")))
+    groups = [*by, "modality"]
+    per = total(asymmetric(to_long(tok, keep=groups, y="y", z="logits"), params, by=groups), by=groups)
+    j = per.join(mse_of_sums(scored, token_order, by=by), groups)
+    return j.groupBy(*by).agg(F.sum(F.col("loss") + F.lit(beta) * F.col("mse")).alias("loss"))

@@ -5,6 +5,10 @@ Input is the long score table: one row per (study, class) with the label
 hard prediction ``pred``. Every function keeps the work distributed: threshold
 metrics are one partial+final aggregate, ROC/AUC pre-aggregate ties per
 (class, score) before the ordered pass of :mod:`mmcohort.operators.prefix`.
+
+Whatever needs the scores more than once goes through one *count table*
+(:func:`count_table`: class, score, prediction and label counts), written once:
+the rows, and a scorer behind them, are evaluated a single time.
 """
 
 from __future__ import annotations
@@ -12,14 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mmcohort.functions.columns import hard_pred, sigmoid, valid_label
+from mmcohort.functions.columns import hard_pred, required, sigmoid, valid_label
 from mmcohort.operators.prefix import bucketize, ordered_prefix, quantile_splits
-
-# Score buckets of the ordered ROC/AUC pass: boundaries are approximate
-# quantiles of the masked scores, so each (class, bucket) window holds about
-# 1/_N_BUCKETS of all rows whatever the score distribution (a fixed grid on
-# [0, 1] puts a well-calibrated model's scores into a handful of buckets).
-_N_BUCKETS = 2048
+from mmcohort.session import materialize
 
 
 def predict(long: DataFrame, *, z: str = "z", as_float: bool = False) -> DataFrame:
@@ -69,36 +68,47 @@ def threshold_metrics(conf: DataFrame) -> DataFrame:
     )
 
 
-def score_counts(long: DataFrame, *, y: str = "y", p: str = "p") -> DataFrame:
-    """(class_id, p, n_pos, n_neg): ties collapsed, map-side combined before the shuffle."""
-    yc = F.col(y)
-    return (
-        mask(long, y=y)
-        .groupBy("class_id", F.col(p).alias("p"))
-        .agg(F.count_if(yc == 1).cast("long").alias("n_pos"), F.count_if(yc == 0).cast("long").alias("n_neg"))
+def count_table(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
+    """(class_id, p, pred, n, n_pos, n_neg), written once: one row per distinct
+    score and prediction of a class. Masked rows are one row with NULL p and no
+    counts, so every class of the input appears. A NULL or NaN score fails the job.
+    """
+    v, yc = valid_label(y), F.col(y)
+    score = F.when(v, required(F.col(p).cast("double"), "a labelled row has no score"))
+    counts = long.groupBy("class_id", score.alias("p"), F.when(v, F.col(pred)).alias("pred")).agg(
+        F.count_if(v).cast("long").alias("n"),
+        F.count_if(v & (yc == 1)).cast("long").alias("n_pos"),
+        F.count_if(v & (yc == 0)).cast("long").alias("n_neg"),
     )
+    return materialize(counts, "score-counts")
 
 
-def score_splits(long: DataFrame, *, y: str = "y", p: str = "p", n_buckets: int = _N_BUCKETS) -> list[float]:
-    """Score bucket boundaries (approximate quantiles of the masked scores); compute
-    once and pass to :func:`report` and :func:`roc_points` to share the sketch pass."""
-    return quantile_splits(mask(long, y=y).select(F.col(p).cast("double").alias("_p")), "_p", n_buckets)
+def confusion_of(counts: DataFrame) -> DataFrame:
+    """:func:`confusion` from the count table."""
+    side = lambda c, k: F.coalesce(F.sum(F.when(F.col("pred") == k, F.col(c))), F.lit(0)).cast("long")
+    return counts.groupBy("class_id").agg(
+        F.sum("n").cast("long").alias("n"), side("n_neg", 0).alias("tn"), side("n_neg", 1).alias("fp"),
+        side("n_pos", 0).alias("fn"), side("n_pos", 1).alias("tp"),
+    )
+
 
+def score_splits(table: DataFrame, n_buckets: int | None = None) -> list[float]:
+    """Score bucket boundaries: approximate quantiles of the count table's own
+    rows, as many as their number asks for. Compute once and hand on."""
+    return quantile_splits(table.where(F.col("p").isNotNull()).select("p"), "p", n_buckets)
 
-def bucketed_counts(
-    long: DataFrame, *, y: str = "y", p: str = "p", n_buckets: int = _N_BUCKETS, splits: list[float] | None = None
-) -> tuple[DataFrame, int]:
-    """:func:`score_counts` plus ``_qb``, a score bucket monotone in ``p``.
 
-    The boundaries come from one sketch pass over the masked scores (no
-    shuffle); ties collapse to one count row, so a score held by a third of
-    all rows is one row, not a hot bucket."""
-    if splits is None:
-        splits = score_splits(long, y=y, p=p, n_buckets=n_buckets)
-    return bucketize(score_counts(long, y=y, p=p), "p", splits, "_qb"), len(splits)
+def bucketed(table: DataFrame, splits: list[float] | None = None) -> DataFrame:
+    """(class_id, p, n_pos, n_neg, _qb): one row per distinct score with a bucket
+    monotone in ``p``; ties are one row, so a score held by a third of all rows
+    is no hot bucket."""
+    ties = table.where(F.col("p").isNotNull()).groupBy("class_id", "p").agg(
+        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")
+    )
+    return bucketize(ties, "p", score_splits(table) if splits is None else splits, "_qb")
 
 
-def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64, splits: list[float] | None = None) -> DataFrame:
+def auc(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
     """Exact ROC-AUC per class with ties counted one half; NULL when a class lacks positives or negatives.
 
     Pairs (positive above negative, ties one half) are summed per (class,
@@ -106,8 +116,12 @@ def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64, s
     are bucket positives times the negatives of all lower buckets, a running
     sum over the small (class, bucket) table. No join back to the score rows.
     """
-    counts, _ = bucketed_counts(long, y=y, p=p, splits=splits)
-    counts = counts.where(F.col("class_id").isNotNull() & F.col("_qb").isNotNull())
+    return auc_of(count_table(long, y=y, p=p, pred=pred))
+
+
+def auc_of(table: DataFrame, splits: list[float] | None = None) -> DataFrame:
+    """:func:`auc` from the count table."""
+    counts = bucketed(table, splits)
     w_in = Window.partitionBy("class_id", "_qb").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     within = counts.withColumn("_neg_before", F.coalesce(F.sum("n_neg").over(w_in), F.lit(0)))
     per_bucket = within.groupBy("class_id", "_qb").agg(
@@ -133,17 +147,14 @@ def auc(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64, s
     )
 
 
-def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int, splits: list[float] | None = None) -> DataFrame:
+def _roc_ranked(table: DataFrame, splits: list[float] | None) -> DataFrame:
     """Distinct scores per class, descending, with running tp/fp counts, the next
     score's counts and the class totals (``_total_rows``, ``tps_total``, ``fps_total``)."""
-    counts, nb = bucketed_counts(long, y=y, p=p, splits=splits)
     return ordered_prefix(
-        counts,
+        bucketed(table, splits),
         "p",
         F.col("_qb"),
-        n_buckets=nb,
         partition=("class_id",),
-        max_partition_values=max_classes,
         ascending=False,
         rank="seq",
         sums={"tps": F.col("n_pos"), "fps": F.col("n_neg")},
@@ -152,9 +163,7 @@ def _roc_ranked(long: DataFrame, y: str, p: str, max_classes: int, splits: list[
     )
 
 
-def roc_points(
-    long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64, splits: list[float] | None = None
-) -> DataFrame:
+def roc_points(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
     """ROC curve per class: (class_id, seq, fpr, tpr, threshold).
 
     One point per distinct score, descending; a point is dropped when both
@@ -164,7 +173,12 @@ def roc_points(
     leave gaps. Rates are NULL when the class has no negatives / positives.
     The origin is emitted by the first point's row: one pass, no union.
     """
-    r = _roc_ranked(long, y, p, max_classes, splits)
+    return roc_points_of(count_table(long, y=y, p=p, pred=pred))
+
+
+def roc_points_of(table: DataFrame, splits: list[float] | None = None) -> DataFrame:
+    """:func:`roc_points` from the count table."""
+    r = _roc_ranked(table, splits)
     m, tot_pos, tot_neg = F.col("_total_rows"), F.col("tps_total"), F.col("fps_total")
     keep = (
         (m <= 2)
@@ -189,13 +203,18 @@ def roc_points(
     return r.select("class_id", F.inline(pts))
 
 
-def roc_trapezoid(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: int = 64) -> DataFrame:
+def roc_trapezoid(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
     """Area under the ROC polyline by the trapezoid rule.
 
     Collinear points do not change the area, so every distinct score is used;
     the previous point of each is derived from the running counts (no lag).
     """
-    r = _roc_ranked(long, y, p, max_classes)
+    return roc_trapezoid_of(count_table(long, y=y, p=p, pred=pred))
+
+
+def roc_trapezoid_of(table: DataFrame, splits: list[float] | None = None) -> DataFrame:
+    """:func:`roc_trapezoid` from the count table."""
+    r = _roc_ranked(table, splits)
     # width (fps - prev fps) / N times mean height (tps + prev tps) / (2 P)
     area = F.col("n_neg").cast("double") * (2 * F.col("tps") - F.col("n_pos")).cast("double")
     agg = r.groupBy("class_id").agg(F.sum(area).alias("_a"), F.max("tps_total").alias("_P"), F.max("fps_total").alias("_N"))
@@ -207,10 +226,17 @@ def roc_trapezoid(long: DataFrame, *, y: str = "y", p: str = "p", max_classes: i
     )
 
 
-def report(
-    long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred", max_classes: int = 64, splits: list[float] | None = None
-) -> DataFrame:
-    """One metrics row per class: confusion, accuracy, precision, recall, macro F1, AUC."""
-    metrics = threshold_metrics(confusion(long, y=y, pred=pred))
-    a = auc(long, y=y, p=p, max_classes=max_classes, splits=splits)
-    return metrics.join(F.broadcast(a), "class_id", "left")
+def report(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
+    """One metrics row per class: confusion, accuracy, precision, recall, macro F1,
+    exact AUC and the area under the ROC polyline (``roc_auc``)."""
+    return report_of(count_table(long, y=y, p=p, pred=pred))
+
+
+def report_of(table: DataFrame, splits: list[float] | None = None) -> DataFrame:
+    """:func:`report` from the count table (one row per class in every join)."""
+    splits = score_splits(table) if splits is None else splits
+    metrics = threshold_metrics(confusion_of(table))
+    for area in (auc_of(table, splits), roc_trapezoid_of(table, splits)):
+        area = area.withColumnRenamed("class_id", "_c")
+        metrics = metrics.join(area, metrics["class_id"].eqNullSafe(area["_c"]), "left").drop("_c")
+    return metrics

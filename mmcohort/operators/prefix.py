@@ -9,7 +9,7 @@ are cut into buckets by an expression that is monotone in the order key:
 2. aggregate the windowed rows per bucket (no extra shuffle: the data is
    already hash-partitioned by (partition, bucket));
 3. running offsets over that small bucket table (≤ buckets × partition values rows);
-4. join the offsets back (broadcast: the table size is bounded by construction).
+4. join the offsets back (adaptive execution broadcasts them when they are small).
 
 The result is deterministic: a retried task computes the same numbers, which
 sampling-based range partitioning does not promise.
@@ -17,13 +17,16 @@ sampling-based range partitioning does not promise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_BUCKET_ROWS = 1_000_000
+ROWS_PER_BUCKET = 50_000
+MAX_BUCKETS = 1 << 16  # boundaries that reach the driver, at most
+_NULL_BUCKET = -1  # below every bucket: NULLs come first ascending, last descending
 
 
 def hex_bucket(hex_col, digits: int = 3) -> Column:
@@ -31,31 +34,24 @@ def hex_bucket(hex_col, digits: int = 3) -> Column:
     return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")
 
 
-def unit_bucket(p, levels_per_octave: int = 8, octaves: int = 64) -> Column:
-    """Bucket for a value in [0, 1], monotone non-decreasing in ``p``.
+def bucket_count(n_rows: int) -> int:
+    """Buckets for ``n_rows`` rows: about ROWS_PER_BUCKET in each."""
+    return min(MAX_BUCKETS, max(1, math.ceil(n_rows / ROWS_PER_BUCKET)))
 
-    Both tails are cut on a log scale (distance to 0 and to 1), so saturated
-    probabilities close to 0 or 1 still spread over many buckets.
-    Number of buckets: ``2 * levels_per_octave * octaves``.
-    """
-    p = F.col(p) if isinstance(p, str) else p
-    half = levels_per_octave * octaves
-    q = F.least(p, F.lit(1.0) - p)
-    level = F.when(q <= F.lit(0.0), F.lit(half - 1)).otherwise(
-        F.least(
-            F.lit(half - 1),
-            F.greatest(F.lit(0), F.floor((-F.log2(q) - F.lit(1.0)) * F.lit(levels_per_octave)).cast("int")),
-        )
-    )
-    return F.when(p < F.lit(0.5), F.lit(half - 1) - level).otherwise(F.lit(half) + level).cast("int")
 
+def hex_digits(n_rows: int) -> int:
+    """Leading hex digits of a hash that make at least :func:`bucket_count` buckets."""
+    return max(1, math.ceil(math.log(bucket_count(n_rows), 16) - 1e-9))
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int = 1024) -> list[float]:
-    """Bucket boundaries with roughly equal row counts: ``approxQuantile``
+
+def quantile_splits(df: DataFrame, col: str, n_buckets: int | None = None) -> list[float]:
+    """Bucket boundaries with roughly equal row counts (as many buckets as the
+    row count asks for, unless ``n_buckets`` is stated): ``approxQuantile``
     (a map-side sketch per partition, merged; ≤ ``n_buckets`` numbers reach
     the driver), relative rank error 1 / (4 n_buckets). Repeated values give
     one boundary, so a value held by a third of all rows is one bucket edge,
     not a hot bucket of distinct values."""
+    n_buckets = bucket_count(df.count()) if n_buckets is None else n_buckets
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if probs else []
     inner = sorted(set(float(q) for q in qs if q is not None and q == q and abs(q) != float("inf")))
@@ -63,13 +59,14 @@ def quantile_splits(df: DataFrame, col: str, n_buckets: int = 1024) -> list[floa
 
 
 def bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
-    """Add ``out`` = index of the bucket of ``col`` (JVM binary search; NaN -> last bucket + 1)."""
+    """Add ``out`` = index of the bucket of ``col`` (JVM binary search; NaN -> last
+    bucket + 1; NULL -> NULL, which :func:`ordered_prefix` gives a bucket of its own)."""
     if len(splits) < 3:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(0)))
     tmp = f"{out}_in"
     d = df.withColumn(tmp, F.col(col).cast("double"))
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(d).drop(tmp).withColumn(out, F.col(out).cast("int"))
+    return b.transform(d).drop(tmp).withColumn(out, F.when(F.col(col).isNotNull(), F.col(out).cast("int")))
 
 
 def ordered_prefix(
@@ -77,9 +74,7 @@ def ordered_prefix(
     key: str,
     bucket: Column,
     *,
-    n_buckets: int,
     partition: Sequence[str] = (),
-    max_partition_values: int = 1,
     ascending: bool = True,
     rank: str | None = None,
     sums: dict | None = None,
@@ -89,23 +84,24 @@ def ordered_prefix(
     """Add a global rank, inclusive running sums and next-row values per ``partition``.
 
     ``key`` must be unique inside each partition (ties would make the rank
-    arbitrary); ``bucket`` must be monotone non-decreasing in ``key`` and take
-    at most ``n_buckets`` values. ``sums``/``leads`` map an output name to a
+    arbitrary); ``bucket`` must be monotone non-decreasing in ``key``. ``sums``/``leads`` map an output name to a
     numeric column / any column of ``df``. With ``totals`` every row also gets
     its partition's row count ``_total_rows`` and ``<sum name>_total``, taken
     from the small bucket table (no extra pass over the rows).
-    Rows whose bucket or partition value is NULL are dropped.
+    No row is lost: a NULL key is ordered before all others (after them when
+    descending), and NULL partition values are a partition of their own.
     """
     sums = dict(sums or {})
     leads = dict(leads or {})
     part = list(partition)
     b = "_pfx_bucket"
     rn = "_pfx_rn"
-    d = df.withColumn(b, bucket)
-    # Stated once here, so the join below infers no extra filter: the windowed rows
-    # and the bucket table then share one plan and one exchange.
-    for c in [*part, b]:
-        d = d.where(F.col(c).isNotNull())
+    d = df.withColumn(b, F.coalesce(bucket, F.lit(_NULL_BUCKET)))
+    if part:
+        # a struct is never NULL and equal where its fields are, NULLs included:
+        # the join below is a plain one on the columns the rows are dealt by
+        d = d.withColumn("_pfx_part", F.struct(*part))
+        part = ["_pfx_part"]
     for name, c in sums.items():
         d = d.withColumn(f"_pfx_v_{name}", c)
     for name, c in leads.items():
@@ -145,9 +141,7 @@ def ordered_prefix(
         ),
     )
 
-    if n_buckets * max(1, max_partition_values) <= MAX_BROADCAST_BUCKET_ROWS:
-        offs = F.broadcast(offs)
-
+    # no hint: adaptive execution broadcasts the bucket table by its real size
     out = d.join(offs, on=[*part, b], how="inner")
     cols = [c for c in df.columns]
     extra = []

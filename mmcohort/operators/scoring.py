@@ -31,15 +31,33 @@ WEIGHTS_SCHEMA = "modality string, layer string, out_idx int, w array<float>, b
 # size is a property of the model (six projectors at full width ≈ 13.4 M values,
 # 54 MB), not of the data; it is checked before anything reaches the driver.
 MAX_BROADCAST_WEIGHT_VALUES = 1 << 28
+MAX_INLINE_WEIGHT_VALUES = 10_000  # literals in one plan
 
-_SCORERS: dict = {}  # per Python worker: scorer token -> loaded predict function
+# per Python worker (they outlive a task): scorer token -> loaded predict function,
+# and (weights token, precision) -> matrices converted once
+_SCORERS: dict = {}
+_MATRICES: dict = {}
+
+
+def _matrices(token: str, held, dtype) -> dict:
+    key = (token, np.dtype(dtype).name)
+    if key not in _MATRICES:
+        _MATRICES.clear()  # one model at a time
+        _MATRICES[key] = {m: {k: v.astype(dtype) for k, v in mm.items()} for m, mm in held.value.items()}
+    return _MATRICES[key]
+
+
+def _scorer(token: str, make: Callable) -> Callable:
+    if token not in _SCORERS:
+        _SCORERS[token] = make()
+    return _SCORERS[token]
 
 
 # -- weights -------------------------------------------------------------------
 
-def rule_weights(spark: SparkSession, spec: ModalitySpec, latent: int) -> DataFrame:
+def rule_weights(spark: SparkSession, spec: ModalitySpec, latent: int, factor: float = 1.0) -> DataFrame:
     """Deterministic projector weights generated by Spark from a rule (test fixture):
-    encoder w[i][j] = sin(31 i + 17 j) / sqrt(d), b[i] = 0.01 i;
+    encoder w[i][j] = sin(31 i + 17 j) / sqrt(d), b[i] = 0.01 i, both times ``factor``;
     decoder v[j][i] = cos(29 j + 11 i) / sqrt(latent), c[j] = 0.005 j."""
     parts = []
     for m in spec.stored_order:
@@ -49,8 +67,8 @@ def rule_weights(spark: SparkSession, spec: ModalitySpec, latent: int) -> DataFr
         enc = spark.range(latent).select(
             F.lit(m).alias("modality"), F.lit("enc").alias("layer"), F.col("id").cast("int").alias("out_idx"),
             F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                        lambda j: (F.sin(F.col("id") * 31 + j * 17) / F.lit(math.sqrt(d))).cast("float")).alias("w"),
-            (F.col("id") * 0.01).cast("float").alias("b"),
+                        lambda j: (F.sin(F.col("id") * 31 + j * 17) / F.lit(math.sqrt(d))).cast("float") * F.lit(factor).cast("float")).alias("w"),
+            ((F.col("id") * 0.01).cast("float") * F.lit(factor).cast("float")).alias("b"),
         )
         dec = spark.range(d).select(
             F.lit(m).alias("modality"), F.lit("dec").alias("layer"), F.col("id").cast("int").alias("out_idx"),
@@ -70,6 +88,7 @@ class ProjectorWeights:
 
     def __init__(self, spark: SparkSession, mats: dict):
         self.mats = mats
+        self.token = uuid.uuid4().hex  # names the set in a worker's cache
         self.latent = {m: v["W"].shape[0] for m, v in mats.items()}
         self.bc = spark.sparkContext.broadcast(mats)
 
@@ -81,20 +100,19 @@ class ProjectorWeights:
                 f"projector weights hold {n_values} values, above the broadcast limit of {max_values}; "
                 "shard the model or raise max_values if the executors can hold it"
             )
-        rows = weights.select("modality", "layer", "out_idx", "w", "b").collect()  # size checked above
-        acc: dict = {}
-        for r in rows:
-            acc.setdefault((r["modality"], r["layer"]), []).append((r["out_idx"], r["w"], r["b"]))
+        t = weights.select("modality", "layer", "out_idx", "w", "b").orderBy("modality", "layer", "out_idx").toArrow()  # size checked above
         mats: dict = {}
-        for (m, layer), items in acc.items():
-            items.sort(key=lambda t: t[0])
-            w = np.asarray([np.asarray(t[1], dtype=np.float32) for t in items], dtype=np.float32)
-            b = np.asarray([t[2] for t in items], dtype=np.float32)
+        group = np.char.add(np.char.add(t["modality"].to_numpy().astype(str), "/"), t["layer"].to_numpy().astype(str))
+        for g in np.unique(group):
+            part = t.filter(group == g)
+            m, layer = str(g).split("/")
             e = mats.setdefault(m, {})
+            w = arrow_matrix(part["w"].combine_chunks()).astype(np.float32)
+            bias = part["b"].to_numpy().astype(np.float32)
             if layer == "enc":
-                e["W"], e["b"] = w, b
+                e["W"], e["b"] = w, bias
             else:
-                e["V"], e["c"] = w, b
+                e["V"], e["c"] = w, bias
         return cls(weights.sparkSession, mats)
 
 
@@ -109,7 +127,7 @@ def encode(
     precision: str = "float64",
 ) -> DataFrame:
     """Add ``code_<m>`` (relu(W x + b)) and, with ``decode``, ``recon_<m>`` (V h + c)."""
-    bc = weights.bc
+    bc, token = weights.bc, weights.token
     mods = [m for m in modalities]
     dt = np.float64 if precision == "float64" else np.float32
     fields = list(df.schema.fields)
@@ -125,22 +143,20 @@ def encode(
     def run(batches):
         import pyarrow as pa
 
-        mats = bc.value
+        from mmcohort.operators import scoring as this  # the imported module: its cache outlives the task
+
+        mats = this._matrices(token, bc, dt)
         for batch in batches:
             n = batch.num_rows
             extra = []
             hs = {}
             for m in mods:
-                mm = mats[m]
-                W, b = mm["W"].astype(dt), mm["b"].astype(dt)
+                W, b = mats[m]["W"], mats[m]["b"]
                 X = arrow_matrix(batch.column(batch.schema.get_field_index(m))).astype(dt) if n else np.zeros((0, W.shape[1]), dtype=dt)
                 hs[m] = np.maximum(X @ W.T + b, 0.0)
                 extra.append(_list_column(hs[m]))
             if decode:
-                for m in mods:
-                    mm = mats[m]
-                    V, c = mm["V"].astype(dt), mm["c"].astype(dt)
-                    extra.append(_list_column(hs[m] @ V.T + c))
+                extra += [_list_column(hs[m] @ mats[m]["V"].T + mats[m]["c"]) for m in mods]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
 
     return df.mapInArrow(run, schema)
@@ -149,6 +165,9 @@ def encode(
 def encode_sql(df: DataFrame, weights: ProjectorWeights, modalities: Sequence[str], *, decode: bool = False) -> DataFrame:
     """Same as :func:`encode` with built-in array functions only (weights inlined as
     literals) — the all-JVM path for narrow projectors and a cross-check."""
+    size = sum(weights.mats[m][k].size for m in modalities for k in ("W", "V") if k == "W" or decode)
+    if size > MAX_INLINE_WEIGHT_VALUES:
+        raise ValueError(f"{size} weights are too many to inline (limit {MAX_INLINE_WEIGHT_VALUES}): use encode()")
     out = df
     for m in modalities:
         mm = weights.mats[m]
@@ -259,134 +278,138 @@ def _list_column(mat: np.ndarray):
 
 def arrow_matrix(col) -> np.ndarray:
     """(rows, width) float64 matrix of an Arrow list column of equal-length
-    lists, converted in one vectorised step (no Python loop over rows);
-    NULL elements become NaN. Falls back to a row loop for ragged input."""
+    lists, converted in one vectorised step (no Python loop over rows). NULL
+    elements become NaN; a NULL list or lists of different lengths are an error."""
     n = len(col)
     if n == 0:
         return np.zeros((0, 0))
-    offs = np.asarray(col.offsets)
-    widths = np.diff(offs)
-    if col.null_count == 0 and (widths == widths[0]).all():
-        vals = col.flatten().to_numpy(zero_copy_only=False)
-        return np.asarray(vals, dtype=np.float64).reshape(n, int(widths[0]))
-    return np.stack([np.asarray([np.nan if x is None else x for x in v], dtype=np.float64) for v in col.to_pylist()])
+    widths = np.diff(np.asarray(col.offsets))
+    if col.null_count or (widths != widths[0]).any():
+        raise ValueError(f"arrays of one length are expected, found {col.null_count} NULL and lengths {sorted(set(widths.tolist()))[:5]}")
+    vals = col.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(vals, dtype=np.float64).reshape(n, int(widths[0]))
 
 
-def encode_and_score(
+def _fused(
     df: DataFrame,
     weights: ProjectorWeights,
     make_scorer: Callable,
-    modalities: Sequence[str],
     token_order: Sequence[str],
-    *,
     keep: Sequence[str],
-    out: str = "logits",
-    batch_size: int = 1024,
-    half: bool = False,
+    *,
+    out: str,
+    isolated: bool,
+    decode: bool,
+    batch_size: int,
+    half: bool,
+    precision: str,
 ) -> DataFrame:
-    """Projection and joint scoring in ONE Python pass: (keep..., logits).
+    """Projection, scoring and (``decode``) reconstruction error in ONE Python pass.
 
-    The codes (six latent vectors per row, several times wider than the
-    input features) never go back to the JVM: each Arrow batch is encoded,
-    cut into scorer batches of ``batch_size`` rows and scored, and only the
-    class logits leave the worker. Same numbers as :func:`encode` followed
-    by :func:`score`.
+    Rows are taken ``batch_size`` at a time within an Arrow batch, so a worker
+    never holds the codes of more rows than a scorer batch. Codes (several times wider than the
+    input) and reconstructions never leave the worker: only (keep..., logits)
+    and per modality the squared error and element count do. ``isolated``:
+    ``out`` holds one array of logits per token instead of one for the sequence.
     """
-    bc = weights.bc
-    mods = list(modalities)
-    toks = list(token_order)
-    keep = list(keep)
-    token = uuid.uuid4().hex  # one scorer per Python worker process, like predict_batch_udf
-    fields = [df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))]
-    schema = T.StructType(fields)
+    bc, wtoken, stoken = weights.bc, weights.token, uuid.uuid4().hex
+    toks, keep = list(token_order), list(keep)
+    dt = np.float64 if precision == "float64" else np.float32
+    kind = T.ArrayType(T.ArrayType(T.DoubleType())) if isolated else T.ArrayType(T.DoubleType())
+    fields = [df.schema[c] for c in keep] + [T.StructField(out, kind)]
+    if decode:
+        for m in toks:
+            fields += [T.StructField(f"_se_{m}", T.DoubleType()), T.StructField(f"_n_{m}", T.LongType())]
+    names = [f.name for f in fields]
 
     def run(batches):
         import pyarrow as pa
 
-        from mmcohort.operators import scoring as this  # the imported module: its cache outlives the task
+        from mmcohort.operators import scoring as this  # the imported module: its caches outlive the task
 
-        mats = bc.value
-        predict = this._SCORERS.get(token)
-        if predict is None:
-            predict = this._SCORERS.setdefault(token, make_scorer())
+        mats, predict = this._matrices(wtoken, bc, dt), this._scorer(stoken, make_scorer)
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                logits = np.zeros((0, 0))
-            else:
-                codes = {}
-                for m in mods:
-                    mm = mats[m]
-                    X = arrow_matrix(batch.column(batch.schema.get_field_index(m)))
-                    codes[m] = np.maximum(X @ mm["W"].astype(np.float64).T + mm["b"].astype(np.float64), 0.0)
-                seq = np.stack([codes[m] for m in toks], axis=1)  # (B, T, latent)
+            for lo in range(0, batch.num_rows, batch_size):
+                part = batch.slice(lo, batch_size)
+                n = part.num_rows
+                codes, errors = [], []
+                for m in toks:
+                    X = arrow_matrix(part.column(part.schema.get_field_index(m))).astype(dt)
+                    H = np.maximum(X @ mats[m]["W"].T + mats[m]["b"], 0.0)
+                    codes.append(H)
+                    if decode:
+                        R = H @ mats[m]["V"].T + mats[m]["c"]
+                        errors += [
+                            pa.array(((R - X) ** 2).sum(axis=1, dtype=np.float64), type=pa.float64()),
+                            pa.array(np.full(n, X.shape[1], dtype=np.int64)),
+                        ]
+                seq = np.stack(codes, axis=1)  # (B, T, latent)
                 if half:
-                    seq = seq.astype(np.float16).astype(np.float64)
-                logits = np.concatenate(
-                    [np.asarray(predict(seq[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)]
-                )
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, _list_column(logits)], names=[*keep, out])
+                    seq = seq.astype(np.float16).astype(dt)
+                if isolated:
+                    per = np.stack([np.asarray(predict(seq[:, t : t + 1]), dtype=np.float64) for t in range(len(toks))], axis=1)
+                    inner = _list_column(per.reshape(n * len(toks), -1))
+                    logits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(toks)), inner)
+                else:
+                    logits = _list_column(np.asarray(predict(seq), dtype=np.float64))
+                cols = [part.column(part.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*cols, logits, *errors], names=names)
 
-    return df.select(*keep, *mods).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, *toks])).mapInArrow(run, T.StructType(fields))
 
 
-def encode_decode_score(
+def encode_and_score(
     df: DataFrame,
     weights: ProjectorWeights,
     make_scorer: Callable,
     token_order: Sequence[str],
     *,
-    keep: Sequence[str] = ("y",),
+    keep: Sequence[str],
+    out: str = "logits",
     batch_size: int = 1024,
+    half: bool = False,
+    precision: str = "float64",
 ) -> DataFrame:
-    """Validation pass in ONE Python step: (keep..., logits, _se_<m>, _n_<m>).
+    """Projection and joint scoring in one Python pass: (keep..., logits). Same
+    numbers as :func:`encode` followed by :func:`score`. ``half`` rounds the
+    codes to float16 first; ``precision`` "float32" halves the worker's memory."""
+    return _fused(df, weights, make_scorer, token_order, keep, out=out, isolated=False, decode=False,
+                  batch_size=batch_size, half=half, precision=precision)
 
-    Codes and reconstructions (as wide as the input) stay in the worker; only
-    the class logits and, per modality, the sum of squared reconstruction
-    errors and the element count leave it.
-    """
-    bc = weights.bc
-    toks = list(token_order)
-    keep = list(keep)
-    fields = [df.schema[c] for c in keep] + [T.StructField("logits", T.ArrayType(T.DoubleType()))]
-    for m in toks:
-        fields += [T.StructField(f"_se_{m}", T.DoubleType()), T.StructField(f"_n_{m}", T.LongType())]
-    names = [f.name for f in fields]
-    token = uuid.uuid4().hex
 
-    def run(batches):
-        import pyarrow as pa
+def encode_and_score_isolated(
+    df: DataFrame, weights: ProjectorWeights, make_scorer: Callable, token_order: Sequence[str], *,
+    keep: Sequence[str], batch_size: int = 1024, half: bool = False, precision: str = "float64",
+) -> DataFrame:
+    """Isolated scoring in one Python pass: (keep..., token_idx, modality, logits),
+    the numbers of :func:`encode` followed by :func:`score_isolated`."""
+    s = _fused(df, weights, make_scorer, token_order, keep, out="_iso", isolated=True, decode=False,
+               batch_size=batch_size, half=half, precision=precision)
+    return by_token(s, token_order, keep)
 
-        from mmcohort.operators import scoring as this
 
-        mats = bc.value
-        predict = this._SCORERS.get(token)
-        if predict is None:
-            predict = this._SCORERS.setdefault(token, make_scorer())
-        for batch in batches:
-            n = batch.num_rows
-            codes, stats = {}, []
-            for m in toks:
-                mm = mats[m]
-                W, b = mm["W"].astype(np.float64), mm["b"].astype(np.float64)
-                X = arrow_matrix(batch.column(batch.schema.get_field_index(m))) if n else np.zeros((0, W.shape[1]))
-                H = np.maximum(X @ W.T + b, 0.0)
-                R = H @ mm["V"].astype(np.float64).T + mm["c"].astype(np.float64)
-                codes[m] = H
-                stats += [pa.array(((R - X) ** 2).sum(axis=1), type=pa.float64()),
-                          pa.array(np.full(n, X.shape[1], dtype=np.int64))]
-            if n:
-                seq = np.stack([codes[m] for m in toks], axis=1)
-                logits = np.concatenate(
-                    [np.asarray(predict(seq[i:i + batch_size]), dtype=np.float64) for i in range(0, n, batch_size)]
-                )
-            else:
-                logits = np.zeros((0, 0))
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, _list_column(logits), *stats], names=names)
+def by_token(scored: DataFrame, token_order: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """One row per token from the isolated logits ``_iso``."""
+    long = scored.select(*keep, F.posexplode("_iso").alias("token_idx", "logits"))
+    names = F.array(*[F.lit(m) for m in token_order])
+    return long.select(*keep, "token_idx", F.get(names, F.col("token_idx")).alias("modality"), "logits")
 
-    return df.select(*keep, *toks).mapInArrow(run, T.StructType(fields))
+
+def encode_decode_score(
+    df: DataFrame,
+    weights: ProjectorWeights,
+    make_scorer: Callable,
+    token_order: Sequence[str],
+    *,
+    keep: Sequence[str] = ("y",),
+    batch_size: int = 1024,
+    isolated: bool = False,
+    precision: str = "float64",
+) -> DataFrame:
+    """Validation pass in one Python step: (keep..., logits, _se_<m>, _n_<m>);
+    with ``isolated`` the logits are per token, in ``_iso`` (see :func:`by_token`)."""
+    return _fused(df, weights, make_scorer, token_order, keep, out="_iso" if isolated else "logits", isolated=isolated,
+                  decode=True, batch_size=batch_size, half=False, precision=precision)
 
 
 def linear_head(head: np.ndarray) -> Callable:
@@ -396,34 +419,9 @@ def linear_head(head: np.ndarray) -> Callable:
 
     def make():
         def predict(seq):
-            return seq.reshape(seq.shape[0], -1) @ h.T
+            flat = seq.reshape(seq.shape[0], -1)
+            return flat @ h[:, : flat.shape[1]].T
 
         return predict
 
     return make
-
-
-def vocab_matrix(latent_total: int, positions: Sequence[int], scale: float = 0.25) -> np.ndarray:
-    """Rows cos(5 v + 3 j) * scale of the toy model for vocabulary positions ``positions``."""
-    v = np.asarray(list(positions))[:, None]
-    j = np.arange(latent_total)[None, :]
-    return np.cos(5 * v + 3 * j) * scale
-
-
-def linear_vocab_model(latent_total: int, vocab: int = 1202, scale: float = 0.25):
-    """Frozen toy sequence model (test double): vocabulary logit v at the last
-    position = sum_j cos(5 v + 3 j) * scale * x_j over the flattened sequence."""
-
-    def make():
-        H = vocab_matrix(latent_total, range(vocab), scale)  # (V, J)
-
-        def model(seq):
-            b, t, d = seq.shape
-            flat = seq.reshape(b, t * d)
-            hh = H[:, : t * d]
-            last = flat @ hh.T  # (B, V)
-            return np.repeat(last[:, None, :], t, axis=1)
-
-        return model
-
-    return make

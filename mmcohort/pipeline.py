@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from mmcohort import config as C
 from mmcohort.config import ModalitySpec
+from mmcohort.operators import batches as B
 from mmcohort.operators import cohort as K
 from mmcohort.operators import losses as L
 from mmcohort.operators import metrics as M
@@ -26,7 +27,7 @@ from mmcohort.operators import scaling as S
 from mmcohort.operators import scoring as SC
 from mmcohort.operators import fit as FT
 from mmcohort.operators import split as SP
-from mmcohort.session import materialize
+from mmcohort.session import materialize, scratch_scope
 
 
 def prepare_study(
@@ -42,6 +43,7 @@ def prepare_study(
     los_mode: str = "literal",
     val_fraction: float = C.VAL_FRACTION,
     seed: int = C.SPLIT_SEED,
+    dtype: str = "double",
 ) -> tuple[DataFrame, DataFrame]:
     """E1: labels -> prune -> pack -> outlier -> incomplete -> group split ->
     train statistics -> standardise -> uncertain labels recoded.
@@ -50,7 +52,7 @@ def prepare_study(
     """
     d = K.prepare(
         wide, spec, key=key, label_cols=label_cols, drop_names=drop_names, drop_prefixes=drop_prefixes,
-        los=los, death=death, los_mode=los_mode,
+        los=los, death=death, los_mode=los_mode, dtype=dtype,
     )
     d = materialize(d, "study-prepared")
     d = SP.apply_split(d, key, SP.fit_split(d, key, val_fraction=val_fraction, seed=seed))
@@ -65,25 +67,23 @@ def score_split(
     weights: SC.ProjectorWeights,
     make_scorer: Callable,
     spec: ModalitySpec,
-    latent: int,
     *,
     split: str = "val",
-    keep: Sequence[str] = ("haim_id",),
 ) -> DataFrame:
-    """Projection + joint scoring of one split in one Python pass (the codes
-    never reach the JVM); the long score table is written once."""
-    mods = [m for m in spec.stored_order if spec.widths[m] > 0]
+    """Projection + joint scoring of one split in one Python pass (codes never
+    reach the JVM), written as its count table (class, score, prediction):
+    all that the evaluation reads."""
     toks = [m for m in spec.token_order if spec.widths[m] > 0]
     rows = scaled.where(F.col("split") == split)
-    s = SC.encode_and_score(rows, weights, make_scorer, mods, toks, keep=[*keep, "y"])
-    long = M.predict(L.to_long(s, keep=keep, y="y", z="logits"))
-    return materialize(long, f"scores-{split}")
+    s = SC.encode_and_score(rows, weights, make_scorer, toks, keep=["y"])
+    return M.count_table(M.predict(L.to_long(s, keep=(), y="y", z="logits")))
 
 
-def evaluate(long: DataFrame, out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """E3: per-class metrics and ROC points; written as tables when ``out_path`` is given."""
-    splits = M.score_splits(long)  # one sketch pass shared by the AUC and the ROC
-    rep, roc = M.report(long, splits=splits), M.roc_points(long, splits=splits)
+def evaluate(counts: DataFrame, out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """E3: per-class metrics and ROC points from a count table; written as
+    tables when ``out_path`` is given."""
+    splits = M.score_splits(counts)  # shared by the areas and the curve
+    rep, roc = M.report_of(counts, splits), M.roc_points_of(counts, splits)
     if out_path:
         from mmcohort.sources import io
 
@@ -91,12 +91,65 @@ def evaluate(long: DataFrame, out_path: str | None = None) -> tuple[DataFrame, D
     return rep, roc
 
 
+def _validation_scores(
+    val: DataFrame, weights: SC.ProjectorWeights, head: np.ndarray, mods: Sequence[str], key: str | None, name: str, batch_size: int
+) -> DataFrame:
+    """Narrow scores (y, logits, squared errors) of the rows, written once, with
+    batch numbers in the order of ``key`` (rows of one key: by a hash of what
+    they hold)."""
+    keep = ["y"] if key is None else [key, "y"]
+    per = SC.encode_decode_score(val, weights, SC.linear_head(head), mods, keep=keep)
+    if key is None:
+        return materialize(per, name)
+    narrow = [c for c in per.columns if c != key]
+    per = materialize(per.withColumn("_tie", F.xxhash64(*narrow)), name)
+    return B.batch_numbers(per, key, batch_size=batch_size, partition=(), keep=["_tie", *narrow], tie="_tie")
+
+
+def _batch_or_row(scores: DataFrame, mods, params, beta, loss, n_classes, by) -> DataFrame:
+    """One row: mean loss, ``asl`` (without the reconstruction part) and groups."""
+    groups = ["batch_id"] if by == "batch" else ["_all"]
+    s = scores if by == "batch" else scores.withColumn("_all", F.lit(1))
+    whole = L.batch_losses(s, mods, params, by=groups, beta=beta, loss=loss, n_classes=n_classes)
+    bare = L.batch_losses(s, mods, params, by=groups, beta=0.0, loss=loss, n_classes=n_classes).withColumnRenamed("loss", "_a")
+    return whole.join(bare, groups).agg(F.avg("loss").alias("loss"), F.avg("_a").alias("asl"), F.count(F.lit(1)).alias("n_batches"))
+
+
+def validation_loss(
+    val: DataFrame,
+    weights: SC.ProjectorWeights,
+    head: np.ndarray,
+    token_order: Sequence[str],
+    *,
+    key: str | None,
+    by: str = "batch",
+    batch_size: int = C.BATCH_SIZE,
+    gammas: Sequence[float] = C.GAMMAS_JOINT,
+    beta: float = C.BETA,
+    loss: str = "asl",
+    class_w: DataFrame | None = None,
+    name: str = "val-scored",
+) -> DataFrame:
+    """M8, one row (loss, asl, n_batches): the unweighted mean of the losses of
+    ``batch_size``-row batches in ``key`` order, as the source reports it; with
+    ``by="row"`` the loss over all rows at once. No row: NULL."""
+    if by not in ("batch", "row"):
+        raise ValueError("by must be 'batch' or 'row'")
+    mods = list(token_order)
+    scores = _validation_scores(val, weights, head, mods, key if by == "batch" else None, name, batch_size)
+    params = class_w if loss == "bce" else L.class_params(val.sparkSession, gammas)
+    return _batch_or_row(scores, mods, params, beta, loss, len(gammas), by)
+
+
 def validate(
     val: DataFrame,
     params: dict,
     head: np.ndarray,
     token_order: Sequence[str],
     *,
+    key: str | None = None,
+    by: str = "batch",
+    batch_size: int = C.BATCH_SIZE,
     gammas: Sequence[float] = C.GAMMAS_JOINT,
     beta: float = C.BETA,
     name: str = "val",
@@ -105,29 +158,28 @@ def validate(
 ) -> dict:
     """M8: loss and delta-p of one split without gradients, as Spark aggregations.
 
-    One fused Python pass (encode + decode + frozen head, codes and
-    reconstructions never leave the worker) writes a small per-row table
-    (labels, logits, squared reconstruction error per modality); the
-    asymmetric loss (summed over classes), the reconstruction MSE per
-    modality and delta-p per class are aggregates over it. ``loss="bce"``
-    uses the weighted BCE averaged over the classes with ``class_w`` (the
-    training split's class weights). Returns
-    {"loss": L + beta * sum(mse), "asl": L, "mse": {...}, "delta_p": [...]}.
+    One fused Python pass writes a small per-row table (labels, logits, squared
+    reconstruction error per modality); everything else is an aggregate over
+    it. The loss is the mean of batch losses in ``key`` order (see
+    :func:`validation_loss`); ``by="row"`` takes the whole split as one batch.
+    ``loss="bce"`` uses the weighted BCE averaged over the classes with
+    ``class_w`` (the training split's class weights). Returns {"loss", "asl",
+    "mse": {...}, "delta_p": [...]}; without any row the losses are None. The
+    written table is deleted.
     """
+    if by == "batch" and key is None:
+        raise ValueError("batches need a key that orders the rows")
     spark = val.sparkSession
     mods = list(token_order)
     w = SC.ProjectorWeights(spark, {m: {k: np.asarray(params[m][k], dtype=np.float64) for k in FT.PARAM_NAMES} for m in mods})
-    per = materialize(SC.encode_decode_score(val, w, SC.linear_head(head), mods, keep=["y"]), f"{name}-scored")
-    lg = L.to_long(per, keep=(), y="y", z="logits")
-    if loss == "bce":
-        per_class = L.bce(lg, class_w)
-        asl = L.total(per_class, divide_by=len(gammas)).first()["loss"]  # one row
-    else:
-        asl = L.total(L.asymmetric(lg, L.class_params(spark, gammas))).first()["loss"]  # one row
-    mse_row = per.agg(*[(F.sum(f"_se_{m}") / F.sum(f"_n_{m}")).alias(m) for m in mods]).first()  # one row
-    mse = {m: float(mse_row[m] or 0.0) for m in mods}
-    dp = sorted((r["class_id"], r["delta_p"]) for r in L.delta_p(lg).collect())  # one row per class
-    return {"loss": float(asl) + beta * sum(mse.values()), "asl": float(asl), "mse": mse, "delta_p": [float(v) for _, v in dp]}
+    with scratch_scope(spark):
+        scores = _validation_scores(val, w, head, mods, key if by == "batch" else None, f"{name}-scored", batch_size)
+        table = class_w if loss == "bce" else L.class_params(spark, gammas)
+        one = _batch_or_row(scores, mods, table, beta, loss, len(gammas), by).first()  # one row
+        mse = {r["modality"]: r["mse"] for r in L.mse_of_sums(scores, mods).collect()}  # one row per modality
+        lg = L.to_long(scores, keep=(), y="y", z="logits")
+        dp = sorted((r["class_id"], r["delta_p"]) for r in L.delta_p(lg).collect())  # one row per class
+    return {"loss": one["loss"], "asl": one["asl"], "mse": mse, "delta_p": [float(v) for _, v in dp]}
 
 
 def train(
@@ -148,6 +200,7 @@ def train(
     max_norm: float = C.GRAD_CLIP,
     loss: str = "asl",
     isolated: bool = False,
+    key: str = "haim_id",
 ) -> tuple[dict, list[dict]]:
     """E2: the training loop (joint variant) over a prepared, scaled table.
 
@@ -160,7 +213,8 @@ def train(
     Per epoch: ``steps_per_epoch`` data-parallel fit steps on the train split
     (the epoch's train loss is the mean of its step losses, delta-p from the
     last step's forward pass over the whole split), validation of the updated
-    projectors on the val split (:func:`validate`), one history row per split
+    projectors on the val split (:func:`validate`: mean of 32-row batch losses
+    in ``key`` order), one history row per split
     appended to ``history_path`` (run, epoch, split, loss, delta_p) and the
     weights table overwritten at ``weights_path`` (the last epoch wins). Both
     splits are written once up front, so no epoch recomputes the preparation.
@@ -168,7 +222,7 @@ def train(
     mods = [m for m in spec.token_order if spec.widths[m] > 0]
     cols = ["y", *[F.col(m).cast("array<double>").alias(m) for m in mods]]
     tr = materialize(scaled.where(F.col("split") == "train").select(*cols), f"{run}-train")
-    va = materialize(scaled.where(F.col("split") == "val").select(*cols), f"{run}-val")
+    va = materialize(scaled.where(F.col("split") == "val").select(key, *cols), f"{run}-val")
     state = FT.FitState(params={m: {k: np.asarray(v, dtype=np.float64).copy() for k, v in d.items()}
                                 for m, d in FT.params_from_weights(init).items() if m in mods})
     spark = scaled.sparkSession
@@ -188,7 +242,7 @@ def train(
             isolated=isolated,
         )
         v = validate(
-            va, state.params, head, mods, gammas=gammas, beta=beta, name=f"{run}-val-{epoch}", loss=loss, class_w=cw_df
+            va, state.params, head, mods, key=key, gammas=gammas, beta=beta, name=f"{run}-val-{epoch}", loss=loss, class_w=cw_df
         )
         rows = [
             {"run": run, "epoch": epoch, "split": "train", "loss": float(np.mean([h["loss"] for h in steps])),
@@ -229,9 +283,7 @@ def run_evaluation(
     wide = io.read_study_csv(spark, csv_path)
     scaled, _ = prepare_study(wide, spec, los_mode=los_mode)
     weights = SC.ProjectorWeights.from_table(io.read_weights(spark, weights_path))
-    latent = next(iter(weights.latent.values()))
-    long = score_split(scaled, weights, make_scorer, spec, latent)
-    evaluate(long, out_path)
+    evaluate(score_split(scaled, weights, make_scorer, spec), out_path)
     return io.read_results(spark, out_path)
 
 

@@ -9,9 +9,9 @@ import numpy as np
 from mmcohort import config as C
 from mmcohort import pipeline as PL
 from mmcohort.operators import scoring as SC
-from mmcohort.plans.evaluation import _VALID
+from mmcohort.plans import evaluation as EV
 from mmcohort.plans.preparation import DROP, FEATURE_OF, LABELS, _SPLIT, _stats_sql, _z
-from mmcohort.plans.registry import r, register, rounded
+from mmcohort.plans.registry import register, rounded
 from mmcohort.sources import fixtures as fx
 
 SPEC = fx.COHORT_SPEC
@@ -22,7 +22,7 @@ COLS_OF = {m: [c for c, (mm, _) in FEATURE_OF.items() if mm == m] for m in SPEC.
 
 
 def _scorer():
-    return SC.class_logits_from_vocab(SC.linear_vocab_model(len(TOKENS) * LATENT), C.VOCAB_POSITIONS[:N_CLASSES])
+    return SC.class_logits_from_vocab(fx.linear_vocab_model(len(TOKENS) * LATENT), C.VOCAB_POSITIONS[:N_CLASSES])
 
 
 def _lit(x: float) -> str:
@@ -45,41 +45,33 @@ def _sql() -> str:
             for i in range(LATENT):
                 terms.append(f"{_lit(math.cos(5 * v + 3 * (t * LATENT + i)) * 0.25)} * c_{m}_{i}")
         logits.append(" + ".join(terms))
-    ev = "ev"
     return f"""WITH {_SPLIT}, {_stats_sql()},
 zs AS (SELECT haim_id, split, list_transform(y, lambda x: CASE WHEN x = -1 THEN 2.0 ELSE x END) AS y, {zcols} FROM sp, st),
 cd AS (SELECT y, {', '.join(codes)} FROM zs WHERE split = 'val'),
 lo AS (SELECT y, [{', '.join(logits)}] AS logits FROM cd),
-lg AS (SELECT CAST(unnest(generate_series(0, {N_CLASSES - 1})) AS INTEGER) AS class_id, unnest(y) AS y, unnest(logits) AS z FROM lo),
-{ev} AS (SELECT class_id, y, 1.0 / (1.0 + exp(-z)) AS p, CASE WHEN 1.0 / (1.0 + exp(-z)) > 0.5 THEN 1 ELSE 0 END AS pred FROM lg),
-conf AS (SELECT class_id,
-    CAST(count(*) FILTER (WHERE {_VALID}) AS BIGINT) AS n,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 0 AND pred = 0) AS BIGINT) AS tn,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 0 AND pred = 1) AS BIGINT) AS fp,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 1 AND pred = 0) AS BIGINT) AS fn,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 1 AND pred = 1) AS BIGINT) AS tp
-  FROM {ev} GROUP BY class_id),
-cnt AS (SELECT class_id, p, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg
-  FROM {ev} WHERE {_VALID} GROUP BY class_id, p),
-rk2 AS (SELECT *, coalesce(sum(n_neg) OVER (PARTITION BY class_id ORDER BY p
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM cnt),
-au AS (SELECT class_id, CASE WHEN sum(n_pos) > 0 AND sum(n_neg) > 0 THEN
-        sum(CAST(n_pos AS DOUBLE) * (neg_below + 0.5 * n_neg)) / (CAST(sum(n_pos) AS DOUBLE) * sum(n_neg)) END AS auc
-  FROM rk2 GROUP BY class_id)
-SELECT class_id, n, tp, fp, fn, tn,
-   {r('(tp + tn) / nullif(n, 0)')} AS accuracy,
-   {r('coalesce(tp / nullif(tp + fp, 0), 0.0)')} AS precision,
-   {r('coalesce(tp / nullif(tp + fn, 0), 0.0)')} AS recall,
-   {r('au.auc')} AS auc
-FROM conf LEFT JOIN au USING (class_id)"""
-
-
-@register("pipeline_report", "E1 -> E3 end to end over lineitem x orders: prepare, split, standardise, project, score, evaluate", _sql())
-def q_pipeline(spark, sf_dir):
+lg AS (SELECT CAST(unnest(generate_series(0, {N_CLASSES - 1})) AS INTEGER) AS class_id, unnest(y) AS y, unnest(logits) AS z FROM lo)"""
+
+
+def _scored_sql(rest: str) -> str:
+    # the report's CTEs read ``sp``: a scope of its own, as the split above has that name too
+    return f"""{_sql()},
+ev AS (SELECT class_id, y, 1.0 / (1.0 + exp(-z)) AS p, CASE WHEN 1.0 / (1.0 + exp(-z)) > 0.5 THEN 1 ELSE 0 END AS pred FROM lg)
+SELECT * FROM (WITH sp AS (SELECT * FROM ev), {rest})"""
+
+
+def _counts(spark, sf_dir):
     scaled, _ = PL.prepare_study(
         fx.cohort(spark, sf_dir), SPEC, key="haim_id", label_cols=LABELS, drop_names=DROP, los="los", death="death"
     )
     w = SC.ProjectorWeights.from_table(SC.rule_weights(spark, SPEC, LATENT))
-    long = PL.score_split(scaled, w, _scorer(), SPEC, LATENT)
-    rep, _ = PL.evaluate(long)
-    return rounded(rep.select("class_id", "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "auc"))
+    return PL.score_split(scaled, w, _scorer(), SPEC)
+
+
+@register("pipeline_report", "E1 -> E3 end to end over lineitem x orders: prepare, split, standardise, project, score, evaluate", _scored_sql(EV.report_sql()))
+def q_pipeline(spark, sf_dir):
+    return rounded(PL.evaluate(_counts(spark, sf_dir))[0])
+
+
+@register("pipeline_roc", "E1 -> E3 end to end: the ROC points", _scored_sql(EV.roc_sql()))
+def q_pipeline_roc(spark, sf_dir):
+    return rounded(PL.evaluate(_counts(spark, sf_dir))[1])

@@ -134,11 +134,21 @@ def q_roc_trapezoid(spark, sf_dir):
     return rounded(M.roc_trapezoid(_scored_long(spark, sf_dir)))
 
 
-EVAL_REPORT_SQL = f"""{_SCORED}, {_conf_sql()}, {_metrics_sql()}, {_auc_sql()}
-SELECT met.*, {r('au.auc')} AS auc FROM met LEFT JOIN au USING (class_id)"""
+def report_sql() -> str:
+    """CTEs and SELECT of the full report over a CTE ``sp`` (class_id, y, p, pred)."""
+    return f"""{_conf_sql()}, {_metrics_sql()}, {_auc_sql()}
+SELECT met.*, {r('au.auc')} AS auc, {r('au.auc')} AS roc_auc FROM met LEFT JOIN au USING (class_id)"""
 
 
-@register("eval_report", "E3 G25 (flagship): G17-G22", EVAL_REPORT_SQL)
+def roc_sql() -> str:
+    """CTEs and SELECT of the ROC points over a CTE ``sp``."""
+    return f"{_roc_sql()}{_ROC_SELECT}"
+
+
+EVAL_REPORT_SQL = f"{_SCORED}, {report_sql()}"
+
+
+@register("eval_report", "E3 G25 (flagship): G17-G22, G24", EVAL_REPORT_SQL)
 def q_eval_report(spark, sf_dir):
     return rounded(M.report(_scored_long(spark, sf_dir)))
 

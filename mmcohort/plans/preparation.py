@@ -13,7 +13,7 @@ from mmcohort.session import materialize
 from mmcohort.sources import fixtures as fx
 
 FEATURE_OF = {  # scalar fixture column -> (modality, index)
-    "vd_0": ("vd", 0), "vd_1": ("vd", 1), "ts_ce_0": ("ts_ce", 0), "ts_le_0": ("ts_le", 0),
+    "vd_0": ("vd", 0), "vd_1": ("vd", 1), "vmd_0": ("vmd", 0), "ts_ce_0": ("ts_ce", 0), "ts_le_0": ("ts_le", 0),
     "ts_pe_0": ("ts_pe", 0), "n_rad_0": ("n_rad", 0), "n_rad_1": ("n_rad", 1),
 }
 LABELS = ["lab_0", "lab_1", "Length-of-Stay", "48-hour Mortality"]
@@ -116,8 +116,9 @@ SELECT class_id, y, count(*) AS n FROM lg GROUP BY class_id, y""")
 def q_pack(spark, sf_dir):
     d = K.outcome_labels(fx.cohort(spark, sf_dir), los="los", death="death")
     d = K.recode_uncertain(K.pack_labels(d, LABELS))
-    lg = d.select(F.posexplode("y").alias("class_id", "y"))
-    return lg.groupBy("class_id", "y").agg(F.count(F.lit(1)).alias("n"))
+    few = d.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))  # the few distinct label arrays, then their elements
+    lg = few.select("_n", F.posexplode("y").alias("class_id", "y"))
+    return lg.groupBy("class_id", "y").agg(F.sum("_n").alias("n"))
 
 
 @register("prune_columns", "P6 P7 P8 P13 F13", f"""WITH {_LABELED}
@@ -149,6 +150,39 @@ def q_single(spark, sf_dir):
     return d.select("haim_id", "y", *FEATURE_OF)
 
 
+def _single_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS {c}__m, stddev_samp({c}) AS {c}__s" for c in FEATURE_OF)
+    z = lambda c: f"CASE WHEN {c}__s IS NULL THEN NULL WHEN {c}__s <> 0 THEN ({c} - {c}__m) / {c}__s ELSE {c} END"
+    rows = "\nUNION ALL\n".join(
+        f"SELECT split, y, '{m}' AS modality, CAST({i} AS INTEGER) AS idx, {z(c)} AS x FROM sp1, st1" for c, (m, i) in FEATURE_OF.items()
+    )
+    return f"""WITH {fx.COHORT_SQL},
+s1 AS (SELECT haim_id, lab_0 AS y, {_FEATS} FROM cohort WHERE lab_0 IN (0, 1) AND haim_id IS NOT NULL),
+i1 AS (SELECT DISTINCT haim_id FROM s1),
+r1 AS (SELECT haim_id, row_number() OVER (ORDER BY md5('{C.SPLIT_SEED}:' || CAST(haim_id AS VARCHAR)), haim_id) AS rn, count(*) OVER () AS n FROM i1),
+sp1 AS (SELECT s1.*, CASE WHEN rn <= ceil(n * {C.VAL_FRACTION}) THEN 'val' ELSE 'train' END AS split FROM s1 JOIN r1 USING (haim_id)),
+st1 AS (SELECT {stats} FROM sp1 WHERE split = 'train'),
+z1 AS ({rows})
+SELECT split, modality, idx, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS n_null, CAST(sum(y) AS BIGINT) AS n_pos,
+       {r('sum(x)', 6)} AS s1, {r('sum(x * x)', 6)} AS s2 FROM z1 GROUP BY split, modality, idx"""
+
+
+@register("single_label_zscore", "P11 P12 G2 G3: single-label route, missing features kept and skipped by the statistics", _single_sql())
+def q_single_zscore(spark, sf_dir):
+    d = K.prepare_single(
+        fx.cohort(spark, sf_dir), fx.COHORT_SPEC, "lab_0", drop_names=["los", "death", "lab_0", "lab_1"], drop_prefixes=C.DROPPED_PREFIXES
+    )
+    d = materialize(d, "single-prepared")  # read by the cutoff, two passes of statistics and their application
+    d = SP.apply_split(d, "haim_id", SP.fit_split(d, "haim_id"))
+    widths = fx.COHORT_SPEC.widths
+    st = S.fit_stats(d.where(F.col("split") == "train"), ARRAYS, widths, skip_missing=True)
+    lf = long_features(S.apply_stats(d, st, ARRAYS), ARRAYS, widths, keep=("split", "y"))
+    return rounded(lf.groupBy("split", "modality", "idx").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"), F.sum("y").cast("long").alias("n_pos"),
+        F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"),
+    ), 6)
+
+
 @register("group_split", "G1 W1 J1 J2", f"""WITH {_SPLIT}
 SELECT haim_id, split, count(*) AS n_rows FROM sp GROUP BY haim_id, split""")
 def q_split(spark, sf_dir):

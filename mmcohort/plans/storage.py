@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from mmcohort import config as C
 from mmcohort.operators import losses as L
 from mmcohort.operators import metrics as M
 from mmcohort.operators import scoring as SC
@@ -19,13 +20,18 @@ from mmcohort.sources import io
 _FEATS = ", ".join(FEATURE_OF)
 
 
-@register("io_roundtrip", "S1 (CSV with header, schema from header) + packed Parquet ingest", f"""WITH {fx.COHORT_SQL}
+@register("io_roundtrip", "S1 (CSV files with headers in any column order, 0/1 written as 1.0) + packed Parquet ingest", f"""WITH {fx.COHORT_SQL}
 SELECT haim_id, los, death, lab_0, lab_1, {_FEATS} FROM cohort""")
 def q_io_roundtrip(spark, sf_dir):
     csv_path = scratch_path(spark, "wide-csv")
-    io.write_wide_csv(fx.cohort(spark, sf_dir), csv_path)
-    wide = io.read_study_csv(spark, csv_path, longs=("haim_id", "de_0", "vp_0"), ints=("death", "vmp_0"), strings=())
-    packed = io.ingest(wide, fx.COHORT_SPEC, scratch_path(spark, "packed"), keep=["haim_id", "los", "death", "lab_0", "lab_1"])
+    wide = fx.cohort(spark, sf_dir)
+    odd = F.coalesce(F.col("de_0") % 2 == 1, F.lit(False))
+    io.write_wide_csv(wide.where(odd), f"{csv_path}/a")
+    # the other half: columns in reverse, the flag as pandas writes it beside a missing value
+    half = wide.where(~odd).withColumn("death", F.col("death").cast("double"))
+    io.write_wide_csv(half.select(*reversed(half.columns)), f"{csv_path}/b")
+    back = io.read_study_csv(spark, csv_path, longs=("haim_id", "de_0", "vp_0"), ints=("death", "vmp_0"), strings=())
+    packed = io.ingest(back, fx.COHORT_SPEC, scratch_path(spark, "packed"), keep=["haim_id", "los", "death", "lab_0", "lab_1"])
     return packed.select(
         "haim_id", "los", "death", "lab_0", "lab_1", *[F.col(m)[i].alias(c) for c, (m, i) in FEATURE_OF.items()]
     )
@@ -41,35 +47,60 @@ def q_encode_from_table(spark, sf_dir):
     return rounded(TR._codes_long(e))
 
 
-@register("history_append", "S4 S6: per-epoch loss rows appended per run", f"""{TR._MODAL_SPLIT}, {TR._CODES}, {TR._COMBINED_SQL},
-el AS (SELECT split, avg(loss) AS loss FROM cb GROUP BY split)
-SELECT 'fixture' AS run, epoch, split, {r('loss')} AS loss
-FROM el CROSS JOIN (SELECT CAST(range AS INTEGER) AS epoch FROM range(1, 3))""")
+# epoch 2 of the history: encoder weights and biases halved, hence codes and logits too
+_HALF_SQL = f"""{TR._MODAL_SPLIT}, {TR._CODES},
+jl2 AS (SELECT * REPLACE (z / 2 AS z) FROM jl),
+mse2 AS (SELECT split, batch_id, modality, sum((xh - x) * (xh - x)) / count(*) AS mse FROM (
+           SELECT split, study_id, modality, x, (xhat - CAST(CAST(0.005::DOUBLE * j AS FLOAT) AS DOUBLE)) / 2
+                  + CAST(CAST(0.005::DOUBLE * j AS FLOAT) AS DOUBLE) AS xh FROM recon) JOIN bt USING (study_id, split)
+         GROUP BY split, batch_id, modality)"""
+
+
+def _epoch_sql(epoch: int, jl: str, mse: str) -> str:
+    dp = f"""CASE WHEN count(*) FILTER (WHERE {TR._VALID}) = 0 THEN {C.DELTA_P_DEFAULT} ELSE
+   coalesce(avg(CASE WHEN {TR._VALID} AND y = 1 THEN {TR._SIG} END), {C.DELTA_P_DEFAULT})
+ - coalesce(avg(CASE WHEN {TR._VALID} AND y = 0 THEN 1.0 - {TR._SIG} END), {C.DELTA_P_DEFAULT}) END"""
+    return f"""SELECT 'fixture' AS run, CAST({epoch} AS INTEGER) AS epoch, split, {r('avg(loss)')} AS loss, any_value(dp) AS delta_p FROM (
+  SELECT split, batch_id, l + {C.BETA} * sum(mse) AS loss FROM (
+    SELECT split, batch_id, sum(loss) AS l FROM ({TR._asl_sql(jl, 'split, batch_id', C.GAMMAS_JOINT)}) GROUP BY split, batch_id
+  ) JOIN {mse} USING (split, batch_id) GROUP BY split, batch_id, l)
+JOIN (SELECT split, list({r('v')} ORDER BY class_id) AS dp FROM (SELECT split, class_id, {dp} AS v FROM {jl} GROUP BY split, class_id) GROUP BY split)
+USING (split) GROUP BY split"""
+
+
+@register("history_append", "S4 S6: loss and delta-p rows appended per epoch", f"""{_HALF_SQL}
+{_epoch_sql(1, 'jl', 'mse_b')}
+UNION ALL
+{_epoch_sql(2, 'jl2', 'mse2')}""")
 def q_history(spark, sf_dir):
-    b, comb = TR._batch_losses(spark, sf_dir)
-    ep = L.epoch_loss(comb, by=("split",))
-    lg = L.to_long(b, keep=("split",), y="y", z="logits")
-    dp = L.delta_p(lg, by=("split",)).groupBy("split").agg(
-        F.sort_array(F.collect_list(F.struct("class_id", "delta_p"))).alias("_dp")
-    )  # 12 values per split
-    hist = ep.join(dp, "split").select(
-        F.lit("fixture").alias("run"), "split", F.col("epoch_loss").alias("loss"), F.col("_dp.delta_p").alias("delta_p")
-    )
     path = scratch_path(spark, "history")
-    for epoch in (1, 2):
-        io.append_history(hist.withColumn("epoch", F.lit(epoch)), path)
+    for epoch, factor in ((1, 1.0), (2, 0.5)):
+        b, comb = TR._batch_losses(spark, sf_dir, factor)
+        lg = L.to_long(b, keep=("split",), y="y", z="logits")
+        dp = L.delta_p(lg, by=("split",)).groupBy("split").agg(
+            F.sort_array(F.collect_list(F.struct("class_id", "delta_p"))).alias("_dp")
+        )  # 12 values per split
+        io.append_history(L.epoch_loss(comb, by=("split",)).join(dp, "split").select(
+            F.lit("fixture").alias("run"), F.lit(epoch).alias("epoch"), "split", F.col("epoch_loss").alias("loss"),
+            F.col("_dp.delta_p").alias("delta_p"),
+        ), path)
     back = io.read_history(spark, path)
-    return rounded(back.select("run", F.col("epoch").cast("int").alias("epoch"), "split", "loss"))
+    return rounded(back.select("run", F.col("epoch").cast("int").alias("epoch"), "split", "loss", "delta_p"))
 
 
-@register("results_write", "S3 G25: metrics + ROC tables written and read back", EV.EVAL_REPORT_SQL)
-def q_results(spark, sf_dir):
-    long = M.predict(fx.scores(spark, sf_dir))
+def _written_results(spark, sf_dir):
+    table = M.count_table(M.predict(fx.scores(spark, sf_dir)))
     path = scratch_path(spark, "results")
-    splits = M.score_splits(long)
-    io.write_results(M.report(long, splits=splits), M.roc_points(long, splits=splits), path)
-    metrics, _roc = io.read_results(spark, path)
-    return rounded(metrics)
+    splits = M.score_splits(table)
+    io.write_results(M.report_of(table, splits), M.roc_points_of(table, splits), path)
+    return io.read_results(spark, path)
 
 
+@register("results_write", "S3 G25: metrics and ROC tables written, metrics read back", EV.EVAL_REPORT_SQL)
+def q_results(spark, sf_dir):
+    return rounded(_written_results(spark, sf_dir)[0])
+
 
+@register("results_roc", "S3 G23: metrics and ROC tables written, ROC read back", f"{EV._SCORED}, {EV.roc_sql()}")
+def q_results_roc(spark, sf_dir):
+    return rounded(_written_results(spark, sf_dir)[1])

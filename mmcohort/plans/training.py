@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mmcohort import config as C
+from mmcohort import pipeline as PL
 from mmcohort.operators import batches as B
 from mmcohort.operators import cohort as K
 from mmcohort.operators import losses as L
@@ -12,6 +14,8 @@ from mmcohort.operators import metrics as M
 from mmcohort.operators import scaling as S
 from mmcohort.operators import scoring as SC
 from mmcohort.operators import split as SP
+from mmcohort.operators.prefix import ordered_prefix
+from mmcohort.plans import evaluation as EV
 from mmcohort.plans.preparation import long_features, sig, sig_sql
 from mmcohort.plans.registry import r, register, rounded
 from mmcohort.session import materialize
@@ -33,25 +37,38 @@ def modal_split(spark, sf_dir):
     return K.recode_uncertain(m, col="y")
 
 
+def label_long(spark, sf_dir):
+    """(study_id, split, class_id, y): labels alone, no scorer."""
+    ms = modal_split(spark, sf_dir)
+    return ms.select("study_id", "split", F.posexplode("y").alias("class_id", "y"))
+
+
 def modal_long(spark, sf_dir):
-    return L.to_long(modal_split(spark, sf_dir), keep=("study_id", "split"), y="y", z="logits")
+    """Labels and the frozen scorer's logits, long: one Python pass."""
+    s = SC.encode_and_score(modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=KEEP)
+    return L.to_long(s, keep=("study_id", "split"), y="y", z="logits")
 
 
-def fixture_weights(spark):
-    return SC.ProjectorWeights.from_table(SC.rule_weights(spark, SPEC, LATENT))
+def fixture_weights(spark, factor: float = 1.0):
+    return SC.ProjectorWeights.from_table(SC.rule_weights(spark, SPEC, LATENT, factor))
 
 
 def fixture_scorer():
-    return SC.class_logits_from_vocab(SC.linear_vocab_model(N_TOK * LATENT))
+    return SC.class_logits_from_vocab(fx.linear_vocab_model(N_TOK * LATENT))
 
 
-def scored(spark, sf_dir, *, decode=True, write=True):
-    """Encode (+decode) every modality, score jointly; written once to the shared
-    folder when several passes read it (``write``)."""
-    ms = modal_split(spark, sf_dir)
-    e = SC.encode(ms, fixture_weights(spark), SPEC.stored_order, decode=decode)
-    s = SC.score(e, fixture_scorer(), C.TOKEN_ORDER, LATENT)
-    return materialize(s, "scored") if write else s
+KEEP = ("study_id", "split", "y")
+
+
+def scored(spark, sf_dir, *, isolated=False, factor=1.0):
+    """Narrow scores of every row: labels, logits and squared reconstruction
+    errors, with batch numbers; written once. No code or reconstruction leaves
+    the workers."""
+    s = SC.encode_decode_score(
+        modal_split(spark, sf_dir), fixture_weights(spark, factor), fixture_scorer(), C.TOKEN_ORDER, keep=KEEP, isolated=isolated
+    )
+    s = materialize(s, "scored")
+    return B.batch_numbers(s, "study_id", partition=("split",), keep=[c for c in s.columns if c not in ("study_id", "split")])
 
 
 # ------------------------------------------------------------------ DuckDB text
@@ -63,8 +80,7 @@ rk AS (SELECT haim_id, row_number() OVER (ORDER BY md5('{C.SPLIT_SEED}:' || CAST
 asg AS (SELECT haim_id, CASE WHEN rn <= ceil(n * {C.VAL_FRACTION}) THEN 'val' ELSE 'train' END AS split FROM rk),
 ms AS (SELECT modal.* REPLACE (list_transform(y, lambda x: CASE WHEN x = -1 THEN 2.0 ELSE x END) AS y), split
        FROM modal JOIN asg USING (haim_id)),
-lg AS (SELECT study_id, split, CAST(unnest(generate_series(0, 11)) AS INTEGER) AS class_id,
-              unnest(y) AS y, CAST(unnest(logits) AS DOUBLE) AS z FROM ms)"""
+lab AS (SELECT study_id, split, CAST(unnest(generate_series(0, 11)) AS INTEGER) AS class_id, unnest(y) AS y FROM ms)"""
 
 _VALID = "(y IS NOT NULL AND NOT isnan(y) AND y <> 2)"
 _SIG = "(1.0 / (1.0 + exp(-z)))"
@@ -90,13 +106,13 @@ def _asl_sql(src: str, by: str, gammas) -> str:
 
 
 _WEIGHTS = f"""cc AS (SELECT class_id, count(*) AS n, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1
-        FROM lg WHERE split = 'train' GROUP BY class_id),
+        FROM lab WHERE split = 'train' GROUP BY class_id),
 cw AS (SELECT class_id, CAST(n AS DOUBLE) / ({2.0 * C.BCE_K} * n0 + {C.BCE_EPS}) AS w0,
               CAST(n AS DOUBLE) / ({2.0 * C.BCE_K} * n1 + {C.BCE_EPS}) AS w1 FROM cc)"""
 
 _BCE = f"""bl AS (SELECT split, class_id, coalesce(avg(CASE WHEN {_VALID} THEN
           (CASE WHEN y = 1 THEN w1 ELSE w0 END) * (greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z)))) END), 0.0) AS loss
-        FROM lg JOIN cw USING (class_id) GROUP BY split, class_id)"""
+        FROM jl JOIN cw USING (class_id) GROUP BY split, class_id)"""
 
 
 def _feature_rows_sql(src: str, keep: str) -> str:
@@ -112,6 +128,8 @@ def _feature_rows_sql(src: str, keep: str) -> str:
 
 _TOK = "tok AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {t})" for t, m in enumerate(C.TOKEN_ORDER)) + ") v(modality, t))"
 
+_CLS = "cls AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {v})" for k, v in enumerate(C.VOCAB_POSITIONS)) + ") v(class_id, pos))"
+
 _CODES = f"""xl AS ({_feature_rows_sql('ms', 'study_id, split')}),
 lat AS (SELECT CAST(range AS INTEGER) AS i FROM range({LATENT})),
 code AS (SELECT study_id, split, modality, i,
@@ -123,12 +141,12 @@ recon AS (SELECT x.study_id, x.split, x.modality, x.j, x.x,
               + CAST(CAST(0.005::DOUBLE * x.j AS FLOAT) AS DOUBLE) AS xhat
           FROM xl x JOIN code c USING (study_id, split, modality) GROUP BY x.study_id, x.split, x.modality, x.j, x.x),
 {_TOK},
-cls AS (SELECT CAST(range AS INTEGER) AS class_id FROM range({C.NUM_CLASSES})),
+{_CLS},
 joint AS (SELECT c.study_id, c.split, k.class_id,
-            sum(cos(5 * (100 * (k.class_id + 1) + 1) + 3 * (tok.t * {LATENT} + c.i)) * 0.25 * c.code) AS z
+            sum(cos(5 * k.pos + 3 * (tok.t * {LATENT} + c.i)) * 0.25 * c.code) AS z
           FROM code c JOIN tok USING (modality) CROSS JOIN cls k GROUP BY c.study_id, c.split, k.class_id),
 iso AS (SELECT c.study_id, c.split, c.modality, k.class_id,
-            sum(cos(5 * (100 * (k.class_id + 1) + 1) + 3 * c.i) * 0.25 * c.code) AS z
+            sum(cos(5 * k.pos + 3 * c.i) * 0.25 * c.code) AS z
           FROM code c CROSS JOIN cls k GROUP BY c.study_id, c.split, c.modality, k.class_id),
 bt AS (SELECT study_id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY study_id) - 1) // {C.BATCH_SIZE} + 1 AS BIGINT) AS batch_id
        FROM ms),
@@ -143,62 +161,59 @@ mse_b AS (SELECT split, batch_id, modality, sum((xhat - x) * (xhat - x)) / count
 
 @register("class_counts", "G4", f"""{_MODAL_SPLIT}
 SELECT class_id, count(*) AS n, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1
-FROM lg WHERE split = 'train' GROUP BY class_id""")
+FROM lab WHERE split = 'train' GROUP BY class_id""")
 def q_class_counts(spark, sf_dir):
-    lg = modal_long(spark, sf_dir)
-    return L.class_counts(lg.where(F.col("split") == "train"))
+    return L.class_counts(label_long(spark, sf_dir).where(F.col("split") == "train"))
 
 
 @register("class_weights", "G5 D4", f"""{_MODAL_SPLIT}, {_WEIGHTS}
 SELECT class_id, {sig_sql('w0')} AS w0, {sig_sql('w1')} AS w1 FROM cw""")
 def q_class_weights(spark, sf_dir):
-    lg = modal_long(spark, sf_dir)
-    w = L.class_weights(lg.where(F.col("split") == "train"))
+    w = L.class_weights(label_long(spark, sf_dir).where(F.col("split") == "train"))
     return w.select("class_id", sig(F.col("w0")).alias("w0"), sig(F.col("w1")).alias("w1"))
 
 
 def _bce(spark, sf_dir):
-    lg = modal_long(spark, sf_dir)
-    w = L.class_weights(lg.where(F.col("split") == "train"))
-    return L.bce(lg, w, by=("split",))
+    w = L.class_weights(label_long(spark, sf_dir).where(F.col("split") == "train"))
+    return L.bce(modal_long(spark, sf_dir), w, by=("split",), classes=range(C.NUM_CLASSES))
 
 
-@register("bce_masked", "G6 P19 P22 J5 X3", f"""{_MODAL_SPLIT}, {_WEIGHTS}, {_BCE}
+@register("bce_masked", "G6 P19 P22 J5 X3", f"""{_MODAL_SPLIT}, {_CODES}, {_WEIGHTS}, {_BCE}
 SELECT split, class_id, {r('loss')} AS loss FROM bl""")
 def q_bce(spark, sf_dir):
     return rounded(_bce(spark, sf_dir))
 
 
-@register("bce_weighted_total", "G7", f"""{_MODAL_SPLIT}, {_WEIGHTS}, {_BCE}
+@register("bce_weighted_total", "G7", f"""{_MODAL_SPLIT}, {_CODES}, {_WEIGHTS}, {_BCE}
 SELECT split, {r(f'sum(loss) / {float(C.NUM_CLASSES)}')} AS loss FROM bl GROUP BY split""")
 def q_bce_total(spark, sf_dir):
     return rounded(L.total(_bce(spark, sf_dir), by=("split",), divide_by=C.NUM_CLASSES))
 
 
-@register("asl_joint", "G8 F4 F5 F6", f"""{_MODAL_SPLIT}, a AS ({_asl_sql('lg', 'split', C.GAMMAS_JOINT)})
+@register("asl_joint", "G8 F4 F5 F6", f"""{_MODAL_SPLIT}, {_CODES}, a AS ({_asl_sql('jl', 'split', C.GAMMAS_JOINT)})
 SELECT split, class_id, {r('loss')} AS loss FROM a""")
 def q_asl_joint(spark, sf_dir):
-    return rounded(L.asymmetric(modal_long(spark, sf_dir), L.class_params(spark, C.GAMMAS_JOINT), by=("split",)))
+    return rounded(L.asymmetric(modal_long(spark, sf_dir), L.class_params(spark, C.GAMMAS_JOINT), by=("split",), classes=range(C.NUM_CLASSES)))
 
 
-@register("asl_isolated_gammas", "G8 G9", f"""{_MODAL_SPLIT}, a AS ({_asl_sql('lg', 'split', C.GAMMAS_ISOLATED)})
+@register("asl_isolated_gammas", "G8 G9", f"""{_MODAL_SPLIT}, {_CODES}, a AS ({_asl_sql('jl', 'split', C.GAMMAS_ISOLATED)})
 SELECT split, class_id, {r('loss')} AS loss FROM a""")
 def q_asl_iso(spark, sf_dir):
-    return rounded(L.asymmetric(modal_long(spark, sf_dir), L.class_params(spark, C.GAMMAS_ISOLATED), by=("split",)))
+    return rounded(L.asymmetric(modal_long(spark, sf_dir), L.class_params(spark, C.GAMMAS_ISOLATED), by=("split",), classes=range(C.NUM_CLASSES)))
 
 
-@register("asl_total", "G11", f"""{_MODAL_SPLIT}, a AS ({_asl_sql('lg', 'split', C.GAMMAS_JOINT)})
+@register("asl_total", "G11", f"""{_MODAL_SPLIT}, {_CODES}, a AS ({_asl_sql('jl', 'split', C.GAMMAS_JOINT)})
 SELECT split, {r('sum(loss)')} AS loss FROM a GROUP BY split""")
 def q_asl_total(spark, sf_dir):
     per = L.asymmetric(modal_long(spark, sf_dir), L.class_params(spark, C.GAMMAS_JOINT), by=("split",))
     return rounded(L.total(per, by=("split",)))
 
 
-@register("delta_p", "G10 P22", f"""{_MODAL_SPLIT}
+@register("delta_p", "G10 P22", f"""{_MODAL_SPLIT}, {_CODES}
 SELECT split, class_id, {r(f'''CASE WHEN count(*) FILTER (WHERE {_VALID}) = 0 THEN {C.DELTA_P_DEFAULT} ELSE
    coalesce(avg(CASE WHEN {_VALID} AND y = 1 THEN {_SIG} END), {C.DELTA_P_DEFAULT})
  - coalesce(avg(CASE WHEN {_VALID} AND y = 0 THEN 1.0 - {_SIG} END), {C.DELTA_P_DEFAULT}) END''')} AS delta_p
-FROM lg GROUP BY split, class_id""")
+FROM jl GROUP BY split, class_id""")
 def q_delta_p(spark, sf_dir):
     return rounded(L.delta_p(modal_long(spark, sf_dir), by=("split",)))
 
@@ -207,8 +222,19 @@ def q_delta_p(spark, sf_dir):
 SELECT study_id, split, CAST(rn AS BIGINT) AS row_idx, CAST((rn - 1) // {C.BATCH_SIZE} + 1 AS BIGINT) AS batch_id
 FROM (SELECT study_id, split, row_number() OVER (PARTITION BY split ORDER BY study_id) AS rn FROM ms)""")
 def q_batches(spark, sf_dir):
-    d = B.batch_numbers(modal_split(spark, sf_dir), "study_id", partition=("split",))
-    return d.select("study_id", "split", "row_idx", "batch_id")
+    return B.batch_numbers(modal_split(spark, sf_dir), "study_id", partition=("split",)).select("study_id", "split", "row_idx", "batch_id")
+
+
+@register("batch_numbers_nulls", "W4 with NULL partition values and a NULL key", f"""{_MODAL_SPLIT},
+nn AS (SELECT CASE WHEN study_id = 7 THEN NULL ELSE study_id END AS study_id, CASE WHEN label = 3 THEN NULL ELSE split END AS split FROM ms)
+SELECT study_id, split, CAST(rn AS BIGINT) AS row_idx, CAST((rn - 1) // {C.BATCH_SIZE} + 1 AS BIGINT) AS batch_id
+FROM (SELECT study_id, split, row_number() OVER (PARTITION BY split ORDER BY study_id NULLS FIRST) AS rn FROM nn)""")
+def q_batches_nulls(spark, sf_dir):
+    d = modal_split(spark, sf_dir).select(
+        F.when(F.col("study_id") != 7, F.col("study_id")).alias("study_id"),
+        F.when(F.col("label") != 3, F.col("split")).alias("split"),
+    )
+    return B.batch_numbers(d, "study_id", partition=("split",)).select("study_id", "split", "row_idx", "batch_id")
 
 
 @register("epoch_shuffle", "W5", f"""{_MODAL_SPLIT},
@@ -222,15 +248,19 @@ def q_shuffle(spark, sf_dir):
     return out.select(F.col("epoch").cast("int").alias("epoch"), "study_id", "batch_id")
 
 
-@register("epoch_shuffle_xxhash", "W5 (xxhash64 order; no DuckDB twin)")
+@register("epoch_shuffle_xxhash", "W5 (xxhash64 order: batch sizes, and the rows they hold)", f"""{_MODAL_SPLIT},
+tr AS (SELECT (row_number() OVER () - 1) // {C.BATCH_SIZE} + 1 AS b FROM ms WHERE split = 'train')
+SELECT CAST(b AS BIGINT) AS batch_id, count(*) AS n, CAST((SELECT sum(study_id) FROM ms WHERE split = 'train') AS BIGINT) AS id_sum
+FROM tr GROUP BY b""")
 def q_shuffle_xx(spark, sf_dir):
-    tr = modal_split(spark, sf_dir).where(F.col("split") == "train")
-    d = tr.withColumn("_k", B.shuffle_key("study_id", 1, method="xxhash"))
-    d, nb = B.quantile_buckets(d, "_k", 256)
-    from mmcohort.operators.prefix import ordered_prefix
-
-    ranked = ordered_prefix(d, "_k", F.col("_qbucket").cast("int"), n_buckets=nb, rank="row_idx")
-    return ranked.select("study_id", (F.floor((F.col("row_idx") - 1) / C.BATCH_SIZE) + 1).cast("long").alias("batch_id"))
+    tr = modal_split(spark, sf_dir).where(F.col("split") == "train").select("study_id")
+    d = B.quantile_buckets(tr.withColumn("_k", B.shuffle_key("study_id", 1, method="xxhash")), "_k")
+    ranked = ordered_prefix(d, "_k", F.col("_qbucket").cast("int"), rank="row_idx")
+    per = ranked.groupBy((F.floor((F.col("row_idx") - 1) / C.BATCH_SIZE) + 1).cast("long").alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("study_id").alias("_s")
+    )
+    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row per batch
+    return per.select("batch_id", "n", F.sum("_s").over(every).alias("id_sum"))
 
 
 def _zmodal_sql() -> str:
@@ -256,6 +286,30 @@ def q_zmodal(spark, sf_dir):
     return rounded(agg, 6)
 
 
+_WIDE_SQL = f"""{_MODAL_SPLIT},
+wd AS (SELECT split, list_concat(embedding, list_reverse(embedding)) AS w FROM ms JOIN embeddings ON ms.study_id = embeddings.vec_id),
+wl AS (SELECT split, CAST(unnest(w) AS DOUBLE) AS x, CAST(unnest(generate_series(0, 127)) AS INTEGER) AS idx FROM wd),
+wst AS (SELECT idx, avg(x) AS m, stddev_samp(x) AS s, count(*) AS n FROM wl WHERE split = 'train' GROUP BY idx),
+wz AS (SELECT split, idx, CASE WHEN n < 2 THEN NULL WHEN s <> 0 THEN (x - m) / s ELSE x END AS x FROM wl JOIN wst USING (idx))
+SELECT split, idx, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS n_null, {r('sum(x)', 6)} AS s1, {r('sum(x * x)', 6)} AS s2
+FROM wz GROUP BY split, idx"""
+
+
+@register("zscore_wide", "G2 G3 on a 128-wide array (the embedding, then itself reversed)", _WIDE_SQL)
+def q_zwide(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("study_id"), F.concat("embedding", F.reverse("embedding")).alias("w")
+    )
+    ms = modal_split(spark, sf_dir).select("study_id", "split").join(e, "study_id")
+    st = S.fit_stats(ms.where(F.col("split") == "train"), ["w"], {"w": 128})
+    z = S.apply_stats(ms, st, ["w"])
+    long = z.select("split", F.posexplode("w").alias("idx", "x"))
+    return rounded(long.groupBy("split", "idx").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"),
+        F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"),
+    ), 6)
+
+
 @register("modality_slices", "P14 P15 P20 F11", f"""WITH {fx.MODAL_SQL}, {_TOK},
 sl AS ({' UNION ALL '.join(
     f"SELECT study_id, '{m}' AS modality, CAST(len({m}) AS INTEGER) AS width, list_sum(list_transform({m}, lambda x: CAST(x AS DOUBLE))) AS total FROM modal"
@@ -302,34 +356,44 @@ def q_encode_sql(spark, sf_dir):
 @register("decode_mse", "M2 G12", f"""{_MODAL_SPLIT}, {_CODES}
 SELECT split, modality, {r('sum((xhat - x) * (xhat - x)) / count(*)')} AS mse FROM recon GROUP BY split, modality""")
 def q_decode_mse(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return rounded(L.mse(s, {m: (m, f"recon_{m}") for m in SPEC.stored_order}, by=("split",)))
+    return rounded(L.mse_of_sums(_errors(spark, sf_dir), SPEC.stored_order, by=("split",)))
+
+
+def _errors(spark, sf_dir):
+    """Logits and squared errors in one pass, read once: nothing is written."""
+    return SC.encode_decode_score(modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=KEEP)
 
 
 @register("joint_scores", "M4 X4 F10 F11", f"""{_MODAL_SPLIT}, {_CODES}
 SELECT study_id, class_id, {r('z')} AS logit FROM joint""")
 def q_joint(spark, sf_dir):
-    s = scored(spark, sf_dir, decode=False, write=False)  # one pass reads it
+    s = SC.encode_and_score(modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=["study_id"])
     return rounded(s.select("study_id", F.posexplode("logits").alias("class_id", "logit")))
 
 
+@register("joint_scores_half", "M4 F12 P15: float16 codes, float32 projection (NumPy test: float16 is beyond SQL)")
+def q_joint_half(spark, sf_dir):
+    s = SC.encode_and_score(
+        modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=["study_id"],
+        batch_size=C.BATCH_SIZE, half=True, precision="float32",
+    )
+    return rounded(s.select("study_id", F.posexplode("logits").alias("class_id", "logit")), 6)
+
+
 @register("isolated_scores", "M5 X4", f"""{_MODAL_SPLIT}, {_CODES}
 SELECT study_id, modality, class_id, {r('z')} AS logit FROM iso""")
 def q_iso(spark, sf_dir):
-    ms = modal_split(spark, sf_dir)
-    e = SC.encode(ms, fixture_weights(spark), SPEC.stored_order)
-    iso = SC.score_isolated(e, fixture_scorer(), C.TOKEN_ORDER, LATENT, keep=("study_id",))
+    iso = SC.encode_and_score_isolated(modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=["study_id"])
     return rounded(iso.select("study_id", "modality", F.posexplode("logits").alias("class_id", "logit")))
 
 
-def _batch_losses(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    b = materialize(B.batch_numbers(s, "study_id", partition=("split",)), "batched")
-    by = ("split", "batch_id")
-    lg = L.to_long(b, keep=by, y="y", z="logits")
-    asl = L.total(L.asymmetric(lg, L.class_params(spark, C.GAMMAS_JOINT), by=by), by=by)
-    mse_b = L.mse(b, {m: (m, f"recon_{m}") for m in SPEC.stored_order}, by=by)
-    return b, L.combined(asl, mse_b, by=by, beta=C.BETA)
+BY_BATCH = ("split", "batch_id")
+
+
+def _batch_losses(spark, sf_dir, factor=1.0):
+    """(narrow scores, reported loss per split and batch)."""
+    b = materialize(scored(spark, sf_dir, factor=factor), "batched")
+    return b, L.batch_losses(b, C.TOKEN_ORDER, L.class_params(spark, C.GAMMAS_JOINT), by=BY_BATCH)
 
 
 _COMBINED_SQL = f"""ab AS ({_asl_sql('jl', 'split, batch_id', C.GAMMAS_JOINT)}),
@@ -355,46 +419,62 @@ li AS (SELECT split, batch_id, modality, sum(loss) AS l FROM ai GROUP BY split,
 SELECT split, batch_id, {r(f'sum(l + {C.BETA} * mse)')} AS loss
 FROM li JOIN mse_b USING (split, batch_id, modality) GROUP BY split, batch_id""")
 def q_loss_iso(spark, sf_dir):
-    b, _ = _batch_losses(spark, sf_dir)
-    iso = SC.score_isolated(b, fixture_scorer(), C.TOKEN_ORDER, LATENT, keep=("study_id", "split", "batch_id", "y"))
-    by = ("split", "batch_id", "modality")
-    lg = L.to_long(iso, keep=by, y="y", z="logits")
-    per_mod = L.total(L.asymmetric(lg, L.class_params(spark, C.GAMMAS_ISOLATED), by=by), by=by)
-    mse_b = L.mse(b, {m: (m, f"recon_{m}") for m in SPEC.stored_order}, by=("split", "batch_id"))
-    j = per_mod.join(mse_b, list(by))
-    out = j.groupBy("split", "batch_id").agg(F.sum(F.col("loss") + F.lit(C.BETA) * F.col("mse")).alias("loss"))
-    return rounded(out)
+    b = materialize(scored(spark, sf_dir, isolated=True), "batched")
+    return rounded(L.isolated_batch_losses(b, C.TOKEN_ORDER, L.class_params(spark, C.GAMMAS_ISOLATED), by=BY_BATCH))
 
 
-@register("modal_eval_report", "E3 end to end: M1 M4 M6 G17-G22 on the validation split", f"""{_MODAL_SPLIT}, {_CODES},
-sp AS (SELECT class_id, y, {_SIG} AS p, CASE WHEN {_SIG} > 0.5 THEN 1 ELSE 0 END AS pred FROM jl WHERE split = 'val'),
-conf AS (SELECT class_id,
-    CAST(count(*) FILTER (WHERE {_VALID}) AS BIGINT) AS n,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 0 AND pred = 0) AS BIGINT) AS tn,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 0 AND pred = 1) AS BIGINT) AS fp,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 1 AND pred = 0) AS BIGINT) AS fn,
-    CAST(count(*) FILTER (WHERE {_VALID} AND y = 1 AND pred = 1) AS BIGINT) AS tp
-  FROM sp GROUP BY class_id),
-cnt AS (SELECT class_id, p, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg
-  FROM sp WHERE {_VALID} GROUP BY class_id, p),
-rk2 AS (SELECT *, coalesce(sum(n_neg) OVER (PARTITION BY class_id ORDER BY p
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM cnt),
-au AS (SELECT class_id, CASE WHEN sum(n_pos) > 0 AND sum(n_neg) > 0 THEN
-        sum(CAST(n_pos AS DOUBLE) * (neg_below + 0.5 * n_neg)) / (CAST(sum(n_pos) AS DOUBLE) * sum(n_neg)) END AS auc
-  FROM rk2 GROUP BY class_id)
-SELECT class_id, n, tp, fp, fn, tn,
-   {r('(tp + tn) / nullif(n, 0)')} AS accuracy,
-   {r('coalesce(tp / nullif(tp + fp, 0), 0.0)')} AS precision,
-   {r('coalesce(tp / nullif(tp + fn, 0), 0.0)')} AS recall,
-   {r('au.auc')} AS auc
-FROM conf LEFT JOIN au USING (class_id)""")
-def q_modal_report(spark, sf_dir):
+_VAL_BCE_SQL = f"""{_WEIGHTS},
+vb AS (SELECT batch_id, class_id, coalesce(avg(CASE WHEN {_VALID} THEN
+          (CASE WHEN y = 1 THEN w1 ELSE w0 END) * (greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z)))) END), 0.0) AS loss
+        FROM jl JOIN cw USING (class_id) WHERE split = 'val' GROUP BY batch_id, class_id),
+vl AS (SELECT batch_id, sum(loss) / {float(C.NUM_CLASSES)} AS l FROM vb GROUP BY batch_id),
+vc AS (SELECT batch_id, l + {C.BETA} * sum(mse) AS loss FROM vl JOIN (SELECT * FROM mse_b WHERE split = 'val') USING (batch_id) GROUP BY batch_id, l)"""
+
+
+def _validation(spark, sf_dir, loss):
+    ms = modal_split(spark, sf_dir)
+    head = fx.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
+    weights = L.class_weights(label_long(spark, sf_dir).where(F.col("split") == "train")) if loss == "bce" else None
+    out = PL.validation_loss(
+        ms.where(F.col("split") == "val"), fixture_weights(spark), head, C.TOKEN_ORDER, key="study_id", loss=loss, class_w=weights
+    )
+    return rounded(out.select(F.col("loss").alias("epoch_loss"), "n_batches"))
+
+
+@register("validate_joint", "M8 G16: validation loss of the pipeline, mean of batch losses", f"""{_MODAL_SPLIT}, {_CODES}, {_COMBINED_SQL}
+SELECT {r('avg(loss)')} AS epoch_loss, count(*) AS n_batches FROM cb WHERE split = 'val'""")
+def q_validate_joint(spark, sf_dir):
+    return _validation(spark, sf_dir, "asl")
+
+
+@register("validate_bce", "M8 G16 G7: the same with class-weighted BCE", f"""{_MODAL_SPLIT}, {_CODES}, {_VAL_BCE_SQL}
+SELECT {r('avg(loss)')} AS epoch_loss, count(*) AS n_batches FROM vc""")
+def q_validate_bce(spark, sf_dir):
+    return _validation(spark, sf_dir, "bce")
+
+
+def _modal_eval_sql(rest: str) -> str:
+    # a scope of its own: the report's CTEs share names with the split's
+    return f"""{_MODAL_SPLIT}, {_CODES},
+ev AS (SELECT class_id, y, {_SIG} AS p, CASE WHEN {_SIG} > 0.5 THEN 1 ELSE 0 END AS pred FROM jl WHERE split = 'val')
+SELECT * FROM (WITH sp AS (SELECT * FROM ev), {rest})"""
+
+
+def modal_counts(spark, sf_dir):
+    """Count table of the validation split's scores: the one scorer pass."""
     val = modal_split(spark, sf_dir).where(F.col("split") == "val")
-    s = SC.encode_and_score(val, fixture_weights(spark), fixture_scorer(), SPEC.stored_order, C.TOKEN_ORDER, keep=["study_id", "y"])
-    lg = L.to_long(s, keep=("study_id",), y="y", z="logits")
-    rep = M.report(M.predict(lg))
-    return rounded(rep.select("class_id", "n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "auc"))
+    s = SC.encode_and_score(val, fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=["study_id", "y"])
+    return M.count_table(M.predict(L.to_long(s, keep=("study_id",), y="y", z="logits")))
+
+
+@register("modal_eval_report", "E3 end to end: M1 M4 M6 G17-G22 G24 on the validation split", _modal_eval_sql(EV.report_sql()))
+def q_modal_report(spark, sf_dir):
+    return rounded(M.report_of(modal_counts(spark, sf_dir)))
+
 
+@register("modal_eval_roc", "E3 end to end: ROC points of the validation split", _modal_eval_sql(EV.roc_sql()))
+def q_modal_roc(spark, sf_dir):
+    return rounded(M.roc_points_of(modal_counts(spark, sf_dir)))
 
 
 @register("projector_fit", "M7: data-parallel fit, per-step loss (iterative; no SQL oracle)")
@@ -402,7 +482,7 @@ def q_fit(spark, sf_dir):
     from mmcohort.operators import fit as FT
 
     tr = materialize(TR_train(spark, sf_dir), "fit-train")  # every step re-reads it
-    head = SC.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
+    head = fx.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
     init = FT.params_from_weights(fixture_weights(spark))
     _, hist = FT.fit_projectors(tr, init, head, steps=3)
     rows = [(h["step"], float(h["loss"]), float(h["asl"])) for h in hist]
@@ -416,11 +496,10 @@ def TR_train(spark, sf_dir):
 
 
 def _training_loop(spark, sf_dir, loss, isolated=False):
-    from mmcohort import pipeline as PL
     from mmcohort.session import scratch_path
     from mmcohort.sources import io
 
-    head = SC.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
+    head = fx.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
     hist_path, w_path = scratch_path(spark, "history"), scratch_path(spark, "weights")
     PL.train(
         modal_split(spark, sf_dir), fixture_weights(spark), head, SPEC, run=f"fixture-{loss}{'-iso' if isolated else ''}", epochs=2,

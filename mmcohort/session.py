@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -62,27 +66,61 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED[app] = out
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
+def _one_machine(master: str) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is. Only when it is unset (local tests) a folder of our own
-    is created and set.
-    """
+
+def shared_folder(configured: str | None, master: str) -> str:
+    """The folder for intermediate tables: the configured one, or a folder of
+    our own in a one-process session (tests). Anywhere else an unset folder is
+    an error: executors would write to their own disks."""
+    if configured:
+        return configured
+    if not _one_machine(master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+    path = tempfile.mkdtemp(prefix="mmcohort-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Return the shared checkpoint folder named by the session (see :func:`shared_folder`)."""
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get(_CKPT_KEY, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="mmcohort-ckpt-")
+    configured = sc.getCheckpointDir() or spark.conf.get(_CKPT_KEY, None)
+    path = shared_folder(configured, sc.master)
+    if not configured:
         spark.conf.set(_CKPT_KEY, path)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+_SCOPES: list[list[str]] = []  # scratch paths made inside open scratch_scope()s
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/mmcohort/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/mmcohort/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the intermediate tables made inside when left. Collect or write
+    what is to be kept before: frames made inside cannot be read afterwards."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not made]
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -9,15 +9,18 @@ Each view has a Spark builder and the same definition as DuckDB SQL text
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mmcohort.config import ModalitySpec
 
-# Wide-table layout of the cohort view (vmd has no columns in this fixture).
-COHORT_SPEC = ModalitySpec(widths={"vd": 2, "vmd": 0, "ts_ce": 1, "ts_le": 1, "ts_pe": 1, "n_rad": 2})
+# Wide-table layout of the cohort view: all six modalities.
+COHORT_SPEC = ModalitySpec(widths={"vd": 2, "vmd": 1, "ts_ce": 1, "ts_le": 1, "ts_pe": 1, "n_rad": 2})
 COHORT_LABELS = ("lab_0", "lab_1")
-COHORT_FEATURES = ("vd_0", "vd_1", "ts_ce_0", "ts_le_0", "ts_pe_0", "n_rad_0", "n_rad_1")
+COHORT_FEATURES = ("vd_0", "vd_1", "vmd_0", "ts_ce_0", "ts_le_0", "ts_pe_0", "n_rad_0", "n_rad_1")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         _lab(F.col("l_partkey") + 2 * F.col("l_suppkey")).alias("lab_1"),
         F.col("l_quantity").cast("double").alias("vd_0"),
         F.col("l_extendedprice").cast("double").alias("vd_1"),
+        (F.col("l_orderkey") % 97).cast("double").alias("vmd_0"),
         F.when(F.col("l_tax") == 0.08, F.lit(None)).otherwise(F.col("l_tax")).cast("double").alias("ts_ce_0"),
         F.col("o_totalprice").cast("double").alias("ts_le_0"),
         F.lit(5.0).cast("double").alias("ts_pe_0"),
@@ -88,7 +92,6 @@ def modal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice(emb, 53, 4).alias("ts_pe"),
         F.slice(emb, 57, 8).alias("n_rad"),
         modal_labels(F.col("label")).alias("y"),
-        F.transform(F.slice(emb, 1, 12), lambda x: x.cast("double") * 8.0).alias("logits"),
     )
 
 
@@ -130,6 +133,7 @@ COHORT_SQL = f"""cohort AS (
          {_sql_lab('l_partkey + l_suppkey')} AS lab_0,
          {_sql_lab('l_partkey + 2 * l_suppkey')} AS lab_1,
          CAST(l_quantity AS DOUBLE) AS vd_0, CAST(l_extendedprice AS DOUBLE) AS vd_1,
+         CAST(l_orderkey % 97 AS DOUBLE) AS vmd_0,
          CAST(CASE WHEN l_tax = 0.08 THEN NULL ELSE l_tax END AS DOUBLE) AS ts_ce_0,
          CAST(o_totalprice AS DOUBLE) AS ts_le_0,
          CAST(5.0 AS DOUBLE) AS ts_pe_0,
@@ -155,8 +159,7 @@ MODAL_SQL = f"""modal AS (
   SELECT vec_id AS study_id, vec_id % 50 AS haim_id, label,
          embedding[1:16] AS vd, embedding[17:32] AS vmd, embedding[33:40] AS ts_ce,
          embedding[41:52] AS ts_le, embedding[53:56] AS ts_pe, embedding[57:64] AS n_rad,
-         {_sql_modal_labels()} AS y,
-         list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE) * 8.0) AS logits
+         {_sql_modal_labels()} AS y
   FROM embeddings)"""
 
 SCORES_SQL = """scores AS (
@@ -170,3 +173,30 @@ TIE_SQL = """tie AS (
   SELECT 0 AS class_id, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y,
          CAST(l_discount AS DOUBLE) AS p, CASE WHEN l_discount > 0.5 THEN 1 ELSE 0 END AS pred
   FROM lineitem)"""
+
+
+# ------------------------------------------------------------ frozen toy model
+
+def vocab_matrix(latent_total: int, positions: Sequence[int], scale: float = 0.25) -> np.ndarray:
+    """Rows cos(5 v + 3 j) * scale of the toy model for vocabulary positions ``positions``."""
+    v = np.asarray(list(positions))[:, None]
+    j = np.arange(latent_total)[None, :]
+    return np.cos(5 * v + 3 * j) * scale
+
+
+def linear_vocab_model(latent_total: int, vocab: int = 1202, scale: float = 0.25):
+    """Frozen toy sequence model (test double): vocabulary logit v at the last
+    position = sum_j cos(5 v + 3 j) * scale * x_j over the flattened sequence."""
+
+    def make():
+        H = vocab_matrix(latent_total, range(vocab), scale)  # (V, J)
+
+        def model(seq):
+            b, t, d = seq.shape
+            flat = seq.reshape(b, t * d)
+            last = flat @ H[:, : t * d].T  # (B, V)
+            return last[:, None, :]  # the last position is the only one read
+
+        return model
+
+    return make

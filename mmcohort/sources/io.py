@@ -8,9 +8,12 @@ then skips whole modalities).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mmcohort.config import ModalitySpec
@@ -23,9 +26,22 @@ TEXT_COLUMNS = (
 )
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line (no schema inference, no data scan)."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+def csv_headers(spark: SparkSession, path: str, marker: str) -> list[tuple[list[str], list[str]]]:
+    """(columns, files) for each distinct header line below ``path``. A header
+    is the line of a file that names the column ``marker``; one filter over the
+    raw lines finds them, nothing is parsed. Files without one raise."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("f"))
+    names = F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
+    heads = lines.where(F.array_contains(names, marker)).groupBy("value").agg(F.collect_set("f").alias("files")).collect()
+    out = []
+    for h in heads:  # one row per distinct header
+        cols = next(csv.reader([h["value"].lstrip("\ufeff")]))
+        out.append((cols, sorted(h["files"])))
+    known = {f for _, files in out for f in files}
+    bare = [f for f in spark.read.option("recursiveFileLookup", True).text(path).inputFiles() if unquote(f).split(":", 1)[-1].lstrip("/") not in {unquote(k).split(":", 1)[-1].lstrip("/") for k in known}]
+    if not out or bare:
+        raise ValueError(f"no header line with column {marker!r} in {bare[:3] or path}")
+    return out
 
 
 def schema_from_header(
@@ -50,21 +66,39 @@ def schema_from_header(
     return T.StructType(fields)
 
 
-def read_study_csv(spark: SparkSession, path: str, **schema_kw) -> DataFrame:
-    """Wide study table; blank cells -> NULL, 'NaN' -> NaN (guarded downstream)."""
-    schema = schema_from_header(csv_header(spark, path), **schema_kw)
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("nanValue", "NaN")
-        .csv(path)
-    )
-
-
-def ingest(df: DataFrame, spec: ModalitySpec, out_path: str, *, keep: Sequence[str]) -> DataFrame:
-    """Pack the wide table's modalities to arrays and write Parquet once; returns the re-read table."""
-    packed = pack_modalities(df, spec, keep=keep)
+def read_study_csv(
+    spark: SparkSession, path: str, *, key: str = "haim_id", ints: Iterable[str] = ("death_status",), **schema_kw
+) -> DataFrame:
+    """Wide study table; blank cells -> NULL, 'NaN' -> NaN (guarded downstream).
+
+    Columns go by name: files with their columns in another order are read by
+    their own header, files with other columns raise. ``ints`` may be written
+    ``1`` or ``1.0`` (as pandas does beside a missing value); any other
+    fraction fails the job.
+    """
+    ints, parts = list(ints), []
+    for names, files in csv_headers(spark, path, key):
+        schema = schema_from_header(names, ints=(), **schema_kw)
+        part = (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+            .option("nanValue", "NaN").csv(files)
+        )
+        parts.append(part)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)  # raises on missing or extra columns
+    for c in ints:
+        if c in out.columns:
+            whole = F.col(f"`{c}`") == F.floor(F.col(f"`{c}`"))
+            v = F.when(F.isnan(f"`{c}`"), F.lit(None)).when(whole, F.col(f"`{c}`").cast("int"))
+            out = out.withColumn(c, v.otherwise(F.when(F.col(f"`{c}`").isNotNull(), F.raise_error(F.lit(f"{c} is not an integer")).cast("int"))))
+    return out
+
+
+def ingest(df: DataFrame, spec: ModalitySpec, out_path: str, *, keep: Sequence[str], dtype: str = "double") -> DataFrame:
+    """Pack the wide table's modalities to arrays and write Parquet once; returns
+    the re-read table. ``dtype`` "float" halves it (the source hands over float32)."""
+    packed = pack_modalities(df, spec, keep=keep, dtype=dtype)
     packed.write.mode("overwrite").parquet(out_path)
     return df.sparkSession.read.parquet(out_path)
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from mmcohort.operators import fit as FT
+from mmcohort.sources import fixtures as fx
 
 
 def _problem(seed=0):
@@ -79,7 +80,7 @@ def test_validate_equals_numpy_and_train_writes_sinks(spark):
 
     sf = "/root/testdata/sf0.001"
     mods = list(C.TOKEN_ORDER)
-    head = SC.vocab_matrix(len(mods) * 4, C.VOCAB_POSITIONS)
+    head = fx.vocab_matrix(len(mods) * 4, C.VOCAB_POSITIONS)
     ms = TR.modal_split(spark, sf)
     hist, wp = scratch_path(spark, "h"), scratch_path(spark, "w")
     params, history = PL.train(ms, TR.fixture_weights(spark), head, C.FIXTURE_SPEC, run="t", epochs=2, history_path=hist, weights_path=wp)
@@ -96,11 +97,27 @@ def test_validate_equals_numpy_and_train_writes_sinks(spark):
     valid = ~np.isnan(Y) & (Y != 2)
     gam = np.asarray(C.GAMMAS_JOINT, dtype=np.float64)
     L, mse, _, sums = FT.loss_and_grad(X, Y, params, head, mods, gam, valid.sum(axis=0).astype(float), float(len(val)), dp_sums=True)
-    v = PL.validate(ms.where(F.col("split") == "val"), params, head, mods)
+    v = PL.validate(ms.where(F.col("split") == "val"), params, head, mods, by="row")
     assert v["asl"] == pytest.approx(L, rel=1e-9)
     assert v["loss"] == pytest.approx(L + 0.1 * sum(mse.values()), rel=1e-9)
     assert np.allclose(v["delta_p"], FT.delta_p_from_sums(sums, 12), atol=1e-12)
 
+    # the default: unweighted mean over 32-row batches in key order
+    order = np.argsort([r["study_id"] for r in val])
+    per = []
+    for lo in range(0, len(val), 32):
+        rows = order[lo : lo + 32]
+        Xb, Yb = {m: X[m][rows] for m in mods}, Y[rows]
+        nv = (~np.isnan(Yb) & (Yb != 2)).sum(axis=0).astype(float)
+        Lb, mb, _ = FT.loss_and_grad(Xb, Yb, params, head, mods, gam, nv, float(len(rows)))
+        per.append(Lb + 0.1 * sum(mb.values()))
+    v = PL.validate(ms.where(F.col("split") == "val"), params, head, mods, key="study_id")
+    assert v["loss"] == pytest.approx(np.mean(per), rel=1e-9)
+    empty = PL.validate(ms.where("false"), params, head, mods, key="study_id")
+    assert empty["loss"] is None and empty["asl"] is None
+    with pytest.raises(ValueError):
+        PL.validate(ms, params, head, mods)
+
 
 def test_bce_gradient_matches_finite_differences():
     X, Y, params, head, mods, gam, nv, n = _problem(3)
@@ -136,7 +153,7 @@ def test_bce_training_loop_validation_equals_numpy(spark):
 
     sf = "/root/testdata/sf0.001"
     mods = list(C.TOKEN_ORDER)
-    head = SC.vocab_matrix(len(mods) * 4, C.VOCAB_POSITIONS)
+    head = fx.vocab_matrix(len(mods) * 4, C.VOCAB_POSITIONS)
     ms = TR.modal_split(spark, sf)
     params, history = PL.train(ms, TR.fixture_weights(spark), head, C.FIXTURE_SPEC, run="b", epochs=1, loss="bce")
     assert [h["split"] for h in history] == ["train", "val"]
@@ -151,7 +168,11 @@ def test_bce_training_loop_validation_equals_numpy(spark):
     valid = ~np.isnan(Y) & (Y != 2)
     Lv, mse, _ = FT.loss_and_grad(X, Y, params, head, mods, np.zeros(12), valid.sum(axis=0).astype(float), float(len(val)),
                                   loss="bce", class_w=cw)
-    assert history[1]["loss"] == pytest.approx(Lv + 0.1 * sum(mse.values()), rel=1e-9)
+    cw_df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(cw)], "class_id int, w0 double, w1 double")
+    v = PL.validate(ms.where(F.col("split") == "val"), params, head, mods, by="row", loss="bce", class_w=cw_df)
+    assert v["loss"] == pytest.approx(Lv + 0.1 * sum(mse.values()), rel=1e-9)
+    v = PL.validate(ms.where(F.col("split") == "val"), params, head, mods, key="haim_id", loss="bce", class_w=cw_df)
+    assert history[1]["loss"] == pytest.approx(v["loss"], rel=1e-9)
 
 
 def test_isolated_gradient_matches_finite_differences():

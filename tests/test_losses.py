@@ -57,3 +57,15 @@ def test_mse_per_modality(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.5, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "x array<double>, xh array<double>")
     got = L.mse(df, {"m": ("x", "xh")}).first()["mse"]
     assert got == pytest.approx((0.25 + 0 + 1 + 1) / 4)
+
+
+def test_classes_without_rows_and_without_parameters(spark):
+    lg = _long(spark, [(0, 1.0, 0.3), (1, 0.0, 0.1)])
+    got = {r["class_id"]: r["loss"] for r in L.asymmetric(lg, L.class_params(spark, [4, 4, 4]), classes=range(3)).collect()}
+    assert set(got) == {0, 1, 2} and got[2] == 0.0 and got[0] > 0
+    bce = {r["class_id"]: r["loss"] for r in L.bce(lg, L.class_weights(lg), classes=range(3)).collect()}
+    assert set(bce) == {0, 1, 2} and bce[2] == 0.0
+    with pytest.raises(Exception, match="no gamma"):
+        L.asymmetric(lg, L.class_params(spark, [4])).collect()
+    with pytest.raises(Exception, match="no weights"):
+        L.bce(lg, L.class_weights(lg.where("class_id = 0"))).collect()

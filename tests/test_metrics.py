@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mmcohort.operators import metrics as M
-from mmcohort.operators.prefix import ordered_prefix, unit_bucket
+from mmcohort.operators.prefix import bucketize, ordered_prefix, quantile_splits
 
 
 def _long(spark, y, p, cls=0):
@@ -104,7 +104,8 @@ def test_prefix_matches_global_window_and_ignores_partitioning(spark):
 
     ref = {r["p"]: r["rk"] for r in df.select("p", F.row_number().over(Window.orderBy("p")).alias("rk")).collect()}
     for n in (1, 7, 64):
-        out = ordered_prefix(df.repartition(n), "p", unit_bucket("p"), n_buckets=1024, rank="rk", sums={"c": F.lit(1)})
+        d = bucketize(df.repartition(n), "p", quantile_splits(df, "p", 64), "_b")
+        out = ordered_prefix(d, "p", F.col("_b"), rank="rk", sums={"c": F.lit(1)})
         got = {r["p"]: (r["rk"], r["c"]) for r in out.collect()}
         assert all(got[k] == (v, v) for k, v in ref.items())
 
@@ -123,7 +124,8 @@ def test_concentrated_scores_spread_over_buckets(spark):
     p = np.r_[0.5 + np.arange(n) * 1e-7, np.full(n // 2, 0.3)]
     y = np.r_[np.arange(n) % 3 == 0, np.arange(n // 2) % 2 == 0].astype(float)
     long = _long(spark, y, p)
-    counts, nb = M.bucketed_counts(long, n_buckets=64)
+    table = M.count_table(long)
+    counts = M.bucketed(table, M.score_splits(table, 64))
     sizes = [r["c"] for r in counts.groupBy("class_id", "_qb").agg(F.count(F.lit(1)).alias("c")).collect()]
     assert max(sizes) <= 4 * (n + 1) / 64  # a fixed grid on [0, 1] would put all 6,000 in one bucket
     assert M.auc(long).first()["auc"] == pytest.approx(np_auc(y, p), abs=1e-12)
@@ -147,4 +149,38 @@ def test_report_and_roc_ignore_partitioning(spark):
         got = snap(base.repartition(k))
         assert got[1] == ref[1]
         for a, b in zip(got[0], ref[0]):
-            assert a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], rel=1e-12)
+            assert a[:-2] == b[:-2] and a[-2:] == pytest.approx(b[-2:], rel=1e-12)
+
+
+def test_a_labelled_row_without_score_fails(spark):
+    rows = [(0, 1.0, None), (0, 0.0, 0.2)]
+    lg = spark.createDataFrame(rows, "class_id int, y double, p double").withColumn("pred", F.lit(1))
+    with pytest.raises(Exception, match="no score"):
+        M.report(lg).collect()
+
+
+def test_null_class_is_a_class(spark):
+    lg = _long(spark, [1, 0, 1, 0], [0.5, 0.5, 0.9, 0.1]).withColumn("class_id", F.lit(None).cast("int"))
+    rep = M.report(lg).first()
+    assert rep["class_id"] is None and rep["auc"] == pytest.approx(0.875) == rep["roc_auc"]
+    assert M.roc_points(lg).count() == 4
+
+
+def test_bucket_count_follows_the_rows():
+    from mmcohort.operators import prefix as P
+
+    assert P.bucket_count(0) == 1 and P.bucket_count(10 * P.ROWS_PER_BUCKET) == 10
+    assert 16 ** P.hex_digits(300 * P.ROWS_PER_BUCKET) >= 300
+
+
+def test_prefix_keeps_null_keys_and_partitions(spark):
+    rows = [(k, p) for p in ("a", None, "b") for k in [None, *range(40)]]
+    df = spark.createDataFrame(rows, "k int, p string")
+    d = bucketize(df, "k", quantile_splits(df, "k", 8), "_b")
+    for asc in (True, False):
+        out = ordered_prefix(d, "k", F.col("_b"), partition=("p",), rank="rk", ascending=asc, totals=True).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            first = 1 if asc else 41
+            want = first if r["k"] is None else (r["k"] + 2 if asc else 40 - r["k"])
+            assert r["rk"] == want and r["_total_rows"] == 41

@@ -25,7 +25,8 @@ def _study_csv(spark):
         (F.col("vec_id") % 50).alias("haim_id"),
         F.when(F.col("vec_id") % 11 == 0, F.lit(None)).otherwise((F.col("vec_id") % 97).cast("double")).alias("img_length_of_stay"),
         (F.col("vec_id") % 2).cast("int").alias("death_status"),
-        F.lit("x").alias("ViewPosition"),
+        *[F.lit("x").alias(c) for c in io.TEXT_COLUMNS],
+        *[F.lit(0.0).alias(c) for c in ("No Finding", "Pleural Effusion", "Pleural Other", "Support Devices")],
     ]
     for k, name in enumerate(C.FINDING_COLUMNS):
         cols.append(
@@ -46,14 +47,14 @@ def test_evaluation_and_training_scripts(spark):
     csv = _study_csv(spark)
     wpath = scratch_path(spark, "init-weights")
     io.write_weights(SC.rule_weights(spark, C.FIXTURE_SPEC, 4), wpath)
-    scorer = SC.class_logits_from_vocab(SC.linear_vocab_model(len(C.TOKEN_ORDER) * 4))
+    scorer = SC.class_logits_from_vocab(fx.linear_vocab_model(len(C.TOKEN_ORDER) * 4))
     metrics, roc = PL.run_evaluation(spark, csv, wpath, scorer, scratch_path(spark, "results"), spec=C.FIXTURE_SPEC)
     m = {r["class_id"]: r for r in metrics.collect()}
     assert sorted(m) == list(range(12))
     assert all(r["n"] == r["tn"] + r["fp"] + r["fn"] + r["tp"] for r in m.values())
     assert roc.where(F.col("seq") == 0).count() == roc.select("class_id").distinct().count()
 
-    head = SC.vocab_matrix(len(C.TOKEN_ORDER) * 4, C.VOCAB_POSITIONS)
+    head = fx.vocab_matrix(len(C.TOKEN_ORDER) * 4, C.VOCAB_POSITIONS)
     for variant in ("bce", "asym", "iso"):
         hist, wout = scratch_path(spark, "hist"), scratch_path(spark, "wout")
         params, history = PL.run_training(
@@ -65,3 +66,33 @@ def test_evaluation_and_training_scripts(spark):
         assert io.read_weights(spark, wout).count() == sum(
             4 + C.FIXTURE_SPEC.widths[mm] for mm in C.TOKEN_ORDER
         )
+
+
+def test_unlisted_or_absent_columns_raise(spark):
+    import pytest
+    from mmcohort.operators import cohort as K
+
+    wide = io.read_study_csv(spark, _study_csv(spark))
+    assert K.prepare(wide, C.FIXTURE_SPEC).columns == ["haim_id", "y", *C.STORED_ORDER]
+    with pytest.raises(ValueError, match="no modality"):
+        K.prepare(wide.withColumn("surprise", F.lit(1.0)), C.FIXTURE_SPEC)
+    with pytest.raises(KeyError, match="img_id"):
+        K.prepare(wide.drop("img_id"), C.FIXTURE_SPEC)
+
+
+def test_csv_columns_go_by_name_and_flags_may_be_fractions(spark):
+    import pytest
+
+    path = scratch_path(spark, "csv")
+    a = spark.createDataFrame([(1, 1, 2.0, "x,y")], "haim_id long, death_status int, vd_0 double, split string")
+    io.write_wide_csv(a, f"{path}/a")
+    io.write_wide_csv(a.selectExpr("vd_0 + 1 AS vd_0", "split", "CAST(NULL AS DOUBLE) AS death_status", "haim_id + 1 AS haim_id"), f"{path}/b")
+    io.write_wide_csv(a.selectExpr("haim_id + 2 AS haim_id", "CAST(death_status AS DOUBLE) AS death_status", "vd_0 + 2 AS vd_0", "split"), f"{path}/c")
+    got = sorted((r["haim_id"], r["death_status"], r["vd_0"], r["split"]) for r in io.read_study_csv(spark, path).collect())
+    assert got == [(1, 1, 2.0, "x,y"), (2, None, 3.0, "x,y"), (3, 1, 4.0, "x,y")]
+    io.write_wide_csv(a.selectExpr("haim_id", "0.5 AS death_status", "vd_0", "split"), f"{path}/d")
+    with pytest.raises(Exception, match="not an integer"):
+        io.read_study_csv(spark, path).collect()
+    io.write_wide_csv(a.drop("vd_0"), f"{path}/e")
+    with pytest.raises(Exception):
+        io.read_study_csv(spark, path)

@@ -107,3 +107,47 @@ def test_statistics_merge_in_two_levels(spark):
     assert np.allclose(row["v__mean"], x.mean(axis=0), rtol=1e-12)
     assert np.allclose(row["v__std"], x.std(axis=0, ddof=1), rtol=1e-10)
     assert row["n"] == 5000
+
+
+@pytest.mark.parametrize("width", [63, 64, 65])
+def test_one_meaning_at_every_width(spark, width):
+    from mmcohort.operators import cohort as K
+
+    full = [float(i % 7) for i in range(width)]
+    rows = {"full": full, "long": [*full, 99.0], "short": full[:-1], "null": None, "hole": [None, *full[1:]], "high": [*full[:-1], 99.0], "nan": [float("nan"), *full[1:]]}
+    df = spark.createDataFrame([(k, v) for k, v in rows.items()], "k string, n_rad array<double>")
+    kept = {r["k"] for r in K.filter_outliers(df, limit=10.0).collect()}
+    assert kept == set(rows) - {"long", "high"}
+    complete = {r["k"] for r in K.drop_incomplete(df, arrays=["n_rad"]).collect()}
+    assert complete == {"full", "long", "short", "high"}
+    stats = ([1.0] * width, [2.0] * (width - 1) + [0.0])
+    scaled = lambda k: df.where(F.col("k") == k).select(S.scale_column(F.col("n_rad"), *stats).alias("z")).first()["z"]
+    assert scaled("full") == [(x - 1) / 2 for x in full[:-1]] + [full[-1]]
+    assert scaled("null") is None and scaled("hole")[0] is None and len(scaled("hole")) == width
+    for k in ("long", "short"):
+        with pytest.raises(Exception, match=f"array of {width} elements"):
+            scaled(k)
+        with pytest.raises(Exception, match=f"array of {width} elements"):
+            S.fit_stats(df.where(F.col("k") == k), ["n_rad"], {"n_rad": width}).collect()
+
+
+def test_statistics_skip_missing_elements(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(5, 3, (60, 5))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 3] = np.nan
+    x[:, 4] = np.nan
+    x[7, 4] = 2.0
+    rows = [([None if np.isnan(v) and i % 2 else float(v) for v in r],) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(7)
+    st = S.fit_stats(df, ["v"], {"v": 5}, skip_missing=True)
+    row = st.first()
+    assert np.allclose(row["v__mean"][:3], np.nanmean(x[:, :3], 0)) and row["v__mean"][3] is None and row["v__mean"][4] == 2.0
+    assert np.allclose(row["v__std"][:3], np.nanstd(x[:, :3], 0, ddof=1)) and row["v__std"][3:] == [None, None] and row["n"] == 60
+    z = S.apply_stats(df, st, ["v"]).collect()
+    assert all(r["v"][3] is None and r["v"][4] is None for r in z)
+    for skip in (True, False):
+        empty = S.fit_stats(df.where("false"), ["v"], {"v": 5}, skip_missing=skip)
+        assert empty.first() is None and S.apply_stats(df, empty, ["v"]).first()["v"] == [None] * 5
