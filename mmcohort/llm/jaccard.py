@@ -404,6 +404,17 @@ def components(links: DataFrame) -> DataFrame:
         e = materialize(e, "stars")
 
 
+def without_contained(pairs: DataFrame) -> DataFrame:
+    """Blocks (pivot, cls) but those contained in the block of the smallest
+    pivot that their own pivot is a member of: every pair of a dropped block is
+    in that one, or, where it is dropped too, in the next."""
+    up = pairs.where("pivot < cls").groupBy("cls").agg(F.min("pivot").alias("over")).withColumnRenamed("cls", "pivot")
+    held = pairs.join(up, "pivot").select("pivot", "cls", "over")
+    inside = pairs.select(F.col("pivot").alias("over"), "cls")
+    whole = up.select("pivot").join(held.join(inside, ["over", "cls"], "left_anti").select("pivot").distinct(), "pivot", "left_anti")
+    return pairs.join(whole, "pivot", "left_anti")
+
+
 def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """node, root: the components of the classes."""
     spark = docs.sparkSession
@@ -413,7 +424,7 @@ def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
         keys.join(shared.select("key", "pivot").hint("shuffle_hash"), "key").select("pivot", "cls").distinct()
     )
     # a pair of different classes at least: the pivot is always among the members of its block
-    pairs = materialize(pairs, "blocks")
+    pairs = materialize(without_contained(materialize(pairs, "shares")), "blocks")
     classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")
     )
