@@ -135,7 +135,7 @@ def _binary(col: pa.Array) -> pa.Array:
 
 
 def text_groups(
-    col, kind: str = ALNUM, limit: int = 1 << 22, prefixes: tuple[int, ...] = ()
+    col, kind: str = ALNUM, limit: int = 1 << 20, prefixes: tuple[int, ...] = ()
 ) -> Iterator[tuple[int, int, Texts]]:
     """(first row, end row, Texts) over a string column, nulls as empty, about
     ``limit`` bytes at a time (a longer text makes a group of its own)."""
