@@ -81,3 +81,87 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-length histogram of documents with suffix sums."""
     return histogram.histogram(_t(spark, sf_dir, "documents"))
+
+
+def _winner_sql(paths: list[str], weights: list[float]) -> str:
+    draws = ", ".join(
+        f"-ln((('0x' || substr(md5('{p}|' || k), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(1 << 52)}) / {float(w)}"
+        for p, w in zip(paths, weights)
+    )
+    return f"(SELECT list_position(l, list_min(l)) - 1 FROM (SELECT [{draws}] AS l))"
+
+
+def _descend_sql(leaves, path: tuple, parts: tuple) -> str:
+    """The shard below ``path`` as nested CASEs over the draws of its children."""
+    if not parts:
+        return str(leaves[0].shard)
+    groups: dict[str, list] = {}
+    for x in leaves:
+        groups.setdefault(str(getattr(x, parts[0])), []).append(x)
+    if len(groups) == 1:
+        (name, own), = groups.items()
+        return _descend_sql(own, (*path, name), parts[1:])
+    chosen = _winner_sql(["/".join((*path, g)) for g in groups], [sum(x.weight for x in own) for own in groups.values()])
+    cases = " ".join(f"WHEN {i} THEN {_descend_sql(own, (*path, g), parts[1:])}" for i, (g, own) in enumerate(groups.items()))
+    return f"CASE {chosen} {cases} END"
+
+
+def _sharding_sql() -> str:
+    """Draws from md5, CRC-32 byte by byte with the table by its rule."""
+    tree, parts = sharding.DEFAULT_TREE, ("region", "rack", "shard")
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, j: {step}) AS c FROM range(256) g(i))),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT doc_id, k, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM d, tab),
+s AS (SELECT doc_id, size, text_crc32, CAST({_descend_sql(tree, (), parts)} AS INTEGER) AS shard,
+    CAST({_descend_sql(sharding.grow(tree, 8), (), parts)} AS INTEGER) AS grown_shard FROM e)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM s"""
+
+
+ORACLES["op4_sharding"] = _sharding_sql()
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
+# links by shared shingles, components by spreading the smallest id
+ORACLES["op5_jaccard_join"] = f"""WITH RECURSIVE w AS (
+  SELECT doc_id, {_words_sql(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i:i + 3] END AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 85 * (a.n + b.n - k)),
+reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT y, c FROM reach JOIN links ON x = reach.doc_id WHERE c < y),
+low AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""
+
+_ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ORACLES["op6_decontamination"] = f"""WITH d AS (SELECT doc_id, {_words_sql(_ALNUM_WORD)} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_words_sql(_ALNUM_WORD)} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, m, w[i:i + m - 1] AS s FROM (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM b)),
+sizes AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT doc_id, m, i, w[i:i + m - 1] AS s FROM (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)),
+hits AS (SELECT doc_id, item_id, m, i FROM dw JOIN bw USING (m, s)),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+          FROM hits GROUP BY doc_id),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN items USING (doc_id) LEFT JOIN places USING (doc_id)"""
+
+ORACLES["op7_warc"] = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, coalesce(html, '') AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM g"""
