@@ -10,8 +10,9 @@ their leaves hold the share ``RECALL`` of these. Distances in the visited
 leaves are exact, in double precision.
 
 Equal vectors are one point: any number of copies is filed and compared once,
-with the smallest ids that can be answered. A leaf of many points or visits is
-cut in a grid of cells of at most ``CELL`` each.
+with the smallest ids that can be answered. Neighbouring leaves share a shelf of
+about ``CELL`` points, and a query sends one row to a shelf, with the leaves it
+visits there; a shelf of more points or queries is cut in a grid of cells.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do vectors of another than the most frequent
@@ -37,7 +38,7 @@ SAMPLE = 16_384
 LEAF_POINTS = 200  # points a leaf is meant to hold; SAMPLE // 4 leaves at most
 BRANCHES = 8
 CALIBRATION = 128
-RECALL = 0.97
+RECALL = 0.95
 CELL = 4096
 ROUNDS = 12  # of Lloyd's algorithm at each node
 
@@ -108,22 +109,57 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
-def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def nearest(
+    q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visits: list | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, rows of x, exact distances) of the k nearest, ties to the
-    smaller id. The expansion sieves; what its rounding can reorder is kept."""
+    smaller id. The expansion sieves; what its rounding can reorder is kept.
+    With ``leaf`` (of each row of x) and ``visits`` (leaves of each query) only
+    rows of visited leaves are compared."""
+    if leaf is not None:
+        order = np.argsort(leaf, kind="stable")
+        names, at = np.unique(leaf[order], return_index=True)
+        rows_of = dict(zip(names.tolist(), np.split(order, at[1:])))
     for lo in range(0, len(q), 64):
         part = q[lo : lo + 64]
-        d = distances(part, x)
+        if leaf is None:
+            d = distances(part, x)
+        else:
+            d = np.full((len(part), len(x)), np.inf)
+            by: dict[int, list[int]] = {}
+            for i, leaves in enumerate(visits[lo : lo + 64]):
+                for v in leaves:
+                    by.setdefault(v, []).append(i)
+            for v, who in by.items():
+                if v in rows_of:
+                    d[np.ix_(who, rows_of[v])] = distances(part[who], x[rows_of[v]])
         slack = 1e-12 * ((part * part).sum(1) + (x * x).sum(1).max())
         for i in range(len(part)):
-            rows = np.arange(len(x))
-            if len(x) > k:
-                rows = np.flatnonzero(d[i] <= np.partition(d[i], k - 1)[k - 1] + 16 * slack[i])
+            rows = np.flatnonzero(d[i] < np.inf)
+            if len(rows) > k:
+                own = d[i][rows]
+                rows = rows[own <= np.partition(own, k - 1)[k - 1] + 16 * slack[i]]
             exact = np.sqrt(((x[rows] - part[i]) ** 2).sum(1))
             o = np.lexsort((ids[rows], exact))[:k]
             yield lo + i, rows[o], exact[o]
 
 
+def shelves(tree: Tree, points: dict[int, int]) -> dict[int, int]:
+    """Leaf -> shelf: leaves in tree order, about CELL points a shelf."""
+    out, shelf, size, todo = {}, 0, 0, [0]
+    while todo:
+        node = todo.pop()
+        if tree.kids[node]:
+            todo += tree.kids[node][::-1]
+            continue
+        n = points.get(node, 0)
+        if size and size + n > CELL:
+            shelf, size = shelf + 1, 0
+        out[node] = shelf
+        size += n
+    return out
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     """(rows, width) in double precision; every row has the same width."""
     n = len(col)
@@ -144,12 +180,12 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _cut(df: DataFrame, by: str, of: str, grid: DataFrame) -> DataFrame:
-    """Each row in its chunk of a leaf, once for every chunk of the other side."""
-    j = df.join(F.broadcast(grid), "leaf")  # a row per leaf: at most SAMPLE // 4 leaves and their inner nodes
+    """Each row in its chunk of a shelf, once for every chunk of the other side."""
+    j = df.join(F.broadcast(grid), "shelf")  # a row per shelf: no more than leaves, at most SAMPLE // 4
     own, other = F.pmod(F.xxhash64(by), F.col(of)), "n_q" if of == "n_p" else "n_p"
     j = j.withColumn("__own", own).withColumn("__all", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
     a, b = ("__own", "__all") if of == "n_p" else ("__all", "__own")
-    return j.withColumn("cell", F.xxhash64("leaf", a, b))
+    return j.withColumn("cell", F.xxhash64("shelf", a, b))
 
 
 def search(
@@ -182,32 +218,49 @@ def search(
     filed = materialize(
         points.select("cls", "v", "low").mapInArrow(file, f"cls long, v {kind}, low long, leaf long"), "leaves"
     )
-    leaves = sum(1 for i in range(len(tree.kids)) if not tree.kids[i])
+    per_leaf = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row per leaf
+    shelf = shelves(tree, per_leaf)
+    leaves = len(shelf)
     visits = leaves if exact else calibrate(filed, tree, leaves, k, recall)
 
     def visit(batches):
         for b in batches:
-            bins = list(held.value.best_bins(_matrix(b.column(1)), visits))
-            rows = np.repeat(np.arange(len(bins)), [len(x) for x in bins])
+            rows, where, which = [], [], []
+            for i, found in enumerate(held.value.best_bins(_matrix(b.column(1)), visits)):
+                mine: dict[int, list[int]] = {}
+                for leaf in found:
+                    mine.setdefault(shelf[leaf], []).append(leaf)
+                rows += [i] * len(mine)
+                where += mine
+                which += mine.values()
+            pick = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(np.concatenate(bins), pa.int64())],
-                names=["q", "v", "leaf"],
+                [b.column(0).take(pick), b.column(1).take(pick), pa.array(where, pa.int64()), pa.array(which, pa.list_(pa.int64()))],
+                names=["q", "v", "shelf", "leaves"],
             )
 
     wanted = asked.groupBy("cls").agg(F.first("v").alias("v")).select(F.col("cls").alias("q"), "v")
-    visited = materialize(wanted.mapInArrow(visit, f"q long, v {kind}, leaf long"), "visits")
-    size = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CELL).alias(name))
-    grid = size(filed, "n_p").join(size(visited, "n_q"), "leaf")
-    grid = spark.createDataFrame(grid.toArrow())  # a row per leaf
+    visited = materialize(wanted.mapInArrow(visit, f"q long, v {kind}, shelf long, leaves array<long>"), "visits")
+    points_on: dict[int, int] = {}
+    for leaf, n in per_leaf.items():
+        points_on[shelf[leaf]] = points_on.get(shelf[leaf], 0) + n
+    queries_on = {r["shelf"]: r["count"] for r in visited.groupBy("shelf").count().collect()}  # a row per shelf
+    grid = spark.createDataFrame(
+        [(s, math.ceil(points_on[s] / CELL), math.ceil(n / CELL)) for s, n in queries_on.items() if points_on.get(s)],
+        "shelf long, n_p long, n_q long",
+    )
+    on_shelf = spark.createDataFrame(list(shelf.items()), "leaf long, shelf long")
 
     def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        p, q = left.combine_chunks(), right.combine_chunks()
         out = [[], [], [], []]
-        if len(p) and len(q):
+        if left.num_rows and right.num_rows:
             one = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-            x, low, cls = _matrix(one(p, "v")), one(p, "low").to_numpy(), one(p, "cls").to_numpy()
-            qs = one(q, "q").to_numpy()
-            for i, rows, d in nearest(_matrix(one(q, "v")), x, low, k + 1):
+            low, cls = one(left, "low").to_numpy(), one(left, "cls").to_numpy()
+            qs = one(right, "q").to_numpy()
+            found = nearest(
+                _matrix(one(right, "v")), _matrix(one(left, "v")), low, k + 1, one(left, "leaf").to_numpy(), one(right, "leaves").to_pylist()
+            )
+            for i, rows, d in found:
                 out[0].append(np.full(len(rows), qs[i]))
                 out[1].append(cls[rows])
                 out[2].append(low[rows])
@@ -216,8 +269,9 @@ def search(
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(cols, kinds)], names=["q", "cls", "low", "score"])
 
-    a = _cut(filed.select("leaf", "cls", "low", "v"), "cls", "n_p", grid).select("cell", "cls", "low", "v")
-    b = _cut(visited, "q", "n_q", grid).select("cell", "q", "v")
+    placed = filed.join(F.broadcast(on_shelf), "leaf")  # a row per leaf
+    a = _cut(placed, "cls", "n_p", grid).select("cell", "cls", "low", "leaf", "v")
+    b = _cut(visited, "q", "n_q", grid).select("cell", "q", "leaves", "v")
     found = a.groupBy("cell").cogroup(b.groupBy("cell")).applyInArrow(cell, "q long, cls long, low long, score double")
     best = Window.partitionBy("q").orderBy("score", "low", "cls")
     top = found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k + 1).select("q", "cls", "score")
