@@ -176,11 +176,7 @@ def q_single_zscore(spark, sf_dir):
     d = SP.apply_split(d, "haim_id", SP.fit_split(d, "haim_id"))
     widths = fx.COHORT_SPEC.widths
     st = S.fit_stats(d.where(F.col("split") == "train"), ARRAYS, widths, skip_missing=True)
-    lf = long_features(S.apply_stats(d, st, ARRAYS), ARRAYS, widths, keep=("split", "y"))
-    return rounded(lf.groupBy("split", "modality", "idx").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"), F.sum("y").cast("long").alias("n_pos"),
-        F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"),
-    ), 6)
+    return rounded(feature_sums(S.apply_stats(d, st, ARRAYS), [F.sum("y").cast("long").alias("n_pos")]), 6)
 
 
 @register("group_split", "G1 W1 J1 J2", f"""WITH {_SPLIT}
@@ -256,13 +252,23 @@ def long_features(df, arrays, widths, keep=("split",)):
     return df.select(*keep, F.inline(F.array(*elems)))
 
 
-def _z_aggregate(long):
-    return long.groupBy("split", "modality", "idx").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("x").isNull()).alias("n_null"),
-        F.sum("x").alias("s1"),
-        F.sum(F.col("x") * F.col("x")).alias("s2"),
-    )
+def feature_sums(df, extra=()):
+    """Per split and feature: rows, NULLs, sum and sum of squares. One aggregate
+    row per split holds all features; only those few rows are unfolded."""
+    elems = {(m, i): F.col(m)[i].cast("double") for m in ARRAYS for i in range(fx.COHORT_SPEC.widths[m])}
+    aggs = []
+    for (m, i), x in elems.items():
+        aggs += [F.count_if(x.isNull()).alias(f"{m}_{i}_k"), F.sum(x).alias(f"{m}_{i}_s"), F.sum(x * x).alias(f"{m}_{i}_q")]
+    wide = df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *extra, *aggs)
+    rows = [
+        F.struct(
+            F.lit(m).alias("modality"), F.lit(i).alias("idx"), F.col(f"{m}_{i}_k").alias("n_null"),
+            F.col(f"{m}_{i}_s").alias("s1"), F.col(f"{m}_{i}_q").alias("s2"),
+        )
+        for m, i in elems
+    ]
+    names = [c for c in wide.columns[1 : len(wide.columns) - len(aggs)]]
+    return wide.select("split", *names, F.inline(F.array(*rows)))
 
 
 def _zapply_sql() -> str:
@@ -279,4 +285,4 @@ SELECT split, modality, idx, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS
 def q_zapply(spark, sf_dir):
     d, st = _train_stats(spark, sf_dir)
     z = S.apply_stats(d, st, ARRAYS)
-    return rounded(_z_aggregate(long_features(z, ARRAYS, fx.COHORT_SPEC.widths)), 6)
+    return rounded(feature_sums(z), 6)
