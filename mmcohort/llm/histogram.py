@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mmcohort.llm.tokens import encoder
+from mmcohort.session import materialize
 
 RANGE = 1024  # lengths summed together
 
@@ -104,7 +105,8 @@ def answers(table: DataFrame, limits: list[int], quantiles: list[float]) -> tupl
 
 
 def histogram(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    return suffix_sums(length_counts(docs, text_col, path))
+    """:func:`suffix_sums` over the written counts: documents are encoded once."""
+    return suffix_sums(materialize(length_counts(docs, text_col, path), "lengths"))
 
 
 def numpy_histogram(lengths: np.ndarray) -> dict[int, tuple]:
