@@ -41,7 +41,7 @@ def csv_headers(spark: SparkSession, path: str, marker: str) -> list[tuple[list[
     bare = [f for f in spark.read.option("recursiveFileLookup", True).text(path).inputFiles() if unquote(f).split(":", 1)[-1].lstrip("/") not in {unquote(k).split(":", 1)[-1].lstrip("/") for k in known}]
     if not out or bare:
         raise ValueError(f"no header line with column {marker!r} in {bare[:3] or path}")
-    return out
+    return sorted(out, key=lambda h: h[1][0])  # the first file's order is the table's
 
 
 def schema_from_header(
@@ -72,7 +72,8 @@ def read_study_csv(
     """Wide study table; blank cells -> NULL, 'NaN' -> NaN (guarded downstream).
 
     Columns go by name: files with their columns in another order are read by
-    their own header, files with other columns raise. ``ints`` may be written
+    their own header, files with other columns raise. The table has the column
+    order of the first file by path (features are packed in table order). ``ints`` may be written
     ``1`` or ``1.0`` (as pandas does beside a missing value); any other
     fraction fails the job.
     """
