@@ -50,7 +50,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
 )
-ATTR = re.compile(r"""(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTR = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+LABEL = re.compile(r'data-main="([01])"')  # of the generator's pages
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 FEATURES = 4096
 SLOTS = 14  # features an element has, at most
@@ -66,16 +67,10 @@ def _feature(name: str) -> int:
 
 
 @lru_cache(1 << 14)
-def _attr_features(attrs: str) -> tuple[tuple[int, ...], int]:
-    """Feature numbers of class, id and role words; the label of a training page."""
-    out, label = [], -1
-    for k, v in ATTR.findall(attrs):
-        v = v.strip("\"'")
-        if k.lower() == "data-main":
-            label = int(v)
-        else:
-            out += [_feature("word " + w.lower()) for w in NAME.findall(v)]
-    return tuple(dict.fromkeys(out))[:5], label
+def _attr_features(attrs: str) -> tuple[int, ...]:
+    """Feature numbers of class, id and role words."""
+    out = [_feature("word " + w.lower()) for v in ATTR.findall(attrs) for w in NAME.findall(v.strip("\"'"))]
+    return tuple(dict.fromkeys(out))[:5]
 
 
 class Page:
@@ -164,8 +159,12 @@ class Page:
             self.linked[node] += size if links else 0
             self.stops[node] += raw.count(".") + raw.count(",")
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per element: feature numbers, kind of edge to the parent, depth, label."""
+    def labels(self) -> np.ndarray:
+        """Per element of a training page: 1 main text, 0 not, -1 left open."""
+        return np.array([int(m[1]) if (m := LABEL.search(a)) else -1 for a in self.attrs], np.int8)
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per element: feature numbers, kind of edge to the parent, depth."""
         n = len(self.tag)
         total, linked, depth = self.chars[:], self.linked[:], [0] * n
         for i in range(n - 1, 0, -1):
@@ -173,13 +172,13 @@ class Page:
             linked[self.parent[i]] += linked[i]
         every = max(1, total[0])
         out = np.zeros((n, SLOTS), np.int32)
-        kind, label = np.zeros(n, np.int8), np.full(n, -1, np.int8)
+        kind = np.zeros(n, np.int8)
         seen = 0
         for i in range(n):
             t, p = self.tag[i], self.parent[i]
             if i:
                 depth[i] = depth[p] + 1
-            words, label[i] = _attr_features(self.attrs[i]) if self.attrs[i] else ((), -1)
+            words = _attr_features(self.attrs[i]) if self.attrs[i] else ()
             own, sub = self.chars[i], total[i]
             density = linked[i] * 4 // sub if sub else 5
             f = [
@@ -197,7 +196,7 @@ class Page:
             out[i, : len(f)] = f
             kind[i] = 0 if t in INLINE else 2 if t in LIST_PART else 3 if t in SECTION else 4 if t in META else 1
             seen += own
-        return out, kind, np.array(depth), label
+        return out, kind, np.array(depth)
 
     def text(self, main: np.ndarray) -> str:
         blocks, part = [], []
@@ -214,12 +213,14 @@ class Page:
 
 
 class Forest:
-    """Several pages as one forest, level by level, for the messages."""
+    """Several pages as one forest, level by level, for the messages. Only
+    pages of the generator are ``labelled``: elsewhere data-main has no meaning."""
 
-    def __init__(self, pages: list[Page]):
+    def __init__(self, pages: list[Page], labelled: bool = True):
         feats = [p.features() for p in pages]
         self.at = np.concatenate([[0], np.cumsum([len(p.tag) for p in pages])])
-        self.feat, self.kind, depth, self.label = (np.concatenate(x) for x in zip(*feats))
+        self.feat, self.kind, depth = (np.concatenate(x) for x in zip(*feats))
+        self.label = np.concatenate([p.labels() for p in pages]) if labelled else None
         self.parent = np.concatenate([np.array(p.parent) + a for p, a in zip(pages, self.at)])
         order = np.argsort(depth, kind="stable")
         edges = np.searchsorted(depth[order], np.arange(1, depth.max() + 2))
@@ -410,7 +411,7 @@ def extract_many(sources: list[str], model: Model) -> list[str]:
     pages = [Page(s) for s in sources]
     if not pages:
         return []
-    f = Forest(pages)
+    f = Forest(pages, labelled=False)
     main = model.marginals(f) >= 0.5
     return [p.text(main[a:b]) for p, a, b in zip(pages, f.at, f.at[1:])]
 

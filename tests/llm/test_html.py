@@ -104,6 +104,14 @@ def test_edges(spark):
     assert X.extract(df.where("false")).collect() == []
 
 
+def test_foreign_data_main(spark):
+    """data-main is the generator's own label; real pages carry it with any value."""
+    marks = ['data-main="js/app"', 'data-main=""', "data-main=1e9", 'data-main="300"', 'data-main="0"']
+    rows = [(i, "u", page(f"<article {x}><p {x}>{PROSE}</p></article>", f'<script {x} src="require.js"></script>')) for i, x in enumerate(marks)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in X.extract(df).collect()} == {r[0]: PROSE for r in rows}
+
+
 def test_groups_change_nothing(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     a, b = ({r["page_id"]: r["text"] for r in X.extract(pages, group_chars=n).collect()} for n in (1 << 22, 1))
