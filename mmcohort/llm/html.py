@@ -1,7 +1,7 @@
 """Operator 3: main-text extraction by a tree-structured graphical model.
 
 A page is parsed to its tree of elements. Each element is main text or not: its
-tag, its class and id words, its text and its links give a unary potential, and
+tag, all its class, id and role words, its text and its links give a unary potential, and
 each parent-child pair a potential by the kind of child. Sum-product messages
 pass from the leaves up and from the root down and give every element's exact
 marginal; the text of elements of marginal 0.5 and more is kept, in page order.
@@ -54,7 +54,7 @@ ATTR = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I
 LABEL = re.compile(r'data-main="([01])"')  # of the generator's pages
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 FEATURES = 4096
-SLOTS = 14  # features an element has, at most
+SLOTS = 9  # features every element has, besides its class, id and role words
 KINDS = 5  # of edges: to an inline child, an ordinary block, a list part, a sectioning element, metadata
 LIST_PART = set("ul ol li dl dt dd table tbody thead tfoot tr td th".split())
 META = set("head title meta link style script noscript template base".split())
@@ -68,9 +68,9 @@ def _feature(name: str) -> int:
 
 @lru_cache(1 << 14)
 def _attr_features(attrs: str) -> tuple[int, ...]:
-    """Feature numbers of class, id and role words."""
+    """Feature numbers of all class, id and role words."""
     out = [_feature("word " + w.lower()) for v in ATTR.findall(attrs) for w in NAME.findall(v.strip("\"'"))]
-    return tuple(dict.fromkeys(out))[:5]
+    return tuple(dict.fromkeys(out))
 
 
 class Page:
@@ -163,8 +163,9 @@ class Page:
         """Per element of a training page: 1 main text, 0 not, -1 left open."""
         return np.array([int(m[1]) if (m := LABEL.search(a)) else -1 for a in self.attrs], np.int8)
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per element: feature numbers, kind of edge to the parent, depth."""
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per element: feature numbers, kind of edge to the parent, depth,
+        number of words; and the words of all elements, any number each."""
         n = len(self.tag)
         total, linked, depth = self.chars[:], self.linked[:], [0] * n
         for i in range(n - 1, 0, -1):
@@ -172,16 +173,19 @@ class Page:
             linked[self.parent[i]] += linked[i]
         every = max(1, total[0])
         out = np.zeros((n, SLOTS), np.int32)
-        kind = np.zeros(n, np.int8)
+        kind, many, words = np.zeros(n, np.int8), np.zeros(n, np.int64), []
         seen = 0
         for i in range(n):
             t, p = self.tag[i], self.parent[i]
             if i:
                 depth[i] = depth[p] + 1
-            words = _attr_features(self.attrs[i]) if self.attrs[i] else ()
+            if self.attrs[i]:
+                own_words = _attr_features(self.attrs[i])
+                many[i] = len(own_words)
+                words += own_words
             own, sub = self.chars[i], total[i]
             density = linked[i] * 4 // sub if sub else 5
-            f = [
+            out[i] = [
                 _feature("tag " + t),
                 _feature(f"in {self.tag[p]} {t}" if i else "root"),
                 _feature(f"own {min(12, own.bit_length())}"),
@@ -191,12 +195,10 @@ class Page:
                 _feature(f"at {seen * 4 // every}"),
                 _feature(f"text {min(own, 200) // 50} {density} {t in INLINE}"),
                 _feature("bias"),
-                *words,
             ]
-            out[i, : len(f)] = f
             kind[i] = 0 if t in INLINE else 2 if t in LIST_PART else 3 if t in SECTION else 4 if t in META else 1
             seen += own
-        return out, kind, np.array(depth)
+        return out, kind, np.array(depth), many, np.array(words, np.int32)
 
     def text(self, main: np.ndarray) -> str:
         blocks, part = [], []
@@ -219,7 +221,8 @@ class Forest:
     def __init__(self, pages: list[Page], labelled: bool = True):
         feats = [p.features() for p in pages]
         self.at = np.concatenate([[0], np.cumsum([len(p.tag) for p in pages])])
-        self.feat, self.kind, depth = (np.concatenate(x) for x in zip(*feats))
+        self.feat, self.kind, depth, many, self.word = (np.concatenate(x) for x in zip(*feats))
+        self.word_of = np.repeat(np.arange(len(many)), many)  # the element of each word
         self.label = np.concatenate([p.labels() for p in pages]) if labelled else None
         self.parent = np.concatenate([np.array(p.parent) + a for p, a in zip(pages, self.at)])
         order = np.argsort(depth, kind="stable")
@@ -239,7 +242,7 @@ class Model:
         """(log beliefs up, messages to parents, log beliefs): sum-product."""
         n = len(f.kind)
         up, sent = np.zeros((n, 2)), np.zeros((n, 2))
-        up[:, 1] = self.weight[f.feat].sum(1)
+        up[:, 1] = self.weight[f.feat].sum(1) + np.bincount(f.word_of, self.weight[f.word], n)
         for rows in reversed(f.levels):
             m = np.logaddexp(*(self.edge[f.kind[rows], :, c] + up[rows, c, None] for c in (0, 1)))
             sent[rows] = m - m.max(1, keepdims=True)
@@ -268,7 +271,7 @@ class Model:
             up, sent, belief = self.messages(f)
             p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700)))
             g = np.bincount(f.feat.ravel(), np.repeat(y - p, SLOTS), FEATURES)
-            g[0] = 0
+            g += np.bincount(f.word, (y - p)[f.word_of], FEATURES)
             pair = (belief[par] - sent[child])[:, :, None] + self.edge[kind] + up[child][:, None, :]
             pair = np.exp(pair - pair.max((1, 2), keepdims=True))
             pair /= pair.sum((1, 2), keepdims=True)

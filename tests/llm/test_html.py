@@ -112,6 +112,21 @@ def test_foreign_data_main(spark):
     assert {r["page_id"]: r["text"] for r in X.extract(df).collect()} == {r[0]: PROSE for r in rows}
 
 
+def test_every_class_word_counts(model):
+    """The telling word may stand behind any number of utility classes."""
+    utility = ["col-12", "col-md-4", "d-none", "d-lg-block", "px-3", "mt-auto", "order-last", "float-end", "h-100", "bg-white"]
+    for names in (utility, utility * 30, [f"{a}{b}" for a in utility for b in ("", "-sm", "-xl")]):
+        for name in ("sidebar", "advert", "comment", "notice"):
+            weights = []
+            for c in (names, [*names, name]):
+                f = X.Forest([X.Page(f"<div class='{' '.join(c)}'>{PROSE}</div>")], labelled=False)
+                weights.append(model.messages(f)[0][1, 1])
+            assert np.isclose(weights[1] - weights[0], model.weight[X._feature("word " + name)])
+    main = f"<article><h1>Head line</h1><p>{PROSE}</p></article>"
+    side = f"<div class='{' '.join(utility)} sidebar'><p>{PROSE}</p></div>"
+    assert X.extract_many([page(main + side)], model) == [f"Head line\n\n{PROSE}"]
+
+
 def test_groups_change_nothing(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     a, b = ({r["page_id"]: r["text"] for r in X.extract(pages, group_chars=n).collect()} for n in (1 << 22, 1))
