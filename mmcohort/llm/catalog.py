@@ -48,7 +48,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard join of 4-word shingles at 0.85 over documents: component per document."""
-    return jaccard.join(_t(spark, sf_dir, "documents"))
+    return jaccard.join(_t(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query

@@ -18,20 +18,22 @@ words: the whole sequence as one). Two documents link when
 3. In a block, shingles are hashed into ``GROUPS`` groups; the group counts are
    points of an R-tree whose boxes also hold the range of sizes. The sum of
    coordinate minima bounds the overlap of a query with a box or a point;
-   pairs that survive are verified on the full sets. Pairs already joined
-   through others need no look: the block returns links that span its
-   components.
-4. Blocks over the bounds below are cut in cells that all hold the pivot; if a
-   cut block does not come out as one component, the classes outside its
-   largest component are joined with every other cell too. Nothing is dropped.
+   every pair that survives is verified on the full sets. A pair that lies in
+   several blocks belongs to that of the smallest pivot and is looked at there
+   only. A block returns, per class, how many documents its links reach, and
+   links that span its components; the links themselves, whose number grows
+   with the square of a group, stay in the task.
+4. Blocks over the bounds below are cut in chunks, and each pair of chunks is a
+   cell, but for pairs that belong to another block. Nothing is dropped.
 5. Components by alternating star contraction over the narrow links.
 
 Shingles and classes are compared by 64-bit hashes (a chance of about 2**-64
 for each pair of different ones to agree).
 
 Defined results: documents without text or words have an empty set and link
-with nothing; a null doc_id has no part in any link (component_id null);
-repeated rows get the same answer each; empty tables give empty results;
+with nothing; a null doc_id has no part in any link (component_id null,
+n_links 0); repeated rows get the same answer each and count as one document
+(a doc_id with several sets counts once for each); empty tables give empty results;
 other columns are ignored.
 """
 
@@ -173,10 +175,11 @@ class Bands:
 class RTree:
     """Boxes over count vectors: per node the coordinate maxima and size range."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None):
         self.counts, self.sizes, self.leaf = counts, sizes, leaf
         self.nodes: list[tuple] = []  # (maxima, smallest size, largest size, children or rows)
-        self.root = self._build(np.argsort(sizes, kind="stable"), 0) if len(sizes) else None
+        rows = np.arange(len(sizes)) if rows is None else rows  # those the tree holds
+        self.root = self._build(rows[np.argsort(sizes[rows], kind="stable")], 0) if len(rows) else None
 
     def _build(self, rows: np.ndarray, depth: int) -> int:
         box = (self.counts[rows].max(0), int(self.sizes[rows].min()), int(self.sizes[rows].max()))
@@ -227,31 +230,87 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """The components of a block, as links of labels to the smallest label of
-    their component; classes with equal labels are known to be joined."""
-    _, first = np.unique(np.array(ids, np.int64), return_index=True)
-    sets = [sets[i] for i in first]
-    names, comp = np.unique(np.array([labels[i] for i in first], np.int64), return_inverse=True)
-    if len(names) < 2:
-        return []
-    start = comp.copy()
-    sizes = np.array([len(x) for x in sets])
-    counts = np.stack([np.bincount((x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for x in sets])
-    tree = RTree(counts.astype(np.int32), sizes)
-    for _, _, _, kids, queries in tree.nodes:
-        if kids is not None:
-            continue
-        for q, found in tree.search(queries, percent):
-            found = found[comp[found] != comp[q]]
-            while len(found):
-                j, found = int(found[0]), found[1:]
-                if linked(sets[q], sets[j], percent):
-                    a, b = sorted((comp[q], comp[j]))
-                    comp[comp == b] = a
-                    found = found[comp[found] != comp[q]]
-    moved = np.unique(np.stack([start, comp], 1)[start != comp], axis=0)
-    return [(int(names[a]), int(names[b])) for a, b in moved]
+class Cell:
+    """Some classes of a block: ``side`` 2 where all pairs are to be looked at,
+    else pairs of a class of side 0 and one of side 1. ``pivots`` are those of
+    all blocks a class is in, ``weight`` its number of documents."""
+
+    def __init__(self, pivot: int, ids: list[int], sides: list[int], weights: list[int], sets: list[np.ndarray], pivots: list[np.ndarray]):
+        self.ids, self.side, self.weight = np.array(ids, np.int64), np.array(sides), np.array(weights, np.int64)
+        self.size = np.array([len(x) for x in sets])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        flat = np.concatenate(sets)
+        self.counts = np.bincount(
+            np.repeat(np.arange(len(sets)) * GROUPS, self.size) + (flat & np.uint64(GROUPS - 1)).astype(np.int64),
+            minlength=GROUPS * len(sets),
+        ).reshape(-1, GROUPS).astype(np.int32)
+        self.flat = np.unique(flat, return_inverse=True)[1]
+        self.mark = np.zeros(len(flat), np.int32)
+        # pairs that share a smaller pivot belong to that block
+        self.before = [x[x < pivot].tolist() for x in pivots]
+        members: dict[int, list[int]] = {}
+        for i, x in enumerate(self.before):
+            for p in x:
+                members.setdefault(p, []).append(i)
+        self.members = {p: np.array(x) for p, x in members.items()}
+
+    def overlap(self, q: int, rows: np.ndarray) -> np.ndarray:
+        own = self.flat[self.at[q] : self.at[q + 1]]
+        self.mark[own] = 1
+        if 2 * len(rows) > len(self.size):
+            both = np.add.reduceat(self.mark[self.flat], self.at[:-1])[rows]
+        else:
+            n = self.size[rows]
+            start = np.cumsum(n) - n
+            both = np.add.reduceat(self.mark[self.flat[np.repeat(self.at[rows] - start, n) + np.arange(n.sum())]], start)
+        self.mark[own] = 0
+        return both
+
+    def pairs(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, linked rows), each pair of rows once."""
+        whole = self.side[0] == 2
+        tree = RTree(self.counts, self.size, rows=np.flatnonzero(self.side != 0))
+        if whole:
+            groups = [rows for *_, kids, rows in tree.nodes if kids is None]
+        else:
+            left = np.flatnonzero(self.side == 0)
+            left = left[np.argsort(self.size[left], kind="stable")]
+            groups = [left[i : i + LEAF] for i in range(0, len(left), LEAF)]
+        if tree.root is None:
+            return
+        for queries in groups:
+            found: dict[int, list[np.ndarray]] = {}
+            for q, rows in tree.search(queries, percent):
+                found.setdefault(q, []).append(rows)
+            for q, parts in found.items():
+                rows = np.concatenate(parts)
+                if whole:
+                    rows = rows[rows > q]
+                if self.before[q]:
+                    mine = np.ones(len(self.ids), bool)
+                    for p in self.before[q]:
+                        mine[self.members[p]] = False
+                    rows = rows[mine[rows]]
+                if not len(rows):
+                    continue
+                both = self.overlap(q, rows)
+                rows = rows[100 * both >= percent * (self.size[q] + self.size[rows] - both)]
+                if len(rows):
+                    yield q, rows
+
+    def links(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, smallest class of its component in the cell, documents its
+        links in the cell reach) for classes that have any."""
+        comp, reach = np.argsort(np.argsort(self.ids)), np.zeros(len(self.ids), np.int64)
+        names = np.sort(self.ids)
+        for q, rows in self.pairs(percent):
+            reach[q] += self.weight[rows].sum()
+            reach[rows] += self.weight[q]
+            if (comp[rows] != comp[q]).any():
+                join = np.unique(np.append(comp[rows], comp[q]))
+                comp[np.isin(comp, join)] = join[0]
+        some = reach > 0
+        return self.ids[some], names[comp[some]], reach[some]
 
 
 def memberships(docs: DataFrame, n: int) -> DataFrame:
@@ -342,41 +401,37 @@ def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
 
 
 def _cells(df: DataFrame, percent: int) -> DataFrame:
-    """src, dst: spanning links of every cell (columns cell, cls, label, shingles)."""
+    """src, dst, reach: per cell and linked class (see ``Cell.links``)."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("reach", pa.int64())])
+
+    def lists(column):
+        off, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        # copies, so that a cell does not keep whole batches
+        return [flat[a:b].copy() for a, b in zip(off, off[1:])]
 
     def run(batches):
-        now, rows = None, ([], [], [])
-        src, dst = [], []
+        now, rows = None, ([], [], [], [], [])
 
         def close():
             if len(rows[0]) > 1:
-                for a, b in block_links(*rows, percent):
-                    src.append(a)
-                    dst.append(b)
+                found = Cell(now[1], *rows).links(percent)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
         for b in batches:
-            cell = b.column(0).to_numpy()
-            cls, label = b.column(1).to_pylist(), b.column(2).to_pylist()
-            sets = b.column(3)
-            off = sets.offsets.to_numpy()
-            flat = sets.values.to_numpy().view(np.uint64)
+            cell, pivot, cls, side, weight = (b.column(i).to_pylist() for i in range(5))
+            sets, pivots = [x.view(np.uint64) for x in lists(b.column(5))], lists(b.column(6))
             for i in range(b.num_rows):
-                if cell[i] != now:
-                    close()
-                    now, rows = cell[i], ([], [], [])
-                rows[0].append(cls[i])
-                # a copy, so that a cell does not keep whole batches
-                rows[1].append(flat[off[i] : off[i + 1]].copy())
-                rows[2].append(label[i])
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
-                src, dst = [], []
-        close()
-        if src:
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
-
-    return df.select("cell", "cls", "label", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(
-        run, "src long, dst long"
+                if (cell[i], pivot[i]) != now:
+                    yield from close()
+                    now, rows = (cell[i], pivot[i]), ([], [], [], [], [])
+                for held, x in zip(rows, (cls[i], side[i], weight[i], sets[i], pivots[i])):
+                    held.append(x)
+        yield from close()
+
+    cols = ["cell", "pivot", "cls", "side", "k", "shingles", "pivots"]
+    return df.select(*cols).repartition("cell").sortWithinPartitions("cell", "pivot", "cls").mapInArrow(
+        run, "src long, dst long, reach long"
     )
 
 
@@ -405,19 +460,54 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def without_contained(pairs: DataFrame) -> DataFrame:
-    """Blocks (pivot, cls) but those contained in the block of the smallest
-    pivot that their own pivot is a member of: every pair of a dropped block is
-    in that one, or, where it is dropped too, in the next."""
+    """Blocks (pivot, cls, inside) but those contained in the block of the
+    smallest pivot that their own pivot is a member of: every pair of a dropped
+    block is in that one, or, where it is dropped too, in the next. ``inside``:
+    the class is in that block too, so pairs of two such belong elsewhere."""
     up = pairs.where("pivot < cls").groupBy("cls").agg(F.min("pivot").alias("over")).withColumnRenamed("cls", "pivot")
     held = pairs.join(up, "pivot").select("pivot", "cls", "over")
     inside = pairs.select(F.col("pivot").alias("over"), "cls")
-    whole = up.select("pivot").join(held.join(inside, ["over", "cls"], "left_anti").select("pivot").distinct(), "pivot", "left_anti")
-    return pairs.join(whole, "pivot", "left_anti")
+    outside = materialize(held.join(inside, ["over", "cls"], "left_anti").select("pivot", "cls"), "outside")
+    whole = up.select("pivot").join(outside.select("pivot").distinct(), "pivot", "left_anti")
+    top = pairs.join(up, "pivot", "left_anti").select("pivot", "cls", F.lit(False).alias("inside"))
+    both = held.join(whole, "pivot", "left_anti").select("pivot", "cls", F.lit(1).alias("o")).unionByName(
+        outside.withColumn("o", F.lit(0))
+    )
+    both = both.groupBy("pivot", "cls").agg((F.min("o") == 1).alias("inside"))
+    return top.unionByName(both)
+
+
+def chunked(pairs: DataFrame, used: DataFrame) -> DataFrame:
+    """cell, pivot, cls, side: every pair of a block's classes in one cell, but
+    for pairs of two ``inside`` ones."""
+    sized = pairs.join(used.select("cls", "n"), "cls")
+
+    def chunks(own):
+        n = F.sum(F.when(own, F.col("n")))
+        return F.greatest(F.ceil(F.count_if(own) / CELL_DOCS), F.ceil(F.coalesce(n, F.lit(0)) / CELL_SHINGLES)).cast("long")
+
+    cut = sized.groupBy("pivot").agg(chunks(~F.col("inside")).alias("a"), chunks(F.col("inside")).alias("b"))
+    spread = pairs.join(cut, "pivot").withColumn(
+        "c", F.pmod(F.xxhash64("cls"), F.when(F.col("inside"), F.col("b")).otherwise(F.col("a")))
+    )
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    cell = lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), side.cast("int").alias("side"))
+    c, a, b = F.col("c"), F.col("a"), F.col("b")
+    mixed = lambda x: a + x  # noqa: E731  chunks of inside classes are numbered after the others
+    with_out = F.transform(
+        upto(a), lambda x: cell(F.least(c, x), F.greatest(c, x), F.when(x == c, 2).when(c < x, 0).otherwise(1))
+    )
+    with_in = F.transform(upto(b), lambda x: cell(c, mixed(x), F.lit(0)))
+    from_in = F.transform(upto(a), lambda x: cell(x, mixed(c), F.lit(1)))
+    at = F.explode(F.when(F.col("inside"), from_in).otherwise(F.concat(with_out, with_in))).alias("at")
+    return spread.select("pivot", "cls", at).select(
+        F.xxhash64("pivot", "at.lo", "at.hi").alias("cell"), "pivot", "cls", F.col("at.side").alias("side")
+    )
 
 
 def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, root: the components of the classes."""
-    spark = docs.sparkSession
+    """cls, root, reach: the component of each class and the documents that one
+    of its documents links with, for classes of which there are any."""
     keys = routes(docs, n, percent)
     shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("__x")).where("pivot <> __x")
     pairs = (
@@ -425,76 +515,41 @@ def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     )
     # a pair of different classes at least: the pivot is always among the members of its block
     pairs = materialize(without_contained(materialize(pairs, "shares")), "blocks")
-    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")
+    once = members.where("n_shingles > 0 and doc_id is not null").groupBy("cls", "doc_id").agg(F.max("n_shingles").alias("n"))
+    classes = materialize(
+        once.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k")), "classes"
     )
-    used = materialize(classes.join(pairs.select("cls").distinct(), "cls"), "used")
+    of = pairs.groupBy("cls").agg(F.collect_list("pivot").alias("pivots"))  # no more than a set has keys
+    used = materialize(classes.join(of, "cls"), "used")
     sets = materialize(needed_sets(docs, used.select("doc_id"), n), "sets")
-    sized = pairs.join(used.select("cls", "n"), "cls")
-    cut = sized.groupBy("pivot").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / CELL_DOCS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("cells")
-    )
-    spread = pairs.join(cut, "pivot").withColumn(
-        "chunk",
-        F.when(F.col("cls") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("cls"), F.col("cells")))
-        ),
-    )
-    first = spread.select("pivot", "cls", F.explode("chunk").alias("c")).select(
-        F.xxhash64("pivot", "c").alias("cell"), "cls", F.col("cls").alias("label")
+    sets = sets.join(used.select("cls", "k", "pivots"), "cls")
+    links = materialize(_cells(chunked(pairs, used).join(sets, "cls"), percent), "links")
+    roots = components(links.select("src", "dst"))
+    found = (
+        roots.select(F.col("node").alias("cls"), "root", F.lit(0).cast("long").alias("reach"))
+        .unionByName(links.select(F.col("src").alias("cls"), F.lit(None).cast("long").alias("root"), "reach"))
+        .unionByName(classes.where("k > 1").select("cls", F.lit(None).cast("long").alias("root"), (F.col("k") - 1).alias("reach")))
     )
-    links = materialize(_cells(first.join(sets, "cls"), percent), "links")
-
-    roots = components(links)
-    # blocks that were cut and are not one component yet
-    wide = pairs.join(cut.where("cells > 1"), "pivot")
-    known = wide.join(roots, wide["cls"] == roots["node"], "left").select(
-        "pivot", "cls", "cells", F.coalesce("root", "cls").alias("label")
-    )
-    known = materialize(known, "known")
-    if known.isEmpty():
-        return roots
-    by = known.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = by.groupBy("pivot").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("label").alias("parts"))
-    main = main.where("parts > 1")
-    open_ = known.join(main, "pivot")
-    outside = open_.where("label <> main")
-    rows = outside.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL_DOCS).alias("rows"))
-    grid = open_.join(rows, "pivot")
-    chunk, row = F.pmod(F.xxhash64("cls"), F.col("cells")), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rows"))
-    every = grid.select(
-        "pivot", "cls", "label", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("r")
-    )
-    lone = grid.where("label <> main").select(
-        "pivot", "cls", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("c"), row.alias("r")
-    )
-    cells = every.unionByName(lone).distinct()
-    cells = cells.select(F.xxhash64("pivot", "c", "r", F.lit("grid")).alias("cell"), "cls", "label")
-    more = materialize(_cells(cells.join(sets, "cls"), percent), "links")
-    if more.isEmpty():
-        return roots
-    return components(more.unionByName(roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
+    return found.groupBy("cls").agg(F.coalesce(F.max("root"), F.col("cls")).alias("root"), F.sum("reach").alias("reach"))
 
 
 def join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable),
+    n_links (other documents it links with)."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     members = materialize(memberships(src, n), "members")
-    roots = join_classes(src, members, n, percent)
-    near = members.where("n_shingles > 0 and doc_id is not null").join(roots, members["cls"] == roots["node"], "left")
-    group = near.select("doc_id", F.coalesce("root", "cls").alias("g")).groupBy("g").agg(
-        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("k")
-    )
-    group = group.where("k > 1")
-    final = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "g", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls"))
-    )
-    return final.join(group, "g", "left").select(
+    found = materialize(join_classes(src, members, n, percent), "classes")
+    linked_ = members.where("n_shingles > 0 and doc_id is not null").join(found, "cls")
+    group = linked_.groupBy("root").agg(F.min("doc_id").alias("low"))
+    final = members.join(found, "cls", "left").join(group, "root", "left")
+    has = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return final.select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"),
+        F.when(has, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(has, F.coalesce("reach", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
 
 

@@ -149,3 +149,29 @@ def test_keep_one(spark, planted):
     docs = frame(spark, planted + [planted[0]])
     kept = [r["doc_id"] for r in J.keep_one(docs, J.join(docs)).collect()]
     assert sorted(kept) == sorted({c for _, _, c in brute(planted)})
+
+
+def brute_links(docs, n=4, percent=85):
+    """Links of each document by all pairs."""
+    sets = [shingles(d["text"], n) for d in docs]
+    out = []
+    for i, d in enumerate(docs):
+        k = 0
+        for j, e in enumerate(docs):
+            if i != j and sets[i] and sets[j] and None not in (d["doc_id"], e["doc_id"]):
+                both = len(sets[i] & sets[j])
+                k += 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+        out.append((str(d["doc_id"]), k))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cell", [J.CELL_DOCS, 4])
+def test_links_are_counted_once(spark, planted, monkeypatch, cell):
+    monkeypatch.setattr(J, "CELL_DOCS", cell)
+    rows = J.join(frame(spark, planted)).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in rows) == brute_links(planted)
+
+
+def test_links_of_repeated_rows(edge_docs):
+    rows = {(str(r["doc_id"]), r["n_shingles"]): r["n_links"] for r in J.join(edge_docs).collect()}
+    assert rows[("5", 1)] == rows[("6", 1)] == rows[("1", 5)] == rows[("9", 5)] == 1 and rows[("None", 1)] == rows[("2", 0)] == 0
