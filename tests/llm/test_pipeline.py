@@ -52,3 +52,12 @@ def test_edges(spark, edge_docs, no_docs, sf_dir):
     kept = sorted(str(r["doc_id"]) for r in jaccard.keep_one(edge_docs, jaccard.join(edge_docs)).collect())
     assert kept == sorted(["1", "2", "3", "4", "None", "None", "5", "7"])
     assert packing.CAPACITY == 2048
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    """One passage of 200 words differs: 177 of 215 five-word shingles are shared, 179 of 215 of four."""
+    a = [f"w{i}" for i in range(200)]
+    b = a[:100] + [f"x{i}" for i in range(15)] + a[115:]
+    c = a[:100] + [f"y{i}" for i in range(40)] + a[140:]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((a, b, c), 1)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, "").collect()) == [1, 3]
