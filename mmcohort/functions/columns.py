@@ -75,6 +75,21 @@ def sq_err_sum(a, b) -> Column:
     )
 
 
+def half(x) -> Column:
+    """The nearest IEEE half-precision value (ties to even) as a double, from
+    built-ins: 11 significant bits, multiples of 2**-24 below 2**-14 and
+    infinity from 65520 on; NULL, NaN, the sign and infinities stay."""
+    x = col(x).cast("double")
+    a = F.abs(x)
+    e = F.floor(F.log2(a))
+    # the logarithm may be off by one next to a power of two
+    e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)
+    unit = F.pow(F.lit(2.0), F.greatest(e, F.lit(-14)) - 10)
+    near = F.rint(x / unit) * unit
+    big = F.when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when(F.isnan(x) | (a == 0), x).when(a >= 65520.0, big).otherwise(near)
+
+
 def rnd(x, digits: int = 9) -> Column:
     """Round for stable comparison; ``+ 0.0`` folds -0.0 into 0.0."""
     return F.round(col(x), digits) + F.lit(0.0)

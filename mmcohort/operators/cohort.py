@@ -164,14 +164,16 @@ def prepare_single(
     key: str = "haim_id",
     drop_names: Sequence[str] = (),
     drop_prefixes: Sequence[str] = C.DROPPED_PREFIXES,
+    extra_keep: Sequence[str] = (),
     dtype: str = "double",
 ) -> DataFrame:
     """Single-label route: rows with label 0 / 1 -> prune -> pack. Rows with
     missing features stay (the statistics skip missing elements); a NULL or
-    NaN element stays missing through the scaling. Returns (key, y, <modality arrays>)."""
+    NaN element stays missing through the scaling. Returns (key, *extra_keep, y, <modality arrays>)."""
     d = prune(single_label(df, label), names=drop_names, prefixes=drop_prefixes)
-    only_known(d, spec, [key, "y"])
-    return pack_modalities(d, spec, keep=[key, "y"], dtype=dtype).where(q(key).isNotNull())
+    keep = [key, *extra_keep, "y"]
+    only_known(d, spec, keep)
+    return pack_modalities(d, spec, keep=keep, dtype=dtype).where(q(key).isNotNull())
 
 
 def prepare(

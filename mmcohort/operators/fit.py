@@ -225,8 +225,9 @@ def fit_projectors(
     ).collect()
     n_valid = np.zeros(k)
     for r in counts:
-        if r["class_id"] < k:
-            n_valid[r["class_id"]] = r["nv"]
+        if r["class_id"] >= k:
+            raise ValueError(f"class {r['class_id']} has labels but no gamma ({k} given)")
+        n_valid[r["class_id"]] = r["nv"]
     n_rows = float(train.count())
     if state is None:
         state = FitState(params={m: {kk: np.asarray(init[m][kk], dtype=np.float64).copy() for kk in PARAM_NAMES} for m in mods})

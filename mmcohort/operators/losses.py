@@ -8,7 +8,8 @@ with no valid row gets the documented default (loss 0.0, delta-p 0.1).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,85 @@ def asymmetric(
     return _class_losses(j.withColumn("_term", term), by, -1.0, classes)
 
 
+# -- a loss function per class --------------------------------------------------------
+
+#: name -> (z, y, parameters as columns) -> loss of one row, before the mean
+LOSS_TERMS: dict[str, Callable[[Column, Column, dict[str, Column]], Column]] = {
+    "bce": lambda z, y, p: F.when(y == 1, p["w1"]).otherwise(p["w0"]) * bce_term(z, y),
+    "asl": lambda z, y, p: -asl_term(z, y, p["gamma"]),
+}
+LOSS_DEFAULTS: dict[str, dict[str, float]] = {"bce": {"w0": 1.0, "w1": 1.0}, "asl": {}}
+
+
+def register_loss(name: str, term: Callable[[Column, Column, dict[str, Column]], Column], **defaults: float) -> None:
+    """Make ``term(z, y, parameters)`` available to :class:`ClassLoss` as ``name``."""
+    if name in LOSS_TERMS:
+        raise ValueError(f"loss {name!r} exists")
+    LOSS_TERMS[name], LOSS_DEFAULTS[name] = term, dict(defaults)
+
+
+@dataclass(frozen=True)
+class ClassLoss:
+    """The loss function of one class and its parameters."""
+
+    name: str
+    params: Mapping[str, float] = field(default_factory=dict)
+
+    def values(self) -> dict[str, float]:
+        if self.name not in LOSS_TERMS:
+            raise ValueError(f"unknown loss {self.name!r}; known: {sorted(LOSS_TERMS)}")
+        return {**LOSS_DEFAULTS[self.name], **self.params}
+
+
+def mixed_term(z: Column, y: Column, class_id: Column, losses: Mapping[int, ClassLoss]) -> Column:
+    """One CASE over the class: classes of one function share its branch, in
+    which their parameters are a CASE of literals. A class without a loss fails
+    the job."""
+    by_name: dict[str, list[int]] = {}
+    for k, c in losses.items():
+        by_name.setdefault(c.name, []).append(int(k))
+    out = None
+    for name, classes in by_name.items():
+        values = {k: losses[k].values() for k in classes}
+        params = {}
+        for p in sorted({p for v in values.values() for p in v}):
+            missing = [k for k in classes if p not in values[k]]
+            if missing:
+                raise ValueError(f"classes {missing} lack the parameter {p!r} of {name!r}")
+            groups: dict[float, list[int]] = {}
+            for k in classes:
+                groups.setdefault(float(values[k][p]), []).append(k)
+            first, *rest = groups
+            expr = F.lit(first)
+            for v in rest:
+                expr = F.when(class_id.isin(groups[v]), F.lit(v)).otherwise(expr)
+            params[p] = expr
+        branch = LOSS_TERMS[name](z, y, params)
+        out = F.when(class_id.isin(classes), branch) if out is None else out.when(class_id.isin(classes), branch)
+    missing = F.raise_error(F.concat(F.lit("no loss for class "), class_id.cast("string"))).cast("double")
+    return missing if out is None else out.otherwise(missing)
+
+
+def mixed(long: DataFrame, losses: Mapping[int, ClassLoss], *, by: Sequence[str] = (), classes: Sequence[int] | None = None) -> DataFrame:
+    """Loss per (by..., class), each class by its own function: mean over valid
+    rows, empty -> 0.0. Parameters are literals of the plan (a few per class), no join."""
+    term = F.when(valid_label("y"), mixed_term(F.col("z"), F.col("y"), F.col("class_id"), losses))
+    return _class_losses(long.withColumn("_term", term), by, 1.0, classes)
+
+
+def class_losses(weights: DataFrame | None, gammas: Sequence[float], bce_classes: Sequence[int]) -> dict[int, ClassLoss]:
+    """Losses of the study: weighted BCE for ``bce_classes`` (weights of
+    :func:`class_weights`, one row per class), the asymmetric loss for the others."""
+    w = {r["class_id"]: r for r in weights.collect()} if weights is not None else {}  # one row per class
+    out = {}
+    for k, g in enumerate(gammas):
+        if k in bce_classes:
+            out[k] = ClassLoss("bce", {"w0": w[k]["w0"], "w1": w[k]["w1"]} if k in w else {})
+        else:
+            out[k] = ClassLoss("asl", {"gamma": float(g)})
+    return out
+
+
 def delta_p(long: DataFrame, *, by: Sequence[str] = (), default: float = C.DELTA_P_DEFAULT) -> DataFrame:
     """mean(p | y=1) - mean(1-p | y=0); a side without rows counts ``default``; an empty class is ``default``."""
     v = valid_label("y")
@@ -159,10 +239,12 @@ def mse_of_sums(per_row: DataFrame, modalities: Sequence[str], *, by: Sequence[s
     return wide.selectExpr(*[f"`{c}`" for c in by], f"stack({len(modalities)}, {stacked}) AS (modality, mse)")
 
 
-def combined(asl_total: DataFrame, mse_df: DataFrame, *, by: Sequence[str], beta: float = C.BETA) -> DataFrame:
-    """Reported loss L + beta * sum_i mse_i per group (the value the training loop logs)."""
+def combined(asl_total: DataFrame, mse_df: DataFrame, *, by: Sequence[str], beta: float = C.BETA, main: str | None = None) -> DataFrame:
+    """Reported loss L + beta * sum_i mse_i per group (the value the training loop
+    logs); ``main`` names a column to keep L in."""
     m = mse_df.groupBy(*by).agg(F.sum("mse").alias("_mse_sum"))
-    return asl_total.join(m, list(by)).select(*by, (F.col("loss") + F.lit(beta) * F.col("_mse_sum")).alias("loss"))
+    bare = [F.col("loss").alias(main)] if main else []
+    return asl_total.join(m, list(by)).select(*by, *bare, (F.col("loss") + F.lit(beta) * F.col("_mse_sum")).alias("loss"))
 
 
 def epoch_loss(batch_losses: DataFrame, *, by: Sequence[str] = ("split",)) -> DataFrame:
@@ -171,21 +253,25 @@ def epoch_loss(batch_losses: DataFrame, *, by: Sequence[str] = ("split",)) -> Da
 
 
 def batch_losses(
-    scored: DataFrame, modalities: Sequence[str], params: DataFrame, *, by: Sequence[str], beta: float = C.BETA,
-    loss: str = "asl", n_classes: int = C.NUM_CLASSES,
+    scored: DataFrame, modalities: Sequence[str], params: DataFrame | Mapping[int, ClassLoss], *, by: Sequence[str], beta: float = C.BETA,
+    loss: str = "asl", n_classes: int = C.NUM_CLASSES, main: str | None = None,
 ) -> DataFrame:
     """Reported loss per group from narrow scores (y, logits, _se_<m>, _n_<m>).
 
     ``loss`` "asl": asymmetric loss summed over classes, ``params`` with
     ``gamma``; "bce": weighted BCE averaged over ``n_classes``, ``params`` with
-    ``w0``, ``w1``. Plus ``beta`` times the summed reconstruction errors.
+    ``w0``, ``w1``; "mixed": each class by its own function, ``params`` a mapping
+    class -> :class:`ClassLoss`, summed. Plus ``beta`` times the summed
+    reconstruction errors; ``main`` names a column for the part without them.
     """
     lg = to_long(scored, keep=by, y="y", z="logits")
-    if loss == "bce":
-        main = total(bce(lg, params, by=by), by=by, divide_by=n_classes)
+    if loss == "mixed":
+        per = total(mixed(lg, params, by=by), by=by)
+    elif loss == "bce":
+        per = total(bce(lg, params, by=by), by=by, divide_by=n_classes)
     else:
-        main = total(asymmetric(lg, params, by=by), by=by)
-    return combined(main, mse_of_sums(scored, modalities, by=by), by=by, beta=beta)
+        per = total(asymmetric(lg, params, by=by), by=by)
+    return combined(per, mse_of_sums(scored, modalities, by=by), by=by, beta=beta, main=main)
 
 
 def isolated_batch_losses(

@@ -68,19 +68,33 @@ def threshold_metrics(conf: DataFrame) -> DataFrame:
     )
 
 
-def count_table(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
-    """(class_id, p, pred, n, n_pos, n_neg), written once: one row per distinct
-    score and prediction of a class. Masked rows are one row with NULL p and no
-    counts, so every class of the input appears. A NULL or NaN score fails the job.
-    """
+COUNTS_SCHEMA = "class_id int, p double, pred int, n long, n_pos long, n_neg long"
+
+
+def score_counts(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
+    """(class_id, p, pred, n, n_pos, n_neg): one row per distinct score and
+    prediction of a class. Masked rows are one row with NULL p and no counts, so
+    every class of the input appears. A NULL or NaN score fails the job."""
     v, yc = valid_label(y), F.col(y)
     score = F.when(v, required(F.col(p).cast("double"), "a labelled row has no score"))
-    counts = long.groupBy("class_id", score.alias("p"), F.when(v, F.col(pred)).alias("pred")).agg(
+    return long.groupBy("class_id", score.alias("p"), F.when(v, F.col(pred)).alias("pred")).agg(
         F.count_if(v).cast("long").alias("n"),
         F.count_if(v & (yc == 1)).cast("long").alias("n_pos"),
         F.count_if(v & (yc == 0)).cast("long").alias("n_neg"),
     )
-    return materialize(counts, "score-counts")
+
+
+def count_table(long: DataFrame, *, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
+    """:func:`score_counts`, written once."""
+    return materialize(score_counts(long, y=y, p=p, pred=pred), "score-counts")
+
+
+def merge_counts(parts: DataFrame) -> DataFrame:
+    """The count table of all rows behind kept parts (the counts of several
+    scoring runs over different rows): equal (class, score, prediction) add up.
+    Written once, as :func:`count_table`; no score is looked at again."""
+    merged = parts.groupBy("class_id", "p", "pred").agg(*[F.sum(c).cast("long").alias(c) for c in ("n", "n_pos", "n_neg")])
+    return materialize(merged, "score-counts")
 
 
 def confusion_of(counts: DataFrame) -> DataFrame:

@@ -50,23 +50,30 @@ def fit_stats(
     squares). std = sqrt(M2 / (n - 1)); NULL when n < 2.
     """
     arrays = list(arrays)
-    vec = F.concat(*[sized(F.col(a).cast("array<double>"), widths[a]) for a in arrays])
     if skip_missing:
-        return _stats_of_present(df.select(vec.alias("_x")), arrays, widths, groups)
-    per = (
-        df.select(array_to_vector(vec).alias("_v"), (F.spark_partition_id() % F.lit(groups)).alias("_g"))
-        .groupBy("_g")
+        return _stats_of_present(df.select(_vector(arrays, widths).alias("_x")), arrays, widths, groups)
+    return _std_of(_combined(_per_group(df, arrays, widths, groups, []), []), arrays, widths)
+
+
+def _vector(arrays: Sequence[str], widths: dict):
+    return F.concat(*[sized(F.col(a).cast("array<double>"), widths[a]) for a in arrays])
+
+
+def _per_group(df: DataFrame, arrays: Sequence[str], widths: dict, groups: int, by: Sequence[str]) -> DataFrame:
+    """(by..., _n, _m, _within): count, mean and M2 per group of input partitions."""
+    m2 = F.transform(vector_to_array(F.col("s.variance")), lambda v: (F.col("s.count") - F.lit(1)) * v)
+    return (
+        df.select(*by, array_to_vector(_vector(arrays, widths)).alias("_v"), (F.spark_partition_id() % F.lit(groups)).alias("_g"))
+        .groupBy(*by, "_g")
         .agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s"))
-        .select(
-            F.col("s.count").cast("double").alias("_n"),
-            F.col("s.mean").alias("_m"),
-            array_to_vector(
-                F.transform(vector_to_array(F.col("s.variance")), lambda v: (F.col("s.count") - F.lit(1)) * v)
-            ).alias("_within"),
-        )
+        .select(*by, F.col("s.count").cast("double").alias("_n"), F.col("s.mean").alias("_m"), array_to_vector(m2).alias("_within"))
     )
+
+
+def _combined(per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n, mean, m2) from any number of (_n, _m, _within)."""
     # grouped by a constant: no row in, no row out (the summarizer has no empty result)
-    tot = per.groupBy(F.lit(1)).agg(
+    tot = per.groupBy(*(by or [F.lit(1)])).agg(
         Summarizer.metrics("mean", "variance").summary(F.col("_m"), F.col("_n")).alias("b"),
         Summarizer.sum(F.col("_within")).alias("_w"),
         F.sum("_n").alias("_N"),
@@ -75,14 +82,35 @@ def fit_stats(
     n_tot = F.coalesce(F.col("_N"), F.lit(0.0))
     factor = F.when(n_tot > 0, n_tot - F.col("_N2") / n_tot).otherwise(F.lit(0.0))
     m2 = F.zip_with(vector_to_array(F.col("_w")), vector_to_array(F.col("b.variance")), lambda w, v: w + v * factor)
-    s = tot.select(
-        vector_to_array(F.col("b.mean")).alias("_mean"),
-        F.when(n_tot >= F.lit(2.0), F.transform(m2, lambda x: F.sqrt(F.greatest(x, F.lit(0.0)) / (n_tot - F.lit(1.0))))).alias("_std"),
-        n_tot.cast("long").alias("n"),
-    )
+    return tot.select(*by, n_tot.cast("long").alias("n"), vector_to_array(F.col("b.mean")).alias("mean"), m2.alias("m2"))
+
+
+def _std_of(state: DataFrame, arrays: Sequence[str], widths: dict) -> DataFrame:
+    std = F.transform("m2", lambda x: F.sqrt(F.greatest(x, F.lit(0.0)) / (F.col("n") - F.lit(1)).cast("double")))
+    s = state.select(F.col("mean").alias("_mean"), F.when(F.col("n") >= 2, std).alias("_std"), "n")
     return _by_array(s, arrays, widths)
 
 
+STATE_SCHEMA = "n long, mean array<double>, m2 array<double>"
+
+
+def partial_stats(df: DataFrame, arrays: Sequence[str], widths: dict, *, by: Sequence[str] = (), groups: int = STAT_GROUPS) -> DataFrame:
+    """(by..., n, mean, m2): the statistics of each part of the table as a state
+    that can be kept and merged (:func:`merge_stats`); without ``by`` one row. A
+    new file then costs its own pass only."""
+    by = list(by)
+    return _combined(_per_group(df, list(arrays), widths, groups, by), by)
+
+
+def merge_stats(states: DataFrame, arrays: Sequence[str], widths: dict) -> DataFrame:
+    """:func:`fit_stats` of all rows behind ``states`` (n, mean, m2), whose parts
+    must not overlap. Which states merge first does not matter beyond rounding."""
+    per = states.select(
+        F.col("n").cast("double").alias("_n"), array_to_vector("mean").alias("_m"), array_to_vector("m2").alias("_within")
+    )
+    return _std_of(_combined(per, []), list(arrays), widths)
+
+
 def _by_array(s: DataFrame, arrays: Sequence[str], widths: dict) -> DataFrame:
     cols, start = [], 1
     for a in arrays:
@@ -132,14 +160,17 @@ def apply_stats(df: DataFrame, stats: DataFrame, arrays: Sequence[str]) -> DataF
     fixed by the feature width, not by the data) is read on the driver and the
     statistics are inlined as literal arrays: the per-row work is then one
     ``transform`` with constant lookups — measured 3.6x faster than joining the
-    statistics row to every row and zipping arrays.
+    statistics row to every row and zipping arrays. The arithmetic is in double
+    precision; an array keeps its element type (float stays float).
     """
     row = stats.first()
     out = df
+    kinds = dict(df.dtypes)
     for a in arrays:
         means = list(row[f"{a}__mean"] or []) if row is not None else []
         stds = list(row[f"{a}__std"] or [None] * len(means)) if row is not None else []
-        out = out.withColumn(a, scale_column(F.col(a), means, stds))
+        kind = kinds[a] if kinds[a] in ("array<float>", "array<double>") else "array<double>"
+        out = out.withColumn(a, scale_column(F.col(a), means, stds).cast(kind))
     return out
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from mmcohort import config as C
 from mmcohort.config import ModalitySpec
+from mmcohort.functions.columns import half as to_half
 
 WEIGHTS_SCHEMA = "modality string, layer string, out_idx int, w array<float>, b float"
 
@@ -98,7 +99,7 @@ class ProjectorWeights:
         if n_values > max_values:
             raise ValueError(
                 f"projector weights hold {n_values} values, above the broadcast limit of {max_values}; "
-                "shard the model or raise max_values if the executors can hold it"
+                "use encode_blocked, or raise max_values if the executors can hold it"
             )
         t = weights.select("modality", "layer", "out_idx", "w", "b").orderBy("modality", "layer", "out_idx").toArrow()  # size checked above
         mats: dict = {}
@@ -162,6 +163,83 @@ def encode(
     return df.mapInArrow(run, schema)
 
 
+BLOCK_VALUES = 1 << 22  # weights, and features, in a block of the blocked projection
+
+
+def encode_blocked(
+    df: DataFrame,
+    weights: DataFrame,
+    widths: dict,
+    modalities: Sequence[str],
+    *,
+    key: str,
+    block_values: int = BLOCK_VALUES,
+) -> DataFrame:
+    """(key, code_<m>...): the codes of :func:`encode` for weights of any size.
+
+    No task holds more than a block of the weights table, nothing is broadcast
+    and nothing reaches the driver but counts: encoder rows are cut in blocks of
+    (range of outputs x range of inputs), a row's features in the same input
+    ranges; a block of rows meets each block of weights of its modality and
+    input range in one matrix product, and the partial codes of a row are
+    summed over the input ranges in their order (the bias goes with the first).
+    ``key`` must name the rows; ``block_values`` bounds both sides of a product.
+    """
+    import pyarrow as pa
+
+    side = max(1, math.isqrt(block_values))
+    per_in = {m: min(widths[m], side) for m in modalities}
+    rows_in_block = max(1, block_values // max(per_in.values()))
+    n_blocks = max(1, math.ceil(df.count() / rows_in_block))
+    enc = weights.where((F.col("layer") == "enc") & F.col("modality").isin(list(modalities)))
+    step = F.element_at(F.create_map(*[F.lit(x) for m in modalities for x in (m, per_in[m])]), F.col("modality"))
+    pieces = F.ceil(F.size("w") / step).cast("int")
+    enc = (
+        enc.withColumn("ob", F.floor(F.col("out_idx") / side).cast("int"))
+        .withColumn("ib", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .withColumn("w", F.slice("w", F.col("ib") * step + 1, step).cast("array<double>"))
+        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    )
+    outs = weights.where(F.col("layer") == "enc").groupBy("modality").agg((F.max(F.floor(F.col("out_idx") / side)) + 1).cast("int").alias("n_ob"))
+    outs = {r["modality"]: r["n_ob"] for r in outs.collect()}  # a row per modality
+    parts = [
+        F.struct(
+            F.lit(m).alias("modality"), F.lit(ib).alias("ib"), F.lit(outs[m]).alias("n_ob"),
+            F.slice(F.col(m).cast("array<double>"), ib * per_in[m] + 1, per_in[m]).alias("x"),
+        )
+        for m in modalities
+        for ib in range(math.ceil(widths[m] / per_in[m]))
+    ]
+    rows = df.select(F.col(key).alias("_k"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("rb"), F.inline(F.array(*parts)))
+    rows = rows.withColumn("ob", F.explode(F.sequence(F.lit(0), F.col("n_ob") - 1)))
+    cell = ["modality", "ib", "ob", "rb"]
+    kind = df.schema[key].dataType.simpleString()
+
+    def product(left, right):
+        names = ["_k", "modality", "ob", "ib", "part"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (left.schema.field("_k").type, pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()))], names=names)
+        x = arrow_matrix(left.column("x").combine_chunks())
+        right = right.sort_by("out_idx")
+        part = x @ arrow_matrix(right.column("w").combine_chunks()).T
+        if right.column("ib")[0].as_py() == 0:
+            part = part + right.column("b").to_numpy().astype(np.float64)
+        return pa.table([left.column("_k"), left.column("modality"), left.column("ob"), left.column("ib"), _list_column(part)], names=names)
+
+    partial = (
+        rows.select("_k", "x", *cell).groupBy(*cell)
+        .cogroup(enc.select("out_idx", "w", "b", *cell).groupBy(*cell))
+        .applyInArrow(product, f"_k {kind}, modality string, ob int, ib int, part array<double>")
+    )
+    in_order = F.sort_array(F.collect_list(F.struct("ib", "part")))  # input ranges of one output range
+    summed = partial.groupBy("_k", "modality", "ob").agg(
+        F.reduce(in_order, F.array().cast("array<double>"), lambda s, p: F.when(F.size(s) == 0, p["part"]).otherwise(F.zip_with(s, p["part"], lambda a, b: a + b))).alias("code")
+    )
+    relu = F.transform(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ob", "code"))), lambda o: o["code"])), lambda v: F.greatest(v, F.lit(0.0)))
+    codes = summed.groupBy("_k", "modality").agg(relu.alias("code"))
+    return codes.groupBy(F.col("_k").alias(key)).agg(*[F.first(F.when(F.col("modality") == m, F.col("code")), ignorenulls=True).alias(f"code_{m}") for m in modalities])
+
+
 def encode_sql(df: DataFrame, weights: ProjectorWeights, modalities: Sequence[str], *, decode: bool = False) -> DataFrame:
     """Same as :func:`encode` with built-in array functions only (weights inlined as
     literals) — the all-JVM path for narrow projectors and a cross-check."""
@@ -225,7 +303,8 @@ def score(
     """Joint scoring: the codes of ``modalities`` (token order) form one sequence per row.
 
     ``make_scorer()`` returns ``predict(seq: (B, T, latent)) -> (B, n_classes)``.
-    ``half`` rounds the codes to float16 first, like a half-precision model input.
+    ``half`` rounds the codes to float16 first, like a half-precision model input
+    (built-in functions: :func:`mmcohort.functions.columns.half`).
     """
     n_tok = len(modalities)
 
@@ -234,8 +313,6 @@ def score(
 
         def fn(flat):
             seq = np.asarray(flat, dtype=np.float64).reshape(-1, n_tok, latent)
-            if half:
-                seq = seq.astype(np.float16).astype(np.float64)
             return np.asarray(predict(seq), dtype=np.float64)
 
         return fn
@@ -244,7 +321,7 @@ def score(
         make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[n_tok * latent]]
     )
     flat = F.flatten(F.array(*[F.col(f"code_{m}") for m in modalities]))
-    return df.withColumn(out, udf(flat))
+    return df.withColumn(out, udf(F.transform(flat, to_half) if half else flat))
 
 
 def score_isolated(

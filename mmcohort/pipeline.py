@@ -10,7 +10,7 @@ row, one statistics row), so they are recomputed where used, not written.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 
@@ -30,6 +30,9 @@ from mmcohort.operators import split as SP
 from mmcohort.session import materialize, scratch_scope
 
 
+POSITION = "_position"  # where a row stands in the input
+
+
 def prepare_study(
     wide: DataFrame,
     spec: ModalitySpec,
@@ -43,21 +46,46 @@ def prepare_study(
     los_mode: str = "literal",
     val_fraction: float = C.VAL_FRACTION,
     seed: int = C.SPLIT_SEED,
-    dtype: str = "double",
+    dtype: str = "float",
+    members: str = "hash",
+    position: str | None = None,
+    label: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """E1: labels -> prune -> pack -> outlier -> incomplete -> group split ->
     train statistics -> standardise -> uncertain labels recoded.
 
+    ``dtype``: element type of the packed and the scaled arrays ("float" as the
+    source hands its rows over; statistics are summed in double precision).
+    ``members="source"`` splits as the source does, by the ``position`` column
+    (:func:`mmcohort.sources.io.read_study_csv` adds it). ``label``: the
+    single-label route — rows whose label is 0 or 1, no outcome labels, no row
+    filters, statistics over what is present; ``y`` then holds that label at its
+    place in ``label_cols`` and NULL, which every loss and metric skips, elsewhere.
+
     Returns (scaled table: a projection over the written prepared table, one-row statistics).
     """
-    d = K.prepare(
-        wide, spec, key=key, label_cols=label_cols, drop_names=drop_names, drop_prefixes=drop_prefixes,
-        los=los, death=death, los_mode=los_mode, dtype=dtype,
-    )
+    extra = [position] if members == "source" else []
+    if position and not extra:
+        wide = wide.drop(position)
+    if label is None:
+        d = K.prepare(
+            wide, spec, key=key, label_cols=label_cols, drop_names=drop_names, drop_prefixes=drop_prefixes,
+            los=los, death=death, los_mode=los_mode, extra_keep=extra, dtype=dtype,
+        )
+    else:
+        if label not in label_cols:
+            raise ValueError(f"{label!r} is none of the labels {list(label_cols)}")
+        # the mode's own drop list, then the columns that are no features either
+        others = [c for c in drop_names if c in wide.columns and c not in C.SINGLE_LABEL_DROPPED]
+        names = [c for c in C.SINGLE_LABEL_DROPPED if c in wide.columns or c in drop_names] + others
+        d = K.prepare_single(wide, spec, label, key=key, drop_names=names, drop_prefixes=drop_prefixes, extra_keep=extra, dtype=dtype)
+        none = F.lit(None).cast("double")
+        d = d.withColumn("y", F.array(*[F.col("y") if c == label else none for c in label_cols]))
     d = materialize(d, "study-prepared")
-    d = SP.apply_split(d, key, SP.fit_split(d, key, val_fraction=val_fraction, seed=seed))
+    cut = SP.fit_split(d, key, val_fraction=val_fraction, seed=seed, members=members, position=position)
+    d = SP.apply_split(d, key, cut).drop(*extra)
     arrays = [m for m in spec.stored_order if spec.widths[m] > 0]
-    stats = S.fit_stats(d.where(F.col("split") == "train"), arrays, widths=spec.widths)
+    stats = S.fit_stats(d.where(F.col("split") == "train"), arrays, widths=spec.widths, skip_missing=label is not None)
     scaled = K.recode_uncertain(S.apply_stats(d, stats, arrays), col="y")
     return scaled, stats
 
@@ -110,9 +138,8 @@ def _batch_or_row(scores: DataFrame, mods, params, beta, loss, n_classes, by) ->
     """One row: mean loss, ``asl`` (without the reconstruction part) and groups."""
     groups = ["batch_id"] if by == "batch" else ["_all"]
     s = scores if by == "batch" else scores.withColumn("_all", F.lit(1))
-    whole = L.batch_losses(s, mods, params, by=groups, beta=beta, loss=loss, n_classes=n_classes)
-    bare = L.batch_losses(s, mods, params, by=groups, beta=0.0, loss=loss, n_classes=n_classes).withColumnRenamed("loss", "_a")
-    return whole.join(bare, groups).agg(F.avg("loss").alias("loss"), F.avg("_a").alias("asl"), F.count(F.lit(1)).alias("n_batches"))
+    each = L.batch_losses(s, mods, params, by=groups, beta=beta, loss=loss, n_classes=n_classes, main="_a")
+    return each.agg(F.avg("loss").alias("loss"), F.avg("_a").alias("asl"), F.count(F.lit(1)).alias("n_batches"))
 
 
 def validation_loss(
@@ -128,16 +155,18 @@ def validation_loss(
     beta: float = C.BETA,
     loss: str = "asl",
     class_w: DataFrame | None = None,
+    losses: Mapping[int, L.ClassLoss] | None = None,
     name: str = "val-scored",
 ) -> DataFrame:
     """M8, one row (loss, asl, n_batches): the unweighted mean of the losses of
     ``batch_size``-row batches in ``key`` order, as the source reports it; with
-    ``by="row"`` the loss over all rows at once. No row: NULL."""
+    ``by="row"`` the loss over all rows at once. No row: NULL. ``loss="mixed"``
+    takes each class's own function from ``losses``."""
     if by not in ("batch", "row"):
         raise ValueError("by must be 'batch' or 'row'")
     mods = list(token_order)
     scores = _validation_scores(val, weights, head, mods, key if by == "batch" else None, name, batch_size)
-    params = class_w if loss == "bce" else L.class_params(val.sparkSession, gammas)
+    params = losses if loss == "mixed" else class_w if loss == "bce" else L.class_params(val.sparkSession, gammas)
     return _batch_or_row(scores, mods, params, beta, loss, len(gammas), by)
 
 
@@ -215,8 +244,9 @@ def train(
     last step's forward pass over the whole split), validation of the updated
     projectors on the val split (:func:`validate`: mean of 32-row batch losses
     in ``key`` order), one history row per split
-    appended to ``history_path`` (run, epoch, split, loss, delta_p) and the
-    weights table overwritten at ``weights_path`` (the last epoch wins). Both
+    written to ``history_path`` (run, epoch, split, loss, delta_p; a repeated
+    epoch replaces its rows) and a snapshot of the weights committed at
+    ``weights_path`` (the last epoch wins). Both
     splits are written once up front, so no epoch recomputes the preparation.
     """
     mods = [m for m in spec.token_order if spec.widths[m] > 0]
@@ -253,7 +283,7 @@ def train(
         if history_path:
             from mmcohort.sources import io
 
-            io.append_history(
+            io.write_history(
                 spark.createDataFrame(rows, "run string, epoch int, split string, loss double, delta_p array<double>"),
                 history_path,
             )
@@ -273,15 +303,19 @@ def run_evaluation(
     *,
     spec: ModalitySpec = C.STUDY_SPEC,
     los_mode: str = "literal",
+    label: str | None = None,
+    members: str = "hash",
 ) -> tuple[DataFrame, DataFrame]:
     """The evaluation script end to end: study CSV (schema from its header) ->
     preparation, split and standardisation -> projector weights table ->
     projection and joint scoring of the validation split -> per-class metrics
-    and ROC tables written under ``out_path``."""
+    and ROC tables written under ``out_path``. ``label`` evaluates one label
+    only, ``members="source"`` on the source's own validation patients (see
+    :func:`prepare_study`)."""
     from mmcohort.sources import io
 
-    wide = io.read_study_csv(spark, csv_path)
-    scaled, _ = prepare_study(wide, spec, los_mode=los_mode)
+    wide = io.read_study_csv(spark, csv_path, position=POSITION)
+    scaled, _ = prepare_study(wide, spec, los_mode=los_mode, label=label, members=members, position=POSITION)
     weights = SC.ProjectorWeights.from_table(io.read_weights(spark, weights_path))
     evaluate(score_split(scaled, weights, make_scorer, spec), out_path)
     return io.read_results(spark, out_path)
@@ -300,6 +334,8 @@ def run_training(
     spec: ModalitySpec = C.STUDY_SPEC,
     variant: str = "asym",
     los_mode: str = "literal",
+    label: str | None = None,
+    members: str = "hash",
     **fit_kw,
 ) -> tuple[dict, list[dict]]:
     """A training script end to end: study CSV -> preparation -> :func:`train`
@@ -308,7 +344,8 @@ def run_training(
 
     if variant not in ("bce", "asym", "iso"):
         raise ValueError("variant must be 'bce', 'asym' or 'iso'")
-    scaled, _ = prepare_study(io.read_study_csv(spark, csv_path), spec, los_mode=los_mode)
+    wide = io.read_study_csv(spark, csv_path, position=POSITION)
+    scaled, _ = prepare_study(wide, spec, los_mode=los_mode, label=label, members=members, position=POSITION)
     init = SC.ProjectorWeights.from_table(io.read_weights(spark, init_weights_path))
     return train(
         scaled, init, head, spec, run=run, epochs=epochs, history_path=history_path, weights_path=weights_path,

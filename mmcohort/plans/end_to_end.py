@@ -30,7 +30,11 @@ def _lit(x: float) -> str:
 
 
 def _sql() -> str:
-    zcols = ", ".join(f"{_z(c)} AS {c}" for c in FEATURE_OF)
+    # rows are handed over in single precision: what is packed, and what is scaled
+    single = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+    packed = ", ".join(f"{single(c)} AS {c}" for c in FEATURE_OF)
+    split = _SPLIT.replace(f" AS y, {', '.join(FEATURE_OF)} FROM lab2", f" AS y, {packed} FROM lab2")
+    zcols = ", ".join(f"{single(_z(c))} AS {c}" for c in FEATURE_OF)
     codes = []
     for m in TOKENS:
         d = SPEC.widths[m]
@@ -45,7 +49,7 @@ def _sql() -> str:
             for i in range(LATENT):
                 terms.append(f"{_lit(math.cos(5 * v + 3 * (t * LATENT + i)) * 0.25)} * c_{m}_{i}")
         logits.append(" + ".join(terms))
-    return f"""WITH {_SPLIT}, {_stats_sql()},
+    return f"""WITH {split}, {_stats_sql()},
 zs AS (SELECT haim_id, split, list_transform(y, lambda x: CASE WHEN x = -1 THEN 2.0 ELSE x END) AS y, {zcols} FROM sp, st),
 cd AS (SELECT y, {', '.join(codes)} FROM zs WHERE split = 'val'),
 lo AS (SELECT y, [{', '.join(logits)}] AS logits FROM cd),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mmcohort import config as C
@@ -9,8 +10,9 @@ from mmcohort.operators import cohort as K
 from mmcohort.operators import scaling as S
 from mmcohort.operators import split as SP
 from mmcohort.plans.registry import r, register, rounded
-from mmcohort.session import materialize
+from mmcohort.session import materialize, scratch_path
 from mmcohort.sources import fixtures as fx
+from mmcohort.sources import io
 
 FEATURE_OF = {  # scalar fixture column -> (modality, index)
     "vd_0": ("vd", 0), "vd_1": ("vd", 1), "vmd_0": ("vmd", 0), "ts_ce_0": ("ts_ce", 0), "ts_le_0": ("ts_le", 0),
@@ -186,6 +188,38 @@ def q_split(spark, sf_dir):
     return d.groupBy("haim_id", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _source_split_sql() -> str:
+    """Ids numbered by first appearance in ``lineitem``; which numbers are
+    validation is NumPy's permutation for the fixture's numbers of ids."""
+    groups = (150, 1_500, 14_999)  # of the three scales
+    perms = ", ".join(
+        f"({n}, {np.random.RandomState(C.SPLIT_SEED).permutation(n)[: int(np.ceil(n * C.VAL_FRACTION))].tolist()})" for n in groups
+    )
+    numbered = _LABELED.replace("FROM lineitem JOIN", "FROM (SELECT *, row_number() OVER () AS rid FROM lineitem) li JOIN").replace(
+        "l_linenumber AS vmp_0", "l_linenumber AS vmp_0, rid"
+    )
+    return f"""WITH {numbered},
+seen AS (SELECT haim_id, min(rid) AS rid0, count(*) AS n_rows FROM lab2 WHERE {_NOT_OUT} AND {_COMPLETE} GROUP BY haim_id),
+ranked AS (SELECT haim_id, n_rows, row_number() OVER (ORDER BY rid0) - 1 AS id_rank, count(*) OVER () AS n FROM seen),
+perm AS (SELECT * FROM (VALUES {perms}) v(n, ranks)),
+val AS (SELECT n, unnest(ranks) AS id_rank FROM perm WHERE n = (SELECT count(*) FROM seen))
+SELECT haim_id, CAST(id_rank AS BIGINT) AS id_rank, CASE WHEN val.n IS NULL THEN 'train' ELSE 'val' END AS split, n_rows
+FROM ranked LEFT JOIN val USING (id_rank)"""
+
+
+@register("group_split_source", "W1 G1 J1 J2: the source's own members (order of first appearance, seeded permutation)", _source_split_sql())
+def q_split_source(spark, sf_dir):
+    d = K.prepare(
+        fx.cohort(spark, sf_dir, position="pos"), fx.COHORT_SPEC, key="haim_id", label_cols=LABELS, drop_names=DROP,
+        drop_prefixes=C.DROPPED_PREFIXES, los="los", death="death", extra_keep=["pos"],
+    )
+    d = materialize(d.select("haim_id", "pos"), "cohort-positions")
+    split = SP.apply_split(d, "haim_id", SP.fit_split(d, "haim_id", members="source", position="pos"))
+    per = split.groupBy("haim_id", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    ranks = SP.first_seen(d, "haim_id", "pos").select(F.col("_id").alias("haim_id"), F.col("_rank").alias("id_rank"))
+    return per.join(ranks, "haim_id").select("haim_id", "id_rank", "split", "n_rows")
+
+
 @register("split_disjoint", "U2", f"""WITH {_SPLIT},
 tr AS (SELECT DISTINCT haim_id FROM sp WHERE split = 'train'),
 va AS (SELECT DISTINCT haim_id FROM sp WHERE split = 'val')
@@ -223,7 +257,21 @@ def _train_stats(spark, sf_dir):
 @register("zscore_stats", "G2", f"""WITH {_SPLIT}, {_stats_sql()}
 {_stats_long_sql()}""")
 def q_zstats(spark, sf_dir):
-    _, st = _train_stats(spark, sf_dir)
+    return _stats_rows(_train_stats(spark, sf_dir)[1])
+
+
+@register("zscore_stats_merged", "G2 from kept states: one per part of the table, one of them written twice, then merged", f"""WITH {_SPLIT}, {_stats_sql()}
+{_stats_long_sql()}""")
+def q_zstats_merged(spark, sf_dir):
+    d = materialize(prepared(spark, sf_dir), "cohort-prepared")
+    d = SP.apply_split(d, "haim_id", SP.fit_split(d, "haim_id")).where(F.col("split") == "train")
+    path, widths = scratch_path(spark, "states"), fx.COHORT_SPEC.widths
+    for part, rows in (("a", F.col("haim_id") % 3 == 0), ("b", F.col("haim_id") % 3 > 0), ("a", F.col("haim_id") % 3 == 0)):
+        io.put_state(S.partial_stats(d.where(rows), ARRAYS, widths), path, part=part)
+    return _stats_rows(S.merge_stats(io.read_state(spark, path, S.STATE_SCHEMA, ["part"]), ARRAYS, widths))
+
+
+def _stats_rows(st):
     parts = []
     for m in ARRAYS:
         parts.append(

@@ -37,11 +37,12 @@ def q_io_roundtrip(spark, sf_dir):
     )
 
 
-@register("encode_from_table", "S5 S2 M1: weights written, read back, broadcast", f"""{TR._MODAL_SPLIT}, {TR._CODES}
+@register("encode_from_table", "S5 S2 M1: weights saved as committed snapshots, the newest read back, broadcast", f"""{TR._MODAL_SPLIT}, {TR._CODES}
 SELECT study_id, modality, i AS out_idx, {r('code')} AS code FROM code""")
 def q_encode_from_table(spark, sf_dir):
     path = scratch_path(spark, "weights")
-    io.write_weights(SC.rule_weights(spark, TR.SPEC, TR.LATENT), path)
+    for factor in (0.5, 1.0):  # two saves: the last one wins
+        io.write_weights(SC.rule_weights(spark, TR.SPEC, TR.LATENT, factor), path)
     w = SC.ProjectorWeights.from_table(io.read_weights(spark, path))
     e = SC.encode(TR.modal_split(spark, sf_dir), w, TR.SPEC.stored_order)
     return rounded(TR._codes_long(e))
@@ -68,19 +69,19 @@ JOIN (SELECT split, list({r('v')} ORDER BY class_id) AS dp FROM (SELECT split, c
 USING (split) GROUP BY split"""
 
 
-@register("history_append", "S4 S6: loss and delta-p rows appended per epoch", f"""{_HALF_SQL}
+@register("history_append", "S4 S6: loss and delta-p rows per epoch; an epoch written twice is there once", f"""{_HALF_SQL}
 {_epoch_sql(1, 'jl', 'mse_b')}
 UNION ALL
 {_epoch_sql(2, 'jl2', 'mse2')}""")
 def q_history(spark, sf_dir):
     path = scratch_path(spark, "history")
-    for epoch, factor in ((1, 1.0), (2, 0.5)):
+    for epoch, factor in ((1, 1.0), (2, 1.0), (2, 0.5)):  # the second epoch fails after its rows and runs again
         b, comb = TR._batch_losses(spark, sf_dir, factor)
         lg = L.to_long(b, keep=("split",), y="y", z="logits")
         dp = L.delta_p(lg, by=("split",)).groupBy("split").agg(
             F.sort_array(F.collect_list(F.struct("class_id", "delta_p"))).alias("_dp")
         )  # 12 values per split
-        io.append_history(L.epoch_loss(comb, by=("split",)).join(dp, "split").select(
+        io.write_history(L.epoch_loss(comb, by=("split",)).join(dp, "split").select(
             F.lit("fixture").alias("run"), F.lit(epoch).alias("epoch"), "split", F.col("epoch_loss").alias("loss"),
             F.col("_dp.delta_p").alias("delta_p"),
         ), path)
@@ -88,6 +89,25 @@ def q_history(spark, sf_dir):
     return rounded(back.select("run", F.col("epoch").cast("int").alias("epoch"), "split", "loss", "delta_p"))
 
 
+def _kept_counts(spark, sf_dir):
+    """Counts of two scoring runs over different rows, kept apart, one run repeated, then merged."""
+    path = scratch_path(spark, "eval-state")
+    rows = M.predict(fx.scores(spark, sf_dir))
+    for run, own in (("first", F.col("study_id") % 3 == 0), ("second", F.col("study_id") % 3 > 0), ("first", F.col("study_id") % 3 == 0)):
+        io.put_state(M.score_counts(rows.where(own)), path, run=run)
+    return M.merge_counts(io.read_state(spark, path, M.COUNTS_SCHEMA, ["run"]))
+
+
+@register("eval_report_merged", "G26 G17-G22 G24: report of two scoring runs from their kept counts", EV.EVAL_REPORT_SQL)
+def q_report_merged(spark, sf_dir):
+    return rounded(M.report_of(_kept_counts(spark, sf_dir)))
+
+
+@register("roc_points_merged", "G26 G23: ROC of two scoring runs from their kept counts", f"{EV._SCORED}, {EV.roc_sql()}")
+def q_roc_merged(spark, sf_dir):
+    return rounded(M.roc_points_of(_kept_counts(spark, sf_dir)))
+
+
 def _written_results(spark, sf_dir):
     table = M.count_table(M.predict(fx.scores(spark, sf_dir)))
     path = scratch_path(spark, "results")

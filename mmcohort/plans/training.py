@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mmcohort import config as C
 from mmcohort import pipeline as PL
+from mmcohort.functions.columns import half
 from mmcohort.operators import batches as B
 from mmcohort.operators import cohort as K
 from mmcohort.operators import losses as L
@@ -209,6 +210,20 @@ def q_asl_total(spark, sf_dir):
     return rounded(L.total(per, by=("split",)))
 
 
+BCE_CLASSES = (1, 4, 6, 9, 11)  # of the mixed loss; the others have the asymmetric one
+
+
+@register("loss_mixed", "X3 G6 G8: a loss function per class (weighted BCE for some, asymmetric with its own gamma for the others)", f"""{_MODAL_SPLIT}, {_CODES}, {_WEIGHTS}, {_BCE},
+a AS ({_asl_sql('jl', 'split', C.GAMMAS_ISOLATED)})
+SELECT split, class_id, {r('loss')} AS loss FROM bl WHERE class_id IN {BCE_CLASSES}
+UNION ALL
+SELECT split, class_id, {r('loss')} AS loss FROM a WHERE class_id NOT IN {BCE_CLASSES}""")
+def q_loss_mixed(spark, sf_dir):
+    w = L.class_weights(label_long(spark, sf_dir).where(F.col("split") == "train"))
+    losses = L.class_losses(w, C.GAMMAS_ISOLATED, BCE_CLASSES)
+    return rounded(L.mixed(modal_long(spark, sf_dir), losses, by=("split",), classes=range(C.NUM_CLASSES)))
+
+
 @register("delta_p", "G10 P22", f"""{_MODAL_SPLIT}, {_CODES}
 SELECT split, class_id, {r(f'''CASE WHEN count(*) FILTER (WHERE {_VALID}) = 0 THEN {C.DELTA_P_DEFAULT} ELSE
    coalesce(avg(CASE WHEN {_VALID} AND y = 1 THEN {_SIG} END), {C.DELTA_P_DEFAULT})
@@ -353,6 +368,14 @@ def q_encode_sql(spark, sf_dir):
     return rounded(_codes_long(e))
 
 
+@register("encode_blocked", "S2 M1: weights in blocks of at most 100 values, partial codes summed; nothing broadcast", f"""{_MODAL_SPLIT}, {_CODES}
+SELECT study_id, modality, i AS out_idx, {r('code')} AS code FROM code""")
+def q_encode_blocked(spark, sf_dir):
+    ms = modal_split(spark, sf_dir).select("study_id", *SPEC.stored_order)
+    table = SC.rule_weights(spark, SPEC, LATENT)
+    return rounded(_codes_long(SC.encode_blocked(ms, table, SPEC.widths, SPEC.stored_order, key="study_id", block_values=100)))
+
+
 @register("decode_mse", "M2 G12", f"""{_MODAL_SPLIT}, {_CODES}
 SELECT split, modality, {r('sum((xhat - x) * (xhat - x)) / count(*)')} AS mse FROM recon GROUP BY split, modality""")
 def q_decode_mse(spark, sf_dir):
@@ -371,13 +394,32 @@ def q_joint(spark, sf_dir):
     return rounded(s.select("study_id", F.posexplode("logits").alias("class_id", "logit")))
 
 
-@register("joint_scores_half", "M4 F12 P15: float16 codes, float32 projection (NumPy test: float16 is beyond SQL)")
+# the nearest half-precision value of a code (a code is never negative)
+_HALF = """CASE WHEN code = 0 THEN 0.0 WHEN code >= 65520 THEN CAST('inf' AS DOUBLE)
+     ELSE round_even(code / pow(2, greatest(e, -14) - 10), 0) * pow(2, greatest(e, -14) - 10) END"""
+
+
+_HALF_CODES = f"""{_MODAL_SPLIT}, {_CODES},
+ex AS (SELECT *, CASE WHEN code = 0 THEN 0 ELSE floor(log2(code)) END AS e0 FROM code),
+hc AS (SELECT study_id, modality, i, {_HALF} AS code FROM (SELECT *, CASE WHEN pow(2, e0) > code THEN e0 - 1 WHEN pow(2, e0 + 1) <= code THEN e0 + 1 ELSE e0 END AS e FROM ex))"""
+
+
+@register("codes_half", "F12: codes rounded to half precision by built-in functions", f"""{_HALF_CODES}
+SELECT study_id, modality, i AS out_idx, code FROM hc""")
+def q_codes_half(spark, sf_dir):
+    e = SC.encode(modal_split(spark, sf_dir), fixture_weights(spark), SPEC.stored_order)
+    return _codes_long(e.select("study_id", *[F.transform(f"code_{m}", half).alias(f"code_{m}") for m in SPEC.stored_order]))
+
+
+@register("joint_scores_half", "M4 F12: scores of half-precision codes, one Python pass", f"""{_HALF_CODES},
+hj AS (SELECT c.study_id, k.class_id, sum(cos(5 * k.pos + 3 * (tok.t * {LATENT} + c.i)) * 0.25 * c.code) AS z
+       FROM hc c JOIN tok USING (modality) CROSS JOIN cls k GROUP BY c.study_id, k.class_id)
+SELECT study_id, class_id, {r('z')} AS logit FROM hj""")
 def q_joint_half(spark, sf_dir):
     s = SC.encode_and_score(
-        modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=["study_id"],
-        batch_size=C.BATCH_SIZE, half=True, precision="float32",
+        modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=["study_id"], half=True
     )
-    return rounded(s.select("study_id", F.posexplode("logits").alias("class_id", "logit")), 6)
+    return rounded(s.select("study_id", F.posexplode("logits").alias("class_id", "logit")))
 
 
 @register("isolated_scores", "M5 X4", f"""{_MODAL_SPLIT}, {_CODES}
@@ -475,50 +517,3 @@ def q_modal_report(spark, sf_dir):
 @register("modal_eval_roc", "E3 end to end: ROC points of the validation split", _modal_eval_sql(EV.roc_sql()))
 def q_modal_roc(spark, sf_dir):
     return rounded(M.roc_points_of(modal_counts(spark, sf_dir)))
-
-
-@register("projector_fit", "M7: data-parallel fit, per-step loss (iterative; no SQL oracle)")
-def q_fit(spark, sf_dir):
-    from mmcohort.operators import fit as FT
-
-    tr = materialize(TR_train(spark, sf_dir), "fit-train")  # every step re-reads it
-    head = fx.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
-    init = FT.params_from_weights(fixture_weights(spark))
-    _, hist = FT.fit_projectors(tr, init, head, steps=3)
-    rows = [(h["step"], float(h["loss"]), float(h["asl"])) for h in hist]
-    return spark.createDataFrame(rows, "step int, loss double, asl double")
-
-
-def TR_train(spark, sf_dir):
-    """Training rows of the modal fixture (arrays as double)."""
-    ms = modal_split(spark, sf_dir).where(F.col("split") == "train")
-    return ms.select("y", *[F.col(m).cast("array<double>").alias(m) for m in SPEC.stored_order])
-
-
-def _training_loop(spark, sf_dir, loss, isolated=False):
-    from mmcohort.session import scratch_path
-    from mmcohort.sources import io
-
-    head = fx.vocab_matrix(N_TOK * LATENT, C.VOCAB_POSITIONS)
-    hist_path, w_path = scratch_path(spark, "history"), scratch_path(spark, "weights")
-    PL.train(
-        modal_split(spark, sf_dir), fixture_weights(spark), head, SPEC, run=f"fixture-{loss}{'-iso' if isolated else ''}", epochs=2,
-        history_path=hist_path, weights_path=w_path, loss=loss, isolated=isolated,
-        gammas=C.GAMMAS_ISOLATED if isolated else C.GAMMAS_JOINT,
-    )
-    return io.read_history(spark, hist_path).select("run", F.col("epoch").cast("int").alias("epoch"), "split", "loss", "delta_p")
-
-
-@register("training_loop", "E2 M7 M8 S4 S5 S6: epochs of fit (asymmetric loss) + validation, history appended, weights overwritten (iterative; no SQL oracle)")
-def q_training_loop(spark, sf_dir):
-    return _training_loop(spark, sf_dir, "asl")
-
-
-@register("training_loop_bce", "E2 G5 G6 G7 M7 M8: the BCE variant with training-split class weights (iterative; no SQL oracle)")
-def q_training_loop_bce(spark, sf_dir):
-    return _training_loop(spark, sf_dir, "bce")
-
-
-@register("training_loop_isolated", "E2 G15 M5 M7 M8 D5: modalities scored alone in training, jointly in validation (iterative; no SQL oracle)")
-def q_training_loop_iso(spark, sf_dir):
-    return _training_loop(spark, sf_dir, "asl", isolated=True)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mmcohort.config import ModalitySpec
+from mmcohort.sources.io import row_position
 
 # Wide-table layout of the cohort view: all six modalities.
 COHORT_SPEC = ModalitySpec(widths={"vd": 2, "vmd": 1, "ts_ce": 1, "ts_le": 1, "ts_pe": 1, "n_rad": 2})
@@ -38,8 +39,13 @@ def _lab(expr: Column) -> Column:
     )
 
 
-def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cohort(spark: SparkSession, sf_dir: str, position: str | None = None) -> DataFrame:
+    """``position`` names a column to add: where the line item stands in its table."""
     li = table(spark, sf_dir, "lineitem")
+    extra = []
+    if position:
+        li = li.select("*", row_position(1 << 16).alias(position))
+        extra = [position]
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
@@ -59,6 +65,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("de_0"),
         F.col("l_suppkey").alias("vp_0"),
         F.col("l_linenumber").alias("vmp_0"),
+        *extra,
     )
 
 

@@ -8,11 +8,12 @@ then skips whole modalities).
 
 from __future__ import annotations
 
+import contextlib
 import csv
+import uuid
 from collections.abc import Iterable, Sequence
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,24 +27,68 @@ TEXT_COLUMNS = (
 )
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict):
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _first_line(rows):
+    for row in rows:
+        if row[0].strip():
+            yield row
+            return
+
+
+_UNSPLIT = 1 << 40
+
+
+def header_index(spark: SparkSession, path: str) -> DataFrame:
+    """(value, files): each distinct first line (that is not blank) of the files
+    below ``path``. A file is one partition here and its task stops after that
+    line, so the rest of the file is not read; this needs the partition's
+    iterator, which only the RDD view gives. Files without any line have no row."""
+    with _settings(spark, {"spark.sql.files.maxPartitionBytes": _UNSPLIT, "spark.sql.files.openCostInBytes": _UNSPLIT}):
+        lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("f"))
+        rdd = lines.rdd
+        rdd.getNumPartitions()  # the files are dealt while the settings hold
+    heads = spark.createDataFrame(rdd.mapPartitions(_first_line), "value string, f string")
+    return heads.groupBy("value").agg(F.sort_array(F.collect_list("f")).alias("files"))
+
+
 def csv_headers(spark: SparkSession, path: str, marker: str) -> list[tuple[list[str], list[str]]]:
-    """(columns, files) for each distinct header line below ``path``. A header
-    is the line of a file that names the column ``marker``; one filter over the
-    raw lines finds them, nothing is parsed. Files without one raise."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("f"))
-    names = F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
-    heads = lines.where(F.array_contains(names, marker)).groupBy("value").agg(F.collect_set("f").alias("files")).collect()
+    """(columns, files) for each distinct header below ``path``: the first line
+    of every file. A file whose header lacks the column ``marker`` raises."""
     out = []
-    for h in heads:  # one row per distinct header
+    for h in header_index(spark, path).collect():  # one row per distinct header
         cols = next(csv.reader([h["value"].lstrip("\ufeff")]))
-        out.append((cols, sorted(h["files"])))
-    known = {f for _, files in out for f in files}
-    bare = [f for f in spark.read.option("recursiveFileLookup", True).text(path).inputFiles() if unquote(f).split(":", 1)[-1].lstrip("/") not in {unquote(k).split(":", 1)[-1].lstrip("/") for k in known}]
-    if not out or bare:
-        raise ValueError(f"no header line with column {marker!r} in {bare[:3] or path}")
+        if marker not in cols:
+            raise ValueError(f"no column {marker!r} in the header of {h['files'][:3]}")
+        out.append((cols, h["files"]))
+    if not out:
+        raise ValueError(f"no header line below {path}")
     return sorted(out, key=lambda h: h[1][0])  # the first file's order is the table's
 
 
+def row_position(rows_in_block: int | None = None) -> Column:
+    """struct (file, block, row) that grows along the input: for files read in
+    splits the split's start and the row's number in its task; with
+    ``rows_in_block`` (sources that number their rows, such as Parquet) the
+    number of the row in its file, in blocks of so many."""
+    file = F.col("_metadata.file_path").alias("file")
+    if rows_in_block is None:
+        return F.struct(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    row = F.col("_metadata.row_index")
+    return F.struct(file, F.floor(row / rows_in_block).cast("long").alias("block"), row.alias("row"))
+
+
 def schema_from_header(
     names: Sequence[str],
     *,
@@ -67,7 +112,8 @@ def schema_from_header(
 
 
 def read_study_csv(
-    spark: SparkSession, path: str, *, key: str = "haim_id", ints: Iterable[str] = ("death_status",), **schema_kw
+    spark: SparkSession, path: str, *, key: str = "haim_id", ints: Iterable[str] = ("death_status",),
+    position: str | None = None, **schema_kw,
 ) -> DataFrame:
     """Wide study table; blank cells -> NULL, 'NaN' -> NaN (guarded downstream).
 
@@ -75,7 +121,8 @@ def read_study_csv(
     their own header, files with other columns raise. The table has the column
     order of the first file by path (features are packed in table order). ``ints`` may be written
     ``1`` or ``1.0`` (as pandas does beside a missing value); any other
-    fraction fails the job.
+    fraction fails the job. ``position`` names a column to add: where a row
+    stands in the input (:func:`row_position`).
     """
     ints, parts = list(ints), []
     for names, files in csv_headers(spark, path, key):
@@ -84,7 +131,7 @@ def read_study_csv(
             spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
             .option("nanValue", "NaN").csv(files)
         )
-        parts.append(part)
+        parts.append(part.withColumn(position, row_position()) if position else part)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)  # raises on missing or extra columns
@@ -106,22 +153,76 @@ def ingest(df: DataFrame, spec: ModalitySpec, out_path: str, *, keep: Sequence[s
 
 # -- sinks ------------------------------------------------------------------------
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+_COMMITS = "_commits"
+SNAPSHOTS_KEPT = 2
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the committed snapshots below ``path``, the newest last."""
+    return [n for n in _names(spark, f"{path}/{_COMMITS}") if n.startswith("v")]
+
+
+def write_snapshot(df: DataFrame, path: str) -> str:
+    """Write ``df`` as the next snapshot of the table at ``path`` and return its
+    name. The snapshot is a folder of its own, and an empty marker file, made
+    last, commits it: a writer that dies leaves the former snapshot in force.
+    The newest ``SNAPSHOTS_KEPT`` stay, so that readers of the former one finish."""
+    spark = df.sparkSession
+    before = committed(spark, path)
+    number = int(before[-1].split("-")[0][1:]) + 1 if before else 1
+    name = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
+    df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    fs, marker = _file_system(spark, f"{path}/{_COMMITS}/{name}")
+    fs.create(marker, False).close()
+    for old in [*before, name][:-SNAPSHOTS_KEPT]:  # the marker first: never a committed folder without its files
+        for gone in (f"{path}/{_COMMITS}/{old}", f"{path}/{old}"):
+            fs, at = _file_system(spark, gone)
+            fs.delete(at, True)
+    return name
+
+
+def snapshot_path(spark: SparkSession, path: str) -> str:
+    """The newest committed snapshot at ``path``; the path itself where there has never been one."""
+    names = committed(spark, path)
+    if not names and any(n.startswith("v") for n in _names(spark, path)):
+        raise ValueError(f"no committed snapshot at {path}")
+    return f"{path}/{names[-1]}" if names else path
+
+
 def write_weights(weights: DataFrame, path: str) -> None:
-    """Projector weights table; each save overwrites (the last epoch wins)."""
-    weights.select("modality", "layer", "out_idx", "w", "b").write.mode("overwrite").parquet(path)
+    """Projector weights table; each save is a snapshot (the last epoch wins, a
+    save that fails half way changes nothing)."""
+    write_snapshot(weights.select("modality", "layer", "out_idx", "w", "b"), path)
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("modality string, layer string, out_idx int, w array<float>, b float").parquet(path)
+    """The newest committed weights at ``path`` (or a plain table of them)."""
+    schema = "modality string, layer string, out_idx int, w array<float>, b float"
+    return spark.read.schema(schema).parquet(snapshot_path(spark, path))
+
 
+HISTORY_SCHEMA = "split string, loss double, delta_p array<double>, run string, epoch int"
 
-def append_history(history: DataFrame, path: str) -> None:
-    """Loss history rows (run, epoch, split, loss[, delta_p]) appended, partitioned by run."""
-    history.write.mode("append").partitionBy("run").parquet(path)
+
+def write_history(history: DataFrame, path: str) -> None:
+    """Loss history rows (run, epoch, split, loss[, delta_p]): what is written of
+    an epoch replaces the rows that epoch of the run had, so a repeated or
+    retried epoch is never there twice; other runs and epochs stay."""
+    history.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "epoch").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(HISTORY_SCHEMA).parquet(path).select("run", "epoch", "split", "loss", "delta_p")
 
 
 def write_results(metrics: DataFrame, roc: DataFrame, path: str) -> None:
@@ -134,7 +235,20 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/metrics"), spark.read.parquet(f"{path}/roc")
 
 
+# -- states that grow run by run or file by file ------------------------------------
+
+def put_state(state: DataFrame, path: str, **names: str) -> None:
+    """Keep ``state`` under the given names (one partition column each): a part
+    written again replaces its former rows, the others stay."""
+    named = state.select(*[F.lit(v).cast("string").alias(k) for k, v in names.items()], "*")
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
+
+
+def read_state(spark: SparkSession, path: str, schema: str, names: Sequence[str]) -> DataFrame:
+    """All parts kept at ``path``."""
+    return spark.read.schema(", ".join([schema, *(f"{n} string" for n in names)])).parquet(path)
+
+
 def write_wide_csv(df: DataFrame, path: str) -> None:
     """Write a wide table as CSV with header (used to produce study-shaped inputs)."""
     df.write.mode("overwrite").option("header", True).csv(path)
-

@@ -61,10 +61,17 @@ def test_partition_sums_equal_full_batch():
 
 
 def test_fit_on_spark_lowers_loss(spark):
-    import __spark_entry__ as E
+    from pyspark.sql import functions as F
+
+    from mmcohort import config as C
+    from mmcohort.plans import training as TR
+    from mmcohort.session import materialize
 
-    hist = E.queries()["projector_fit"](spark, "/root/testdata/sf0.001").orderBy("step").collect()
-    assert len(hist) == 3
+    ms = TR.modal_split(spark, "/root/testdata/sf0.001").where(F.col("split") == "train")
+    tr = materialize(ms.select("y", *[F.col(m).cast("array<double>").alias(m) for m in C.STORED_ORDER]), "fit-train")
+    head = fx.vocab_matrix(len(C.TOKEN_ORDER) * 4, C.VOCAB_POSITIONS)
+    _, hist = FT.fit_projectors(tr, FT.params_from_weights(TR.fixture_weights(spark)), head, steps=3)
+    assert [h["step"] for h in hist] == sorted(h["step"] for h in hist) and len(hist) == 3
     assert hist[-1]["loss"] < hist[0]["loss"]
 
 

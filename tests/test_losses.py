@@ -69,3 +69,49 @@ def test_classes_without_rows_and_without_parameters(spark):
         L.asymmetric(lg, L.class_params(spark, [4])).collect()
     with pytest.raises(Exception, match="no weights"):
         L.bce(lg, L.class_weights(lg.where("class_id = 0"))).collect()
+
+
+def test_half_rounds_like_numpy(spark):
+    import numpy as np
+    from mmcohort.functions.columns import half
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([
+        rng.normal(size=2000) * 10.0 ** rng.integers(-9, 6, 2000), 2.0 ** np.arange(-30, 18), -(2.0 ** np.arange(-30, 18)),
+        np.nextafter(2.0 ** np.arange(-30, 18), 0), np.nextafter(2.0 ** np.arange(-30, 18), 1e9),
+        [0.0, -0.0, 65504.0, 65519.999, 65520.0, -65520.0, 1e300, np.inf, -np.inf, np.nan, 2.0**-25, 3 * 2.0**-25, 1 + 2.0**-11, 1 + 3 * 2.0**-11],
+    ])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(len(x), None)], "i long, x double")
+    got = {r["i"]: r["h"] for r in df.select("i", half("x").alias("h")).collect()}
+    with np.errstate(over="ignore"):
+        want = x.astype(np.float16).astype(np.float64)
+    assert got[len(x)] is None
+    np.testing.assert_array_equal(np.array([got[i] for i in range(len(x))]), want)
+
+
+def test_a_loss_function_per_class(spark):
+    import numpy as np
+    import pytest
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    rows = [(i, k, float(rng.integers(0, 3)), float(rng.normal())) for i in range(60) for k in range(5)]
+    lg = spark.createDataFrame(rows, "study_id long, class_id int, y double, z double").where("class_id <> 4 OR y = 2")
+    w = spark.createDataFrame([(k, 0.5 + k, 2.0 * k + 1) for k in range(5)], "class_id int, w0 double, w1 double")
+    gam = spark.createDataFrame([(k, float(k)) for k in range(5)], "class_id int, gamma double")
+    losses = L.class_losses(w, [0.0, 1.0, 2.0, 3.0, 4.0], (0, 3))
+    key = lambda df: {r["class_id"]: r["loss"] for r in df.collect()}
+    got, b, a = key(L.mixed(lg, losses, classes=range(5))), key(L.bce(lg, w)), key(L.asymmetric(lg, gam))
+    assert got == pytest.approx({0: b[0], 1: a[1], 2: a[2], 3: b[3], 4: 0.0}, abs=1e-12)
+    if "hinge" not in L.LOSS_TERMS:
+        L.register_loss("hinge", lambda z, y, p: F.greatest(p["margin"] - (2 * y - 1) * z, F.lit(0.0)), margin=1.0)
+    got = key(L.mixed(lg, losses | {1: L.ClassLoss("hinge"), 2: L.ClassLoss("hinge", {"margin": 0.5})}))
+    for k, margin in ((1, 1.0), (2, 0.5)):
+        own = [max(margin - (2 * y - 1) * z, 0) for _, c, y, z in rows if c == k and y != 2]
+        assert got[k] == pytest.approx(np.mean(own))
+    with pytest.raises(Exception, match="no loss for class 2"):
+        L.mixed(lg, {k: v for k, v in losses.items() if k != 2}).collect()
+    with pytest.raises(ValueError, match="unknown loss"):
+        L.mixed(lg, losses | {0: L.ClassLoss("nothing")})
+    with pytest.raises(ValueError, match="lack the parameter"):
+        L.mixed(lg, losses | {1: L.ClassLoss("asl")})

@@ -68,6 +68,34 @@ def test_evaluation_and_training_scripts(spark):
         )
 
 
+def test_single_label_and_source_members(spark):
+    """The modes of the pipeline: one label only; the source's own patients."""
+    csv = _study_csv(spark)
+    wpath = scratch_path(spark, "init-weights")
+    io.write_weights(SC.rule_weights(spark, C.FIXTURE_SPEC, 4), wpath)
+    scorer = SC.class_logits_from_vocab(fx.linear_vocab_model(len(C.TOKEN_ORDER) * 4))
+    wide = io.read_study_csv(spark, csv, position=PL.POSITION)
+    k = C.CLASS_NAMES.index("Pneumonia")
+    metrics, _ = PL.run_evaluation(
+        spark, csv, wpath, scorer, scratch_path(spark, "results"), spec=C.FIXTURE_SPEC, label="Pneumonia", members="source"
+    )
+    n = {r["class_id"]: r["n"] for r in metrics.collect()}
+    assert n[k] > 0 and all(v == 0 for c, v in n.items() if c != k)
+    scaled, _ = PL.prepare_study(wide, C.FIXTURE_SPEC, label="Pneumonia", members="source", position=PL.POSITION)
+    rows = scaled.select("haim_id", "split", F.get("y", F.lit(k)).alias("y")).collect()
+    assert len(rows) == wide.where("Pneumonia in (0, 1)").count() and {r["y"] for r in rows} == {0.0, 1.0}
+    assert n[k] == sum(r["split"] == "val" for r in rows)
+    # the whole study, by NumPy and pandas: order of first appearance after the filters, seeded permutation
+    both, _ = PL.prepare_study(wide, C.FIXTURE_SPEC, members="source", position=PL.POSITION)
+    assert PL.POSITION not in both.columns and dict(both.dtypes)["vd"] == "array<float>"
+    kept = wide.where("haim_id is not null").select("haim_id", PL.POSITION).orderBy(PL.POSITION).collect()
+    ids = list(dict.fromkeys(r["haim_id"] for r in kept))
+    val = {ids[j] for j in np.random.RandomState(C.SPLIT_SEED).permutation(len(ids))[: -(-len(ids) // 4)]}
+    assert {r["haim_id"] for r in both.where("split = 'val'").select("haim_id").distinct().collect()} == val
+    plain, _ = PL.prepare_study(wide, C.FIXTURE_SPEC, position=PL.POSITION)
+    assert plain.columns == both.columns and plain.count() == both.count()
+
+
 def test_unlisted_or_absent_columns_raise(spark):
     import pytest
     from mmcohort.operators import cohort as K

@@ -151,3 +151,50 @@ def test_statistics_skip_missing_elements(spark):
     for skip in (True, False):
         empty = S.fit_stats(df.where("false"), ["v"], {"v": 5}, skip_missing=skip)
         assert empty.first() is None and S.apply_stats(df, empty, ["v"]).first()["v"] == [None] * 5
+
+
+def numbered(df, rows_in_block=3):
+    """The position a reader adds: file, block of the file, row."""
+    r = F.col("r")
+    return df.withColumn("pos", F.struct(
+        F.concat(F.lit("f"), F.floor(r / 50).cast("string")).alias("file"), F.floor(r % 50 / rows_in_block).cast("long").alias("block"), (r % 50).alias("row")
+    ))
+
+
+def test_source_members_are_the_permutation_of_ids_by_first_appearance(spark):
+    import numpy as np
+
+    ids = [(i * 7919) % 61 + 100 for i in range(200)]
+    ids[5] = None
+    df = numbered(spark.createDataFrame([(i, g) for i, g in enumerate(ids)], "r long, g long"))
+    seen = list(dict.fromkeys(g for g in ids if g is not None))
+    val = {seen[j] for j in np.random.RandomState(23).permutation(len(seen))[: -(-len(seen) // 4)]}
+    want = sorted((i, "val" if g in val else "train") for i, g in enumerate(ids) if g is not None)
+    ranks = {r["_id"]: r["_rank"] for r in SP.first_seen(df, "g", "pos").collect()}
+    assert ranks == {g: i for i, g in enumerate(seen)}
+    for n in (1, 9):
+        members = SP.fit_split(df.repartition(n), "g", members="source", position="pos")
+        assert (members.n_groups, members.n_val) == (len(seen), -(-len(seen) // 4))
+        assert sorted((r["r"], r["split"]) for r in SP.apply_split(df, "g", members).collect()) == want
+
+
+def test_source_members_beyond_the_bounds(spark, monkeypatch):
+    df = numbered(spark.range(150).select(F.col("id").alias("r"), (F.col("id") % 40).alias("g")))
+    small = sorted(map(tuple, SP.apply_split(df, "g", SP.fit_split(df, "g", members="source", position="pos")).select("r", "split").collect()))
+    monkeypatch.setattr(SP, "BROADCAST_IDS", 3)
+    wide = SP.apply_split(df, "g", SP.fit_split(df, "g", members="source", position="pos"))
+    assert sorted(map(tuple, wide.select("r", "split").collect())) == small
+    monkeypatch.setattr(SP, "MAX_SOURCE_GROUPS", 30)
+    with pytest.raises(ValueError, match="members='hash'"):
+        SP.fit_split(df, "g", members="source", position="pos")
+    with pytest.raises(ValueError, match="position"):
+        SP.fit_split(df, "g", members="source")
+    empty = SP.fit_split(df.limit(0), "g", members="source", position="pos")
+    assert empty.n_groups == 0 and SP.apply_split(df.limit(0), "g", empty).count() == 0
+
+
+def test_scaling_keeps_the_element_type(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 5.0],)], "v array<float>")
+    st = S.fit_stats(df, ["v"], {"v": 2})
+    assert dict(S.apply_stats(df, st, ["v"]).dtypes)["v"] == "array<float>"
+    assert dict(S.apply_stats(df.select(F.col("v").cast("array<double>").alias("v")), st, ["v"]).dtypes)["v"] == "array<double>"
