@@ -13,7 +13,9 @@ adverts, notices, forms, sidebars, comments and unclosed tags.
 Defined results: a null or empty html, or a page without main text, gives an
 empty string; repeated rows get the same answer each; null keys are kept; an
 empty table gives an empty result; other columns are ignored. Pages of any
-length are parsed whole, in linear time.
+length are parsed whole, in linear time, broken ones too: a tag without its
+">" is text, a quote that never ends is none. Form controls and what they hold
+are never main text, inside a form or not.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html as H
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,17 +49,21 @@ CLOSES = {t: {"p"} for t in BLOCKY.split()} | {
 SCOPE = set("html body table td th ul ol dl div article section aside main nav header footer form blockquote object button".split())
 LIST_SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
               "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+CONTROL = set("button datalist input label legend optgroup option select textarea".split())
+OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+DEEPEST = 512  # what is nested deeper hangs on the element of that depth
 ATTR = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 LABEL = re.compile(r'data-main="([01])"')  # of the generator's pages
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 FEATURES = 4096
 SLOTS = 9  # features every element has, besides its class, id and role words
-KINDS = 5  # of edges: to an inline child, an ordinary block, a list part, a sectioning element, metadata
+KINDS = 6  # of edges: to an inline child, an ordinary block, a list part, a sectioning element, metadata, a form control
+SILENT = 5  # a form control says nothing about the element it stands in: no potential
 LIST_PART = set("ul ol li dl dt dd table tbody thead tfoot tr td th".split())
+EVIDENCE = 100.0  # of a form control against main text
 META = set("head title meta link style script noscript template base".split())
 SECTION = set("article aside div footer form header main nav section body".split())
 
@@ -66,9 +73,13 @@ def _feature(name: str) -> int:
     return zlib.crc32(name.encode()) % (FEATURES - 1) + 1
 
 
-@lru_cache(1 << 14)
 def _attr_features(attrs: str) -> tuple[int, ...]:
     """Feature numbers of all class, id and role words."""
+    return _known_attrs(attrs) if len(attrs) < 512 else _known_attrs.__wrapped__(attrs)
+
+
+@lru_cache(1 << 14)
+def _known_attrs(attrs: str) -> tuple[int, ...]:
     out = [_feature("word " + w.lower()) for v in ATTR.findall(attrs) for w in NAME.findall(v.strip("\"'"))]
     return tuple(dict.fromkeys(out))
 
@@ -83,50 +94,58 @@ class Page:
         self.tag, self.attrs, self.parent = ["#root"], [""], [-1]
         self.flow: list = []
         self.chars, self.linked, self.stops = [0], [0], [0]
-        stack, at, n = [0], 0, len(source)
-        links = 0
-        open_: dict[str, int] = {}
+        stack, links = [0], 0
+        open_: dict[str, list[int]] = {}  # tag -> places in the stack
+
+        def close(to: int) -> None:
+            nonlocal links
+            while len(stack) > to:
+                t = self.tag[stack.pop()]
+                open_[t].pop()
+                links -= t == "a"
+                if t not in INLINE:
+                    self.flow.append(None)
+
+        at, n = 0, len(source)
+        last, plain = source.rfind(">"), 0
         while at < n:
-            m = TOKEN.search(source, at)
-            lo = m.start() if m else n
-            if lo > at:
-                self._text(stack[-1], source[at:lo], links)
-            if not m:
+            m = OPEN.search(source, at)
+            start = m.start() if m else n
+            if m and start > last:  # no tag ends from here on
+                start = source.find("<!--", start)
+                start = n if start < 0 else start
+            if start > at:
+                self._text(stack[-1], source[at:start], links)
+            if start == n:
                 break
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+                continue
+            m = TAG.match(source, start) if start >= plain else None
+            if m is None:
+                if start >= plain:  # a quote that never ends: up to it, tags end at the first ">"
+                    plain = QUOTED.match(source, start).end()
+                m = PLAIN.match(source, start)
+            if m is None:  # "<!", "<?" or "</" and no name
+                at = source.find(">", start) + 1
                 continue
-            name = name.lower()
-            if m[1] or m[4]:  # an end tag closes what it names, if that is open
+            at = m.end()
+            name, attrs = m[2].lower(), m[3]
+            if m[1]:  # an end tag closes what it names, if that is open
                 if open_.get(name):
-                    while True:
-                        t = self.tag[stack.pop()]
-                        open_[t] -= 1
-                        links -= t == "a"
-                        if t not in INLINE:
-                            self.flow.append(None)
-                        if t == name:
-                            break
+                    close(open_[name][-1])
                 continue
             shut = CLOSES.get(name)
             if shut and any(open_.get(t) for t in shut):
-                stop = LIST_SCOPE.get(name, SCOPE)
-                k = len(stack) - 1
-                last = 0
-                while k > 0 and self.tag[stack[k]] not in stop:
-                    if self.tag[stack[k]] in shut:
-                        last = k
-                    k -= 1
-                while last and len(stack) > last:
-                    t = self.tag[stack.pop()]
-                    open_[t] -= 1
-                    links -= t == "a"
-            attrs = m[3] if m[2] else m[6]
+                wall = max((open_[t][-1] for t in LIST_SCOPE.get(name, SCOPE) if open_.get(t)), default=0)
+                found = [places[i] for t in shut if (places := open_.get(t)) and (i := bisect_right(places, wall)) < len(places)]
+                if found:
+                    close(min(found))
             node = len(self.tag)
             self.tag.append(name)
             self.attrs.append(attrs)
-            self.parent.append(stack[-1])
+            self.parent.append(stack[min(len(stack), DEEPEST) - 1])
             self.chars.append(0)
             self.linked.append(0)
             self.stops.append(0)
@@ -134,19 +153,19 @@ class Page:
                 self.flow.append(None)
             elif name == "br":
                 self.flow.append((stack[-1], " "))
-            if name in VOID or attrs.endswith("/"):
+            if name in VOID:  # a slash before ">" means nothing elsewhere
                 continue
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(source, at)
                 if name not in ("script", "style"):
                     self._text(node, source[at : end.start() if end else n], links)
                 at = end.start() if end else n
-                close = source.find(">", at)
-                at = n if close < 0 else close + 1
+                stop = source.find(">", at)
+                at = n if stop < 0 else stop + 1
                 self.flow.append(None)
                 continue
+            open_.setdefault(name, []).append(len(stack))
             stack.append(node)
-            open_[name] = open_.get(name, 0) + 1
             links += name == "a"
 
     def _text(self, node: int, raw: str, links: int) -> None:
@@ -196,10 +215,17 @@ class Page:
                 _feature(f"text {min(own, 200) // 50} {density} {t in INLINE}"),
                 _feature("bias"),
             ]
-            kind[i] = 0 if t in INLINE else 2 if t in LIST_PART else 3 if t in SECTION else 4 if t in META else 1
+            kind[i] = SILENT if t in CONTROL else 0 if t in INLINE else 2 if t in LIST_PART else 3 if t in SECTION else 4 if t in META else 1
             seen += own
         return out, kind, np.array(depth), many, np.array(words, np.int32)
 
+    def controls(self) -> np.ndarray:
+        """Elements that are form controls or lie in one."""
+        out = [False] * len(self.tag)
+        for i in range(1, len(out)):
+            out[i] = self.tag[i] in CONTROL or out[self.parent[i]]
+        return np.array(out)
+
     def text(self, main: np.ndarray) -> str:
         blocks, part = [], []
         for x in self.flow:
@@ -223,6 +249,7 @@ class Forest:
         self.at = np.concatenate([[0], np.cumsum([len(p.tag) for p in pages])])
         self.feat, self.kind, depth, many, self.word = (np.concatenate(x) for x in zip(*feats))
         self.word_of = np.repeat(np.arange(len(many)), many)  # the element of each word
+        self.control = np.concatenate([p.controls() for p in pages])
         self.label = np.concatenate([p.labels() for p in pages]) if labelled else None
         self.parent = np.concatenate([np.array(p.parent) + a for p, a in zip(pages, self.at)])
         order = np.argsort(depth, kind="stable")
@@ -243,6 +270,7 @@ class Model:
         n = len(f.kind)
         up, sent = np.zeros((n, 2)), np.zeros((n, 2))
         up[:, 1] = self.weight[f.feat].sum(1) + np.bincount(f.word_of, self.weight[f.word], n)
+        up[f.control, 1] -= EVIDENCE
         for rows in reversed(f.levels):
             m = np.logaddexp(*(self.edge[f.kind[rows], :, c] + up[rows, c, None] for c in (0, 1)))
             sent[rows] = m - m.max(1, keepdims=True)
@@ -277,6 +305,7 @@ class Model:
             pair /= pair.sum((1, 2), keepdims=True)
             hope = np.zeros((KINDS, 2, 2))
             np.add.at(hope, kind, pair)
+            hope[SILENT] = seen[SILENT]
             for i, (theta, grad) in enumerate(((self.weight, g), (self.edge, seen - hope))):
                 grad = grad / len(y) * 100 - decay * theta
                 mean[i] = 0.9 * mean[i] + 0.1 * grad

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -104,6 +105,36 @@ def test_edges(spark):
     assert X.extract(df.where("false")).collect() == []
 
 
+def test_broken_pages_take_linear_time(model):
+    """Megabytes each, seconds each."""
+    size = 5 << 20
+    for unit, tail in (
+        ("<a ", ""), ("<!", ""), ("<a '", ""), ("<a \"", ">"), ("<a '>' ", '">'), ("<p x=\"'>", ""), ("</", ">"), ("<!--", ""), ("<", ""), ("<script", ""),
+    ):
+        began = time.time()
+        X.Page(unit * (size // len(unit)) + tail)
+        assert time.time() - began < 10, unit
+    began = time.time()
+    for source in ("<b>" * 60_000 + "<p>x" * 20_000, "<div>" * 50_000 + PROSE, "<ul><li>" * 20_000, "<b><p>" * 20_000 + "</b>" * 9):
+        X.extract_many([source], model)
+    assert time.time() - began < 40
+
+
+def test_slashes_and_controls(model):
+    def article(inner):
+        return X.extract_many([page(f"<article><h1>Head line</h1><p>{PROSE}</p>{inner}<p>{PROSE}</p></article>")], model)[0]
+
+    plain = article("")
+    assert article("<script src=x.js/>var a=1; alert(2);</script>") == plain
+    assert article("<style media=print/>p { color: red }</style>") == plain
+    assert article("<textarea>Say something here. It is a longer text, with a comma.</textarea>") == plain
+    assert article("<select><option>One choice, of some length.</option><option>Another.</option></select>") == plain
+    assert article(f"<button><b>{PROSE}</b></button><label>{PROSE}</label>") == plain
+    assert article(f"<p>{PROSE}<br/>next</p>").split("\n\n")[2] == f"{PROSE} next"
+    p = X.Page("<div class=content/><a href=/x/>text</a></div>")
+    assert p.parent[1:] == [0, 1] and p.linked[2] == 4
+
+
 def test_foreign_data_main(spark):
     """data-main is the generator's own label; real pages carry it with any value."""
     marks = ['data-main="js/app"', 'data-main=""', "data-main=1e9", 'data-main="300"', 'data-main="0"']

@@ -25,7 +25,7 @@ def test_stages(spark, sf_dir, documents, steps):
     scores = {r["doc_id"]: r["rejected"] for r in toxicity.report(whole, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
     left = [d for d in documents if not scores[d["doc_id"]]]
     assert rows[0] == Counter(tuple(d.values()) for d in left) and len(left) < len(documents)
-    keep = {int(c) for _, _, c in components(left)}
+    keep = {int(c) for _, _, c in components(left, n=5, percent=80)}
     left = [d for d in left if d["doc_id"] in keep]
     assert rows[1] == Counter(tuple(d.values()) for d in left)
     bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]

@@ -14,11 +14,11 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "\n\n  x", "it's  we'll", " é ß", "a" * 3000, " " * 50, "12345 67,890", "emoji 😀👍🏽", "<|endoftext|> x", "\x00\x01"]
+ODD = ["", " ", "\n\n  x", "it's  we'll", " é ß", "a" * 3000, " " * 50, "12345 67,890", "emoji 😀👍🏽", "<|endoftext|> x", "\x00\x01", "<|endoftext|>",
+       "a b<|endoftext|><|endoftext|>c d e <|endoftext| > <|endoftext|>\n\n<|endoftext|>", "word <|endoftext|> more words " * 9]
 
 
 def test_ids_equal_the_tokenizer_file(reference, documents):
