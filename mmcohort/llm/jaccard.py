@@ -25,7 +25,10 @@ words: the whole sequence as one). Two documents link when
    with the square of a group, stay in the task.
 4. Blocks over the bounds below are cut in chunks, and each pair of chunks is a
    cell, but for pairs that belong to another block. Nothing is dropped.
-5. Components by alternating star contraction over the narrow links.
+5. Components by alternating star contraction over the narrow links. A node
+   is (smallest id, class), so a component's root carries its id. Joins on a
+   class or a hub deal its rows over several tasks where they are many, and so
+   does the routing with keys that a sample of the classes shows to be common.
 
 Shingles and classes are compared by 64-bit hashes (a chance of about 2**-64
 for each pair of different ones to agree).
@@ -46,6 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mmcohort.llm import spread
 from mmcohort.llm.text import SPACE, Texts, mix, text_groups
 from mmcohort.session import materialize
 
@@ -56,7 +60,10 @@ LEAF = 16
 SMALL = 100  # sets below this size are routed by prefix
 CELL_DOCS = 1024  # classes, and
 CELL_SHINGLES = 1_500_000  # shingles, in a cell (about 12 MB)
-FILTER_BITS = 1 << 23  # bit map of documents whose sets are needed: 1 MB
+FILTER_BITS = 1 << 23  # bit map of documents: 1 MB
+SAMPLED = 256  # one class in so many shows its keys beforehand, and
+HOT_KEY = 1 << 20  # a key of more classes than this, by that sample, is dealt over several tasks
+LOST_BROADCAST = 1 << 21  # ids that are broadcast to be dropped (16 MB)
 _U32 = np.uint64(32)
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -233,10 +240,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 class Cell:
     """Some classes of a block: ``side`` 2 where all pairs are to be looked at,
     else pairs of a class of side 0 and one of side 1. ``pivots`` are those of
-    all blocks a class is in, ``weight`` its number of documents."""
+    all blocks a class is in, ``weight`` its number of documents, ``low`` the
+    smallest of their ids."""
 
-    def __init__(self, pivot: int, ids: list[int], sides: list[int], weights: list[int], sets: list[np.ndarray], pivots: list[np.ndarray]):
+    def __init__(self, pivot: int, ids: list[int], sides: list[int], weights: list[int], lows: list[int], sets: list[np.ndarray], pivots: list[np.ndarray]):
         self.ids, self.side, self.weight = np.array(ids, np.int64), np.array(sides), np.array(weights, np.int64)
+        self.low = np.array(lows, np.int64)
         self.size = np.array([len(x) for x in sets])
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         flat = np.concatenate(sets)
@@ -298,11 +307,12 @@ class Cell:
                 if len(rows):
                     yield q, rows
 
-    def links(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, smallest class of its component in the cell, documents its
-        links in the cell reach) for classes that have any."""
-        comp, reach = np.argsort(np.argsort(self.ids)), np.zeros(len(self.ids), np.int64)
-        names = np.sort(self.ids)
+    def links(self, percent: int) -> tuple[np.ndarray, ...]:
+        """(class, its smallest id, the class of smallest id in its component in
+        the cell, that id, documents its links in the cell reach) for classes
+        that have any."""
+        order = np.lexsort((self.ids, self.low))
+        comp, reach = np.argsort(order), np.zeros(len(self.ids), np.int64)
         for q, rows in self.pairs(percent):
             reach[q] += self.weight[rows].sum()
             reach[rows] += self.weight[q]
@@ -310,33 +320,48 @@ class Cell:
                 join = np.unique(np.append(comp[rows], comp[q]))
                 comp[np.isin(comp, join)] = join[0]
         some = reach > 0
-        return self.ids[some], names[comp[some]], reach[some]
+        root = order[comp[some]]
+        return self.ids[some], self.low[some], self.ids[root], self.low[root], reach[some]
 
 
-def memberships(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, cls: each row's set size and class."""
+def memberships(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, cls: each row's set size and class; and the routing
+    keys of one class in SAMPLED (else null)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
+        bands = Bands(percent)
         for b in batches:
-            size, cls = [], []
-            for _, _, t in text_groups(b.column(1), SPACE):
+            valid = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for lo, hi, t in text_groups(b.column(1), SPACE):
                 s = Sets(t, n)
-                size.append(s.n)
-                cls.append(s.cls)
-            if size:
+                keys: list = [None] * (hi - lo)
+                for i in np.flatnonzero((s.cls.view(np.uint64) % np.uint64(SAMPLED) == 0) & (s.n > 0) & valid[lo:hi]):
+                    keys[i] = bands.keys(s, np.array([i]))[1].tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.concatenate(size)), pa.array(np.concatenate(cls))],
-                    names=["doc_id", "n_shingles", "cls"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(s.n), pa.array(s.cls), pa.array(keys, schema.field("keys").type)], schema=schema
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, keys array<long>")
+
 
+def hot_keys(members: DataFrame) -> DataFrame:
+    """key, parts: keys that the sampled classes show to be very common, and
+    over how many tasks each is dealt."""
+    some = members.where("keys is not null").select("cls", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    counts = some.groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("n")).where(F.col("n") > HOT_KEY)
+    return counts.select("key", F.ceil(F.col("n") / HOT_KEY).cast("long").alias("parts"))
 
-def routes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """key, cls: routing keys, each class once a task."""
+
+def routes(docs: DataFrame, n: int, percent: int, hot: dict[int, int]) -> DataFrame:
+    """key, part, cls: routing keys, each class once a task; ``part`` deals the
+    classes of a key in ``hot`` (key -> parts), else 0."""
+    names, parts = np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)
+    held = docs.sparkSession.sparkContext.broadcast((names, parts))  # keys of more than HOT_KEY classes
 
     def run(batches):
         bands, seen = Bands(percent), set()
+        names, parts = held.value
         for b in batches:
             valid = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for lo, hi, t in text_groups(b.column(1), SPACE):
@@ -350,10 +375,71 @@ def routes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 r, k = bands.keys(s, np.array(rows, np.int64))
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.cls[r])], names=["key", "cls"])
+                if not len(r):
+                    continue
+                cls, part = s.cls[r], np.zeros(len(r), np.int32)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, k), len(names) - 1)
+                    is_hot = names[at] == k
+                    part[is_hot] = mix(cls[is_hot].view(np.uint64)) % parts[at[is_hot]].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(part), pa.array(cls)], names=["key", "part", "cls"])
+
+    return docs.mapInArrow(run, "key long, part int, cls long")
 
-    return docs.mapInArrow(run, "key long, cls long")
+
+def shared_blocks(keys: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """pivot, cls: with each key that several classes have, the smallest of
+    them and each of them, itself too. The keys are sorted once and streamed:
+    a task holds no more than a batch, however common a key is. The parts of a
+    hot key find pivots of their own, whose smallest is then the key's."""
+    names = np.array(sorted(hot), np.int64)
+
+    def run(batches):
+        last, pivot, open_ = None, 0, False  # the key at the end of the former batch, its pivot, and whether it is emitted
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, part, cls = (b.column(i).to_numpy() for i in range(3))
+            begin = np.ones(len(key), bool)
+            begin[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            goes_on = last == (key[0], part[0])
+            begin[0] = not goes_on
+            starts = np.flatnonzero(begin)
+            run_of = np.cumsum(begin) - 1  # -1: the former batch's run
+            first = cls[starts] if len(starts) else np.empty(0, np.int64)
+            own = np.where(run_of >= 0, first[np.maximum(run_of, 0)] if len(first) else pivot, pivot)
+            size = np.bincount(run_of + 1, minlength=len(starts) + 1)
+            several = np.zeros(len(starts) + 1, bool)
+            differ = cls != own
+            np.logical_or.at(several, run_of + 1, differ)
+            if goes_on:
+                several[0] |= open_
+            if len(names):
+                several[1:] |= np.isin(key[starts], names)
+            pick = several[run_of + 1]
+            # the last run may go on: what it has so far waits only if it is one class alone
+            late = [] if not (goes_on and several[0] and not open_) else [(last[0], pivot, pivot)]
+            out = [key[pick], own[pick], cls[pick]]
+            if late:
+                out = [np.append(x, [v]) for x, v in zip(out, late[0])]
+            if len(starts):
+                last, pivot, open_ = (key[-1], part[-1]), first[-1], bool(several[-1])
+            else:
+                open_ = bool(several[0])
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["key", "pivot", "cls"])
+
+    found = keys.repartition("key", "part").sortWithinPartitions("key", "part", "cls").mapInArrow(run, "key long, pivot long, cls long")
+    if not hot:
+        return found.select("pivot", "cls").distinct()
+    found = materialize(found, "parts")
+    own = found.where(F.col("key").isin([int(k) for k in names]))
+    top = own.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("__n"))
+    tops = top.join(top.groupBy("key").agg(F.min("pivot").alias("top")), "key").select("key", "pivot", "top")  # parts of hot keys
+    moved = own.join(F.broadcast(tops), ["key", "pivot"]).select(F.col("top").alias("pivot"), "cls")
+    lone = moved.groupBy("pivot").agg(F.max("cls").alias("__x")).where(F.col("__x") == F.col("pivot")).select("pivot")
+    moved = moved.join(lone, "pivot", "left_anti")
+    return found.where(~F.col("key").isin([int(k) for k in names])).select("pivot", "cls").unionByName(moved).distinct()
 
 
 def _bit(c: str):
@@ -361,11 +447,10 @@ def _bit(c: str):
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
 
 
-def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """cls, shingles: sets of the documents in ``reps`` (doc_id, and a few
-    others: the documents are sieved by a bit map of fixed size)."""
+def _bit_map(ids: DataFrame):
+    """A broadcast bit map of fixed size that holds the ids in ``ids`` (doc_id)."""
     maps = (
-        reps.select(_bit("doc_id").alias("p"))
+        ids.select(_bit("doc_id").alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("b"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
         .collect()  # at most FILTER_BITS / 8 bytes
@@ -375,7 +460,13 @@ def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
         lo = (r["b"] - 1) * 32768
         got = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
         bits[lo : lo + len(got)] |= got[: max(0, FILTER_BITS - lo)].astype(bool)
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """cls, shingles: sets of the documents in ``reps`` (doc_id, and a few
+    others: the documents are sieved by a bit map of fixed size)."""
+    held = _bit_map(reps)
 
     def run(batches):
         want = np.unpackbits(held.value).astype(bool)
@@ -401,8 +492,8 @@ def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
 
 
 def _cells(df: DataFrame, percent: int) -> DataFrame:
-    """src, dst, reach: per cell and linked class (see ``Cell.links``)."""
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("reach", pa.int64())])
+    """src, src_low, dst, dst_low, reach: per cell and linked class (see ``Cell.links``)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("src", "src_low", "dst", "dst_low", "reach")])
 
     def lists(column):
         off, flat = column.offsets.to_numpy(), column.values.to_numpy()
@@ -410,7 +501,7 @@ def _cells(df: DataFrame, percent: int) -> DataFrame:
         return [flat[a:b].copy() for a, b in zip(off, off[1:])]
 
     def run(batches):
-        now, rows = None, ([], [], [], [], [])
+        now, rows = None, ([], [], [], [], [], [])
 
         def close():
             if len(rows[0]) > 1:
@@ -419,42 +510,54 @@ def _cells(df: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
         for b in batches:
-            cell, pivot, cls, side, weight = (b.column(i).to_pylist() for i in range(5))
-            sets, pivots = [x.view(np.uint64) for x in lists(b.column(5))], lists(b.column(6))
+            cell, pivot, cls, side, weight, low = (b.column(i).to_pylist() for i in range(6))
+            sets, pivots = [x.view(np.uint64) for x in lists(b.column(6))], lists(b.column(7))
             for i in range(b.num_rows):
                 if (cell[i], pivot[i]) != now:
                     yield from close()
-                    now, rows = (cell[i], pivot[i]), ([], [], [], [], [])
-                for held, x in zip(rows, (cls[i], side[i], weight[i], sets[i], pivots[i])):
+                    now, rows = (cell[i], pivot[i]), ([], [], [], [], [], [])
+                for held, x in zip(rows, (cls[i], side[i], weight[i], low[i], sets[i], pivots[i])):
                     held.append(x)
         yield from close()
 
-    cols = ["cell", "pivot", "cls", "side", "k", "shingles", "pivots"]
+    cols = ["cell", "pivot", "cls", "side", "k", "low", "shingles", "pivots"]
     return df.select(*cols).repartition("cell").sortWithinPartitions("cell", "pivot", "cls").mapInArrow(
-        run, "src long, dst long, reach long"
+        run, "src long, src_low long, dst long, dst_low long, reach long"
     )
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of (src, dst) that is not its component's
     smallest: alternating star contraction. Only such pairs move; each round
-    is written, so a lost executor costs a part of one round."""
+    is written, so a lost executor costs a part of one round. The neighbours of
+    a node that has very many are dealt over several tasks."""
     e = links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     e = materialize(e, "links")
+    many = F.count(F.lit(1)).alias("__n")
+
+    def joined(rows, per_node):
+        if hub:
+            return spread.spread_join(rows, per_node, "u", ["v"], "__n")
+        return rows.join(per_node.drop("__n"), "u")
+
     while True:
         # done when no node hangs from two, and none that others hang from hangs itself
         roles = e.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up")))
-        roles = roles.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("root"))
-        if roles.where("ups > 1 or (ups = 1 and root = 0)").isEmpty():
+        roles = roles.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("root"), many)
+        open_ = F.col("ups").isNotNull() & ((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("root") == 0)))
+        left, degree = roles.agg(F.count_if(open_), F.max("__n")).first()
+        if not left:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        hub = degree > spread.ROWS
         # large star: a node's greater neighbours, and itself, join its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.join(low, "u").select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), many)
+        big = joined(both, low).select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours join the smallest of them
-        big = big.where("u <> v").distinct().repartition("u")
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = big.where("u <> v").distinct()
+        big = materialize(big, "stars") if hub else big.repartition("u")
+        least = big.groupBy("u").agg(F.min("v").alias("m"), many)
+        small = joined(big, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(e, "stars")
 
@@ -506,62 +609,129 @@ def chunked(pairs: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """cls, root, reach: the component of each class and the documents that one
-    of its documents links with, for classes of which there are any."""
-    keys = routes(docs, n, percent)
-    shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("__x")).where("pivot <> __x")
-    pairs = (
-        keys.join(shared.select("key", "pivot").hint("shuffle_hash"), "key").select("pivot", "cls").distinct()
-    )
+    """cls, low, root, reach, k: the component of each class — its smallest id
+    and the class that has it —, the documents that one of the class's
+    documents links with, and how many rows the class has."""
+    hot = {r["key"]: r["parts"] for r in hot_keys(members).collect()}  # keys of more than HOT_KEY classes
+    keys = routes(docs, n, percent, hot)
     # a pair of different classes at least: the pivot is always among the members of its block
-    pairs = materialize(without_contained(materialize(pairs, "shares")), "blocks")
-    once = members.where("n_shingles > 0 and doc_id is not null").groupBy("cls", "doc_id").agg(F.max("n_shingles").alias("n"))
+    pairs = materialize(without_contained(materialize(shared_blocks(keys, hot), "shares")), "blocks")
+    once = members.where("n_shingles > 0 and doc_id is not null").groupBy("cls", "doc_id").agg(
+        F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")
+    )
     classes = materialize(
-        once.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k")), "classes"
+        once.groupBy("cls").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("rows").alias("rows")), "classes"
     )
     of = pairs.groupBy("cls").agg(F.collect_list("pivot").alias("pivots"))  # no more than a set has keys
     used = materialize(classes.join(of, "cls"), "used")
-    sets = materialize(needed_sets(docs, used.select("doc_id"), n), "sets")
-    sets = sets.join(used.select("cls", "k", "pivots"), "cls")
+    sets = materialize(needed_sets(docs, used.select(F.col("low").alias("doc_id")), n), "sets")
+    sets = sets.join(used.select("cls", "k", "low", "pivots"), "cls")
     links = materialize(_cells(chunked(pairs, used).join(sets, "cls"), percent), "links")
-    roots = components(links.select("src", "dst"))
+    # a node is a class, ordered by its smallest id: the root of a component has the component's
+    node = lambda low, cls: F.struct(F.col(low).alias("low"), F.col(cls).alias("cls"))
+    stars = components(links.select(node("src_low", "src").alias("src"), node("dst_low", "dst").alias("dst")))
+    none = F.lit(None).cast("long")
     found = (
-        roots.select(F.col("node").alias("cls"), "root", F.lit(0).cast("long").alias("reach"))
-        .unionByName(links.select(F.col("src").alias("cls"), F.lit(None).cast("long").alias("root"), "reach"))
-        .unionByName(classes.where("k > 1").select("cls", F.lit(None).cast("long").alias("root"), (F.col("k") - 1).alias("reach")))
+        stars.select(F.col("node.cls").alias("cls"), "root.low", F.col("root.cls").alias("root"), F.lit(0).cast("long").alias("reach"), none.alias("rows"))
+        .unionByName(links.select(F.col("src").alias("cls"), none.alias("low"), none.alias("root"), "reach", none.alias("rows")))
+        .unionByName(classes.select("cls", none.alias("low"), none.alias("root"), (F.col("k") - 1).alias("reach"), "rows"))
+    )
+    found = found.groupBy("cls").agg(
+        F.max("low").alias("low"), F.coalesce(F.max("root"), F.col("cls")).alias("root"), F.sum("reach").alias("reach"), F.max("rows").alias("rows")
+    )
+    return found.join(classes.select("cls", F.col("low").alias("__own")), "cls").select(
+        "cls", F.coalesce("low", "__own").alias("low"), "root", "reach", "rows"
     )
-    return found.groupBy("cls").agg(F.coalesce(F.max("root"), F.col("cls")).alias("root"), F.sum("reach").alias("reach"))
 
 
 def join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable),
-    n_links (other documents it links with)."""
+    n_links (other documents it links with), cls (of its set), root (the class
+    that the component is named after; null without words or id)."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    members = materialize(memberships(src, n), "members")
+    members = materialize(memberships(src, n, percent), "members")
     found = materialize(join_classes(src, members, n, percent), "classes")
-    linked_ = members.where("n_shingles > 0 and doc_id is not null").join(found, "cls")
-    group = linked_.groupBy("root").agg(F.min("doc_id").alias("low"))
-    final = members.join(found, "cls", "left").join(group, "root", "left")
+    rows = members.select("doc_id", "n_shingles", "cls")
     has = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return final.select(
-        "doc_id",
-        "n_shingles",
-        F.when(has, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(has, F.coalesce("reach", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+    linked_ = spread.spread_join(rows.where(has), found, "cls", ["doc_id"], "rows", "left").select(
+        "doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("reach", F.lit(0)).cast("long").alias("n_links"), "cls", "root"
+    )
+    alone = rows.where(~has).select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "cls", F.lit(None).cast("long").alias("root")
     )
+    return linked_.unionByName(alone)
+
 
+def _without(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """The documents whose id is not in ``lost`` (doc_id, distinct). Texts are
+    not shuffled: few ids are broadcast; of more, a bit map of fixed size tells
+    the documents that may be among them, and only those meet the ids."""
+    if lost.count() <= LOST_BROADCAST:
+        return docs.join(F.broadcast(lost.withColumnRenamed("doc_id", "__lost")), F.col(f"`{id_col}`") == F.col("__lost"), "left_anti")
+    held = _bit_map(lost)
+    named = docs.withColumn("__bit", F.coalesce(_bit(f"`{id_col}`"), F.lit(1)))
+    at = len(docs.columns)
 
-def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents (all columns) whose doc_id is the smallest of its
-    component; of rows with one doc_id, one row stays. A null doc_id stays."""
-    lost = joined.where("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct()
-    kept = docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
-    twice = joined.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__k")).where("__k > 1")
-    twice = materialize(twice.select(F.col("doc_id").alias("__twice")), "twice")
-    if twice.isEmpty():
+    def sieve(maybe: bool):
+        def run(batches):
+            want = np.unpackbits(held.value).astype(bool)
+            for b in batches:
+                hit = want[b.column(at).to_numpy() - 1] & b.column(b.schema.get_field_index(id_col)).is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == maybe)).drop_columns(["__bit"])
+
+        return named.mapInArrow(run, docs.schema)
+
+    rest = sieve(True).join(lost.withColumnRenamed("doc_id", "__lost"), F.col(f"`{id_col}`") == F.col("__lost"), "left_anti")
+    return sieve(False).unionByName(rest)
+
+
+def keep_one(
+    docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One document (all its columns) of each component: that of the smallest
+    doc_id. ``joined``: :func:`join` of the documents with the same ``n`` and
+    ``percent``. Documents with a null id stay. Rows that share an id are told
+    apart by their sets: a row goes if its own component has a smaller id; of
+    the rows of one id in one component that with the smallest (class, digest
+    of the text, hash of all columns) stays, of rows without words one of each
+    text, of rows equal in all columns one."""
+    joined = materialize(joined.where("doc_id is not null").select("doc_id", "component_id", "cls", "root"), "joined")
+    twice = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__k")).where("__k > 1").select("doc_id")
+    twice = materialize(twice, "twice")
+    lost = materialize(joined.where("component_id <> doc_id").select("doc_id").unionByName(twice).distinct(), "lost")
+    kept = _without(docs, lost, id_col)
+    if not twice.head(1):
         return kept
-    once = kept.join(twice, kept[id_col] == F.col("__twice"), "left_anti")
-    rest = kept.join(twice, kept[id_col] == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(rest)
+    ids = F.col(f"`{id_col}`").cast("long")
+    same = docs.join(twice.withColumnRenamed("doc_id", "__twice"), ids == F.col("__twice"), "left_semi")
+    narrow = same.select(ids.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # each row's class, from its own text, and the decision of (id, class)
+    whole = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    digest = F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    told = same.withColumn("__digest", digest).withColumn("__whole", whole)
+    cls = _classes_of(narrow.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))), n)
+    decided = joined.where("component_id = doc_id").select("doc_id", "cls", "root").distinct().join(cls, ["doc_id", "cls"])
+    group = F.coalesce(F.col("root").cast("string"), F.col("__digest"))
+    decided = decided.select(F.col("doc_id").alias("__id"), "__digest", group.alias("__group"), "cls").distinct()
+    placed = told.join(decided, (ids == F.col("__id")) & (told["__digest"] == decided["__digest"])).drop(decided["__digest"])
+    best = placed.groupBy("__id", "__group").agg(F.min(F.struct("cls", "__digest", "__whole")).alias("__best"))
+    best = best.select(F.col("__id").alias("__i"), F.col("__group").alias("__g"), "__best")
+    chosen = placed.join(
+        best, (F.col("__id") == F.col("__i")) & (F.col("__group") == F.col("__g")) & (F.struct("cls", "__digest", "__whole") == F.col("__best"))
+    )
+    return kept.unionByName(chosen.select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates())
+
+
+def _classes_of(rows: DataFrame, n: int) -> DataFrame:
+    """doc_id, __digest, cls: distinct, of rows (doc_id, text, __digest)."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, t in text_groups(b.column(1), SPACE):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(Sets(t, n).cls)], names=["doc_id", "__digest", "cls"]
+                )
+
+    return rows.select("doc_id", "text", "__digest").mapInArrow(run, "doc_id long, __digest string, cls long").distinct()

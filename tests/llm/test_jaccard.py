@@ -145,6 +145,59 @@ def test_components(spark):
             assert out.get(x, x) == find(x)
 
 
+def test_hot_keys_and_hubs(spark, planted, monkeypatch):
+    """Common keys, classes and hubs dealt over several tasks give the same."""
+    monkeypatch.setattr(J, "SAMPLED", 1)
+    monkeypatch.setattr(J, "HOT_KEY", 3)
+    monkeypatch.setattr(J.spread, "ROWS", 2)
+    members = J.memberships(frame(spark, planted), 4, 85)
+    assert J.hot_keys(members).count() > 5
+    rows = J.join(frame(spark, planted))
+    assert got(rows) == brute(planted)
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in rows.collect()) == brute_links(planted)
+
+
+def test_shared_blocks_across_batches(spark):
+    """Runs of a key that begin and end anywhere in a batch."""
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(k), 0, int(c)) for k, c in zip(rng.integers(0, 40, 300), rng.integers(0, 25, 300))} | {(99, 0, 5)})
+    want = set()
+    for key in {r[0] for r in rows}:
+        own = [c for k, _, c in rows if k == key]
+        if len(set(own)) > 1:
+            want |= {(min(own), c) for c in own}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.createDataFrame(rows + rows[:50], "key long, part int, cls long")
+        assert {tuple(r) for r in J.shared_blocks(df, {}).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_of_one_id_are_told_apart(spark, monkeypatch):
+    """A repeated id neither takes unrelated texts along nor makes the choice random."""
+    a = " ".join(f"a{i}" for i in range(60))
+    near_a = a.replace("a59", "x")
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [
+        (1, a, "s"), (2, near_a, "s"), (2, b, "s"),  # id 2: one row goes, the unrelated one stays
+        (3, " ".join(f"c{i}" for i in range(60)), "z"), (3, " ".join(f"c{i}" for i in range(59)) + " q", "y"),  # two near rows: one stays
+        (4, "same words again and again", "k"), (4, "same words again and again", "k"), (4, "same words again and again", "j"),
+        (5, "", "s"), (5, None, "s"), (5, "", "t"), (None, a, "s"), (None, a, "s"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for limit in (J.LOST_BROADCAST, 0):
+        monkeypatch.setattr(J, "LOST_BROADCAST", limit)
+        runs = []
+        for parts in (1, 5):
+            d = df.repartition(parts)
+            runs.append(sorted(map(str, J.keep_one(d, J.join(d)).collect())))
+        assert runs[0] == runs[1]
+        kept = [(r["doc_id"], r["text"]) for r in J.keep_one(df, J.join(df)).collect()]
+        assert sorted(i for i, _ in kept if i in (1, 2, 3, 4)) == [1, 2, 3, 4] and (2, b) in kept and (1, a) in kept
+        assert len([1 for i, _ in kept if i == 5]) == 1 and len([1 for i, _ in kept if i is None]) == 2
+
+
 def test_keep_one(spark, planted):
     docs = frame(spark, planted + [planted[0]])
     kept = [r["doc_id"] for r in J.keep_one(docs, J.join(docs)).collect()]
