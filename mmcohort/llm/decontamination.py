@@ -4,10 +4,11 @@ Every run of ``ngram`` consecutive words is a window. With grams of ``k`` words
 and the smallest gram hash of every ``ngram - k + 1`` consecutive grams kept as
 a fingerprint, any shared run of ``ngram`` words contains a gram that is a
 fingerprint on both sides, at the same place of the run: no shared span of that
-length is missed. Equal fingerprints of a document and an item give a place
-where both are laid side by side; the hit is extended there to both sides and
-counts from ``ngram`` equal words on. An item of fewer words is one window; its
-length m gets fingerprints of its own (grams of (m + 1) // 2 words).
+length is missed. Around every fingerprint that a document shares with an item
+the hit is extended window by window: the windows there that an item has merge
+to spans. An item of fewer words is one window; its length m gets fingerprints
+of its own (grams of (m + 1) // 2 words). Work and memory grow with the words
+of a text, whatever repeats in it or in the items.
 
 The items' fingerprints are broadcast in blocks of at most ``block`` words
 each; one block (any common benchmark) is one pass over the documents without
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mmcohort.llm.text import ALNUM, Texts, grams, text_groups
+from mmcohort.llm.text import ALNUM, Texts, _gram_weights, grams, mix, text_groups
 from mmcohort.session import materialize
 
 NGRAM = 10
@@ -70,60 +71,90 @@ def fingerprints(h: np.ndarray, k: int, w: int, at: np.ndarray | None = None) ->
     return p, g[p]
 
 
+def windows_at(h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the windows of ``m`` words that begin at ``starts``: those of :func:`grams`."""
+    out = np.zeros(len(starts), np.uint64)
+    for j, c in enumerate(_gram_weights(m)):
+        out += h[starts + j] * c
+    return mix(out)
+
+
 class Block:
-    """Fingerprints of some items, ready to be looked up."""
+    """Fingerprints and windows of some items, ready to be looked up. Equal
+    fingerprints, and equal windows of an item, are held once, so repetition
+    on either side never multiplies."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], ngram: int, k: int):
         self.items = items
         by: dict[tuple, list] = {}
         for i, (_, h) in enumerate(items):
             if len(h):
-                p, f = fingerprints(h, *_shape(len(h), ngram, k)[1:])
-                by.setdefault(_shape(len(h), ngram, k), []).append((f, np.full(len(p), i), p))
+                shape = _shape(len(h), ngram, k)
+                wins = np.unique(grams(h, shape[0]))
+                by.setdefault(shape, []).append((fingerprints(h, *shape[1:])[1], wins, np.full(len(wins), i)))
         self.shapes = []
         for shape, parts in by.items():
-            f, i, p = (np.concatenate(x) for x in zip(*parts))
-            o = np.argsort(f, kind="stable")
-            f, i, p = f[o], i[o], p[o]
+            f, wins, own = (np.concatenate(x) for x in zip(*parts))
+            f = np.unique(f)
+            o = np.argsort(wins, kind="stable")
+            wins, own = wins[o], own[o]
             maybe = np.zeros(1 << _BITS, bool)
             maybe[f & np.uint64((1 << _BITS) - 1)] = True
-            self.shapes.append((shape, f, i, p, maybe))
+            self.shapes.append((shape, f, wins, own, maybe))
 
-    def hits(self, t: Texts) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(text, item, places of hit words counted from the text's first)."""
-        for (m, k, w), f, items, places, maybe in self.shapes:
+    def hits(self, t: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, items, places of hit words counted from the text's first)."""
+        for (m, k, w), f, wins, own, maybe in self.shapes:
             p, g = fingerprints(t.hash, k, w, t.at)
             s = maybe[g & np.uint64((1 << _BITS) - 1)]
             p, g = p[s], g[s]
-            lo, hi = np.searchsorted(f, g, "left"), np.searchsorted(f, g, "right")
-            n = hi - lo
-            if not n.sum():
+            p = p[f[np.minimum(np.searchsorted(f, g), len(f) - 1)] == g]
+            if not len(p):
                 continue
-            p = np.repeat(p, n)
-            e = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            # a shared window lies around a fingerprint that both sides have: extend each hit window by window
             doc = np.searchsorted(t.at, p, "right") - 1
-            # one line per (text, item, shift): both laid side by side
-            lines = np.unique(np.stack([doc, items[e], p - places[e]], 1), axis=0)
-            for d, i, shift in lines:
-                a, b = int(t.at[d]), int(t.at[d + 1])
-                word = self.items[i][1]
-                x, y = max(a, int(shift)), min(b, int(shift) + len(word))
-                same = np.concatenate([[False], t.hash[x:y] == word[x - shift : y - shift], [False]])
-                edge = np.flatnonzero(same[1:] != same[:-1])
-                runs = [np.arange(u, v) for u, v in zip(edge[::2], edge[1::2]) if v - u >= m]
-                if runs:
-                    yield int(d), int(i), np.concatenate(runs) + (x - a)
-
-
-def item_words(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id (as string) and its word hashes."""
+            lo, hi = np.maximum(t.at[doc], p - w + 1), np.minimum(p, t.at[doc + 1] - m)
+            lo, hi = lo[hi >= lo], hi[hi >= lo]
+            around = np.zeros(len(t.hash) + 1, np.int64)
+            np.add.at(around, lo, 1)
+            np.add.at(around, hi + 1, -1)
+            starts = np.flatnonzero(np.cumsum(around[:-1]) > 0)
+            found = windows_at(t.hash, starts, m)
+            first = np.searchsorted(wins, found, "left")
+            ok = wins[np.minimum(first, len(wins) - 1)] == found
+            starts, found, first = starts[ok], found[ok], first[ok]
+            if not len(starts):
+                continue
+            doc = np.searchsorted(t.at, starts, "right") - 1
+            cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            for u, v in zip(cuts, np.append(cuts[1:], len(doc))):
+                d = int(doc[u])
+                cover = np.zeros(int(t.at[d + 1] - t.at[d]) + 1, np.int64)
+                at = starts[u:v] - t.at[d]
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + m, -1)
+                x, once = np.unique(found[u:v], return_index=True)
+                ranges = [own[i:j] for i, j in zip(first[u:v][once], np.searchsorted(wins, x, "right"))]
+                yield d, np.unique(np.concatenate(ranges)), np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+
+
+def item_words(bench: DataFrame, id_col: str, text_col: str, ngram: int = NGRAM, limit: int = BLOCK_WORDS) -> DataFrame:
+    """item_id (as string) and its word hashes; an item of more than ``limit``
+    words in parts that overlap by a window but one word, so none is lost."""
 
     def run(batches):
+        step = max(1, limit - ngram + 1)
         for b in batches:
-            out = []
+            rows, out = [], []
+            row = 0
             for _, _, t in text_groups(b.column(1), ALNUM):
-                out += [t.hash[t.at[i] : t.at[i + 1]].tobytes() for i in range(len(t))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["item_id", "words"])
+                for i in range(len(t)):
+                    h = t.hash[t.at[i] : t.at[i + 1]]
+                    parts = [h] if len(h) <= limit else [h[lo : lo + step + ngram - 1] for lo in range(0, len(h) - ngram + 1, step)]
+                    out += [x.tobytes() for x in parts]
+                    rows += [row] * len(parts)
+                    row += 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], names=["item_id", "words"])
 
     src = bench.select(
         F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item_id"),
@@ -172,9 +203,9 @@ def scan(
                 n = np.zeros(b.num_rows, np.int64)
                 for lo, hi, t in text_groups(b.column(at), ALNUM):
                     n[lo:hi] = np.diff(t.at)
-                    for d, i, places in blk.hits(t) if blk else ():
+                    for d, own, places in blk.hits(t) if blk else ():
                         hit.setdefault(lo + d, []).append(places)
-                        ids.setdefault(lo + d, set()).add(blk.items[i][0])
+                        ids.setdefault(lo + d, set()).update(blk.items[i][0] for i in own)
                 old = [] if first else [b.column(len(cols) + 1), b.column(len(cols) + 2)]
                 hits, items = [], []
                 for r in range(b.num_rows):
@@ -196,7 +227,7 @@ def scan(
         return run
 
     out, first = docs, True
-    for part in blocks(item_words(bench, item_col, item_text_col), block):
+    for part in blocks(item_words(bench, item_col, item_text_col, ngram, max(block, 2 * ngram)), block):
         out = out if first else materialize(out, "hits")
         run = one_pass(spark.sparkContext.broadcast(part), first)
         out = out.mapInArrow(run, f"{schema}, `__n_words` long, `__hit` array<long>, `__items` array<string>")

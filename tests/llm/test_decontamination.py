@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,32 @@ def test_blocks_of_the_benchmark(spark, planted):
     assert got(D.report(docs, bench, block=150)) == brute(*planted)
 
 
+def test_repeated_words_do_not_multiply(spark):
+    """A million equal words against items of equal and of alternating words."""
+    rng = np.random.default_rng(6)
+    items = [(1, "same " * 200), (2, "a b " * 100), (3, "a b c " * 70), (4, "same " * 9 + "other")]
+    t = next(text_groups(pa.array(["same " * 1_000_000, "a b " * 300_000, "x"]), ALNUM, limit=1 << 30))[2]
+    words_ = [next(text_groups(pa.array([x]), ALNUM))[2].hash for _, x in items]
+    began = time.time()
+    found = {(d, i): len(places) for d, own, places in D.Block(list(zip("1234", words_)), 10, 5).hits(t) for i in own}
+    assert time.time() - began < 5
+    assert found == {(0, 0): 1_000_000, (1, 1): 600_000}
+    docs = [(i, " ".join(rng.choice(["a", "b", "same"], 400, p=[0.45, 0.45, 0.1]))) for i in range(20)]
+    docs += [(50 + i, x) for i, x in enumerate(["a b " * 30, "b a " * 6, "same " * 300 + "other", "a b c " * 8 + "same " * 15])]
+    frames_ = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert got(D.report(*frames_)) == brute(docs, items)
+
+
+def test_an_item_longer_than_a_block(spark):
+    rng = np.random.default_rng(7)
+    w = [f"w{i}" for i in rng.integers(0, 500, 900)]
+    items = [(1, " ".join(w)), (2, "short one"), (None, " ".join(w[100:160]))]
+    docs = [(i, " ".join(["x"] * 3 + w[lo : lo + 12] + ["y"])) for i, lo in enumerate(range(0, 889, 7))] + [(999, " ".join(w))]
+    frames_ = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (20, 64, 900):
+        assert got(D.report(*frames_, block=block)) == brute(docs, items)
+
+
 def test_edges(spark, edge_docs, no_docs, planted):
     bench = frames(spark, planted)[1]
     docs = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
