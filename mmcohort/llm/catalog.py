@@ -142,10 +142,11 @@ def _sharding_sql() -> str:
 d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
 e AS (SELECT doc_id, k, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
     {_CRC} AS text_crc32 FROM d, tab),
-s AS (SELECT doc_id, size, text_crc32, CAST({_descend_sql(tree, (), parts)} AS INTEGER) AS shard,
+s AS (SELECT doc_id, k, size, text_crc32, CAST({_descend_sql(tree, (), parts)} AS INTEGER) AS shard,
     CAST({_descend_sql(sharding.grow(tree, 8), (), parts)} AS INTEGER) AS grown_shard FROM e)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM s"""
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(k || '|' || size || '|' || text_crc32), doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot,
+  grown_shard FROM s"""
 
 
 ORACLES["op4_sharding"] = _sharding_sql()

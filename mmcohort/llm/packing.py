@@ -129,7 +129,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         [astuple(r) for r in runs], "p_length long, lo long, hi long, seq long, per long, at long"
     )
     table = F.broadcast(table) if len(runs) <= BROADCAST_RUNS else table
-    ranked = number_within(cut, "length", ["doc_id", "piece"], sum(hist.values()), "rank")
+    ranked = number_within(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], sum(hist.values()), "rank")
     i = F.col("rank") - F.col("lo")
     return (
         ranked.join(

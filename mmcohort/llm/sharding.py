@@ -22,9 +22,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
-
-from mmcohort.operators.prefix import bucketize, quantile_splits
 
 ROWS_PER_BUCKET = 20_000  # rows numbered together in one task's window
 
@@ -92,26 +89,27 @@ def assign(df: DataFrame, tree: Sequence[Leaf], key: str, out: str) -> DataFrame
     return df.withColumn(out, F.get(shards, node)).drop(*temp)
 
 
-def number_within(
-    df: DataFrame, group: str, order: Sequence[str], n_rows: int, slot: str = "slot", splits: Sequence[float] | None = None
-) -> DataFrame:
+def hash_order(cols: Sequence[str]) -> Column:
+    """md5 of the columns as text: an order that every engine can state."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in cols]).cast("binary"))
+
+
+def number_within(df: DataFrame, group: str, order: Sequence[str], n_rows: int, slot: str = "slot") -> DataFrame:
     """Gapless numbers from 0 in each ``group`` (few values, each may hold any
-    share of the rows). Equal rows are counted first, so a row repeated any
-    number of times is one row in every shuffle; a group is cut in buckets that
-    are numbered apart, and the buckets' totals give the offsets. Buckets are
-    hashed, or, with ``splits``, ranges of the first order column: then the
-    numbers follow ``order`` over the whole group (NULLs first)."""
-    if splits is None:
-        bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(max(1, math.ceil(n_rows / ROWS_PER_BUCKET))))
-    else:
-        df = bucketize(df, order[0], list(splits), "__b")
-        bucket = F.coalesce(F.col("__b"), F.lit(-1))
-    cols = [c for c in df.columns if c not in (group, "__b")]
-    counted = df.withColumn("__b", bucket).groupBy(group, "__b", *cols).agg(F.count(F.lit(1)).alias("__n"))
+    share of the rows), in the order of (md5 of the ``order`` columns, these
+    columns). Equal rows are counted first, so a row repeated any number of
+    times is one row in every shuffle; a group is cut in buckets by the first
+    digits of the hash, which are numbered apart, and the buckets' totals give
+    the offsets. Rows meet in a bucket by all the ``order`` columns: name what
+    tells rows of one id apart."""
+    digits = max(1, math.ceil(math.log(max(1, n_rows / ROWS_PER_BUCKET), 16)))
+    cols = [c for c in df.columns if c != group]
+    counted = df.withColumn("__h", hash_order(order)).groupBy(group, "__h", *cols).agg(F.count(F.lit(1)).alias("__n"))
+    counted = counted.withColumn("__b", F.substring("__h", 1, digits))
     totals = counted.groupBy(group, "__b").agg(F.sum("__n").alias("__t"))
     running = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = totals.select(group, "__b", (F.sum("__t").over(running) - F.col("__t")).alias("__o"))
-    inner = Window.partitionBy(group, "__b").orderBy(*[F.col(f"`{c}`") for c in dict.fromkeys([*order, *cols])]).rowsBetween(
+    inner = Window.partitionBy(group, "__b").orderBy("__h", *[F.col(f"`{c}`") for c in dict.fromkeys([*order, *cols])]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = counted.withColumn("__s", F.sum("__n").over(inner) - F.col("__n")).join(offsets, [group, "__b"])
@@ -126,8 +124,8 @@ def shard(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot (by
-    doc_id where that is a number), grown_shard.
+    """One row per document: doc_id, size, text_crc32, law, shard, slot (in the
+    order of :func:`hash_order`), grown_shard.
 
     Only these narrow columns are shuffled, never the text."""
     grown = grow(tree, max(x.shard for x in tree) + 1) if grown is None else grown
@@ -141,10 +139,6 @@ def shard(
         key.alias("__key"),
     )
     narrow = assign(assign(narrow, tree, "__key", "shard"), grown, "__key", "grown_shard").drop("__key")
-    n, splits = docs.count(), None
-    if isinstance(narrow.schema["doc_id"].dataType, NumericType):
-        ids = docs.select(F.col(f"`{id_col}`").alias("doc_id")).where("doc_id is not null")
-        splits = quantile_splits(ids, "doc_id", math.ceil(n / ROWS_PER_BUCKET)) if n > ROWS_PER_BUCKET else []
-    return number_within(narrow, "shard", ["doc_id", "size", "text_crc32"], n, splits=splits).select(
+    return number_within(narrow, "shard", ["doc_id", "size", "text_crc32"], docs.count()).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )

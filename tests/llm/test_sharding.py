@@ -34,6 +34,18 @@ def test_edges(edge_docs, no_docs, monkeypatch):
     check(rows(sharding.shard(edge_docs)), docs)
 
 
+def test_one_id_is_spread_over_buckets(spark, monkeypatch):
+    """A third of the rows with one id, different texts: no bucket holds them all."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 20)
+    df = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")
+    )
+    docs = [r.asDict() for r in df.collect()]
+    check(rows(sharding.shard(df)), docs)
+    h = [r["h"][0] for r in sharding.shard(df).where("doc_id = 7").select(sharding.hash_order(["doc_id", "size", "text_crc32"]).alias("h")).collect()]
+    assert max(Counter(h).values()) < 60
+
+
 def test_key_alone_decides(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     whole = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in rows(sharding.shard(docs))}
