@@ -10,14 +10,18 @@ archives again.
 
 A first pass over the archives takes each record's payload digest; records of
 equal payloads of at least ``min_bytes`` are settled by an aggregate over the
-digests alone, and every archive gets the list of its own revisits. Payloads
-are never shuffled one by one nor held together.
+digests alone, and every archive gets the list of its own revisits. Archives
+are filed in folders of about ``PART_PAGES`` pages, and the lists of a folder
+are broadcast to the tasks that convert it (their number is checked), so no
+archive, payload or page is shuffled.
 
 Defined results: a null html is an empty payload; a null url is filed as
 ``urn:page``; a null page_id is smaller than any other (a group of null ids
 only is all response) and comes back null; repeated rows are filed each, equal
-ones of largest page_id are all responses; an empty table gives no archive and
-an empty result; other columns are ignored.
+ones of largest page_id are all responses, with record ids of their own (the
+first in archive order has the one that revisits refer to); an empty table
+gives no archive and an empty result; other columns are ignored. Records carry
+the pages' dates (``date_col``), or one stated date.
 """
 
 from __future__ import annotations
@@ -34,10 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mmcohort.llm import spread
 from mmcohort.session import materialize, scratch_path
 
 BLOCK = 8 << 20
 MIN_BYTES = 1000
+PART_PAGES = 1 << 20  # pages whose archives share a folder
+PLAN_ROWS = 1 << 22  # records a folder's lists may name to be broadcast (some 100 MB); else they are joined
 # Fixed values of the formats.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -115,8 +122,10 @@ def label_hex(label: str) -> str:
     return base64.b32decode(label.partition(":")[2]).hex()
 
 
-def record_id(page: str | None, digest_hex: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE_UUID, f'page:{page}:{digest_hex}')}>"
+def record_id(page: str | None, digest_hex: str, place: str | None = None) -> str:
+    """``place``: of a record that has been filed before, where it stands."""
+    name = f"page:{page}:{digest_hex}" + (f":{place}" if place else "")
+    return f"<urn:uuid:{uuid.uuid5(_SPACE_UUID, name)}>"
 
 
 def warc_date(arc_date: str) -> str:
@@ -130,12 +139,13 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block
 
 
-def to_warc(rec: dict, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record, a revisit if ``refers_to`` is a page."""
+def to_warc(rec: dict, refers_to: int | None, place: str | None = None) -> bytes:
+    """The WARC record of an ARC record, a revisit if ``refers_to`` is a page;
+    ``place`` tells it from an equal record filed before."""
     head, payload = split_http(rec["doc"])
     page, digest = http_field(head, "X-Page-Id"), hashlib.sha1(payload).hexdigest()
     block = rec["doc"] if refers_to is None else head
-    own = record_id(page, digest) if refers_to is None else record_id(f"{page}>{refers_to}", digest)
+    own = record_id(page if refers_to is None else f"{page}>{refers_to}", digest, place)
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", own),
@@ -181,32 +191,38 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = hi
 
 
-def _write(blocks: DataFrame, path: str, between: str) -> None:
-    """Each row a gzip file of its own; the bytes go out as they are."""
-    blocks.select(F.col("block").cast("string").alias("value")).write.options(
+def _write(blocks: DataFrame, path: str, between: str, by: list[str] = ()) -> None:
+    """Each row a gzip file of its own, in a folder by ``by``; the bytes go out as they are."""
+    blocks.select(F.col("block").cast("string").alias("value"), *by).write.options(
         **{"lineSep": between, "compression": "gzip", "maxRecordsPerFile": "1", "zlib.compress.level": "BEST_SPEED"}
-    ).text(path)
+    ).partitionBy(*by).text(path)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
+    """name (below ``path``, with its folder), content, part (0 without folders)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "content")
+    part = F.col("part").cast("int") if "part" in files.columns else F.lit(0)
+    return files.select(F.regexp_extract("path", r"(?:part=\d+/)?[^/]+$", 0).alias("name"), "content", part.alias("part"))
 
 
 def write_arcs(
-    pages: DataFrame, path: str, date: str = "20240101000000", versions: tuple[int, ...] = (1, 2), block: int = BLOCK
+    pages: DataFrame, path: str, date: str = "20240101000000", versions: tuple[int, ...] = (1, 2), block: int = BLOCK,
+    date_col: str | None = None,
 ) -> None:
-    """Files pages (page_id, url, html) as ARC archives, versions in turn."""
+    """Files pages (page_id, url, html) as ARC archives, versions in turn.
+    ``date_col``: when a page was fetched; without it, or where it is null, ``date``."""
+    parts_of_all = max(1, -(-pages.count() // PART_PAGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         k, parts, size = 0, [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.large_binary())], names=["block"])
+            part = pa.array([(task + k) % parts_of_all], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.large_binary()), part], names=["block", "part"])
 
         for b in batches:
-            for page, url, html in zip(*(b.column(i) for i in range(3))):
+            for page, url, html, when in zip(*(b.column(i) for i in range(4))):
                 body = html.as_py() or b""
                 own = f"X-Page-Id: {page}\r\n" if page.is_valid else ""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(body)}\r\n\r\n"
@@ -218,21 +234,24 @@ def write_arcs(
                     parts.append(arc_head(version, name, date))
                     size = len(parts[0])
                 link = quote(url.as_py() or "urn:page", safe="%/:=&?~#+!$,;'@()*[]")
-                parts.append(arc_record(version, link, date, head.encode() + body, size, name))
+                parts.append(arc_record(version, link, when.as_py() or date, head.encode() + body, size, name))
                 size += len(parts[-1])
         if parts:
             yield out()
 
-    src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
-    _write(src.mapInArrow(run, "block binary"), path, "\n")
+    when = F.date_format(F.col(f"`{date_col}`").cast("timestamp"), "yyyyMMddHHmmss") if date_col else F.lit(None).cast("string")
+    src = pages.select(
+        "page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"), when.alias("when")
+    )
+    _write(src.mapInArrow(run, "block binary, part int"), path, "\n", ["part"])
 
 
 def arc_index(spark: SparkSession, path: str) -> DataFrame:
-    """name, ordinal, page_id, bytes, digest of every record: no payloads."""
+    """name, part, ordinal, page_id, bytes, digest of every record: no payloads."""
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b.column(0), b.column(1)):
+            for name, content, part in zip(*(b.column(i) for i in range(3))):
                 rows = []
                 for i, rec in enumerate(parse_arc(gzip.decompress(content.as_py()))):
                     head, payload = split_http(rec["doc"])
@@ -241,42 +260,65 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     o, p, n, d = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()] * len(o)), pa.array(o, pa.int32()), pa.array(p, pa.int64())]
-                        + [pa.array(n, pa.int64()), pa.array(d)],
-                        names=["name", "ordinal", "page_id", "bytes", "digest"],
+                        [pa.array([name.as_py()] * len(o)), pa.array([part.as_py()] * len(o), pa.int32())]
+                        + [pa.array(o, pa.int32()), pa.array(p, pa.int64()), pa.array(n, pa.int64()), pa.array(d)],
+                        names=["name", "part", "ordinal", "page_id", "bytes", "digest"],
                     )
 
-    return _read(spark, path).mapInArrow(run, "name string, ordinal int, page_id long, bytes long, digest string")
+    return _read(spark, path).mapInArrow(run, "name string, part int, ordinal int, page_id long, bytes long, digest string")
 
 
 def revisits(index: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """name, plan: each archive's (ordinal, page it revisits)."""
-    long = index.where(F.col("bytes") >= min_bytes)
-    groups = long.groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("k"))
-    groups = groups.where("k > 1 and kept is not null").select("digest", "bytes", "kept")
-    again = long.join(groups, ["digest", "bytes"]).where("page_id is null or page_id <> kept")
-    return again.groupBy("name").agg(F.collect_list(F.struct("ordinal", "kept")).alias("plan"))
+    """part, name, plan: of each archive (ordinal, page it revisits, whether an
+    equal record stands before it), where there is any. A payload or a record
+    that many pages share is dealt over several tasks."""
+    rows = index.withColumn("__at", F.struct("name", "ordinal"))
+    rows = rows.withColumn("__payload", F.concat_ws(":", "digest", "bytes")).withColumn("__record", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
+    long = rows.where(F.col("bytes") >= min_bytes)
+    groups = long.groupBy("__payload").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1 and kept is not null")
+    again = spread.spread_join(long, groups, "__payload", ["name", "ordinal"], "k").where("page_id is null or page_id <> kept")
+    same = rows.groupBy("__record").agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    twice = spread.spread_join(rows, same, "__record", ["name", "ordinal"], "k").where(F.col("__at") != F.col("first"))
+    both = again.select("part", "name", "ordinal", "kept", F.lit(False).alias("twice")).unionByName(
+        twice.select("part", "name", "ordinal", F.lit(None).cast("long").alias("kept"), F.lit(True).alias("twice"))
+    )
+    both = both.groupBy("part", "name", "ordinal").agg(F.max("kept").alias("kept"), F.max("twice").alias("twice"))
+    return both.groupBy("part", "name").agg(F.collect_list(F.struct("ordinal", "kept", "twice")).alias("plan"))  # of one archive
 
 
 def convert(spark: SparkSession, arcs: str, warcs: str, min_bytes: int = MIN_BYTES) -> None:
-    """Writes a WARC archive for every ARC archive."""
-    plan = revisits(materialize(arc_index(spark, arcs), "arc-index"), min_bytes)
+    """Writes a WARC archive for every ARC archive, folder by folder."""
+    index = materialize(arc_index(spark, arcs), "arc-index")
+    plan = materialize(revisits(index, min_bytes), "revisits")
+    counts = {r["part"]: r["n"] for r in plan.groupBy("part").agg(F.sum(F.size("plan")).alias("n")).collect()}  # a row per folder
+    parts = sorted(r["part"] for r in index.select("part").distinct().collect())
+    folders = "part" in spark.read.format("binaryFile").load(arcs).columns
 
     def run(batches):
         for b in batches:
             for name, content, plan in zip(*(b.column(i) for i in range(3))):
-                to = {x["ordinal"]: x["kept"] for x in plan.as_py() or []}
+                to = {x["ordinal"]: x for x in plan.as_py() or []}
                 parts = []
                 for i, rec in enumerate(parse_arc(gzip.decompress(content.as_py()))):
                     if not parts:
                         parts.append(warc_info(name.as_py(), warc_date(rec["Archive-date"])))
-                    parts.append(to_warc(rec, to.get(i)))
+                    own = to.get(i, {})
+                    parts.append(to_warc(rec, own.get("kept"), f"{name.as_py()}#{i}" if own.get("twice") else None))
                 if parts:
                     block = b"\r\n\r\n".join(parts)
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.large_binary())], names=["block"])
 
-    blocks = _read(spark, arcs).join(plan, "name", "left").select("name", "content", "plan")
-    _write(blocks.mapInArrow(run, "block binary"), warcs, "\r\n\r\n")
+    for part in parts:
+        own = plan.where(F.col("part") == part).select("name", "plan")
+        own = F.broadcast(own) if counts.get(part, 0) <= PLAN_ROWS else own
+        # the folder alone is read; its name goes before the archive's, as in the index
+        src = _read(spark, f"{arcs}/part={part}" if folders else arcs).drop("part")
+        if folders:
+            src = src.withColumn("name", F.concat(F.lit(f"part={part}/"), F.regexp_extract("name", r"[^/]+$", 0)))
+        blocks = src.join(own, "name", "left").select("name", "content", "plan")
+        _write(blocks.mapInArrow(run, "block binary"), f"{warcs}/part={part}", "\r\n\r\n")
+    if not parts:  # an empty folder to read
+        _write(spark.createDataFrame([], "block binary"), warcs, "\r\n\r\n")
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:

@@ -40,8 +40,11 @@ def edge_pages(spark):
     return spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, name string, ordinal int")
 
 
-@pytest.mark.parametrize("block", [W.BLOCK, 3000])
-def test_edges(edge_pages, block):
+@pytest.mark.parametrize("block, part, plan", [(W.BLOCK, W.PART_PAGES, W.PLAN_ROWS), (3000, 4, W.PLAN_ROWS), (3000, 4, 0)])
+def test_edges(edge_pages, monkeypatch, block, part, plan):
+    monkeypatch.setattr(W, "PART_PAGES", part)
+    monkeypatch.setattr(W, "PLAN_ROWS", plan)
+    monkeypatch.setattr(W.spread, "ROWS", 2)
     want = brute([(r["page_id"], r["html"]) for r in edge_pages.collect()])
     assert got(W.round_trip(edge_pages, block=block)) == want
     assert want[(10, 1_800_000, hashlib.sha1(b"WARC/1.0 " * 200_000).hexdigest(), "response", None)] == 1
@@ -73,6 +76,24 @@ def test_archives_are_valid(spark, edge_pages):
             ids.append((f["warc-type"], f["warc-record-id"], f.get("warc-refers-to")))
     kept = {i for t, i, _ in ids if t == "response"}
     assert all(to in kept for t, _, to in ids if t == "revisit")
+    assert len({i for _, i, _ in ids}) == len(ids) == edge_pages.count()  # repeated rows, too
+
+
+def test_dates_of_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "a", "2019-05-06 07:08:09"), (2, "u", "b", None)], "page_id long, url string, html string, at string")
+    arcs, warcs = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    W.write_arcs(pages, arcs, date_col="at")
+    W.convert(spark, arcs, warcs)
+    assert {r["page_id"]: r["warc_date"] for r in W.read_warcs(spark, warcs).collect()} == {1: "2019-05-06T07:08:09Z", 2: "2024-01-01T00:00:00Z"}
+
+
+def test_no_archive_is_shuffled(spark, edge_pages):
+    arcs = scratch_path(spark, "arc")
+    W.write_arcs(edge_pages, arcs, block=3000)
+    plan = W.materialize(W.revisits(W.arc_index(spark, arcs)), "revisits")
+    joined = W._read(spark, arcs).join(W.F.broadcast(plan), "name", "left")
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
 def test_arc_parser_by_version():
