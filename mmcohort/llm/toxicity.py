@@ -26,20 +26,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mmcohort.llm.text import ALNUM, text_groups
+from mmcohort.session import materialize
 
 PREFIXES = (4, 5, 6)
 BUCKETS = 1 << 16
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
-MAX_ROWS = 3000  # labelled rows of each class that are learnt from, at most
+MAX_ROWS = 3000  # labelled rows of each class that are learnt from, at most,
+MAX_WORDS = 2_000_000  # and their words (32 MB of numbers on the driver)
 MIN_DOCS = 3  # sampled documents a hashed vector must occur in; others stay zero
 EPOCHS = 6
 BATCH = 32
+RIDGE = 1e-4
 CUT = 0.7
 LANGUAGE_ROWS = 20  # kept-back rows of either class that a language needs for a threshold of its own
 
@@ -105,6 +108,38 @@ def _arg(conv: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
     return at[d] + conv[at[d] : at[d + 1]].argmax(0)
 
 
+def gradients(m: Model, ids: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """(derivative by the logits, by out, bias and conv, words, derivative by the
+    vectors of these words) of the weighted logistic loss, mean over the texts,
+    with a small ridge. Only the word a filter's maximum comes from learns."""
+    x, top, raw = m.pooled(ids, at)
+    z = top @ m.out + m.out_bias
+    g = (1 / (1 + np.exp(-z)) - y) * weight / len(y)
+    grad = {"out": top.T @ g + RIDGE * m.out, "bias": np.zeros_like(m.bias), "conv": RIDGE * m.conv}
+    dtop = (g[:, None] * m.out) * (top > 0)
+    rows, drows = [], []
+    for d in range(len(y)):
+        if at[d] == at[d + 1] or not dtop[d].any():
+            continue
+        best = _arg(raw, at, d)
+        k = 0
+        for i, w in enumerate(WIDTHS):
+            f = slice(i * FILTERS, (i + 1) * FILTERS)
+            for j in range(w):
+                p = best[f] + j
+                ok = (p < at[d + 1]) & (dtop[d, f] != 0)
+                c = np.arange((k + j) * FILTERS, (k + j + 1) * FILTERS)[ok]
+                dd = dtop[d, f][ok]
+                np.add.at(grad["conv"].T, c, dd[:, None] * x[p[ok]])
+                rows.append(p[ok])
+                drows.append(dd[:, None] * m.conv[:, c].T)
+            k += w
+    grad["bias"] = dtop.sum(0)
+    if not rows:
+        return g, grad, np.empty(0, np.int64), np.empty((0, m.emb.shape[1]))
+    return g, grad, np.concatenate(rows), np.concatenate(drows)
+
+
 def train(texts: list[tuple[np.ndarray, int]], seed: int = 7) -> Model:
     """``texts``: (bucket numbers of the words, label)."""
     rng = np.random.default_rng(seed)
@@ -139,32 +174,9 @@ def train(texts: list[tuple[np.ndarray, int]], seed: int = 7) -> Model:
             at = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in pick])])
             if not len(ids):
                 continue
-            x, top, raw = m.pooled(ids, at)
-            z = top @ m.out + m.out_bias
-            g = (1 / (1 + np.exp(-z)) - labels[pick]) * weight[pick] / len(pick)
-            grad = {"out": top.T @ g + 1e-4 * m.out, "bias": np.zeros_like(m.bias), "conv": 1e-4 * m.conv}
-            dtop = (g[:, None] * m.out) * (top > 0)
-            rows, drows = [], []
-            for d in range(len(pick)):
-                if at[d] == at[d + 1] or not dtop[d].any():
-                    continue
-                best = _arg(raw, at, d)
-                k = 0
-                for i, w in enumerate(WIDTHS):
-                    f = slice(i * FILTERS, (i + 1) * FILTERS)
-                    for j in range(w):
-                        p = best[f] + j
-                        ok = (p < at[d + 1]) & (dtop[d, f] != 0)
-                        c = np.arange((k + j) * FILTERS, (k + j + 1) * FILTERS)[ok]
-                        dd = dtop[d, f][ok]
-                        np.add.at(grad["conv"].T, c, dd[:, None] * x[p[ok]])
-                        rows.append(p[ok])
-                        drows.append(dd[:, None] * m.conv[:, c].T)
-                    k += w
-            grad["bias"] = dtop.sum(0)
+            g, grad, rows, drows = gradients(m, ids, at, labels[pick], weight[pick])
             step += 1
-            if rows:
-                rows, drows = np.concatenate(rows), np.concatenate(drows)
+            if len(rows):
                 for j in range(ids.shape[1]):  # rowwise Adagrad on the touched vectors
                     u, inv = np.unique(ids[rows, j], return_inverse=True)
                     total = np.zeros((len(u), DIM), np.float32)
@@ -218,8 +230,9 @@ def held_out(id_col: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int):
-    """(text, label, lang) of at most ``max_rows`` rows a class, and the share
-    of label 1 among all rows that may be learnt from."""
+    """(bucket numbers of the words, label, lang) of at most ``max_rows`` rows and
+    ``MAX_WORDS`` words a class, and the share of label 1 among all rows that
+    may be learnt from."""
     lab = (
         labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
         .where("__id is not null and __y in (0, 1)")
@@ -236,10 +249,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         own = lab.where(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
         pick = own if pick is None else pick.unionByName(own)
     src = docs.select(
-        F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l")
+        F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l")
     )
-    rows = src.join(F.broadcast(pick), "__id").dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").collect()
-    return [(r["t"], r["__y"], r["l"]) for r in rows], counts[1] / (counts[0] + counts[1])
+    hashed = materialize(_bucket_rows(src.join(F.broadcast(pick), "__id")), "labelled")
+    # of rows with one id that of the smallest buckets; then whole rows by hash, up to the bound in words,
+    # very long ones last
+    one = Window.partitionBy("__id").orderBy("n", "ids", "l")
+    long = F.col("n") > MAX_WORDS // 100
+    upto = Window.partitionBy("__y").orderBy(long, F.xxhash64("__id"), "__id")  # 2 x max_rows rows
+    few = hashed.withColumn("__r", F.row_number().over(one)).where("__r = 1")
+    few = few.withColumn("__w", F.sum("n").over(upto)).where(F.col("__w") <= MAX_WORDS)
+    rows = few.orderBy(F.xxhash64("__id"), "__id").select("ids", "__y", "l").collect()
+    return [(np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, 1 + len(PREFIXES)), r["__y"], r["l"]) for r in rows], counts[1] / (counts[0] + counts[1])
+
+
+def _bucket_rows(rows: DataFrame) -> DataFrame:
+    """__id, __y, l, n (words), ids (their bucket numbers): hashed in tasks, no text goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, t in text_groups(b.column(1), ALNUM, prefixes=PREFIXES):
+                ids = features(t.hash)
+                parts = [ids[t.at[i] : t.at[i + 1]] for i in range(len(t))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(lo, hi - lo), b.column(3).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo),
+                        pa.array(np.diff(t.at)), pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary()),
+                    ],
+                    names=["__id", "__y", "l", "n", "ids"],
+                )
+
+    kind = rows.schema["__id"].dataType.simpleString()
+    return rows.select("__id", "t", "l", "__y").mapInArrow(run, f"__id {kind}, __y int, l string, n long, ids binary")
 
 
 def fit(
@@ -254,13 +295,7 @@ def fit(
     nothing = Model(*(np.zeros((1, 1), np.float32),) * 4, 0.0, trained=False)
     if not rows:
         return nothing
-    y, langs, data = np.array([r[1] for r in rows]), [r[2] for r in rows], []
-    texts = pa.array([r[0] for r in rows], pa.large_string())
-    rows.clear()  # the driver keeps bucket numbers, not texts
-    for _, _, t in text_groups(texts, ALNUM, prefixes=PREFIXES):
-        ids = features(t.hash)
-        data += [ids[t.at[i] : t.at[i + 1]] for i in range(len(t))]
-    del texts
+    data, y, langs = [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows]
     rank = np.zeros(len(y), int)
     for c in (0, 1):  # every fifth row of a class is kept back
         rank[y == c] = np.arange((y == c).sum())

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from mmcohort.llm import toxicity as X
 from mmcohort.llm.text import ALNUM, text_groups
+from pyspark.sql import functions as F
 
 STEMS = {"en": ["grumbo", "idiotic"], "fr": ["vequx"], "de": ["loweiz"]}
 
@@ -108,6 +109,100 @@ def test_parts_of_a_long_text_change_nothing(frames):
     assert np.allclose(X._scores(model, t), whole, atol=1e-5)
 
 
+def small_model(rng, dim=X.DIM):
+    n = len(X.WIDTHS) * X.FILTERS
+    return X.Model(
+        rng.normal(0, 0.5, (X.BUCKETS, dim)), rng.normal(0, 0.5, (dim, sum(X.WIDTHS) * X.FILTERS)), rng.normal(0, 0.2, n), rng.normal(0, 0.5, n), -0.3
+    )
+
+
+def some_texts(rng, lengths=(0, 1, 2, 3, 9, 40)):
+    ids = rng.integers(1, 60, (sum(lengths), 1 + len(X.PREFIXES))).astype(np.int32)
+    return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+
+def test_filters_and_pooling_equal_a_naive_version():
+    rng = np.random.default_rng(3)
+    m = small_model(rng)
+    ids, at = some_texts(rng)
+    x = np.array([sum(m.emb[i] for i in row) for row in ids])
+    for d in range(len(at) - 1):
+        words, top, k = x[at[d] : at[d + 1]], [], 0
+        for i, w in enumerate(X.WIDTHS):
+            for f in range(X.FILTERS):
+                values = [
+                    sum(float(words[p + j] @ m.conv[:, (k + j) * X.FILTERS + f]) for j in range(w) if p + j < len(words)) + m.bias[i * X.FILTERS + f]
+                    for p in range(len(words))
+                ]
+                top.append(max(0.0, max(values)) if values else 0.0)
+            k += w
+        assert np.allclose(m.pooled(ids, at)[1][d], top, atol=1e-5)
+        assert np.isclose(m.logits(ids, at)[d], np.dot(top, m.out) + m.out_bias, atol=1e-5)
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(4)
+    m = small_model(rng)
+    ids, at = some_texts(rng, (5, 12, 1, 30))
+    y, weight = np.array([1, 0, 1, 0]), np.array([2.0, 0.7, 2.0, 0.7])
+
+    def loss():
+        x = m.emb[ids].sum(1)
+        tops = []
+        for d in range(len(y)):
+            words, k, top = x[at[d] : at[d + 1]], 0, []
+            for i, w in enumerate(X.WIDTHS):
+                acc = np.zeros((len(words), X.FILTERS))
+                for j in range(w):
+                    acc[: len(words) - j] += words[j:] @ m.conv[:, (k + j) * X.FILTERS : (k + j + 1) * X.FILTERS]
+                top.append(np.maximum(acc.max(0) + m.bias[i * X.FILTERS : (i + 1) * X.FILTERS], 0))
+                k += w
+            tops.append(np.concatenate(top))
+        z = np.array(tops) @ m.out + m.out_bias
+        return float((weight * (np.logaddexp(0, z) - y * z)).mean()) + X.RIDGE / 2 * float((m.out**2).sum() + (m.conv**2).sum())
+
+    g, grad, rows, drows = X.gradients(m, ids, at, y, weight)
+    emb = np.zeros_like(m.emb)
+    for j in range(ids.shape[1]):
+        np.add.at(emb, ids[rows, j], drows)
+
+    def numeric(a, i, h=1e-6):
+        old = a[i]
+        a[i] = old + h
+        up = loss()
+        a[i] = old - h
+        down = loss()
+        a[i] = old
+        return (up - down) / (2 * h)
+
+    close = []
+    for name in ("out", "bias", "conv"):
+        a = getattr(m, name)
+        for i in [tuple(int(rng.integers(n)) for n in a.shape) for _ in range(25)]:
+            close.append(abs(numeric(a, i) - grad[name][i]))
+    for i in [(int(b), int(rng.integers(X.DIM))) for b in rng.integers(1, 60, 40)]:
+        close.append(abs(numeric(m.emb, i) - emb[i]))
+    # pooling keeps few digits (single precision)
+    assert max(close) < 1e-4
+    m.out_bias += 1e-5
+    up = loss()
+    m.out_bias -= 2e-5
+    assert abs((up - loss()) / 2e-5 - g.sum()) < 1e-4
+
+
+def test_sample_is_bounded_in_words(spark, monkeypatch):
+    monkeypatch.setattr(X, "MAX_WORDS", 400)
+    docs = spark.createDataFrame([(i, "w " * (5 if i % 10 else 300), "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows, _ = X.labelled_sample(docs, labels, "doc_id", "text", "lang", 3000)
+    for y in (0, 1):
+        assert 250 <= sum(len(r[0]) for r in rows if r[1] == y) <= 400
+    twice = docs.unionByName(docs.withColumn("text", F.lit("other words")))
+    a = [r[0].tolist() for r in X.labelled_sample(twice, labels, "doc_id", "text", "lang", 3000)[0]]
+    b = [r[0].tolist() for r in X.labelled_sample(twice.repartition(5), labels, "doc_id", "text", "lang", 3000)[0]]
+    assert a == b
+
+
 def test_best_cut():
     z, y = np.array([3.0, 2.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0, 0])
     assert X.best_cut(z, y, np.ones(5)) in (2.5, 1.5)
