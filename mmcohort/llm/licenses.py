@@ -7,6 +7,10 @@ template to covered spans; a chain that covers enough of its template labels
 the file. The base phrases are templates too: a phrase stands where its state
 is the current one or above it by suffix links, at its full length.
 
+The default templates are short opening passages or notices; whole licence
+texts of any length go in by ``templates``. A passage that a template holds
+several times keeps all its places there.
+
 A match of two words or more consists of word pairs that stand in a template,
 so only runs of such pairs are walked; all other words are passed in numpy.
 
@@ -17,6 +21,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,19 +87,25 @@ def words_of(text: str) -> np.ndarray:
 class Automaton:
     """Generalised suffix automaton over token numbers."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], least: int = 1):
+        """``least``: places are kept for strings of so many tokens or more."""
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # template -> a place where the state's strings end
+        self.ends: list[dict[int, list[int]]] = [{}]  # template -> the places where the state's strings end
         for t, seq in enumerate(sequences):
             last = 0
             for i, c in enumerate(seq):
                 last = self._add(last, c)
-                self.ends[last].setdefault(t, i)
-        for v in sorted(range(1, len(self.len)), key=lambda v: -self.len[v]):  # ends hold for all suffixes
-            up = self.ends[self.link[v]]
-            for t, i in self.ends[v].items():
-                up.setdefault(t, i)
+                self.ends[last].setdefault(t, []).append(i)
+        # places hold for all suffixes; suffixes shorter than any match are left out
+        for v in sorted(range(1, len(self.len)), key=lambda v: -self.len[v]):
+            if self.len[self.link[v]] >= least:
+                up = self.ends[self.link[v]]
+                for t, places in self.ends[v].items():
+                    up.setdefault(t, []).extend(places)
+        for places in self.ends:
+            for t in places:
+                places[t] = sorted(set(places[t]))
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
@@ -155,7 +166,9 @@ class Scanner:
         for s in ids:
             self.pair[s[:-1], s[1:]] = True
         self.size = [len(s) for s in ids]
-        self.auto = Automaton([s.tolist() for s in ids])
+        self.first = [int(s[0]) if len(s) else -1 for s in ids]
+        self.single = [p for p in range(self.n_phrases) if self.size[p] == 1]
+        self.auto = Automaton([s.tolist() for s in ids], MIN_MATCH)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.vocab & np.uint64(0xFFFF)] = True
         # phrases that end at a state: its own and those above it
@@ -185,11 +198,13 @@ class Scanner:
         matches: list[tuple[int, int, int]] = []  # (last word, length, state), maximal
         pair = np.concatenate([[False], self.pair[tok[:-1], tok[1:]], [False]])
         edge = np.flatnonzero(pair[1:] != pair[:-1])
+        for p in self.single:  # a phrase of one word is no pair
+            places += [(int(j), p) for j in np.flatnonzero(tok == self.first[p])]
         for lo, hi in zip(edge[::2], edge[1::2]):
             prev = (0, 0)
             for j, (v, n) in enumerate(self.auto.walk(tok[lo : hi + 1].tolist()), int(lo)):
                 for p in self.phrases[v]:
-                    if self.size[p] <= n:
+                    if 1 < self.size[p] <= n:
                         places.append((j - self.size[p] + 1, p))
                 if n <= prev[1] and prev[1] >= MIN_MATCH:
                     matches.append((j - 1, prev[1], prev[0]))
@@ -199,18 +214,24 @@ class Scanner:
         return places, self.chains(matches)
 
     def chains(self, matches) -> dict[int, tuple[float, int, int]]:
+        """{template: (covered share, first word, last word)} of the best chain.
+        A match goes on where its template's chain stands: at its first place
+        behind the chain's last, if it comes within MAX_GAP words; else it begins
+        a chain at its first place."""
         best: dict[int, tuple[float, int, int]] = {}
         live: dict[int, list] = {}  # template -> [covered words, first word, last word, last place in template]
         for j, n, v in matches:
-            for t, e in self.auto.ends[v].items():
+            for t, places in self.auto.ends[v].items():
                 if t < self.n_phrases:
                     continue
                 c = live.get(t)
-                if c and j - n - c[2] <= MAX_GAP and e > c[3]:
+                i = bisect_right(places, c[3]) if c and j - n - c[2] <= MAX_GAP else len(places)
+                if i < len(places):
+                    e = places[i]
                     c[0] += min(n, e - c[3], j - c[2])
                     c[2], c[3] = j, e
                 else:
-                    c = live[t] = [n, j - n + 1, j, e]
+                    c = live[t] = [n, j - n + 1, j, places[0]]
                 share = min(1.0, c[0] / self.size[t])
                 if share > best.get(t, (0.0, 0, 0))[0]:
                     best[t] = (share, c[1], c[2])

@@ -71,7 +71,64 @@ def test_automaton_gives_matching_statistics():
         for j, (v, n) in enumerate(auto.walk(text)):
             longest = max((k for k in range(1, j + 2) if tuple(text[j - k + 1 : j + 1]) in subs), default=0)
             assert n == longest
-            for t, e in auto.ends[v].items():
-                assert not n or seqs[t][e - n + 1 : e + 1] == text[j - n + 1 : j + 1]
             if n:
-                assert set(auto.ends[v]) == {t for t, s in enumerate(seqs) if any(s[i : i + n] == text[j - n + 1 : j + 1] for i in range(len(s)))}
+                own = text[j - n + 1 : j + 1]
+                want = {t: [i + n - 1 for i in range(len(s)) if s[i : i + n] == own] for t, s in enumerate(seqs)}
+                assert auto.ends[v] == {t: x for t, x in want.items() if x}
+
+
+def brute_chains(text, templates):
+    """Matching statistics by comparing substrings, then the chaining rule as the docstring states it."""
+    def stands(t, x):
+        return [i + len(x) - 1 for i in range(len(t) - len(x) + 1) if t[i : i + len(x)] == x]
+
+    longest = [max((n for n in range(1, j + 2) if any(stands(t, text[j - n + 1 : j + 1]) for t in templates)), default=0) for j in range(len(text))]
+    best, live = {}, {}
+    for j, n in enumerate(longest):
+        if n < L.MIN_MATCH or (j + 1 < len(text) and longest[j + 1] > n):
+            continue
+        for k, t in enumerate(templates):
+            places = stands(t, text[j - n + 1 : j + 1])
+            if not places:
+                continue
+            c = live.get(k)
+            later = [e for e in places if c and e > c[3] and j - n - c[2] <= L.MAX_GAP]
+            if later:
+                c[0] += min(n, later[0] - c[3], j - c[2])
+                c[2], c[3] = j, later[0]
+            else:
+                c = live[k] = [n, j - n + 1, j, places[0]]
+            share = min(1.0, c[0] / len(t))
+            if share > best.get(k, (0.0, 0, 0))[0]:
+                best[k] = (share, c[1], c[2])
+    return best
+
+
+def test_spans_equal_brute_force():
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(12)]
+    again = ["the", "same", "passage", "stands", "twice"]
+    for _ in range(25):
+        a = rng.choice(vocab, 30).tolist()
+        templates = [a[:10] + again + a[10:18] + again + a[18:], rng.choice(vocab, 20).tolist(), again * 3]
+        s = L.Scanner({}, {f"t{i}": [" ".join(t)] for i, t in enumerate(templates)})
+        text = []
+        for _ in range(6):
+            t = templates[rng.integers(3)]
+            lo = int(rng.integers(len(t)))
+            text += t[lo : lo + int(rng.integers(2, 25))] + rng.choice(vocab + ["x", "y"], rng.integers(0, 8)).tolist()
+        _, got_ = s.scan(s.tokens(L.words_of(" ".join(text))))
+        assert got_ == brute_chains(text, templates)
+    whole = templates[0]
+    share, first, last = s.scan(s.tokens(L.words_of(" ".join(["x"] + whole + ["x"]))))[1][0]
+    assert (share, first, last) == (1.0, 1, len(whole))
+
+
+def test_phrases_of_one_word_and_whole_texts(spark):
+    docs = [(1, "Copyleft! all rights reversed copyleft"), (2, "nothing"), (3, " ".join(f"l{i}" for i in range(5000)))]
+    out = {r["doc_id"]: r for r in L.scan(
+        spark.createDataFrame(docs, "doc_id long, text string"), phrases={"copyleft": "copyleft", "all rights": "rights"},
+        templates={"long": [" ".join(f"l{i}" for i in range(6000))]},
+    ).collect()}
+    assert (out[1]["n_base"], out[1]["first_word"], out[1]["last_word"], out[1]["base_labels"]) == (3, 0, 4, "copyleft,rights")
+    assert out[2]["n_base"] == 0 and out[3]["span_labels"] == ["long"] and out[3]["span_cover"] == [5000 / 6000]
