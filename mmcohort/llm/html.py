@@ -250,6 +250,8 @@ class Forest:
         self.feat, self.kind, depth, many, self.word = (np.concatenate(x) for x in zip(*feats))
         self.word_of = np.repeat(np.arange(len(many)), many)  # the element of each word
         self.control = np.concatenate([p.controls() for p in pages])
+        if labelled:  # what the generator says of its controls is learnt as of any block
+            self.kind, self.control = np.where(self.kind == SILENT, 1, self.kind), np.zeros(len(self.kind), bool)
         self.label = np.concatenate([p.labels() for p in pages]) if labelled else None
         self.parent = np.concatenate([np.array(p.parent) + a for p, a in zip(pages, self.at)])
         order = np.argsort(depth, kind="stable")
@@ -305,7 +307,6 @@ class Model:
             pair /= pair.sum((1, 2), keepdims=True)
             hope = np.zeros((KINDS, 2, 2))
             np.add.at(hope, kind, pair)
-            hope[SILENT] = seen[SILENT]
             for i, (theta, grad) in enumerate(((self.weight, g), (self.edge, seen - hope))):
                 grad = grad / len(y) * 100 - decay * theta
                 mean[i] = 0.9 * mean[i] + 0.1 * grad
