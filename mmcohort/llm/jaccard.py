@@ -568,12 +568,15 @@ def without_contained(pairs: DataFrame) -> DataFrame:
     block is in that one, or, where it is dropped too, in the next. ``inside``:
     the class is in that block too, so pairs of two such belong elsewhere."""
     up = pairs.where("pivot < cls").groupBy("cls").agg(F.min("pivot").alias("over")).withColumnRenamed("cls", "pivot")
-    held = pairs.join(up, "pivot").select("pivot", "cls", "over")
+    sizes = materialize(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).join(up, "pivot", "left"), "block-sizes")
+    placed = materialize(spread.spread_join(pairs, sizes, "pivot", ["cls"], "size"), "placed")
+    held = placed.where("over is not null")
     inside = pairs.select(F.col("pivot").alias("over"), "cls")
     outside = materialize(held.join(inside, ["over", "cls"], "left_anti").select("pivot", "cls"), "outside")
-    whole = up.select("pivot").join(outside.select("pivot").distinct(), "pivot", "left_anti")
-    top = pairs.join(up, "pivot", "left_anti").select("pivot", "cls", F.lit(False).alias("inside"))
-    both = held.join(whole, "pivot", "left_anti").select("pivot", "cls", F.lit(1).alias("o")).unionByName(
+    part = outside.groupBy("pivot").agg(F.count(F.lit(1)).alias("out"))
+    kept = sizes.where("over is not null").join(part, "pivot").select("pivot", "size")  # blocks not contained in another
+    top = placed.where("over is null").select("pivot", "cls", F.lit(False).alias("inside"))
+    both = spread.spread_join(held.select("pivot", "cls"), kept, "pivot", ["cls"], "size").withColumn("o", F.lit(1)).unionByName(
         outside.withColumn("o", F.lit(0))
     )
     both = both.groupBy("pivot", "cls").agg((F.min("o") == 1).alias("inside"))
@@ -589,8 +592,8 @@ def chunked(pairs: DataFrame, used: DataFrame) -> DataFrame:
         n = F.sum(F.when(own, F.col("n")))
         return F.greatest(F.ceil(F.count_if(own) / CELL_DOCS), F.ceil(F.coalesce(n, F.lit(0)) / CELL_SHINGLES)).cast("long")
 
-    cut = sized.groupBy("pivot").agg(chunks(~F.col("inside")).alias("a"), chunks(F.col("inside")).alias("b"))
-    spread = pairs.join(cut, "pivot").withColumn(
+    cut = sized.groupBy("pivot").agg(chunks(~F.col("inside")).alias("a"), chunks(F.col("inside")).alias("b"), F.count(F.lit(1)).alias("size"))
+    dealt = spread.spread_join(pairs, cut, "pivot", ["cls"], "size").withColumn(
         "c", F.pmod(F.xxhash64("cls"), F.when(F.col("inside"), F.col("b")).otherwise(F.col("a")))
     )
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
@@ -603,7 +606,7 @@ def chunked(pairs: DataFrame, used: DataFrame) -> DataFrame:
     with_in = F.transform(upto(b), lambda x: cell(c, mixed(x), F.lit(0)))
     from_in = F.transform(upto(a), lambda x: cell(x, mixed(c), F.lit(1)))
     at = F.explode(F.when(F.col("inside"), from_in).otherwise(F.concat(with_out, with_in))).alias("at")
-    return spread.select("pivot", "cls", at).select(
+    return dealt.select("pivot", "cls", at).select(
         F.xxhash64("pivot", "at.lo", "at.hi").alias("cell"), "pivot", "cls", F.col("at.side").alias("side")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = 20_000  # rows of one key joined in one task
+ROWS = 4096  # rows of one key joined in one task
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: Sequence[str], n: str, how: str = "inner", limit: int | None = None) -> DataFrame:
