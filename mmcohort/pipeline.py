@@ -101,10 +101,51 @@ def score_split(
     """Projection + joint scoring of one split in one Python pass (codes never
     reach the JVM), written as its count table (class, score, prediction):
     all that the evaluation reads."""
+    return M.count_table(_predictions(scaled, weights, make_scorer, spec, split))
+
+
+def _predictions(scaled, weights, make_scorer, spec, split) -> DataFrame:
     toks = [m for m in spec.token_order if spec.widths[m] > 0]
     rows = scaled.where(F.col("split") == split)
     s = SC.encode_and_score(rows, weights, make_scorer, toks, keep=["y"])
-    return M.count_table(M.predict(L.to_long(s, keep=(), y="y", z="logits")))
+    return M.predict(L.to_long(s, keep=(), y="y", z="logits"))
+
+
+def keep_scores(
+    scaled: DataFrame, weights: SC.ProjectorWeights, make_scorer: Callable, spec: ModalitySpec, path: str, run: str, *, split: str = "val"
+) -> None:
+    """Score one batch of studies and keep its counts at ``path`` as ``run``: a
+    run that is repeated replaces its own counts, all others stay. The rows of
+    different runs must differ."""
+    from mmcohort.sources import io
+
+    io.put_state(M.score_counts(_predictions(scaled, weights, make_scorer, spec, split)), path, run=run)
+
+
+def evaluate_kept(spark, path: str, out_path: str | None = None, runs: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`evaluate` over all kept runs (or the named ones): every score was
+    computed once, when its run was."""
+    from mmcohort.sources import io
+
+    kept = io.read_state(spark, path, M.COUNTS_SCHEMA, ["run"])
+    return evaluate(M.merge_counts(kept if runs is None else kept.where(F.col("run").isin(list(runs)))), out_path)
+
+
+def keep_stats(train_rows: DataFrame, spec: ModalitySpec, path: str, part: str) -> None:
+    """Keep the feature statistics of one part of the training rows (a file, a
+    day) at ``path``: a new part costs its own pass only."""
+    from mmcohort.sources import io
+
+    arrays = [m for m in spec.stored_order if spec.widths[m] > 0]
+    io.put_state(S.partial_stats(train_rows, arrays, spec.widths), path, part=part)
+
+
+def kept_stats(spark, spec: ModalitySpec, path: str) -> DataFrame:
+    """One-row statistics of all kept parts, for :func:`mmcohort.operators.scaling.apply_stats`."""
+    from mmcohort.sources import io
+
+    arrays = [m for m in spec.stored_order if spec.widths[m] > 0]
+    return S.merge_stats(io.read_state(spark, path, S.STATE_SCHEMA, ["part"]), arrays, spec.widths)
 
 
 def evaluate(counts: DataFrame, out_path: str | None = None) -> tuple[DataFrame, DataFrame]:

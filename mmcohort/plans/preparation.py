@@ -184,7 +184,8 @@ def q_single_zscore(spark, sf_dir):
 @register("group_split", "G1 W1 J1 J2", f"""WITH {_SPLIT}
 SELECT haim_id, split, count(*) AS n_rows FROM sp GROUP BY haim_id, split""")
 def q_split(spark, sf_dir):
-    d = SP.group_split(prepared(spark, sf_dir), "haim_id")
+    # the cutoff and its application both read the ids of the prepared rows: write them once
+    d = SP.group_split(materialize(prepared(spark, sf_dir).select("haim_id"), "cohort-ids"), "haim_id")
     return d.groupBy("haim_id", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -226,7 +227,7 @@ va AS (SELECT DISTINCT haim_id FROM sp WHERE split = 'val')
 SELECT (SELECT count(*) FROM tr) AS n_train_groups, (SELECT count(*) FROM va) AS n_val_groups,
        (SELECT count(*) FROM (SELECT haim_id FROM tr INTERSECT SELECT haim_id FROM va)) AS n_both""")
 def q_disjoint(spark, sf_dir):
-    d = SP.group_split(prepared(spark, sf_dir), "haim_id")
+    d = SP.group_split(materialize(prepared(spark, sf_dir).select("haim_id"), "cohort-ids"), "haim_id")
     per_id = d.groupBy("haim_id").agg(
         F.count_if(F.col("split") == "train").alias("_t"), F.count_if(F.col("split") == "val").alias("_v")
     )

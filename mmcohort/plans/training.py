@@ -38,15 +38,15 @@ def modal_split(spark, sf_dir):
     return K.recode_uncertain(m, col="y")
 
 
-def label_long(spark, sf_dir):
+def label_long(spark, sf_dir, ms=None):
     """(study_id, split, class_id, y): labels alone, no scorer."""
-    ms = modal_split(spark, sf_dir)
+    ms = modal_split(spark, sf_dir) if ms is None else ms
     return ms.select("study_id", "split", F.posexplode("y").alias("class_id", "y"))
 
 
-def modal_long(spark, sf_dir):
+def modal_long(spark, sf_dir, ms=None):
     """Labels and the frozen scorer's logits, long: one Python pass."""
-    s = SC.encode_and_score(modal_split(spark, sf_dir), fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=KEEP)
+    s = SC.encode_and_score(modal_split(spark, sf_dir) if ms is None else ms, fixture_weights(spark), fixture_scorer(), C.TOKEN_ORDER, keep=KEEP)
     return L.to_long(s, keep=("study_id", "split"), y="y", z="logits")
 
 
@@ -174,9 +174,15 @@ def q_class_weights(spark, sf_dir):
     return w.select("class_id", sig(F.col("w0")).alias("w0"), sig(F.col("w1")).alias("w1"))
 
 
+def _split_once(spark, sf_dir):
+    """The prepared rows with their split, written: weights and scores read them."""
+    return materialize(modal_split(spark, sf_dir), "modal-split")
+
+
 def _bce(spark, sf_dir):
-    w = L.class_weights(label_long(spark, sf_dir).where(F.col("split") == "train"))
-    return L.bce(modal_long(spark, sf_dir), w, by=("split",), classes=range(C.NUM_CLASSES))
+    ms = _split_once(spark, sf_dir)
+    w = L.class_weights(label_long(spark, sf_dir, ms).where(F.col("split") == "train"))
+    return L.bce(modal_long(spark, sf_dir, ms), w, by=("split",), classes=range(C.NUM_CLASSES))
 
 
 @register("bce_masked", "G6 P19 P22 J5 X3", f"""{_MODAL_SPLIT}, {_CODES}, {_WEIGHTS}, {_BCE}
@@ -219,9 +225,10 @@ SELECT split, class_id, {r('loss')} AS loss FROM bl WHERE class_id IN {BCE_CLASS
 UNION ALL
 SELECT split, class_id, {r('loss')} AS loss FROM a WHERE class_id NOT IN {BCE_CLASSES}""")
 def q_loss_mixed(spark, sf_dir):
-    w = L.class_weights(label_long(spark, sf_dir).where(F.col("split") == "train"))
+    ms = _split_once(spark, sf_dir)
+    w = L.class_weights(label_long(spark, sf_dir, ms).where(F.col("split") == "train"))
     losses = L.class_losses(w, C.GAMMAS_ISOLATED, BCE_CLASSES)
-    return rounded(L.mixed(modal_long(spark, sf_dir), losses, by=("split",), classes=range(C.NUM_CLASSES)))
+    return rounded(L.mixed(modal_long(spark, sf_dir, ms), losses, by=("split",), classes=range(C.NUM_CLASSES)))
 
 
 @register("delta_p", "G10 P22", f"""{_MODAL_SPLIT}, {_CODES}

@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -133,3 +134,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`materialize` of ``build()`` that deletes every intermediate table
+    made on the way as soon as the result is written."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

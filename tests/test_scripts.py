@@ -96,6 +96,32 @@ def test_single_label_and_source_members(spark):
     assert plain.columns == both.columns and plain.count() == both.count()
 
 
+def test_runs_and_parts_are_kept_and_merged(spark):
+    """Two scoring runs, one repeated, evaluate as one; statistics of two parts are those of all rows."""
+    from mmcohort.operators import scaling as S
+
+    scaled, stats = PL.prepare_study(io.read_study_csv(spark, _study_csv(spark)), C.FIXTURE_SPEC)
+    w = SC.ProjectorWeights.from_table(SC.rule_weights(spark, C.FIXTURE_SPEC, 4))
+    scorer = SC.class_logits_from_vocab(fx.linear_vocab_model(len(C.TOKEN_ORDER) * 4))
+    path, odd = scratch_path(spark, "runs"), F.col("haim_id") % 2 == 1
+    for run, rows in (("odd", odd), ("even", ~odd), ("odd", odd)):
+        PL.keep_scores(scaled.where(rows), w, scorer, C.FIXTURE_SPEC, path, run)
+    key = lambda df: sorted(map(str, df.collect()))
+    whole = PL.evaluate(PL.score_split(scaled, w, scorer, C.FIXTURE_SPEC))
+    kept = PL.evaluate_kept(spark, path)
+    assert key(kept[0]) == key(whole[0]) and key(kept[1]) == key(whole[1])
+    only = PL.evaluate_kept(spark, path, runs=["odd"])[0].agg(F.sum("n")).first()[0]
+    assert 0 < only < whole[0].agg(F.sum("n")).first()[0]
+    states = scratch_path(spark, "stats")
+    train = scaled.where("split = 'train'")
+    for part, rows in (("a", odd), ("b", ~odd)):
+        PL.keep_stats(train.where(rows), C.FIXTURE_SPEC, states, part)
+    got, want = PL.kept_stats(spark, C.FIXTURE_SPEC, states).first(), S.fit_stats(train, C.STORED_ORDER, C.FIXTURE_SPEC.widths).first()
+    assert got["n"] == want["n"]
+    for m in C.STORED_ORDER:
+        assert np.allclose(got[f"{m}__mean"], want[f"{m}__mean"], atol=1e-12) and np.allclose(got[f"{m}__std"], want[f"{m}__std"], rtol=1e-9)
+
+
 def test_unlisted_or_absent_columns_raise(spark):
     import pytest
     from mmcohort.operators import cohort as K

@@ -135,3 +135,21 @@ def test_blocked_projection_equals_numpy(spark):
     assert SC.encode_blocked(df.where("false"), table, widths, ["a", "b"], key="k").collect() == []
     with pytest.raises(ValueError, match="encode_blocked"):
         SC.ProjectorWeights.from_table(table, max_values=10)
+
+
+def test_settled_keeps_the_result_only(spark):
+    import os
+
+    from mmcohort.session import ensure_checkpoint_dir, materialize, settled
+
+    base = ensure_checkpoint_dir(spark).replace("file:", "") + "/mmcohort"
+    found = lambda name: [f for f in os.listdir(base) if f.startswith(name)]
+
+    def build():
+        inner = settled(spark, "inner-result", lambda: materialize(spark.range(5), "inner-step"))
+        assert not found("inner-step") and found("inner-result")
+        return materialize(inner, "outer-step")
+
+    out = settled(spark, "outer-result", build)
+    assert found("outer-result") and not any(found(n) for n in ("inner-step", "inner-result", "outer-step"))
+    assert out.count() == 5
