@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from mmcohort.llm import spread
 from mmcohort.llm.text import SPACE, Texts, mix, text_groups
-from mmcohort.session import materialize
+from mmcohort.session import materialize, settled
 
 SHINGLE = 4
 PERCENT = 85
@@ -655,7 +655,7 @@ def join(
     that the component is named after; null without words or id)."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     members = materialize(memberships(src, n, percent), "members")
-    found = materialize(join_classes(src, members, n, percent), "classes")
+    found = settled(docs.sparkSession, "classes", lambda: join_classes(src, members, n, percent))
     rows = members.select("doc_id", "n_shingles", "cls")
     has = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     linked_ = spread.spread_join(rows.where(has), found, "cls", ["doc_id"], "rows", "left").select(

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mmcohort.session import materialize
+from mmcohort.session import materialize, settled
 
 LEAST = 7  # code points of a word
 RUN = re.compile(r"[a-zÀ-ÿ]+")
@@ -266,17 +266,19 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """word, form, root, n, n_near, form_n: a row per word."""
-    words = materialize(vocabulary(docs, id_col, text_col), "words")
-    found = words.join(near(words), "word", "left")
-    strong = F.col("best_n") >= TIMES * F.col("n")
-    table = materialize(
-        found.select(
+    spark = docs.sparkSession
+
+    def with_forms() -> DataFrame:
+        words = materialize(vocabulary(docs, id_col, text_col), "words")
+        found = words.join(near(words), "word", "left")
+        strong = F.col("best_n") >= TIMES * F.col("n")
+        return found.select(
             "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
             F.when(strong, F.col("best")).alias("form"), F.when(strong, F.col("best_n")).alias("form_n"),
-        ),
-        "near",
-    )
-    linked = roots(table.where("form is not null"))
+        )
+
+    table = settled(spark, "near", with_forms)
+    linked = settled(spark, "linked", lambda: roots(table.where("form is not null")))
     return table.join(linked, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mmcohort.session import materialize
+from mmcohort.session import materialize, settled
 
 SCALE = 256
 BLOCK = 256  # points a block is meant to hold
@@ -189,22 +189,13 @@ def points_of(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def search(
-    vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-    query_filter: str = "vec_id % 50 = 0",
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` largest inner products of each
-    query among all rows but its own. Queries are rows of ``queries``, or
-    those of ``vectors`` that meet ``query_filter``."""
-    spark = vectors.sparkSession
-    base = materialize(integers(vectors, id_col, vec_col), "integers")
-    asked = base.where(query_filter) if queries is None else materialize(integers(queries, id_col, vec_col), "queries")
-    wanted = asked.groupBy("v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n_same"))
-    wanted = materialize(wanted.withColumn("q", F.concat_ws(":", "low", F.hex(F.xxhash64("v")))).drop("low"), "wanted")
+def best_rows(base: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """q, vec_id, score: the ``k + 1`` best rows of ``base`` for each query vector, its own row among them or not."""
+    spark = base.sparkSession
     points = materialize(points_of(base, k + 1), "points")
     n_points, width = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not n_points:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "q string, vec_id long, score long")
     width = max(1, width, wanted.agg(F.max(F.size("v"))).first()[0] or 0)
     sample = points.select("v").orderBy(F.xxhash64("v"), "v").limit(min(SAMPLE, max(64, VALUES // width))).toArrow()
     ranges = min(math.ceil(n_points / BLOCK), RANGES, max(16, VALUES // (2 * width)))
@@ -274,7 +265,22 @@ def search(
     kth = near.withColumn("__r", F.row_number().over(top)).where(F.col("__r") == k + 1).select("q", F.col("score").alias("theta"))
     known = wanted.join(kth, "q", "left").withColumn("theta", F.coalesce("theta", F.lit(NONE)))
     far = visit(known, False, "others")
-    answers = near.unionByName(far).withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= k + 1).drop("__r")
+    return near.unionByName(far).withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= k + 1).drop("__r")
+
+
+def search(
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+    query_filter: str = "vec_id % 50 = 0",
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` largest inner products of each
+    query among all rows but its own. Queries are rows of ``queries``, or
+    those of ``vectors`` that meet ``query_filter``."""
+    spark = vectors.sparkSession
+    base = materialize(integers(vectors, id_col, vec_col), "integers")
+    asked = base.where(query_filter) if queries is None else materialize(integers(queries, id_col, vec_col), "queries")
+    wanted = asked.groupBy("v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n_same"))
+    wanted = materialize(wanted.withColumn("q", F.concat_ws(":", "low", F.hex(F.xxhash64("v")))).drop("low"), "wanted")
+    answers = settled(spark, "answers", lambda: best_rows(base, wanted, k))
     # many queries with one vector: their answers (k + 1 rows) are sent to several tasks
     parts = F.ceil(F.col("n_same") / F.lit(SAME))
     answers = answers.join(wanted.select("q", "v", parts.alias("n_parts")), "q")

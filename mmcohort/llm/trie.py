@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mmcohort.session import materialize
+from mmcohort.session import materialize, settled
 
 DIGEST = 16  # bytes a turn
 GROUP, HEADS = 5, 9  # conversations c take turns of c - c % GROUP, crc32(c) % HEADS of them
@@ -347,10 +347,14 @@ def merge(spine: DataFrame) -> DataFrame:
 OUT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 
 
-def trie(convs: DataFrame, shards: int) -> DataFrame:
-    """Nodes of the trie of ``convs`` (conv_id, path, sizes)."""
+def shards_of(convs: DataFrame, shards: int) -> DataFrame:
+    """Finished nodes and paths of all shards of ``convs`` (conv_id, path, sizes)."""
     order = convs.repartitionByRange(shards, "path", "conv_id").sortWithinPartitions("path", "conv_id")
-    rows = materialize(order.mapInArrow(shard_rows, _DDL), "shards")
+    return order.mapInArrow(shard_rows, _DDL)
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """Nodes of the trie from the written rows of its shards."""
     spine = rows.where("kind > 0")
     merged = materialize(merge(spine), "spine")
     done = rows.where("kind = 0").select("shard", "parent", *OUT)
@@ -367,10 +371,14 @@ def nodes(
 ) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256: a row per node of the rebuilt conversations."""
-    own = materialize(conversations(turns, id_col, turn_col, role_col, text_col), "conversations")
-    convs = materialize(rebuilt(own, group, heads), "rebuilt")
-    total = convs.agg(F.sum(F.size("sizes") + 1)).first()[0]
-    return trie(convs, math.ceil((total or 1) / shard_turns))
+
+    def build() -> DataFrame:
+        own = materialize(conversations(turns, id_col, turn_col, role_col, text_col), "conversations")
+        convs = materialize(rebuilt(own, group, heads), "rebuilt")
+        total = convs.agg(F.sum(F.size("sizes") + 1)).first()[0]
+        return shards_of(convs, math.ceil((total or 1) / shard_turns))
+
+    return joined(settled(turns.sparkSession, "shards", build))
 
 
 def brute(rows: list[tuple], group: int = GROUP, heads: int = HEADS) -> list[tuple]:

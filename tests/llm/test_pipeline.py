@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline as C
 import pytest
 from mmcohort.llm import jaccard, packing, toxicity
+from mmcohort.session import materialize
 from test_decontamination import brute as hits
 from test_jaccard import brute as components
 
@@ -11,7 +12,7 @@ from test_jaccard import brute as components
 def steps(spark, sf_dir):
     docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in C.STAGES:
-        docs = C.materialize(stage(spark, docs, sf_dir), "step")
+        docs = materialize(stage(spark, docs, sf_dir), "step")
         out.append(docs)
     return out
 
@@ -45,7 +46,7 @@ def test_edges(spark, edge_docs, no_docs, sf_dir):
         for _, stage in C.STAGES[:3]:
             kept = stage(spark, docs, sf_dir)
             assert kept.columns == docs.columns
-            docs = C.materialize(kept, "edge")
+            docs = materialize(kept, "edge")
         out = C.STAGES[3][1](spark, docs, sf_dir).count()
         assert out == 0 if n == 0 else out > 0
     # of equal texts and repeated rows one stays; documents without words stay all
