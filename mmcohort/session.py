@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import re
 import shutil
@@ -136,10 +137,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more:
+    its cleaner acts on the driver's garbage collections, which may be far apart."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """:func:`materialize` of ``build()`` that deletes every intermediate table
-    made on the way as soon as the result is written."""
+    made on the way, and lets go of its shuffles, as soon as the result is written."""
     path = scratch_path(spark, name)
     with scratch_scope(spark):
         build().write.mode("overwrite").parquet(path)
+    release(spark)
     return spark.read.parquet(path)
