@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mmcohort.llm import spread
 from mmcohort.session import materialize
 
 SAMPLE = 16_384
@@ -281,10 +282,14 @@ def search(
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     answers = top.join(members, "cls").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1)
     answers = materialize(answers.select("q", "vec_id", "score"), "answers")
+    # many queries with one vector are dealt over several tasks, each with a copy of the vector's answers
+    packed = answers.groupBy("q").agg(F.collect_list(F.struct("vec_id", "score")).alias("a"))  # k + 1 rows a vector
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("cls").alias("q"))
+    packed = packed.join(asked.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
-        asked.select(F.col("vec_id").alias("query_id"), F.col("cls").alias("q"))
-        .join(answers, "q")
+        spread.spread_join(asked, packed, "q", ["query_id"], "n")
+        .select("query_id", F.inline("a"))
         .where("query_id <> vec_id")
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= k)

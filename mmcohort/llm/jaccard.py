@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from mmcohort.llm import spread
 from mmcohort.llm.text import SPACE, Texts, mix, text_groups
-from mmcohort.session import materialize, settled
+from mmcohort.session import materialize, release, settled
 
 SHINGLE = 4
 PERCENT = 85
@@ -616,9 +616,10 @@ def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     and the class that has it —, the documents that one of the class's
     documents links with, and how many rows the class has."""
     hot = {r["key"]: r["parts"] for r in hot_keys(members).collect()}  # keys of more than HOT_KEY classes
-    keys = routes(docs, n, percent, hot)
     # a pair of different classes at least: the pivot is always among the members of its block
-    pairs = materialize(without_contained(materialize(shared_blocks(keys, hot), "shares")), "blocks")
+    shares = materialize(shared_blocks(routes(docs, n, percent, hot), hot), "shares")
+    release(docs.sparkSession)  # the keys, by far the largest shuffle
+    pairs = materialize(without_contained(shares), "blocks")
     once = members.where("n_shingles > 0 and doc_id is not null").groupBy("cls", "doc_id").agg(
         F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")
     )

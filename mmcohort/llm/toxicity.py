@@ -33,12 +33,12 @@ from mmcohort.llm.text import ALNUM, text_groups
 from mmcohort.session import materialize
 
 PREFIXES = (4, 5, 6)
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # numbers of two bytes
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
 MAX_ROWS = 3000  # labelled rows of each class that are learnt from, at most,
-MAX_WORDS = 2_000_000  # and their words (32 MB of numbers on the driver)
+MAX_WORDS = 2_000_000  # and their words (16 MB of numbers on the driver)
 MIN_DOCS = 3  # sampled documents a hashed vector must occur in; others stay zero
 EPOCHS = 6
 BATCH = 32
@@ -260,7 +260,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     few = hashed.withColumn("__r", F.row_number().over(one)).where("__r = 1")
     few = few.withColumn("__w", F.sum("n").over(upto)).where(F.col("__w") <= MAX_WORDS)
     rows = few.orderBy(F.xxhash64("__id"), "__id").select("ids", "__y", "l").collect()
-    return [(np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, 1 + len(PREFIXES)), r["__y"], r["l"]) for r in rows], counts[1] / (counts[0] + counts[1])
+    return [(np.frombuffer(bytes(r["ids"]), np.uint16).reshape(-1, 1 + len(PREFIXES)), r["__y"], r["l"]) for r in rows], counts[1] / (counts[0] + counts[1])
 
 
 def _bucket_rows(rows: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _bucket_rows(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo), b.column(3).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo),
-                        pa.array(np.diff(t.at)), pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary()),
+                        pa.array(np.diff(t.at)), pa.array([x.astype(np.uint16).tobytes() for x in parts], pa.binary()),
                     ],
                     names=["__id", "__y", "l", "n", "ids"],
                 )
