@@ -296,8 +296,9 @@ SELECT split, modality, CAST(j AS INTEGER) AS idx, count(*) AS n, count(*) FILTE
 
 @register("zscore_modal", "G2 G3 on arrays (Summarizer)", _zmodal_sql())
 def q_zmodal(spark, sf_dir):
-    ms = modal_split(spark, sf_dir)
     arrays = list(SPEC.stored_order)
+    # a scaled array keeps its element type: double here
+    ms = modal_split(spark, sf_dir).withColumns({m: F.col(m).cast("array<double>") for m in arrays})
     st = S.fit_stats(ms.where(F.col("split") == "train"), arrays, widths=SPEC.widths)
     z = S.apply_stats(ms, st, arrays)
     lf = long_features(z, arrays, SPEC.widths)
@@ -320,7 +321,7 @@ FROM wz GROUP BY split, idx"""
 @register("zscore_wide", "G2 G3 on a 128-wide array (the embedding, then itself reversed)", _WIDE_SQL)
 def q_zwide(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("study_id"), F.concat("embedding", F.reverse("embedding")).alias("w")
+        F.col("vec_id").alias("study_id"), F.concat("embedding", F.reverse("embedding")).cast("array<double>").alias("w")
     )
     ms = modal_split(spark, sf_dir).select("study_id", "split").join(e, "study_id")
     st = S.fit_stats(ms.where(F.col("split") == "train"), ["w"], {"w": 128})
