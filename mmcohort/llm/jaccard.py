@@ -718,12 +718,12 @@ def keep_one(
     cls = _classes_of(narrow.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))), n)
     decided = joined.where("component_id = doc_id").select("doc_id", "cls", "root").distinct().join(cls, ["doc_id", "cls"])
     group = F.coalesce(F.col("root").cast("string"), F.col("__digest"))
-    decided = decided.select(F.col("doc_id").alias("__id"), "__digest", group.alias("__group"), "cls").distinct()
-    placed = told.join(decided, (ids == F.col("__id")) & (told["__digest"] == decided["__digest"])).drop(decided["__digest"])
-    best = placed.groupBy("__id", "__group").agg(F.min(F.struct("cls", "__digest", "__whole")).alias("__best"))
+    decided = decided.select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__of"), group.alias("__group"), F.col("cls").alias("__cls")).distinct()
+    placed = told.join(decided, (ids == F.col("__id")) & (F.col("__digest") == F.col("__of")))
+    best = placed.groupBy("__id", "__group").agg(F.min(F.struct("__cls", "__digest", "__whole")).alias("__best"))
     best = best.select(F.col("__id").alias("__i"), F.col("__group").alias("__g"), "__best")
     chosen = placed.join(
-        best, (F.col("__id") == F.col("__i")) & (F.col("__group") == F.col("__g")) & (F.struct("cls", "__digest", "__whole") == F.col("__best"))
+        best, (F.col("__id") == F.col("__i")) & (F.col("__group") == F.col("__g")) & (F.struct("__cls", "__digest", "__whole") == F.col("__best"))
     )
     return kept.unionByName(chosen.select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates())
 
