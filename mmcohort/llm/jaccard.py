@@ -58,7 +58,7 @@ PERCENT = 85
 GROUPS = 64
 LEAF = 16
 SMALL = 100  # sets below this size are routed by prefix
-CELL_DOCS = 1024  # classes, and
+CELL_DOCS = 2048  # classes, and
 CELL_SHINGLES = 1_500_000  # shingles, in a cell (about 12 MB)
 FILTER_BITS = 1 << 23  # bit map of documents: 1 MB
 SAMPLED = 256  # one class in so many shows its keys beforehand, and
@@ -628,7 +628,7 @@ def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     )
     of = pairs.groupBy("cls").agg(F.collect_list("pivot").alias("pivots"))  # no more than a set has keys
     used = materialize(classes.join(of, "cls"), "used")
-    sets = materialize(needed_sets(docs, used.select(F.col("low").alias("doc_id")), n), "sets")
+    sets = needed_sets(docs, used.select(F.col("low").alias("doc_id")), n)
     sets = sets.join(used.select("cls", "k", "low", "pivots"), "cls")
     links = materialize(_cells(chunked(pairs, used).join(sets, "cls"), percent), "links")
     # a node is a class, ordered by its smallest id: the root of a component has the component's
