@@ -15,10 +15,12 @@ words: the whole sequence as one). Two documents link when
    emit their shingles of smallest hash instead (prefix filter). The smallest
    class of a key is its pivot; a pivot's block holds every class that shares a
    key with it, hence every pair that can link lies in some block together.
-3. In a block, shingles are hashed into ``GROUPS`` groups; the group counts are
-   points of an R-tree whose boxes also hold the range of sizes. The sum of
-   coordinate minima bounds the overlap of a query with a box or a point;
-   every pair that survives is verified on the full sets. A pair that lies in
+3. In a block, shingles are hashed into groups; the group counts are points of
+   an R-tree whose boxes also hold the range of sizes. The sum of coordinate
+   minima bounds the overlap of a query with a box (``GROUPS`` coordinates) or a
+   point (``FINE`` of them). Points go to the blocks first, sets follow only for
+   classes that some pair of points leaves open; there the tree searches again
+   and every pair that survives is verified on the full sets. A pair that lies in
    several blocks belongs to that of the smallest pivot and is looked at there
    only. A block returns, per class, how many documents its links reach, and
    links that span its components; the links themselves, whose number grows
@@ -56,6 +58,7 @@ from mmcohort.session import materialize, release, settled
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 64
+FINE = 256  # coordinates of a point that goes to a cell ahead of the sets; a multiple of GROUPS
 LEAF = 16
 SMALL = 100  # sets below this size are routed by prefix
 CELL_DOCS = 2048  # classes, and
@@ -237,24 +240,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Cell:
+class Block:
     """Some classes of a block: ``side`` 2 where all pairs are to be looked at,
     else pairs of a class of side 0 and one of side 1. ``pivots`` are those of
-    all blocks a class is in, ``weight`` its number of documents, ``low`` the
-    smallest of their ids."""
+    all blocks a class is in. ``counts`` and ``size`` are the tree's points."""
 
-    def __init__(self, pivot: int, ids: list[int], sides: list[int], weights: list[int], lows: list[int], sets: list[np.ndarray], pivots: list[np.ndarray]):
-        self.ids, self.side, self.weight = np.array(ids, np.int64), np.array(sides), np.array(weights, np.int64)
-        self.low = np.array(lows, np.int64)
-        self.size = np.array([len(x) for x in sets])
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
-        flat = np.concatenate(sets)
-        self.counts = np.bincount(
-            np.repeat(np.arange(len(sets)) * GROUPS, self.size) + (flat & np.uint64(GROUPS - 1)).astype(np.int64),
-            minlength=GROUPS * len(sets),
-        ).reshape(-1, GROUPS).astype(np.int32)
-        self.flat = np.unique(flat, return_inverse=True)[1]
-        self.mark = np.zeros(len(flat), np.int32)
+    def __init__(self, pivot: int, ids: list[int], sides: list[int], pivots: list[np.ndarray]):
+        self.ids, self.side = np.array(ids, np.int64), np.array(sides)
         # pairs that share a smaller pivot belong to that block
         self.before = [x[x < pivot].tolist() for x in pivots]
         members: dict[int, list[int]] = {}
@@ -263,20 +255,12 @@ class Cell:
                 members.setdefault(p, []).append(i)
         self.members = {p: np.array(x) for p, x in members.items()}
 
-    def overlap(self, q: int, rows: np.ndarray) -> np.ndarray:
-        own = self.flat[self.at[q] : self.at[q + 1]]
-        self.mark[own] = 1
-        if 2 * len(rows) > len(self.size):
-            both = np.add.reduceat(self.mark[self.flat], self.at[:-1])[rows]
-        else:
-            n = self.size[rows]
-            start = np.cumsum(n) - n
-            both = np.add.reduceat(self.mark[self.flat[np.repeat(self.at[rows] - start, n) + np.arange(n.sum())]], start)
-        self.mark[own] = 0
-        return both
+    def passing(self, q: int, rows: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``rows`` that pass the test of the pair with ``q``."""
+        raise NotImplementedError
 
     def pairs(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, linked rows), each pair of rows once."""
+        """(row, rows that pass with it), each pair of rows once."""
         whole = self.side[0] == 2
         tree = RTree(self.counts, self.size, rows=np.flatnonzero(self.side != 0))
         if whole:
@@ -300,13 +284,66 @@ class Cell:
                     for p in self.before[q]:
                         mine[self.members[p]] = False
                     rows = rows[mine[rows]]
-                if not len(rows):
-                    continue
-                both = self.overlap(q, rows)
-                rows = rows[100 * both >= percent * (self.size[q] + self.size[rows] - both)]
+                rows = self.passing(q, rows, percent) if len(rows) else rows
                 if len(rows):
                     yield q, rows
 
+
+class Points(Block):
+    """Classes of a cell by their points alone: ``fine`` holds ``FINE`` counts a row."""
+
+    def __init__(self, pivot: int, ids: list[int], sides: list[int], fine: np.ndarray, pivots: list[np.ndarray]):
+        super().__init__(pivot, ids, sides, pivots)
+        self.fine, self.size = fine, fine.sum(1, dtype=np.int64)
+        self.counts = fine.reshape(len(fine), -1, GROUPS).sum(1)
+        self.open = np.zeros(len(fine), bool)
+
+    def passing(self, q: int, rows: np.ndarray, percent: int) -> np.ndarray:
+        if self.open[q]:  # only whether a class has any open pair matters
+            rows = rows[~self.open[rows]]
+        overlap = np.minimum(self.fine[q], self.fine[rows]).sum(1, dtype=np.int64)
+        return rows[overlap * (100 + percent) >= percent * (self.size[q] + self.size[rows])]
+
+    def survivors(self, percent: int) -> np.ndarray:
+        """Rows of classes that the bound leaves a partner."""
+        for q, rows in self.pairs(percent):
+            self.open[q] = self.open[rows] = True
+        return np.flatnonzero(self.open)
+
+
+class Cell(Block):
+    """Classes of a cell with their sets: ``weight`` is a class's number of
+    documents, ``low`` the smallest of their ids."""
+
+    def __init__(self, pivot: int, ids: list[int], sides: list[int], weights: list[int], lows: list[int], sets: list[np.ndarray], pivots: list[np.ndarray]):
+        super().__init__(pivot, ids, sides, pivots)
+        self.weight, self.low = np.array(weights, np.int64), np.array(lows, np.int64)
+        self.size = np.array([len(x) for x in sets])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        flat = np.concatenate(sets)
+        self.counts = np.bincount(
+            np.repeat(np.arange(len(sets)) * GROUPS, self.size) + (flat & np.uint64(GROUPS - 1)).astype(np.int64),
+            minlength=GROUPS * len(sets),
+        ).reshape(-1, GROUPS).astype(np.int32)
+        self.flat = np.unique(flat, return_inverse=True)[1]
+        self.mark = np.zeros(len(flat), np.int32)
+
+    def overlap(self, q: int, rows: np.ndarray) -> np.ndarray:
+        own = self.flat[self.at[q] : self.at[q + 1]]
+        self.mark[own] = 1
+        if 2 * len(rows) > len(self.size):
+            both = np.add.reduceat(self.mark[self.flat], self.at[:-1])[rows]
+        else:
+            n = self.size[rows]
+            start = np.cumsum(n) - n
+            both = np.add.reduceat(self.mark[self.flat[np.repeat(self.at[rows] - start, n) + np.arange(n.sum())]], start)
+        self.mark[own] = 0
+        return both
+
+    def passing(self, q: int, rows: np.ndarray, percent: int) -> np.ndarray:
+        both = self.overlap(q, rows)
+        return rows[100 * both >= percent * (self.size[q] + self.size[rows] - both)]
+
     def links(self, percent: int) -> tuple[np.ndarray, ...]:
         """(class, its smallest id, the class of smallest id in its component in
         the cell, that id, documents its links in the cell reach) for classes
@@ -463,9 +500,10 @@ def _bit_map(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
 
-def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """cls, shingles: sets of the documents in ``reps`` (doc_id, and a few
-    others: the documents are sieved by a bit map of fixed size)."""
+def _of_some(docs: DataFrame, reps: DataFrame, n: int, schema: str, column) -> DataFrame:
+    """cls and ``column(sets, rows)`` of the documents in ``reps`` (doc_id, and a
+    few others: the documents are sieved by a bit map of fixed size). A class
+    may come from several tasks."""
     held = _bit_map(reps)
 
     def run(batches):
@@ -480,50 +518,114 @@ def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
                     if int(s.cls[i]) not in seen:
                         seen.add(int(s.cls[i]))
                         rows.append(i)
-                if not rows:
-                    continue
-                off = np.concatenate([[0], np.cumsum(s.n[rows])]).astype(np.int32)
-                flat = np.concatenate([s.h[s.at[i] : s.at[i + 1]] for i in rows]).view(np.int64)
-                sets = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(s.cls[rows]), sets], names=["cls", "shingles"])
+                if rows:
+                    name, values = column(s, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.cls[rows]), values], names=["cls", name])
 
     src = docs.where(F.col("doc_id").isNotNull()).select(_bit("doc_id").alias("p"), "text")
-    return src.mapInArrow(run, "cls long, shingles array<long>")
+    return src.mapInArrow(run, schema)
 
 
-def _cells(df: DataFrame, percent: int) -> DataFrame:
-    """src, src_low, dst, dst_low, reach: per cell and linked class (see ``Cell.links``)."""
-    schema = pa.schema([(c, pa.int64()) for c in ("src", "src_low", "dst", "dst_low", "reach")])
+def needed_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """cls, shingles."""
+
+    def column(s: Sets, rows: list[int]):
+        off = np.concatenate([[0], np.cumsum(s.n[rows])]).astype(np.int32)
+        flat = np.concatenate([s.h[s.at[i] : s.at[i + 1]] for i in rows]).view(np.int64)
+        return "shingles", pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+
+    return _of_some(docs, reps, n, "cls long, shingles array<long>", column)
+
 
-    def lists(column):
-        off, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        # copies, so that a cell does not keep whole batches
-        return [flat[a:b].copy() for a, b in zip(off, off[1:])]
+def needed_points(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """cls, point: ``FINE`` group counts, each in as few bytes as the largest needs."""
+
+    def column(s: Sets, rows: list[int]):
+        points = []
+        for i in rows:
+            c = np.bincount((s.h[s.at[i] : s.at[i + 1]] & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+            points.append(c.astype(np.min_scalar_type(int(c.max()))).tobytes())
+        return "point", pa.array(points, pa.binary())
+
+    return _of_some(docs, reps, n, "cls long, point binary", column)
+
+
+def _counts(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, f"u{len(point) // FINE}").astype(np.int32)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """Copies, so that a cell does not keep whole batches."""
+    off, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b].copy() for a, b in zip(off, off[1:])]
+
+
+def _by_cell(df: DataFrame, cols: list[str], held: list[str], unpack, found, out: str) -> DataFrame:
+    """``found(cell, pivot, columns)`` (a record batch or None) of every cell of
+    more than one class, ``columns`` the values of ``held`` in order, the last
+    ones through ``unpack`` (name -> function of an Arrow column). A class that
+    came twice to a cell counts once."""
 
     def run(batches):
-        now, rows = None, ([], [], [], [], [], [])
+        now, last, rows = None, None, tuple([] for _ in held)
 
         def close():
             if len(rows[0]) > 1:
-                found = Cell(now[1], *rows).links(percent)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
+                got = found(now[0], now[1], rows)
+                if got is not None:
+                    yield got
 
         for b in batches:
-            cell, pivot, cls, side, weight, low = (b.column(i).to_pylist() for i in range(6))
-            sets, pivots = [x.view(np.uint64) for x in lists(b.column(6))], lists(b.column(7))
+            cell, pivot, cls = (b.column(i).to_pylist() for i in range(3))
+            values = [unpack.get(c, lambda x: x.to_pylist())(b.column(cols.index(c))) for c in held]
             for i in range(b.num_rows):
                 if (cell[i], pivot[i]) != now:
                     yield from close()
-                    now, rows = (cell[i], pivot[i]), ([], [], [], [], [], [])
-                for held, x in zip(rows, (cls[i], side[i], weight[i], low[i], sets[i], pivots[i])):
-                    held.append(x)
+                    now, last, rows = (cell[i], pivot[i]), None, tuple([] for _ in held)
+                if cls[i] == last:
+                    continue
+                last = cls[i]
+                for x, v in zip(rows, values):
+                    x.append(v[i])
         yield from close()
 
+    return df.select(*cols).repartition("cell").sortWithinPartitions("cell", "pivot", "cls").mapInArrow(run, out)
+
+
+def survivors(df: DataFrame, percent: int) -> DataFrame:
+    """cell, pivot, cls, side: the classes that the points of their cell leave a possible partner."""
+
+    def found(cell, pivot, rows):
+        ids, sides, points, pivots = rows
+        left = Points(pivot, ids, sides, np.stack([_counts(p) for p in points]), pivots).survivors(percent)
+        if not len(left):
+            return None
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(left), cell)),
+                pa.array(np.full(len(left), pivot)),
+                pa.array(np.array(ids, np.int64)[left]),
+                pa.array(np.array(sides, np.int32)[left]),
+            ],
+            names=["cell", "pivot", "cls", "side"],
+        )
+
+    cols = ["cell", "pivot", "cls", "side", "point", "pivots"]
+    return _by_cell(df, cols, ["cls", "side", "point", "pivots"], {"pivots": _lists}, found, "cell long, pivot long, cls long, side int")
+
+
+def _cells(df: DataFrame, percent: int) -> DataFrame:
+    """src, src_low, dst, dst_low, reach: per cell and linked class (see ``Cell.links``)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("src", "src_low", "dst", "dst_low", "reach")])
+
+    def found(cell, pivot, rows):
+        links = Cell(pivot, *rows).links(percent)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in links], schema=schema) if len(links[0]) else None
+
     cols = ["cell", "pivot", "cls", "side", "k", "low", "shingles", "pivots"]
-    return df.select(*cols).repartition("cell").sortWithinPartitions("cell", "pivot", "cls").mapInArrow(
-        run, "src long, src_low long, dst long, dst_low long, reach long"
-    )
+    sets = lambda column: [x.view(np.uint64) for x in _lists(column)]
+    out = "src long, src_low long, dst long, dst_low long, reach long"
+    return _by_cell(df, cols, ["cls", "side", "k", "low", "shingles", "pivots"], {"shingles": sets, "pivots": _lists}, found, out)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -628,9 +730,11 @@ def join_classes(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     )
     of = pairs.groupBy("cls").agg(F.collect_list("pivot").alias("pivots"))  # no more than a set has keys
     used = materialize(classes.join(of, "cls"), "used")
-    sets = needed_sets(docs, used.select(F.col("low").alias("doc_id")), n)
-    sets = sets.join(used.select("cls", "k", "low", "pivots"), "cls")
-    links = materialize(_cells(chunked(pairs, used).join(sets, "cls"), percent), "links")
+    points = needed_points(docs, used.select(F.col("low").alias("doc_id")), n).join(used.select("cls", "pivots"), "cls")
+    left = materialize(survivors(chunked(pairs, used).join(points, "cls"), percent), "survivors")
+    open_ = materialize(used.join(left.select("cls").distinct(), "cls").select("cls", "k", "low", "pivots"), "open")
+    sets = needed_sets(docs, open_.select(F.col("low").alias("doc_id")), n).join(open_, "cls")
+    links = materialize(_cells(left.join(sets, "cls"), percent), "links")
     # a node is a class, ordered by its smallest id: the root of a component has the component's
     node = lambda low, cls: F.struct(F.col(low).alias("low"), F.col(cls).alias("cls"))
     stars = components(links.select(node("src_low", "src").alias("src"), node("dst_low", "dst").alias("dst")))

@@ -228,3 +228,32 @@ def test_links_are_counted_once(spark, planted, monkeypatch, cell):
 def test_links_of_repeated_rows(edge_docs):
     rows = {(str(r["doc_id"]), r["n_shingles"]): r["n_links"] for r in J.join(edge_docs).collect()}
     assert rows[("5", 1)] == rows[("6", 1)] == rows[("1", 5)] == rows[("9", 5)] == 1 and rows[("None", 1)] == rows[("2", 0)] == 0
+
+
+def test_copies_that_meet_the_bit_map_count_once(spark, planted, monkeypatch):
+    """A class whose set comes from several tasks is one entry of its cell."""
+    monkeypatch.setattr(J, "FILTER_BITS", 64)
+    docs = planted[:150] + [{"doc_id": 90_000 + i, "text": d["text"]} for i, d in enumerate(planted[:150])]
+    docs += [{"doc_id": 95_000 + i, "text": planted[0]["text"]} for i in range(30)]
+    rows = J.join(frame(spark, docs).repartition(6)).dropDuplicates(["doc_id"]).collect()
+    once = list({d["doc_id"]: d for d in docs}.values())
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in rows) == brute_links(once)
+
+
+def test_points_keep_every_linked_class():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64)) for _ in range(40)]
+    sets += [np.unique(np.append(x[:-15], rng.integers(0, 1 << 63, 15).astype(np.uint64))) for x in sets[:10]]
+    fine = np.stack([np.bincount((x & np.uint64(J.FINE - 1)).astype(int), minlength=J.FINE) for x in sets]).astype(np.int32)
+    none = [np.empty(0, np.int64)] * len(sets)
+    left = J.Points(0, list(range(50)), [2] * 50, fine, none).survivors(85)
+    assert set(left) >= set(range(10)) | set(range(40, 50)) and len(left) < 30
+    sides = [0] * 40 + [1] * 10  # pairs across only
+    assert set(J.Points(0, list(range(50)), sides, fine, none).survivors(85)) >= set(range(10)) | set(range(40, 50))
+
+
+def test_counts_of_any_size():
+    for top in (3, 300, 70_000):
+        c = np.arange(J.FINE) % (top + 1)
+        c[5] = top
+        assert J._counts(c.astype(np.min_scalar_type(int(c.max()))).tobytes()).tolist() == c.tolist()
