@@ -207,3 +207,92 @@ def test_best_cut():
     z, y = np.array([3.0, 2.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0, 0])
     assert X.best_cut(z, y, np.ones(5)) in (2.5, 1.5)
     assert 1 < X.best_cut(z, np.array([1, 1, 1, 0, 0]), np.ones(5)) < 2
+
+
+def test_rows_beyond_any_sample_teach(spark):
+    """The word that marks label 1 stands only in rows after the 3,000th of their class, by hash of the id."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(14_000)], "doc_id long, toxic int")
+    order = labels.where(~X.held_out(F.col("doc_id")) & (F.col("toxic") == 1)).orderBy(F.xxhash64("doc_id")).collect()
+    late = {r["doc_id"] for r in order[3000:]}
+    rng = np.random.default_rng(5)
+    words = rng.integers(300, size=(14_000, 6))
+    docs = [(i, " ".join(f"w{k}" for k in words[i]) + (" zonk" if i in late else " blarg" if i % 2 else ""), "en") for i in range(14_000)]
+    m = X.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels)
+    ask = spark.createDataFrame([(i, f"w1 w7 w3 w9 w2 w8{w}", "en") for i, w in enumerate((" zonk", "", " blarg"), 1)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["predicted"] for r in X.report(ask, labels, m).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_shards_are_averaged_as_by_a_naive_version(spark, frames, planted, monkeypatch):
+    monkeypatch.setattr(X, "SHARD_WORDS", 10_000)
+    docs, labels = frames
+    names = ("doc_id", "text", "lang")
+    shards = X.labelled_shards(docs, labels, *names)
+    rows = sorted(shards.collect())
+    learnt = {i: y for i, y in planted[1] if crc(i) != 1}
+    assert len(rows) > 4 and sum(r["n0"] + r["n1"] for r in rows) == len(learnt) and sum(r["n1"] for r in rows) == sum(learnt.values())
+    assert sum(sum(r["n"]) for r in rows) == sum(len(t.split()) for i, t, _ in planted[0] if i in learnt)
+
+    texts, y, count = [], [], [0, 0]
+    for r in rows:
+        ids = np.frombuffer(r["ids"], np.uint16).reshape(-1, 1 + len(X.PREFIXES))
+        mine, at = [], 0
+        for n, label in zip(r["n"], r["y"]):
+            count[label] += 1
+            if count[label] % 5:
+                mine.append((ids[at : at + n], label))
+            at += n
+        texts.append([t for t, _ in mine])
+        y.append(np.array([c for _, c in mine]))
+    seen = np.zeros((2, X.BUCKETS))
+    for t, c in zip(sum(texts, []), np.concatenate(y)):
+        seen[c, np.unique(t)] += 1
+    s = X.begin(seen, [int((np.concatenate(y) == c).sum()) for c in (0, 1)])
+    for epoch in range(X.EPOCHS):
+        ends = [X.run_epoch(s, t, c, epoch) for t, c in zip(texts, y)]
+        start = s.vectors()
+        far = np.array([e.vectors().astype(float) - start for e in ends])
+        moved = (far != 0).any(2).sum(0)
+        s.take(start + far.sum(0) / np.maximum(moved, 1)[:, None], np.mean([e.rest() for e in ends], 0))
+    a = X.fit(docs, labels)
+    for name in ("emb", "conv", "bias", "out", "out_bias"):
+        assert np.allclose(getattr(a, name), getattr(s.model, name), atol=1e-5), name
+
+    b = X.fit(docs.repartition(13), labels.repartition(5))
+    assert np.array_equal(a.emb, b.emb) and (a.scale, a.shift, a.thresholds) == (b.scale, b.shift, b.thresholds)
+    held = [r for r in X.report(docs, labels, a).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == planted[1][r["doc_id"]][1] for r in held]) > 0.95
+
+
+def test_one_shard_for_a_quick_fit(frames):
+    whole, same, quick = X.fit(*frames), X.fit(*frames, max_rows=3000), X.fit(*frames, max_rows=50)
+    assert np.array_equal(whole.emb, same.emb) and whole.thresholds == same.thresholds and whole.shift == same.shift
+    assert quick.trained and not np.array_equal(whole.emb, quick.emb)
+
+
+@pytest.mark.parametrize("at_once", [1 << 16, 40])
+def test_cuts_of_ranges_equal_those_of_all_rows(spark, monkeypatch, at_once):
+    monkeypatch.setattr(X, "CUT_ROWS", at_once)
+    rng = np.random.default_rng(6)
+    y = (rng.random(1500) < 0.3).astype(int)
+    z = np.round(rng.normal(0, 1, 1500) + y, 1 if at_once == 40 else 3)
+    langs = [("en", "fr", "", None, "de")[k] for k in rng.choice(5, 1500, p=[0.4, 0.38, 0.1, 0.1, 0.02])]
+    rows = spark.createDataFrame([(float(a), int(b), c) for a, b, c in zip(z, y, langs)], "z double, y int, l string").repartition(7)
+    w = np.array([0.8, 1.7])
+    got = X.best_cuts(rows, w)
+    own = {k: np.array([c == k for c in langs]) for k in ("en", "fr")} | {None: np.ones(1500, bool)}
+    assert got.keys() == own.keys()
+    for k, at in own.items():
+        assert np.isclose(got[k], X.best_cut(z[at], y[at], w[y[at]])), k
+
+
+def test_training_a_long_text_in_parts_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    m = small_model(rng)
+    ids, at = some_texts(rng, (0, 300, 2, 129, 65))
+    y, weight = np.array([1, 0, 1, 0, 1]), np.array([2.0, 0.7, 2.0, 0.7, 2.0])
+    whole, (top, best) = X.gradients(m, ids, at, y, weight), m.tops(ids, at)
+    monkeypatch.setattr(X, "PART", 64)
+    parts, (t, b) = X.gradients(m, ids, at, y, weight), m.tops(ids, at)
+    assert np.allclose(top, t, atol=1e-5) and np.array_equal(best, b)
+    assert np.allclose(whole[0], parts[0]) and np.array_equal(whole[2], parts[2]) and np.allclose(whole[3], parts[3], atol=1e-5)
+    assert all(np.allclose(whole[1][k], parts[1][k], atol=1e-5) for k in whole[1])
