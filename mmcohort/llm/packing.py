@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +125,9 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     hist = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan(hist, capacity)
-    table = spark.createDataFrame(
-        [astuple(r) for r in runs], "p_length long, lo long, hi long, seq long, per long, at long"
-    )
+    # from Arrow: rows of Python objects would be unpacked by Python workers of a kind of their own, that stay
+    columns = {f.name: pa.array([getattr(r, f.name) for r in runs], pa.int64()) for f in fields(Run)}
+    table = spark.createDataFrame(pa.table(columns)).withColumnRenamed("length", "p_length")
     table = F.broadcast(table) if len(runs) <= BROADCAST_RUNS else table
     ranked = number_within(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], sum(hist.values()), "rank")
     i = F.col("rank") - F.col("lo")

@@ -462,6 +462,14 @@ def labelled_shards(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return spark.read.parquet(path)
 
 
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The shards of some batches, one by one; ``ids`` as a buffer of the batch, not copied."""
+    for b in batches:
+        rest, ids = b.drop_columns(["ids"]), b.column("ids")
+        for i in range(b.num_rows):
+            yield {**rest.slice(i, 1).to_pylist()[0], "ids": ids[i].as_buffer()}
+
+
 @dataclass
 class Plan:
     """Which rows of each shard train."""
@@ -488,20 +496,18 @@ def over_shards(shards: DataFrame, held, columns: int, start_of: Callable, work:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = start_of(held.value)
-        for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                end, rest = work(held.value, r)
-                moved = np.flatnonzero((start != end).any(1))
-                edges = np.searchsorted(moved, np.arange(0, BUCKETS + BLOCK, BLOCK))
-                out = [(k, moved[a:z]) for k, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
-                cols = [[k for k, _ in out], [r["shard"]] * len(out), [at.tobytes() for _, at in out]]
-                cols.append([end[at].astype(np.float32).tobytes() for _, at in out])
-                if rest is not None:
-                    for c, v in zip(cols, (-1, r["shard"], b"", rest.tobytes())):
-                        c.append(v)
-                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["block", "shard", "at", "v"])
+        for r in _shard_rows(batches):
+            end, rest = work(held.value, r)
+            moved = np.flatnonzero((start != end).any(1))
+            edges = np.searchsorted(moved, np.arange(0, BUCKETS + BLOCK, BLOCK))
+            out = [(k, moved[a:z]) for k, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
+            cols = [[k for k, _ in out], [r["shard"]] * len(out), [at.tobytes() for _, at in out]]
+            cols.append([end[at].astype(np.float32).tobytes() for _, at in out])
+            if rest is not None:
+                for c, v in zip(cols, (-1, r["shard"], b"", rest.tobytes())):
+                    c.append(v)
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["block", "shard", "at", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, sums = start_of(held.value), {}
@@ -587,15 +593,13 @@ def logits(shards: DataFrame, plan: Plan, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, m = held.value
-        for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                texts, y, back = plan.rows(r)
-                check = np.flatnonzero(back == plan.some_back)
-                z = [float(m.logits(texts[k], np.array([0, len(texts[k])]))[0]) for k in check]
-                cols = [[r["shard"]], [z], [y[check]], [[r["l"][k] for k in check]]]
-                types = (pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "z", "y", "l"])
+        for r in _shard_rows(batches):
+            texts, y, back = plan.rows(r)
+            check = np.flatnonzero(back == plan.some_back)
+            z = [float(m.logits(texts[k], np.array([0, len(texts[k])]))[0]) for k in check]
+            cols = [[r["shard"]], [z], [y[check]], [[r["l"][k] for k in check]]]
+            types = (pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["shard", "z", "y", "l"])
 
     return materialize(shards.mapInArrow(run, "shard int, z array<double>, y array<int>, l array<string>"), "logits")
 

@@ -73,6 +73,14 @@ def test_packing_edges(edge_docs, no_docs, reference):
     assert P.pack(no_docs).collect() == []
 
 
+def test_the_plan_needs_no_python_worker(spark):
+    cut = spark.createDataFrame([(1, 0, 0, 3, 9), (2, 0, 0, 5, 8)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    parts = P.place(spark.createDataFrame(cut.toArrow()))
+    tree = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExternalRDD" not in tree and "LogicalRDD" not in tree, tree
+    assert sorted((r["doc_id"], r["sequence_id"], r["offset"]) for r in parts.collect()) == [(1, 0, 5), (2, 0, 0)]
+
+
 def test_plan_places_every_count():
     rng = np.random.default_rng(0)
     for _ in range(20):

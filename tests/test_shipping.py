@@ -9,6 +9,11 @@ import subprocess
 import sys
 import tempfile
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from mmcohort.session import BATCH_BYTES, ship_package
+
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 SCRIPT = f"""
@@ -27,3 +32,22 @@ def test_workers_import_the_package_from_any_directory():
     cwd = tempfile.mkdtemp(prefix="mmcohort-elsewhere-")  # a fresh folder outside the repository
     res = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS 12" in res.stdout, res.stderr[-3000:]
+
+
+def test_texts_reach_the_workers_some_mb_at_a_time(spark):
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("a"), 100_000).alias("t"))  # 40 MB in one task
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "mb"])
+
+    ship_package(spark)
+    got = texts.mapInArrow(sizes, "n long, mb long").collect()
+    assert sum(r["n"] for r in got) == 400 and max(r["mb"] for r in got) < 2 * BATCH_BYTES
+
+
+def test_a_batch_size_of_the_session_stays(spark):
+    own, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    own.conf.set(key, "1m")
+    ship_package(own)
+    assert own.conf.get(key) == "1m"
