@@ -7,32 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mmcohort.llm import decontamination, jaccard, packing, toxicity
-from mmcohort.session import settled, ship_package
+from mmcohort.session import bounded_batches, settled, ship_package
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches their language's threshold go."""
     ship_package(spark)
-    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    with bounded_batches(spark):
+        return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of linked documents stays:
     sets of five-word shingles, similarity 0.8 or more."""
     ship_package(spark)
-    return jaccard.keep_one(docs, jaccard.join(docs, n=5, percent=80), n=5, percent=80)
+    with bounded_batches(spark):
+        return jaccard.keep_one(docs, jaccard.join(docs, n=5, percent=80), n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     ship_package(spark)
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    with bounded_batches(spark):
+        return decontamination.clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed in sequences of 2048 tokens."""
     ship_package(spark)
-    return packing.pack(docs)
+    with bounded_batches(spark):
+        return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -48,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
-        docs = settled(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    with bounded_batches(spark):
+        for name, stage in STAGES:
+            docs = settled(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs

@@ -41,13 +41,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Rows go to the Python workers about ``BATCH_BYTES`` at a time, unless the
-    session names another size. Spark's own batches (10,000 rows, or 64 MB) hold
-    tens of MB of texts, several times over: in buffers of the executor beyond
-    its heap, on the way out and back, and in each worker."""
-    if spark.conf.get(_BATCH_KEY, None) is None:
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession):
+    """Rows go to the Python workers about ``BATCH_BYTES`` at a time in what is
+    executed inside, unless the session names another size. Spark's own batches
+    (10,000 rows, or 64 MB) hold tens of MB of texts, several times over."""
+    own = spark.conf.get(_BATCH_KEY, None) is not None
+    if not own:
         spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(_BATCH_KEY)
 
 
 _SHIPPED: dict = {}  # application id of the SparkContext -> zip path
@@ -59,10 +65,8 @@ def ship_package(spark: SparkSession) -> None:
 
     The package is zipped on the driver and handed to ``SparkContext.addPyFile``,
     which distributes it to every executor (cluster or local) — the driver's
-    ``sys.path`` does not reach the workers. Once per SparkContext. What goes
-    to the workers at once is bounded too (:func:`bound_batches`).
+    ``sys.path`` does not reach the workers. Once per SparkContext.
     """
-    bound_batches(spark)
     sc = spark.sparkContext
     app = sc.applicationId  # unique per context, unlike id(sc) after a stop / restart
     if _SHIPPED.get(app):
