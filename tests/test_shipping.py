@@ -12,7 +12,7 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mmcohort.session import BATCH_BYTES, bounded_batches
+from mmcohort.session import BATCH_BYTES, ship_package
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -41,17 +41,13 @@ def test_texts_reach_the_workers_some_mb_at_a_time(spark):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "mb"])
 
-    with bounded_batches(spark):
-        got = texts.mapInArrow(sizes, "n long, mb long").collect()
+    ship_package(spark)
+    got = texts.mapInArrow(sizes, "n long, mb long").collect()
     assert sum(r["n"] for r in got) == 400 and max(r["mb"] for r in got) < 2 * BATCH_BYTES
 
 
 def test_a_batch_size_of_the_session_stays(spark):
     own, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
     own.conf.set(key, "1m")
-    with bounded_batches(own):
-        assert own.conf.get(key) == "1m"
+    ship_package(own)
     assert own.conf.get(key) == "1m"
-    with bounded_batches(spark):
-        assert spark.conf.get(key) == f"{BATCH_BYTES}b"
-    assert spark.conf.get(key, None) is None
